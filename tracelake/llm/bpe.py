@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.text import chunks
+from tracelake.llm.text import chunks, extended
 
 #: Distinct pre-tokens in a generation of a worker's memo.
 MEMO = 400_000
@@ -173,7 +173,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     readable on every executor.  A column already named ``into`` is replaced.
     """
     kept = docs.drop(into)
-    schema = kept.schema.add(into, "array<int>")
+    schema = extended(kept.schema, f"`{into}` array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = codec(ranks_path, pattern)
@@ -189,7 +189,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
 def decode(docs: DataFrame, ranks_path: str, pattern: str, ids: str = "token_ids", into: str = "decoded") -> DataFrame:
     """``docs`` with the bytes of the ids in the binary column ``into``; null ids give empty bytes."""
     kept = docs.drop(into)
-    schema = kept.schema.add(into, "binary")
+    schema = extended(kept.schema, f"`{into}` binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = codec(ranks_path, pattern)

@@ -286,7 +286,7 @@ def dedup_digest(docs: DataFrame, width: int = 200, most_shards: int = MOST_SHAR
 
 
 def dedup_texts(docs: DataFrame, width: int = 200, most_shards: int = MOST_SHARDS) -> DataFrame:
-    """``docs`` with every covered byte taken out of ``text`` (bytes of a character that is cut in two become U+FFFD); null stays null."""
+    """``docs`` with every covered byte taken out of ``text`` (the rest of a character that is cut in two goes too); null stays null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
@@ -295,7 +295,7 @@ def dedup_texts(docs: DataFrame, width: int = 200, most_shards: int = MOST_SHARD
             for t, cut in zip(part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True):
                 if cut and t:
                     data = t.encode()
-                    t = np.frombuffer(data, np.uint8)[~_mask(data, cut, width)].tobytes().decode(errors="replace")
+                    t = np.frombuffer(data, np.uint8)[~_mask(data, cut, width)].tobytes().decode(errors="ignore")
                 out.append(t)
             columns = part.columns[:-1]
             columns[at] = pa.array(out, pa.string())

@@ -199,6 +199,16 @@ def similarity_components(docs: DataFrame, n: int = 5, threshold: float = 0.8) -
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group of similar ones: that with the smallest id.
+
+    Rows with a null id all stay; of rows that repeat an id one stays.
+    """
+    first = similarity_components(docs, n, threshold).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
+    kept = docs.join(first, F.col("doc_id") == F.col("_first")).drop("_first").dropDuplicates(["doc_id"])
+    return kept.union(docs.where("doc_id is null"))
+
+
 def _may(nx: Column, ny: Column, px: Column, py: Column, own: Column, top: int, bottom: int) -> Column:
     """Whether sizes and places in the order leave room for the overlap that is needed."""
     sizes = F.least(nx, ny) * bottom >= F.greatest(nx, ny) * top

@@ -11,6 +11,7 @@ import pyarrow.compute
 import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of a batch are worked on in groups of about this many bytes of text.
 CHUNK_BYTES = 8 << 20
@@ -74,3 +75,8 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:
                 yield batch.slice(a, b - a)
+
+
+def extended(schema: StructType, more: str) -> StructType:
+    """A schema with the fields of a DDL string after its own."""
+    return StructType([*schema.fields, *StructType.fromDDL(more).fields])

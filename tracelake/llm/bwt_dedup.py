@@ -288,6 +288,8 @@ def dedup_digest(docs: DataFrame, width: int = 200, most_shards: int = MOST_SHAR
 def dedup_texts(docs: DataFrame, width: int = 200, most_shards: int = MOST_SHARDS) -> DataFrame:
     """``docs`` with every covered byte taken out of ``text`` (the rest of a character that is cut in two goes too); null stays null."""
 
+    names = docs.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
             at = part.schema.get_field_index("text")
@@ -299,7 +301,7 @@ def dedup_texts(docs: DataFrame, width: int = 200, most_shards: int = MOST_SHARD
                 out.append(t)
             columns = part.columns[:-1]
             columns[at] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     some, none = _with_cuts(docs, width, most_shards)
-    return some.select(*[F.col(f"`{c}`") for c in docs.columns], "_cuts").mapInArrow(run, docs.schema).union(none)
+    return some.select(*[F.col(f"`{c}`") for c in names], "_cuts").mapInArrow(run, docs.schema).union(none)

@@ -38,7 +38,10 @@ from tracelake.llm.text import WordHashes, chunks, hashed, mix64, words_of
 #: Counters of the sketch that tells frequent shingles (any order is right, this one keeps buckets small).
 SKETCH = 1 << 18
 BLOCK = 512
-SIGNATURE_WORDS = 8
+#: Buckets of up to so many rows are compared many at a time.
+SMALL = 48
+#: 64-bit words of a signature, and of the one folded from it that goes with bucket rows.
+LONG, SHORT = 32, 8
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
@@ -61,11 +64,20 @@ def shingle_set(text: str | None, n: int, memo: WordHashes) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> bytes:
-    """Parity of the set in 512 bits."""
-    counts = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % (64 * SIGNATURE_WORDS), minlength=64 * SIGNATURE_WORDS)
+    """Parity of the set in 64 * LONG bits."""
+    counts = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % (64 * LONG), minlength=64 * LONG)
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
+def folded(long: bytes) -> bytes:
+    """The parity in 64 * SHORT bits, from the longer one."""
+    return np.bitwise_xor.reduce(np.frombuffer(long, np.uint64).reshape(-1, SHORT), axis=0).tobytes()
+
+
+def _bits(column: pa.Array, words: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, words)
+
+
 def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
@@ -125,14 +137,15 @@ def similarity_components(docs: DataFrame, n: int = 5, threshold: float = 0.8) -
                 # in the global order: class, then hash; s is sorted by hash
                 first = s[np.argsort(level, kind="stable")[:k]] if level.any() else s[:k]
                 digest = xxhash.xxh3_128_digest(s.tobytes())
-                rows.append((len(s), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), first.view(np.int64), signature(s)))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-            made = _batch(rows, ["n", "d1", "d2", "prefix", "signature"], kinds)
+                long = signature(s)
+                rows.append((len(s), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), first.view(np.int64), long, folded(long)))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+            made = _batch(rows, ["n", "d1", "d2", "prefix", "signature", "short"], kinds)
             yield pa.RecordBatch.from_arrays([part.column(0), *made.columns], names=["doc_id", *made.schema.names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    every = scratch.table(docs.mapInArrow(prefixes, f"doc_id {kind}, n long, d1 long, d2 long, prefix array<long>, signature binary"), "sets")
-    heads = every.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("head"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("signature").alias("signature")).where("head is not null")
+    every = scratch.table(docs.mapInArrow(prefixes, f"doc_id {kind}, n long, d1 long, d2 long, prefix array<long>, signature binary, short binary"), "sets")
+    heads = every.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("head"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("signature").alias("signature"), F.first("short").alias("short")).where("head is not null")
     heads = scratch.table(heads.withColumn("p1", F.xxhash64("prefix")).withColumn("p2", F.xxhash64(F.lit(1), "prefix")), "heads")
 
     groups = scratch.table(heads.groupBy("n", "p1", "p2").agg(F.min("head").alias("gid"), F.count("*").alias("members")), "groups")
@@ -141,6 +154,8 @@ def similarity_components(docs: DataFrame, n: int = 5, threshold: float = 0.8) -
 
     posts = members.where("head = gid").select("gid", "n", F.posexplode("prefix").alias("pos", "bucket"))
     shared = scratch.table(posts.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select(F.col("bucket").alias("b")), "shared")
+    words, bits = prefilter.bitmap(shared, "b", shared.count())
+    posts, _ = prefilter.split(posts.select("bucket", "gid", "pos"), "bucket", words, bits)
     group_rows = scratch.table(posts.join(shared, F.col("bucket") == F.col("b")).select("bucket", "gid", "pos"), "group_rows")
     expanded = group_rows.join(members.select(F.col("gid").alias("g"), "head", "n"), F.col("gid") == F.col("g")).select("bucket", F.lit(False).alias("own"), "gid", "head", "n", "pos")
     # and each group of several members is a bucket of its own, at no place in the order
@@ -152,7 +167,7 @@ def similarity_components(docs: DataFrame, n: int = 5, threshold: float = 0.8) -
     star = rows.join(leaders, at).where((F.col("head") != F.col("l.head")) & (F.col("own") | (F.col("gid") != F.col("l.gid"))))
     star = star.where(_may(F.col("n"), F.col("l.n"), F.col("pos"), F.col("l.pos"), F.col("own"), top, bottom)).select(F.col("l.head").alias("a"), F.col("head").alias("b")).distinct()
     star = scratch.table(star, "star")
-    links = _verified(star, docs, n, top, bottom, scratch)
+    links = _verified(star, heads, docs, n, top, bottom, scratch)
     labels = scratch.table(components(links, scratch), "components")
 
     # what the stars have not joined
@@ -161,37 +176,46 @@ def similarity_components(docs: DataFrame, n: int = 5, threshold: float = 0.8) -
     open_ = now.groupBy("bucket", "own").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"), F.min("head").alias("leader")).where("lo < hi and c > 2")
     open_ = scratch.table(open_.select(F.col("bucket").alias("b"), F.col("own").alias("o"), "leader", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "open")
     left = now.join(open_, at).where(F.col("head") != F.col("leader")).drop("b", "o", "leader")
-    left = left.join(heads.select(F.col("head").alias("h"), "signature"), F.col("head") == F.col("h")).drop("h")
+    left = left.join(heads.select(F.col("head").alias("h"), "short"), F.col("head") == F.col("h")).drop("h")
     block = F.pmod(F.xxhash64("head"), F.col("blocks")).cast("int")
     left = left.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.withColumn("lo", F.least("block", "with")).withColumn("hi", F.greatest("block", "with")).select("bucket", "own", "lo", "hi", "block", "head", "gid", "component", "n", "pos", "signature")
+    left = left.withColumn("lo", F.least("block", "with")).withColumn("hi", F.greatest("block", "with")).select("bucket", "own", "lo", "hi", "block", "head", "gid", "component", "n", "pos", "short")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, cols in _groups(batches, 4):
-            own, lo, hi = keys[1:]
-            block, head, gid, component, size, pos = (np.asarray(c) for c in cols[:6])
-            marks = np.unpackbits(np.frombuffer(b"".join(cols[6].to_pylist()), np.uint8).reshape(len(head), -1), axis=1).astype(np.float32)
-            one = np.flatnonzero(block == lo)
-            two = one if lo == hi else np.flatnonzero(block == hi)
-            sx, sy, px, py = size[one][:, None], size[two][None, :], pos[one][:, None], pos[two][None, :]
-            need = -(-top * (sx + sy) // (top + bottom))
-            good = (component[one][:, None] != component[two][None, :]) & (bottom * np.minimum(sx, sy) >= top * np.maximum(sx, sy))
-            if not own:
-                good &= gid[one][:, None] != gid[two][None, :]
-                good &= np.minimum(px, py) + 1 + np.minimum(sx - px, sy - py) - 1 >= need
-            if good.any():
-                a, b = marks[one], marks[two]
-                apart = a.sum(axis=1)[:, None] + b.sum(axis=1)[None, :] - 2 * (a @ b.T)
-                good &= (sx + sy - apart) // 2 >= need
-            i, j = np.nonzero(good)
-            i, j = one[i], two[j]
-            keep = head[i] < head[j] if lo == hi else np.ones(len(i), bool)
-            a, b = head[i[keep]], head[j[keep]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        for table in _whole_groups(batches, 4):
+            own, lo, hi, block, head, gid, component, size, pos = (np.asarray(table.column(k)) for k in range(1, 10))
+            marks = _bits(table.column(10), SHORT)
+            starts = np.flatnonzero(_changes(table, 4))
+            sizes = np.diff(np.append(starts, table.num_rows))
+
+            def settle(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+                keep = (component[i] != component[j]) & (bottom * np.minimum(size[i], size[j]) >= top * np.maximum(size[i], size[j]))
+                i, j = i[keep], j[keep]
+                need = -(-top * (size[i] + size[j]) // (top + bottom))
+                keep = own[i] | ((gid[i] != gid[j]) & (np.minimum(pos[i], pos[j]) + np.minimum(size[i] - pos[i], size[j] - pos[j]) >= need))
+                i, j, need = i[keep], j[keep], need[keep]
+                apart = np.bitwise_count(marks[i] ^ marks[j]).sum(axis=1, dtype=np.int64)
+                keep = (size[i] + size[j] - apart) // 2 >= need
+                a, b = head[i[keep]], head[j[keep]]
+                return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+            small = (sizes <= SMALL) & (lo[starts] == hi[starts])
+            for m in np.unique(sizes[small]).tolist():
+                i, j = np.triu_indices(m, 1)
+                at = starts[small & (sizes == m)][:, None]
+                yield settle((at + i).reshape(-1), (at + j).reshape(-1))
+            for a, m in zip(starts[~small].tolist(), sizes[~small].tolist(), strict=True):
+                rows = np.arange(a, a + m)
+                one = rows[block[rows] == lo[a]]
+                two = one if lo[a] == hi[a] else rows[block[rows] == hi[a]]
+                for piece in np.array_split(one, -(-len(one) // 64)) if len(one) and len(two) else []:
+                    i, j = (x.reshape(-1) for x in np.meshgrid(piece, two, indexing="ij"))
+                    keep = (i < j) | (lo[a] != hi[a])
+                    yield settle(i[keep], j[keep])
 
     more = left.repartition(parts, "bucket", "own", "lo", "hi").sortWithinPartitions("bucket", "own", "lo", "hi").mapInArrow(pairs, f"a {kind}, b {kind}").distinct()
     more = scratch.table(more, "more")
-    links = links.union(_verified(more, docs, n, top, bottom, scratch))
+    links = links.union(_verified(more, heads, docs, n, top, bottom, scratch))
     labels = components(links, scratch)
     named = heads.select("d1", "d2", "head").join(labels, F.col("head") == F.col("node"), "left").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.coalesce("component", "head").alias("component"))
     named = scratch.table(named, "named")
@@ -216,36 +240,45 @@ def _may(nx: Column, ny: Column, px: Column, py: Column, own: Column, top: int,
     return sizes & (own | (room * (top + bottom) >= (nx + ny) * top))
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int):
-    """(key values, columns) of each run of equal keys in sorted batches."""
-    held: list[pa.RecordBatch] = []
-    last = None
+def _changes(table: pa.Table | pa.RecordBatch, keys: int) -> np.ndarray:
+    """Where the first columns differ from the row before; true for the first row."""
+    change = np.ones(table.num_rows, bool)
+    columns = [np.asarray(table.column(k)) for k in range(keys)]
+    change[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return change
 
-    def close():
-        table = pa.Table.from_batches(held).combine_chunks()
-        return last, [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in table.columns[keys:]]
 
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Sorted batches cut anew so that rows with equal keys stay together."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        change = np.zeros(batch.num_rows, bool)
-        for k in range(keys):
-            column = np.asarray(batch.column(k).cast(pa.int64()))
-            change[1:] |= column[1:] != column[:-1]
-        starts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-        for a, b in zip(starts, starts[1:], strict=False):
-            key = tuple(batch.column(k)[a].as_py() for k in range(keys))
-            if key != last and held:
-                yield close()
-                held = []
-            last = key
-            held.append(batch.slice(a, b - a))
+        held.append(batch)
+        if sum(b.num_rows for b in held) < 8192:
+            continue
+        table = pa.concat_batches(held)
+        last = int(np.flatnonzero(_changes(table, keys))[-1])
+        if last:
+            yield table.slice(0, last)
+        held = [table.slice(last)]
     if held:
-        yield close()
+        yield pa.concat_batches(held)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, top: int, bottom: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+def _verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, n: int, top: int, bottom: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough; those that the signatures rule out need no texts."""
+    kind = pairs.schema["a"].dataType.simpleString()
+
+    def rule_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.asarray(batch.column(2)) + np.asarray(batch.column(3))
+            apart = np.bitwise_count(_bits(batch.column(4), LONG) ^ _bits(batch.column(5), LONG)).sum(axis=1, dtype=np.int64)
+            good = (sizes - apart) // 2 * (top + bottom) >= top * sizes
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good))
+
+    side = lambda k: heads.select(F.col("head").alias(k), F.col("n").alias(f"n{k}"), F.col("signature").alias(f"s{k}"))
+    pairs = scratch.table(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(rule_out, f"a {kind}, b {kind}"), "likely")
     needed = scratch.table(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "needed")
     words, bits = prefilter.bitmap(needed, "id", needed.count())
     texts, _ = prefilter.split(docs, "doc_id", words, bits)
@@ -270,7 +303,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, top: int, bottom: int,
                 both.sort()
                 inter = int((both[1:] == both[:-1]).sum())
                 good.append(bottom * inter >= top * (len(x) + len(y) - inter))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    return scratch.table(both.select("a", "b", "ta", "tb").mapInArrow(check, f"a {kind}, b {kind}"), "links")
+    links = scratch.table(both.select("a", "b", "ta", "tb").mapInArrow(check, f"a {kind}, b {kind}"), "links")
+    scratch.drop(texts)
+    return links

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LEAST_BITS, MOST_BITS = 1 << 14, 1 << 23
+LEAST_BITS, MOST_BITS = 1 << 14, 1 << 25
 
 
 def bitmap(keys: DataFrame, key: str, n: int) -> tuple[DataFrame, int]:

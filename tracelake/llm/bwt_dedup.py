@@ -38,7 +38,8 @@ from tracelake.llm.text import chunks, mix64
 
 #: Bytes of an anchor; a power of two.
 GRAM = 32
-MOST_SHARDS = 256
+#: Different segments of an anchor that one task merges; segments merged at a time.
+MOST_SHARDS, AT_ONCE = 4096, 16384
 
 _ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5), np.uint64(0x85EBCA77C2B2AE63), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)]
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * _ODD[0])
@@ -129,7 +130,7 @@ def _emit(rows: dict[str, pa.Array]) -> pa.RecordBatch:
 
 
 def repeated_strings(docs: DataFrame, width: int = 200, most_shards: int = MOST_SHARDS, scratch: Scratch | None = None) -> DataFrame:
-    """(rid, first, last): runs of places in a document where repeated strings of ``width`` bytes start.
+    """(rid, base, firsts, lasts): runs of places in a document, counted from base, where repeated strings of ``width`` bytes start.
 
     ``docs`` has (rid, text).  Runs may repeat and overlap.
     """
@@ -188,18 +189,18 @@ def repeated_strings(docs: DataFrame, width: int = 200, most_shards: int = MOST_
             anchor, digest, n, strings = zip(*rows, strict=True)
             group = np.cumsum(np.concatenate([[0], np.diff(np.array(anchor)) != 0])) if len(rows) > 1 else np.zeros(1, np.int64)
             hits = merge_shards(group, list(strings), leads(list(strings)), np.array(n), width)
-            keep = [(a, d, h.tolist()) for a, d, h in zip(anchor, digest, hits, strict=True) if len(h)]
-            cols = list(zip(*keep, strict=True)) if keep else [[]] * 3
-            return _emit({"anchor": pa.array(cols[0], pa.int64()), "digest": pa.array(cols[1], pa.int64()), "hits": pa.array(cols[2], pa.list_(pa.int32()))})
+            keep = [(a, d, *_runs(h)) for a, d, h in zip(anchor, digest, hits, strict=True) if len(h)]
+            cols = list(zip(*keep, strict=True)) if keep else [[]] * 4
+            return _emit({"anchor": pa.array(cols[0], pa.int64()), "digest": pa.array(cols[1], pa.int64()), "firsts": pa.array(cols[2], pa.list_(pa.int32())), "lasts": pa.array(cols[3], pa.list_(pa.int32()))})
 
         for batch in batches:
             held += zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)
-            if len(held) > 8 * most_shards:
+            if len(held) > AT_ONCE:
                 stop = len(held) - 1
                 while stop and held[stop - 1][0] == held[-1][0]:
                     stop -= 1
-                while stop:  # whole groups, some thousand shards at a time
-                    take = min(stop, 16 * most_shards)
+                while stop:  # whole groups
+                    take = min(stop, AT_ONCE)
                     while take < stop and held[take][0] == held[take - 1][0]:
                         take += 1
                     yield settle(held[:take])
@@ -207,7 +208,7 @@ def repeated_strings(docs: DataFrame, width: int = 200, most_shards: int = MOST_
         if held:
             yield settle(held)
 
-    cold = pieces.where(F.col("shards") <= most_shards).select("anchor", "digest", "n", "piece").repartition(parts, "anchor").sortWithinPartitions("anchor", "digest").mapInArrow(merge, "anchor long, digest long, hits array<int>")
+    cold = pieces.where(F.col("shards") <= most_shards).select("anchor", "digest", "n", "piece").repartition(parts, "anchor").sortWithinPartitions("anchor", "digest").mapInArrow(merge, "anchor long, digest long, firsts array<int>, lasts array<int>")
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,13 +221,20 @@ def repeated_strings(docs: DataFrame, width: int = 200, most_shards: int = MOST_
 
     hot = scratch.table(pieces.where(F.col("shards") > most_shards).select("anchor", "digest", "n", "piece").mapInArrow(strings, "anchor long, digest long, hit int, string long"), "strings")
     twice = scratch.table(hot.groupBy("anchor", "string").agg(F.count("*").alias("c")).where("c > 1").select(F.col("anchor").alias("a"), F.col("string").alias("s")), "twice")
-    hot = hot.join(twice, (F.col("anchor") == F.col("a")) & (F.col("string") == F.col("s"))).groupBy("anchor", "digest").agg(F.collect_list("hit").alias("hits"))
+    hot = hot.join(twice, (F.col("anchor") == F.col("a")) & (F.col("string") == F.col("s"))).groupBy("anchor", "digest").agg(F.collect_list("hit").alias("firsts")).withColumn("lasts", F.col("firsts"))
 
-    runs = scratch.table(cold.union(hot).select(F.col("anchor").alias("a"), F.col("digest").alias("d"), F.explode("hits").alias("hit")).withColumn("last", F.col("hit")), "hits")
+    runs = scratch.table(cold.union(hot).select(F.col("anchor").alias("a"), F.col("digest").alias("d"), "firsts", "lasts"), "runs")
     whole = scratch.table(kinds.where("c > 1").select(F.col("anchor").alias("a"), F.col("digest").alias("d")), "whole")
     by = (F.col("anchor") == F.col("a")) & (F.col("digest") == F.col("d"))
     alone = kinds.where("c = 1").select("anchor", "digest", "at.rid", "at.first")
-    return rows.join(whole, by).select("rid", "first", (F.col("first") + F.col("n") - 1).alias("last")).union(alone.join(runs, by).select("rid", (F.col("first") + F.col("hit")).alias("first"), (F.col("first") + F.col("last")).alias("last")))
+    all_of = rows.join(whole, by).select("rid", F.col("first").alias("base"), F.array(F.lit(0)).alias("firsts"), F.array(F.col("n") - 1).alias("lasts"))
+    return all_of.union(alone.join(runs, by).select("rid", "first", "firsts", "lasts"))
+
+
+def _runs(hits: np.ndarray) -> tuple[list[int], list[int]]:
+    """First and last of each run of neighbouring numbers."""
+    breaks = np.flatnonzero(np.diff(hits) > 1)
+    return hits[np.append(0, breaks + 1)].tolist(), hits[np.append(breaks, len(hits) - 1)].tolist()
 
 
 def covered(size: int, first: np.ndarray, last: np.ndarray, width: int) -> np.ndarray:
@@ -243,7 +251,7 @@ def _with_cuts(docs: DataFrame, width: int, most_shards: int) -> tuple[DataFrame
     scratch = Scratch(spark, "bwt")
     keyed = docs.withColumn("_rid", F.xxhash64("doc_id", "text"))
     runs = repeated_strings(keyed.select(F.col("_rid").alias("rid"), "text"), width, most_shards, scratch)
-    cuts = scratch.table(runs.groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("_cuts")).withColumnRenamed("rid", "_r"), "cuts")
+    cuts = scratch.table(runs.groupBy("rid").agg(F.collect_list(F.struct("base", "firsts", "lasts")).alias("_cuts")).withColumnRenamed("rid", "_r"), "cuts")
     words, bits = prefilter.bitmap(cuts, "_r", cuts.count())
     words = scratch.table(words, "bitmap")
     some, none = prefilter.split(keyed, "_rid", words, bits)
@@ -252,8 +260,9 @@ def _with_cuts(docs: DataFrame, width: int, most_shards: int) -> tuple[DataFrame
 
 
 def _mask(data: bytes, cuts, width: int) -> np.ndarray:
-    pairs = np.array([(c["first"], c["last"]) for c in cuts or []], np.int64).reshape(-1, 2)
-    return covered(len(data), pairs[:, 0], pairs[:, 1], width)
+    first = np.array([c["base"] + x for c in cuts for x in c["firsts"]], np.int64)
+    last = np.array([c["base"] + x for c in cuts for x in c["lasts"]], np.int64)
+    return covered(len(data), first, last, width)
 
 
 def dedup_digest(docs: DataFrame, width: int = 200, most_shards: int = MOST_SHARDS) -> DataFrame:

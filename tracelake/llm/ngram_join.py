@@ -40,7 +40,7 @@ SKETCH = 1 << 18
 BLOCK = 512
 #: Buckets of up to so many rows are compared many at a time.
 SMALL = 48
-#: 64-bit words of a signature, and of the one folded from it that goes with bucket rows.
+#: 64-bit words of the signature of a set of up to 1024 shingles, doubled with each doubling of the set; words of the one folded from it that goes with bucket rows.
 LONG, SHORT = 32, 8
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -64,14 +64,21 @@ def shingle_set(text: str | None, n: int, memo: WordHashes) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> bytes:
-    """Parity of the set in 64 * LONG bits."""
-    counts = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % (64 * LONG), minlength=64 * LONG)
+    """Parity of the set in about two bits a shingle."""
+    bits = 64 * LONG << max(0, (len(shingles) - 1).bit_length() - 10)
+    counts = np.bincount((shingles >> np.uint64(24)).astype(np.int64) % bits, minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
-def folded(long: bytes) -> bytes:
-    """The parity in 64 * SHORT bits, from the longer one."""
-    return np.bitwise_xor.reduce(np.frombuffer(long, np.uint64).reshape(-1, SHORT), axis=0).tobytes()
+def folded(long: bytes, words: int = SHORT) -> np.ndarray:
+    """The parity in fewer bits, from the longer one."""
+    return np.bitwise_xor.reduce(np.frombuffer(long, np.uint64).reshape(-1, words), axis=0)
+
+
+def most_overlap(nx: int, ny: int, x: bytes, y: bytes) -> int:
+    """Upper bound of the intersection of two sets, by their sizes and signatures."""
+    words = min(len(x), len(y)) // 8
+    return (nx + ny - int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())) // 2
 
 
 def _bits(column: pa.Array, words: int) -> np.ndarray:
@@ -138,7 +145,7 @@ def similarity_components(docs: DataFrame, n: int = 5, threshold: float = 0.8) -
                 first = s[np.argsort(level, kind="stable")[:k]] if level.any() else s[:k]
                 digest = xxhash.xxh3_128_digest(s.tobytes())
                 long = signature(s)
-                rows.append((len(s), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), first.view(np.int64), long, folded(long)))
+                rows.append((len(s), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), first.view(np.int64), long, folded(long).tobytes()))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             made = _batch(rows, ["n", "d1", "d2", "prefix", "signature", "short"], kinds)
             yield pa.RecordBatch.from_arrays([part.column(0), *made.columns], names=["doc_id", *made.schema.names])
@@ -272,10 +279,8 @@ def _verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, n: int, top:
 
     def rule_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.asarray(batch.column(2)) + np.asarray(batch.column(3))
-            apart = np.bitwise_count(_bits(batch.column(4), LONG) ^ _bits(batch.column(5), LONG)).sum(axis=1, dtype=np.int64)
-            good = (sizes - apart) // 2 * (top + bottom) >= top * sizes
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good))
+            good = [most_overlap(nx, ny, x, y) * (top + bottom) >= top * (nx + ny) for nx, ny, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     side = lambda k: heads.select(F.col("head").alias(k), F.col("n").alias(f"n{k}"), F.col("signature").alias(f"s{k}"))
     pairs = scratch.table(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(rule_out, f"a {kind}, b {kind}"), "likely")

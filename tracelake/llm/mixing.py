@@ -82,11 +82,17 @@ def schedule(spark, goals: DataFrame, slots: int) -> DataFrame:
     return ranked.join(counts, F.col("source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c"))).select("slot", "source", (F.col("base") + F.col("r")).alias("block"))
 
 
+def _key(plan: MixPlan) -> Column:
+    return F.xxhash64(F.lit(plan.seed), F.col("doc_id"))
+
+
+def _bucket(key: Column, rows: int) -> Column:
+    return F.pmod(F.shiftright(key, 8), F.lit(max(1, -(-rows // DOCS_PER_BUCKET))))
+
+
 def streams(sizes: DataFrame, plan: MixPlan, rows: int) -> DataFrame:
     """``sizes`` with (bucket, nth, start): each document's place in its source's stream, by hash of its id."""
-    buckets = max(1, -(-rows // DOCS_PER_BUCKET))
-    key = F.xxhash64(F.lit(plan.seed), F.col("doc_id"))
-    placed = sizes.withColumn("key", key).withColumn("bucket", F.pmod(F.shiftright("key", 8), F.lit(buckets)))
+    placed = sizes.withColumn("key", _key(plan)).withColumn("bucket", _bucket(F.col("key"), rows))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = placed.groupBy("source", "bucket").agg(F.sum("size").alias("n")).select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size")
@@ -95,11 +101,11 @@ def streams(sizes: DataFrame, plan: MixPlan, rows: int) -> DataFrame:
     return placed.select("doc_id", "source", "size", "bucket", "nth", (F.col("base") + F.col("within")).alias("start"))
 
 
-def mix(docs: DataFrame, plan: MixPlan = MixPlan()) -> tuple[DataFrame, DataFrame]:
-    """(documents, pieces) of the mix of ``docs(doc_id, text, source)``.
+def mix(docs: DataFrame, plan: MixPlan = MixPlan()) -> tuple[DataFrame, DataFrame, int]:
+    """(documents, pieces, number of documents) of the mix of ``docs(doc_id, text, source)``.
 
     documents: doc_id, source, size, bucket, nth, start, source_size, target,
-    one row per input row.  pieces: source, bucket, nth, pass, slot, first,
+    one row per input row.  pieces: doc_id, source, bucket, nth, pass, slot, first,
     words: the run of a document's words that a slot takes.  A null text has
     no words, documents without words get no piece, rows that repeat are
     documents of their own, and an empty table gives empty results.  Reruns
@@ -118,14 +124,14 @@ def mix(docs: DataFrame, plan: MixPlan = MixPlan()) -> tuple[DataFrame, DataFram
     runs = placed.where("size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(plan.passes - 1)))).withColumn("from", F.col("start") + F.col("pass") * F.col("source_size"))
     runs = runs.withColumn("block", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("from") + F.col("size") - 1) / block))))
     cut = F.greatest("from", F.col("block") * block)
-    runs = runs.select("source", "bucket", "nth", "pass", "block", (cut - F.col("from")).alias("first"), (F.least(F.col("from") + F.col("size"), (F.col("block") + 1) * block) - cut).alias("words"))
+    runs = runs.select("doc_id", "source", "bucket", "nth", "pass", "block", (cut - F.col("from")).alias("first"), (F.least(F.col("from") + F.col("size"), (F.col("block") + 1) * block) - cut).alias("words"))
     taken = runs.join(slots.select(F.col("source").alias("s"), F.col("block").alias("b"), "slot"), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-    return placed, taken.select("source", "bucket", "nth", "pass", "slot", "first", "words")
+    return placed, taken.select("doc_id", "source", "bucket", "nth", "pass", "slot", "first", "words"), rows
 
 
 def taken_words(docs: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
     """doc_id, source, size, source_size, target, taken: how many words of each document the mix takes, repeats counted."""
-    placed, pieces = mix(docs, plan)
+    placed, pieces, _ = mix(docs, plan)
     sums = pieces.groupBy("source", "bucket", "nth").agg(F.sum("words").alias("taken")).withColumnsRenamed({"source": "s", "bucket": "b", "nth": "k"})
     out = placed.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")) & (F.col("nth") == F.col("k")), "left")
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
@@ -134,9 +140,16 @@ def taken_words(docs: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
 def mixed_documents(docs: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
     """``docs`` as the mix takes them: a row for each pass that takes words of it.
 
+    A pass takes a stream from its start, so it is known by the last place it
+    reaches; texts are compared with that of their source and never shuffled.
     A document of which the last slot takes a part stays whole.  Documents
-    without words are dropped; rows that repeat an id count with their sum.
+    without words are dropped.
     """
-    sums = taken_words(docs, plan).where("taken > 0").groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
-    sums = Scratch(docs.sparkSession, "mixed").table(sums.select(F.col("doc_id").alias("_id"), F.least(F.lit(plan.passes), F.ceil(F.col("_taken") / F.col("_size"))).cast("int").alias("_times")), "times")
-    return docs.join(sums, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    _, pieces, rows = mix(docs, plan)
+    place = lambda key: F.struct(_bucket(key, rows).alias("bucket"), key.alias("key"), F.col("doc_id").alias("id"))
+    ends = pieces.groupBy("source", "pass").agg(F.max(place(_key(plan))).alias("end"))
+    ends = ends.groupBy(F.col("source").alias("_source")).agg(F.collect_list("end").alias("_ends"))
+    ends = Scratch(docs.sparkSession, "mixed").table(ends, "ends")  # a row for each source
+    here = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).join(ends, F.col("source").eqNullSafe(F.col("_source")))
+    uses = F.size(F.filter("_ends", lambda end: place(_key(plan)) <= end))
+    return here.withColumn("_uses", uses).where("_uses > 0").withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_uses")))).select(*[F.col(f"`{c}`") for c in docs.columns])

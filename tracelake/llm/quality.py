@@ -250,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, plan: QualityPlan = QualityPlan()) -
     made = made.iloc[rng.permutation(len(made))]
     y = made["y"].to_numpy(np.float64)
     rate = float(y.mean()) if len(y) else 0.5
-    if not 0 < rate < 1:
+    if not len(y) or not 0 < rate < 1:
         return QualityModel(plan, None, None, None, rate)
     return QualityModel(plan, words, vectors, train(np.array(made["x"].tolist()), y, plan), rate)
 

@@ -11,6 +11,7 @@ def windowed_bins(events: DataFrame, width: str, late: str, time: str = "ts", va
 
     On a stream a window closes once the watermark has passed it by ``late``.
     """
+    events = events.withColumn(time, F.col(time).cast("timestamp"))
     source = events.withWatermark(time, late) if events.isStreaming else events
     got = source.groupBy(F.window(time, width), key).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"))
     return got.select(F.col("window.start").alias("start"), key, "n", "total", "mean")

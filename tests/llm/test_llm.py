@@ -215,9 +215,12 @@ def test_token_files(spark):
     rng = np.random.default_rng(1)
     ranks = rng.integers(0, 2**32, 1000, dtype=np.uint64).astype(np.uint32) >> rng.integers(0, 32, 1000).astype(np.uint32)
     assert (token_files.unpack(*token_files.pack(ranks), len(ranks)) == ranks).all()
-    own = token_files.LibraryEncoder(files.path("byte_bpe_50k.json"), None)
+    own = token_files.LibraryEncoder(files.path("byte_bpe_50k.json"), False)
+    rng = random.Random(5)
+    odd = ["".join(rng.choice("ab é1.,'s\n\t\xa0\u3000\x1c  ") for _ in range(rng.randrange(40))) for _ in range(2000)]
+    assert token_files.LibraryEncoder(files.path("byte_bpe_50k.json"), True).encode(odd) == own.encode(odd)
     docs = table(spark, EDGE)
-    folder, manifest = token_files.write_token_files(docs, files.path("byte_bpe_50k.json"), files.PATTERN)
+    folder, manifest = token_files.write_token_files(docs, files.path("byte_bpe_50k.json"), by_word=True)
     got, start = {r["doc_id"]: r for r in token_files.token_file_digest(folder, manifest).collect()}, 0
     for i, t in EDGE:
         ids = own.encode([t or ""])[0] + b"\0\0\0\0"
@@ -228,7 +231,7 @@ def test_token_files(spark):
 def test_empty_tables(spark):
     docs = table(spark, EDGE).limit(0)
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
-    folder, manifest = token_files.write_token_files(docs, files.path("byte_bpe_50k.json"), files.PATTERN)
+    folder, manifest = token_files.write_token_files(docs, files.path("byte_bpe_50k.json"), by_word=True)
     for df in (bpe.round_trip_digest(docs, RANKS, files.PATTERN), ngram_join.similarity_components(docs), mixing.taken_words(docs), bwt_dedup.dedup_digest(docs), media.stored_digest(docs), suffix_tree_lm.score(docs), embed_dedup.near_duplicates(vectors), token_files.token_file_digest(folder, manifest)):
         assert df.count() == 0
 

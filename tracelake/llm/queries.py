@@ -62,7 +62,7 @@ def op9_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _tokenizers()
-    folder, manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), files.path("byte_bpe_50k.json"), files.PATTERN)
+    folder, manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), files.path("byte_bpe_50k.json"), by_word=True)
     return token_files.token_file_digest(folder, manifest)
 
 

@@ -17,6 +17,7 @@ lengths by one table lookup and all places by one cumulative sum.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,7 +26,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,8 +36,8 @@ from tracelake.llm.text import chunks
 MAGIC = b"TLIDS01\n"
 #: Ids of a shard file; a longer document gets a file of its own.
 SHARD_IDS = 4_000_000
-#: Distinct pre-tokens in a generation of a worker's memo.
-MEMO = 400_000
+#: Distinct words in a generation of a worker's memo.
+MEMO = 150_000
 
 #: Data bytes of the four ids of each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
@@ -102,53 +102,76 @@ def read_shard(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 class LibraryEncoder:
     """Ids by the tokenizers library.
 
-    With ``pattern`` (how the tokenizer splits before its merges) each distinct
-    pre-token goes through the library once and is remembered; without it every
-    text goes through whole.
+    With ``by_word`` a text is cut at its spaces, each distinct word (with the
+    space before it) goes through the library once, many words in one call, and
+    is remembered.  This is right for byte-level tokenizers that split before
+    their merges by a pattern in which a space starts a token and no token goes
+    on over one, as GPT-2's; a text in which a space meets other white space or
+    the end goes through whole.  Without ``by_word`` every text goes whole.
     """
 
-    def __init__(self, path: str, pattern: str | None):
+    #: Words in a call.
+    AT_ONCE = 4000
+    _ODD = re.compile(r" \s|\s | \Z")
+
+    def __init__(self, path: str, by_word: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.pattern = regex.compile(pattern) if pattern else None
+        self.by_word = by_word
+        self.sizes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # bytes of each id; a byte is one character in the vocabulary
+        for token, k in self.tokenizer.get_vocab().items():
+            self.sizes[k] = len(token)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word after a space."""
+        out: list[bytes] = []
+        groups = [words[a : a + self.AT_ONCE] for a in range(0, len(words), self.AT_ONCE)]
+        for group in groups:
+            ids = self._library([" " + " ".join(group)])[0]
+            ends = np.cumsum(self.sizes[np.frombuffer(ids, "<u4")])
+            stops = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in group), np.int64, len(group)))
+            cuts = (np.searchsorted(ends, stops) + 1) * 4
+            at = 0
+            for stop in cuts.tolist():
+                out.append(ids[at:stop])
+                at = stop
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if self.pattern is None:
+        if not self.by_word:
             return self._library(texts)
         if len(self.young) >= MEMO:
             self.old, self.young = self.young, {}
-        split = [self.pattern.findall(t) for t in texts]
-        young = self.young
-        new = [p for p in set().union(*split) if p not in young]
-        unknown = []
-        for p in new:
-            ids = self.old.get(p)
-            if ids is None:
-                unknown.append(p)
-            else:
-                young[p] = ids
-        young.update(zip(unknown, self._library(unknown), strict=True))
-        return [b"".join(map(young.__getitem__, s)) for s in split]
+        odd = [bool(self._ODD.search(t)) for t in texts]
+        split = [[t] if o else t.split(" ") for t, o in zip(texts, odd, strict=True)]
+        firsts = self._library([s.pop(0) for s in split])
+        young, old = self.young, self.old
+        unknown = set().union(*split).difference(young)
+        known = unknown.intersection(old) if old else set()
+        young.update((w, old[w]) for w in known)
+        new = list(unknown - known)
+        young.update(zip(new, self._words(new), strict=True))
+        return [first + b"".join(map(young.__getitem__, s)) for first, s in zip(firsts, split, strict=True)]
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str, pattern: str | None) -> LibraryEncoder:
-    return LibraryEncoder(path, pattern)
+def _encoder(path: str, by_word: bool) -> LibraryEncoder:
+    return LibraryEncoder(path, by_word)
 
 
-def encode_ids(docs: DataFrame, tokenizer_path: str, pattern: str | None, end_id: int | None, width: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_ids(docs: DataFrame, tokenizer_path: str, by_word: bool, end_id: int | None, width: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids): ids of each whole text as unsigned integers of ``width`` bytes, ``end_id`` after them."""
     end = np.array([] if end_id is None else [end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = _encoder(tokenizer_path, pattern)
+        use = _encoder(tokenizer_path, by_word)
         for part in chunks(batches, text):
             ids = use.encode([t or "" for t in part.column(text).to_pylist()])
             out = [np.frombuffer(x + end, "<u4").astype(f"<u{width}").tobytes() for x in ids]
@@ -174,7 +197,7 @@ def ids_by_frequency(staged: DataFrame, width: int = 4) -> np.ndarray:
     return found.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy().astype(np.uint32)
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, pattern: str | None = None, end_id: int | None = 0, folder: str | None = None) -> tuple[str, DataFrame]:
+def write_token_files(docs: DataFrame, tokenizer_path: str, by_word: bool = False, end_id: int | None = 0, folder: str | None = None) -> tuple[str, DataFrame]:
     """Write the shards of ``docs(doc_id, text)`` in ascending id order; (folder, manifest).
 
     Null ids come first, rows that repeat an id follow each other in the order
@@ -188,7 +211,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, pattern: str | None
     scratch = Scratch(spark, "tokens")
     folder = folder or scratch.path("shards")
     width = 2 if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 else 4
-    staged = scratch.table(encode_ids(docs, tokenizer_path, pattern, end_id, width), "staged")
+    staged = scratch.table(encode_ids(docs, tokenizer_path, by_word, end_id, width), "staged")
     order = ids_by_frequency(staged, width)
     rank_of = np.zeros(int(order.max(initial=0)) + 1, np.uint32)
     rank_of[order] = np.arange(len(order), dtype=np.uint32)

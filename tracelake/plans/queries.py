@@ -13,9 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.cube import Axis, Cube, from_traces
+from tracelake.cube import Axis, Cube, Meta, from_traces
 from tracelake.operators import aggregate as agg
-from tracelake.operators import headers, neighbour, pointwise, resample, reshape, spectral
+from tracelake.operators import cross, gathers, generators, headers, neighbour, pointwise, resample, reshape, spectral
 from tracelake.streaming import binning
 
 N, DT = 64, 0.004
@@ -237,6 +237,47 @@ register("freqattr", spectral.frequency_attributes)
 register("cosft", spectral.dct, f"SELECT k AS i1, i2, round(sum(v * cos(pi() * (i1 + 0.5) * k / 64)) * sqrt(2.0 / 64) * CASE WHEN k = 0 THEN sqrt(0.5) ELSE 1 END, 6) + 0.0 AS v FROM {PANEL}, range(64) r(k) GROUP BY k, i2")
 register("spline", lambda c: resample_spline(c))
 
+_BOTH = f"(SELECT i2, k AS i1, sum(v * cos(2 * pi() * i1 * k / 64)) AS re, -sum(v * sin(2 * pi() * i1 * k / 64)) AS im, sum(abs(v) * cos(2 * pi() * i1 * k / 64)) AS re2, -sum(abs(v) * sin(2 * pi() * i1 * k / 64)) AS im2 FROM {PANEL}, range(33) r(k) GROUP BY i2, k)"
+_TWICE = "CASE WHEN i1 IN (0, 32) THEN 1 ELSE 2 END"
+register("csd_real", lambda c: cross.csd(c, c.map(F.abs), kind="boxcar"), f"SELECT i1, i2, round((re * re2 + im * im2) * {_TWICE} / 64 * 0.004, 6) + 0.0 AS v FROM {_BOTH}")
+register("csd_imag", lambda c: cross.csd(c, c.map(F.abs), kind="boxcar", part="imag"), f"SELECT i1, i2, round((re * im2 - im * re2) * {_TWICE} / 64 * 0.004, 6) + 0.0 AS v FROM {_BOTH}")
+register("transfer", lambda c: cross.transfer(c, c.map(lambda v: v * 3), N, kind="boxcar"), f"SELECT i1, i2, CASE WHEN re * re + im * im <= 1e-12 THEN 0.0 ELSE 3.0 END::DOUBLE AS v FROM {DFT}")
+register("bandenergy", lambda c: cross.band_energy(c, [(0.0, 40.0), (50.0, 125.0)], "energy"), f"SELECT (k)::BIGINT AS i1, i2, round(sum((re * re + im * im) * {_TWICE} / 64), 6) + 0.0 AS v FROM {DFT}, (VALUES (0, 0.0, 40.0), (1, 50.0, 125.0)) b(k, low, high) WHERE i1 / 0.256 BETWEEN low AND high GROUP BY k, i2")
+register("specnorm", lambda c: cross.normalize_spectrum(c), f"SELECT i1, i2, round(v / greatest(s, 1e-12), 6) + 0.0 AS v FROM {PANEL} JOIN (SELECT i2, sqrt(avg(re * re + im * im)) AS s FROM {DFT} GROUP BY i2) USING (i2)")
+register("coherence", lambda c: cross.coherence(c, c.map(F.abs), 16))
+register("spectrogram", lambda c: cross.spectrogram(c, 16))
+register("filtfilt", lambda c: cross.zero_phase(c, spectral.firwin(9, 40.0, 250.0)))
+register("filterbank", lambda c: cross.filter_bank(c, [(10.0, 30.0), (40.0, 80.0)], 21))
+
+
+# gathers: four offsets a midpoint or shot, by vec_id
+def _gathers(c: Cube) -> Cube:
+    n = c.meta.axes[1].n
+    df = c.df.select((F.col("i2") % 4).alias("i2"), F.floor(F.col("i2") / 4).cast("long").alias("i3"), "samples")
+    return Cube(df, Meta((TIME, Axis(4), Axis(max(1, -(-n // 4)))), {}), "trace")
+
+
+_N = "(SELECT (count(*) + 3) // 4 AS n FROM embeddings)"
+register("cmp2shot", lambda c: gathers.cmp2shot(_gathers(c)), f"SELECT t AS i1, h AS i2, s AS i3, round(coalesce(v, 0), 6) + 0.0 AS v FROM (SELECT t, h, s FROM {_N}, range(64) a(t), range(4) b(h), (SELECT unnest(range(n + 3)) AS s FROM {_N})) LEFT JOIN (SELECT i1 AS t, i2 % 4 AS h, i2 // 4 - i2 % 4 + 3 AS s, v FROM {PANEL}) USING (t, h, s)")
+register("shot2cmp", lambda c: gathers.shot2cmp(_gathers(c)), f"SELECT t AS i1, h AS i2, m AS i3, round(coalesce(v, 0), 6) + 0.0 AS v FROM (SELECT t, h, m FROM {_N}, range(64) a(t), range(4) b(h), (SELECT unnest(range(n + 3)) AS m FROM {_N})) LEFT JOIN (SELECT i1 AS t, i2 % 4 AS h, i2 // 4 + i2 % 4 AS m, v FROM {PANEL}) USING (t, h, m)")
+register("kirchhoff", lambda c: gathers.kirchhoff(c.derive(c.df, c.meta.with_axis(2, d=10.0)), 2000.0, 20.0), f"SELECT k AS i1, x AS i2, round(sum({_lerp('p')}), 6) + 0.0 AS v FROM (SELECT *, sqrt(pow(k * 0.004, 2) + pow((i2 - x) * 0.01, 2)) / 0.004 AS p FROM (SELECT *, unnest(range(greatest(i2 - 2, 0), least(i2 + 3, (SELECT count(*) FROM embeddings)))) AS x FROM {_E}), range(64) r(k)) GROUP BY k, x")
+QUERIES["kirchhoff"] = lambda s, d: rounded(_migrated(panel(s, d)))
+
+
+def _migrated(c: Cube) -> DataFrame:
+    """Samples whose place is past the last one count in part, so the twin covers those before it."""
+    return gathers.kirchhoff(c.derive(c.df, c.meta.with_axis(2, d=10.0)), 2000.0, 20.0).where("i1 < 62")
+
+
+ORACLES["kirchhoff"] = f"SELECT * FROM ({ORACLES['kirchhoff']}) WHERE i1 < 62"
+register("radon_model", lambda c: gathers.radon_model(c.derive(c.df, c.meta.with_axis(2, d=1e-5)), [0.0, 30.0]), f"SELECT q AS i1, j AS i2, round(sum(w), 6) + 0.0 AS v FROM (SELECT j, floor(p)::BIGINT + e AS q, v * CASE WHEN e = 0 THEN 1 - p + floor(p) ELSE p - floor(p) END AS w FROM (SELECT *, (i1 * 0.004 + i2 * 1e-5::DOUBLE * x) / 0.004 AS p FROM {PANEL}, (VALUES (0::BIGINT, 0.0::DOUBLE), (1, 30.0)) o(j, x) WHERE v <> 0), range(2) t(e)) WHERE q BETWEEN 0 AND 63 GROUP BY q, j")
+register("locate", plain=lambda s, d: gathers.locate(table(s, d, "embeddings").selectExpr("0D AS sx", "0D AS sz", "vec_id % 100 * 1D AS rx", "0D AS rz", "0.05 + 0.001 * (vec_id % 7) AS observed", "1D AS weight"), 1500.0, Axis(11, 0.0, 10.0), Axis(6, 0.0, 20.0)), sql="SELECT iz, ix, ix * 10.0::DOUBLE AS x, iz * 20.0::DOUBLE AS z, round(o, 6) + 0.0 AS objective FROM (SELECT iz, ix, sum(0.5 * pow(0.05::DOUBLE + 0.001::DOUBLE * (vec_id % 7) - (sqrt(pow(ix * 10, 2) + pow(iz * 20, 2)) + sqrt(pow(vec_id % 100 - ix * 10, 2) + pow(iz * 20, 2))) / 1500, 2)) AS o FROM embeddings, range(6) z(iz), range(11) x(ix) GROUP BY iz, ix) ORDER BY o, iz, ix LIMIT 1")
+
+# generators
+register("spike", plain=lambda s, d: generators.spike(s, (Axis(100), Axis(40)), [(5, 7), (100, 40)], [1.5, -2.0]).df, sql="SELECT i1, i2, CASE WHEN i1 = 4 AND i2 = 6 THEN 1.5 WHEN i1 = 99 AND i2 = 39 THEN -2.0 ELSE 0.0 END::DOUBLE AS v FROM range(100) a(i1), range(40) b(i2)")
+register("ricker", plain=lambda s, d: generators.ricker(s, 25.0, Axis(200, 0.0, DT)).df, sql="SELECT i1, round((1 - 2 * s) * exp(-s), 6) + 0.0 AS v FROM (SELECT i1, pow(pi() * 25 * (i1 * 0.004 - 0.04), 2) AS s FROM range(200) r(i1))")
+register("noise", lambda c: generators.noise(c, 1.0, 0.0, 11))
+
 
 def _taps():
     import numpy as np

@@ -165,7 +165,10 @@ def test_migration_and_modelling(spark):
     slow = cube(spark, a, (Axis(16, 0, 0.1), Axis(5, 0, 0.01)))
     assert np.allclose(cells(gathers.radon_model(slow, offsets), 16, 3), want)
     back = array(gathers.inverse_nmo(c, F.lit(5.0), 20.0))
-    assert np.allclose(back[:, :5], 0) and np.isfinite(back).all()
+    t = np.arange(16) * 0.1
+    square = t**2 - (10 / 20) ** 2
+    want = [np.where(square >= 0, np.interp(np.sqrt(np.maximum(square, 0)), t, x), 0) for x in a]
+    assert np.allclose(back, want)
 
 
 def test_location(spark):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tracelake.cube import Axis, Cube, Meta, from_traces
 from tracelake.operators import aggregate as agg
-from tracelake.operators import cross, gathers, generators, headers, neighbour, pointwise, resample, reshape, spectral
+from tracelake.operators import cross, filters, gathers, generators, headers, modelling, neighbour, pointwise, resample, reshape, scatter, solvers, spectral
 from tracelake.streaming import binning
 
 N, DT = 64, 0.004
@@ -273,6 +273,40 @@ ORACLES["kirchhoff"] = f"SELECT * FROM ({ORACLES['kirchhoff']}) WHERE i1 < 62"
 register("radon_model", lambda c: gathers.radon_model(c.derive(c.df, c.meta.with_axis(2, d=1e-5)), [0.0, 30.0]), f"SELECT q AS i1, j AS i2, round(sum(w), 6) + 0.0 AS v FROM (SELECT j, floor(p)::BIGINT + e AS q, v * CASE WHEN e = 0 THEN 1 - p + floor(p) ELSE p - floor(p) END AS w FROM (SELECT *, (i1 * 0.004 + i2 * 1e-5::DOUBLE * x) / 0.004 AS p FROM {PANEL}, (VALUES (0::BIGINT, 0.0::DOUBLE), (1, 30.0)) o(j, x) WHERE v <> 0), range(2) t(e)) WHERE q BETWEEN 0 AND 63 GROUP BY q, j")
 register("locate", plain=lambda s, d: gathers.locate(table(s, d, "embeddings").selectExpr("0D AS sx", "0D AS sz", "vec_id % 100 * 1D AS rx", "0D AS rz", "0.05 + 0.001 * (vec_id % 7) AS observed", "1D AS weight"), 1500.0, Axis(11, 0.0, 10.0), Axis(6, 0.0, 20.0)), sql="SELECT iz, ix, ix * 10.0::DOUBLE AS x, iz * 20.0::DOUBLE AS z, round(o, 6) + 0.0 AS objective FROM (SELECT iz, ix, sum(0.5 * pow(0.05::DOUBLE + 0.001::DOUBLE * (vec_id % 7) - (sqrt(pow(ix * 10, 2) + pow(iz * 20, 2)) + sqrt(pow(vec_id % 100 - ix * 10, 2) + pow(iz * 20, 2))) / 1500, 2)) AS o FROM embeddings, range(6) z(iz), range(11) x(ix) GROUP BY iz, ix) ORDER BY o, iz, ix LIMIT 1")
 
+# masks, scatters, matrices and modelling
+_SHAPE = [(1.5, 1.5), (8.2, 2.5), (6.0, 9.5), (2.0, 7.0)]
+_EDGES = ", ".join(f"({ax}::DOUBLE, {ay}::DOUBLE, {bx}::DOUBLE, {by}::DOUBLE)" for (ax, ay), (bx, by) in zip(_SHAPE, [_SHAPE[-1], *_SHAPE[:-1]], strict=True))
+register("polymask", plain=lambda s, d: scatter.polygon_mask(s, (Axis(40, 0.0, 0.25), Axis(30, 0.0, 0.4)), _SHAPE).df, sql=f"SELECT i1, i2, (count(*) FILTER (((ay > i2 * 0.4) <> (\"by\" > i2 * 0.4)) AND i1 * 0.25 < (bx - ax) * (i2 * 0.4 - ay) / (\"by\" - ay) + ax) % 2)::DOUBLE AS v FROM range(40) a(i1), range(30) b(i2), (VALUES {_EDGES}) e(ax, ay, bx, \"by\") GROUP BY i1, i2")
+sample("mutter", lambda c: scatter.line_mute(c, 2000.0, 0.02, "above", 4), "v * pow(sin(greatest(least((i1 * 0.004 - 0.02 - i2 / 2000.0) / 0.016, 1), 0) * pi() / 2), 2)")
+sample("mutter_below", lambda c: scatter.line_mute(c, 5000.0, 0.021, "below"), "CASE WHEN i1 * 0.004::DOUBLE > 0.021::DOUBLE + i2 / 5000.0::DOUBLE THEN 0 ELSE v END")
+register("avo", lambda c: scatter.avo(_gathers(c).derive(_gathers(c).df, _gathers(c).meta.with_axis(2, o=10.0, d=5.0))), f"SELECT t AS i1, k AS i2, g AS i3, round(CASE WHEN k = 0 THEN regr_intercept(v, h) ELSE regr_slope(v, h) END, 6) + 0.0 AS v FROM (SELECT i1 AS t, i2 // 4 AS g, (10.0::DOUBLE + 5 * (i2 % 4)) * 2 AS h, v FROM {PANEL}), range(2) r(k) GROUP BY t, k, g")
+register("map2coh", lambda c: scatter.map_to_coherence(c, c.map(lambda v: F.abs(v) * 10), Axis(12, 0.5, 1.25)), f"SELECT t AS i1, k AS i2, round(coalesce(sum(w), 0), 6) + 0.0 AS v FROM range(64) a(t) CROSS JOIN range(12) b(k) LEFT JOIN (SELECT i1, floor(p)::BIGINT + e AS bin, v * CASE WHEN e = 0 THEN 1 - p + floor(p) ELSE p - floor(p) END AS w FROM (SELECT *, (abs(v) * 10 - 0.5) / 1.25 AS p FROM {PANEL}), range(2) s(e)) ON i1 = t AND bin = k GROUP BY t, k")
+register("moveout", lambda c: scatter.moveout_spikes(reshape.slice_axis(c.map(F.abs), 1, 7), Axis(40, 0.0, 0.05)), "SELECT k AS i1, vec_id AS i2, round(greatest(1 - abs(k - abs(embedding[8]::DOUBLE) / 0.05), 0), 6) + 0.0 AS v FROM embeddings, range(40) r(k)")
+register("cos2ang", lambda c: scatter.to_angle(c.derive(c.df, c.meta.with_axis(1, o=-4.0, d=0.05)), n=63, d=1.4), f"SELECT k AS i1, i2, round({_lerp('p')}, 6) + 0.0 AS v FROM (SELECT *, (-1 / cos(radians(k * 1.4)) + 4.0) / 0.05 AS p FROM {_E}, range(63) r(k))")
+register("isin2ang", lambda c: scatter.to_angle(c.derive(c.df, c.meta.with_axis(1, o=1.0, d=0.1)), "sin", 50, 5.0, 1.7), f"SELECT k AS i1, i2, round({_lerp('p')}, 6) + 0.0 AS v FROM (SELECT *, (1 / sin(radians(5 + k * 1.7)) - 1.0) / 0.1 AS p FROM {_E}, range(50) r(k))")
+register("matmult", lambda c: scatter.matmult(c, _matrix()), f"SELECT r AS i1, i2, round(sum(v / (1 + i1 + r)), 6) + 0.0 AS v FROM {PANEL}, range(5) m(r) GROUP BY r, i2")
+register("matmult_sparse", plain=lambda s, d: _sparse(s, d), sql="SELECT l_suppkey AS i, round(sum(l_quantity * p_size), 6) + 0.0 AS v FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_suppkey")
+register("match", lambda c: scatter.match(c, _taps_of_four()), f"SELECT i1, i2, round(coalesce(lead(v, 2) {_W}, 0) - 0.5 * coalesce(lead(v, 1) {_W}, 0) + 2 * v + 0.25 * coalesce(lag(v, 1) {_W}, 0), 6) + 0.0 AS v FROM {PANEL}")
+register("match_adjoint", lambda c: scatter.match_adjoint(c, c.map(F.abs), 3), f"SELECT k AS i1, round(sum(CASE k WHEN 0 THEN coalesce(abs(a), 0) WHEN 1 THEN abs(v) ELSE coalesce(abs(b), 0) END * v), 6) + 0.0 AS v FROM (SELECT *, lag(v) {_W} AS b, lead(v) {_W} AS a FROM {PANEL}), range(3) r(k) GROUP BY k")
+register("cconv", lambda c: filters.circular_convolve(c, _taps_of_four()), "SELECT k AS i1, vec_id AS i2, round(e[k + 1] - 0.5 * e[(k + 63) % 64 + 1] + 2 * e[(k + 62) % 64 + 1] + 0.25 * e[(k + 61) % 64 + 1], 6) + 0.0 AS v FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), range(64) r(k)")
+register("correlate", lambda c: filters.correlate(c, _taps_of_four()[:3]), f"SELECT i1, i2, round(coalesce(lag(v) {_W}, 0) - 0.5 * v + 2 * coalesce(lead(v) {_W}, 0), 6) + 0.0 AS v FROM {PANEL}")
+register("xcorr", lambda c: filters.trace_correlation(c, c.map(F.abs)), "SELECT k AS i1, vec_id AS i2, round(list_sum([CAST(embedding[i] AS DOUBLE) * abs(CAST(embedding[i - k + 63] AS DOUBLE)) FOR i IN range(greatest(1, k - 62), least(64, k + 1) + 1)]), 6) + 0.0 AS v FROM embeddings, range(127) r(k)")
+register("envcorr", lambda c: filters.trace_correlation(c, c.map(F.abs), "same", True, True))
+register("bandstop", lambda c: filters.bandstop(c, 20.0, 40.0, 4.0))
+register("notch", lambda c: filters.notch(c, 50.0, 8.0))
+register("trapez", lambda c: filters.trapezoid(c, (5.0, 12.0, 50.0, 70.0)))
+register("halfint", filters.half_integral)
+register("halfdiff", lambda c: filters.half_integral(c, True))
+register("fkspectrum", filters.fk_spectrum)
+register("fkfilter", lambda c: filters.fk_filter(c, 10.0, 400.0, 5.0))
+register("spectra2", filters.spectra2)
+_LAYERS = "CASE WHEN abs(x - 100) <= 50 AND abs(z - 60) <= 20 THEN 3000 WHEN pow(x - 300, 2) + pow(z - 100, 2) <= 900 THEN w - 200 ELSE w END"
+register("velocity_model", plain=lambda s, d: modelling.circle(modelling.rectangle(modelling.layered_velocity(s, Axis(30, 0.0, 5.0), Axis(50, 0.0, 10.0), [(0.0, 1500.0), (80.0, 2200.0)]), (50.0, 150.0), (40.0, 80.0), velocity=3000.0), 300.0, 100.0, 30.0, delta=-200.0).df, sql=f"SELECT i1, i2, ({_LAYERS})::DOUBLE AS v FROM (SELECT *, i1 * 5.0 AS z, i2 * 10.0 AS x, CASE WHEN i1 * 5.0 >= 80 THEN 2200 ELSE 1500 END AS w FROM range(30) a(i1), range(50) b(i2))")
+register("acoustic2d", plain=lambda s, d: _survey(s, d))
+register("locate_velocity", plain=lambda s, d: modelling.locate_velocity(_picks(s, d), Axis(11, 0.0, 10.0), Axis(6, 0.0, 20.0), 1000.0, 3000.0), sql="""SELECT iz, ix, ix * 10.0::DOUBLE AS x, iz * 20.0::DOUBLE AS z, round(1 / s, 6) + 0.0 AS velocity, round(o, 6) + 0.0 AS objective FROM (SELECT *, 0.5 * (tt - 2 * s * pt + s * s * pp) AS o FROM (SELECT *, greatest(least(pt / pp, 1 / 1000.0), 1 / 3000.0) AS s FROM (
+SELECT iz, ix, sum(t * t) AS tt, sum(p * t) AS pt, sum(p * p) AS pp FROM (SELECT iz, ix, 0.05::DOUBLE + 0.001::DOUBLE * (vec_id % 7) AS t, sqrt(pow(ix * 10, 2) + pow(iz * 20, 2)) + sqrt(pow(vec_id % 100 - ix * 10, 2) + pow(iz * 20, 2)) AS p FROM embeddings, range(6) z(iz), range(11) x(ix)) GROUP BY iz, ix))) ORDER BY o, iz, ix LIMIT 1""")
+register("least_squares", plain=lambda s, d: _solved(s, d), sql="SELECT 0::BIGINT AS i, round(regr_intercept(p_retailprice, p_size / 50.0), 4) + 0.0 AS v FROM part UNION ALL SELECT 1, round(regr_slope(p_retailprice, p_size / 50.0), 4) + 0.0 FROM part")
+
 # generators
 register("spike", plain=lambda s, d: generators.spike(s, (Axis(100), Axis(40)), [(5, 7), (100, 40)], [1.5, -2.0]).df, sql="SELECT i1, i2, CASE WHEN i1 = 4 AND i2 = 6 THEN 1.5 WHEN i1 = 99 AND i2 = 39 THEN -2.0 ELSE 0.0 END::DOUBLE AS v FROM range(100) a(i1), range(40) b(i2)")
 register("ricker", plain=lambda s, d: generators.ricker(s, 25.0, Axis(200, 0.0, DT)).df, sql="SELECT i1, round((1 - 2 * s) * exp(-s), 6) + 0.0 AS v FROM (SELECT i1, pow(pi() * 25 * (i1 * 0.004 - 0.04), 2) AS s FROM range(200) r(i1))")
@@ -287,3 +321,42 @@ def _taps():
 
 def resample_spline(c: Cube) -> Cube:
     return spectral.spline(c, Axis(50, 0.01, 0.005))
+
+
+def _taps_of_four():
+    import numpy as np
+
+    return np.array([1.0, -0.5, 2.0, 0.25])
+
+
+def _matrix():
+    import numpy as np
+
+    return 1 / (1.0 + np.arange(5)[:, None] + np.arange(N))
+
+
+def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities as a sparse matrix of suppliers by parts, times the sizes of parts."""
+    entries = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("row"), F.col("l_partkey").alias("col"), F.col("l_quantity").alias("value"))
+    sizes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"), F.col("p_size").cast("double").alias("v"))
+    return solvers.Matrix(entries, 0, 0).forward(sizes)
+
+
+def _picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").selectExpr("0D AS sx", "0D AS sz", "vec_id % 100 * 1D AS rx", "0D AS rz", "0.05D + 0.001D * (vec_id % 7) AS observed", "1D AS weight")
+
+
+def _solved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line through price over size / 50 by LSQR, each part a row of the matrix."""
+    part = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 50.0).alias("x"), "p_retailprice")
+    entries = part.select(F.col("p_partkey").alias("row"), F.posexplode(F.array(F.lit(1.0), F.col("x"))).alias("col", "value")).withColumn("col", F.col("col").cast("long"))
+    found = solvers.lsqr(solvers.Matrix(entries, 0, 2), part.select(F.col("p_partkey").alias("i"), F.col("p_retailprice").alias("v")), steps=2, tol=0.0)
+    return found.x.select("i", F.round("v", 4).alias("v"))
+
+
+def _survey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shot for each nation over a layered model."""
+    model = modelling.layered_velocity(spark, Axis(40, 0.0, 10.0), Axis(60, 0.0, 10.0), [(0.0, 1500.0), (200.0, 2500.0)])
+    shots = table(spark, sf_dir, "nation").selectExpr("cast(n_nationkey AS long) AS shot", "cast(n_nationkey * 2 + 5 AS int) AS sx", "2 AS sz", "array(5, 20, 35, 50) AS rx", "array(2, 2, 2, 2) AS rz")
+    traces = modelling.acoustic_survey(shots, model, Axis(150, 0.0, 0.002), 20.0)
+    return traces.select("shot", "i2", F.posexplode("samples").alias("i1", "v")).withColumn("i1", F.col("i1").cast("long"))

@@ -211,6 +211,13 @@ def test_suffix_tree(spark):
     assert held.score.sum() > held.base_score.sum()
 
 
+def test_suffix_tree_counts_the_same_contexts_at_any_size():
+    block = suffix_tree_lm.Block(suffix_tree_lm.Block.code([1], ["a b " * 40], [True], suffix_tree_lm.WordHashes()))
+    block.know(block.unigrams(), 10**9, 3, suffix_tree_lm.TreePlan(), 4)
+    block.extend()
+    assert block.stands.sum() == 80 and block.counted.sum() == 79  # all but the first word; the end occurs once
+
+
 def test_token_files(spark):
     rng = np.random.default_rng(1)
     ranks = rng.integers(0, 2**32, 1000, dtype=np.uint64).astype(np.uint32) >> rng.integers(0, 32, 1000).astype(np.uint32)

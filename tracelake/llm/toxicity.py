@@ -1,11 +1,13 @@
 """Toxicity by the nearest labelled examples.
 
 Terms are words and the beginnings of words; those that labelled toxic
-documents hold more often than others make the vocabulary.  Each labelled example with any
-of them is a TF-IDF vector of length 1 in an inverted index whose lists keep the
+documents hold more often than others make the vocabulary.  Examples without any
+of them are not indexed, and a text without any scores one constant: the rate of
+toxic ones among such examples.  Each other labelled example is a TF-IDF vector of length 1 in an inverted index whose lists keep the
 largest weight of each block of examples.  A query adds the block maxima of its
 terms, takes blocks from the highest bound down, and stops when the k-th best
-cosine beats the next bound, so its neighbours are exact.  Votes weighted by
+cosine beats the next bound, so its neighbours are
+exact within the vocabulary.  Votes weighted by
 distance, shrunk towards the rate of the examples, give score and evidence.
 
 Fitting is bounded: at most ``examples`` labelled rows (by hash of the id) and

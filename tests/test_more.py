@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracelake.cube import Axis, Cube, Meta
 from tracelake.operators import cross, gathers, generators
 from tracelake.operators.spectral import firwin, window_weights
+from tracelake.plans.queries import QUERIES
 from tracelake.sources import rsf
 
 RNG = np.random.default_rng(3)
@@ -178,3 +179,11 @@ def test_location(spark):
     best = gathers.locate(picks, 1500.0, x, z).first()
     assert (best.ix, best.iz, best.x, best.z) == (4, 3, 40.0, 60.0) and best.objective < 1e-12
     assert gathers.locate(picks.where("rx < 0"), 1500.0, x, z).count() == 0
+
+
+def test_bin_1d_covers_all_users(spark, tmp_path):
+    rows = [(-3, 1.0), (0, 2.0), (4, 4.0), (200, 5.0), (1499, 6.0), (None, 7.0)]
+    spark.createDataFrame(rows, "user_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.i1: r.v for r in QUERIES["bin_1d"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(-1, 300))
+    assert {k: v for k, v in got.items() if v} == {-1: 1.0, 0: 3.0, 40: 5.0, 299: 6.0}

@@ -156,7 +156,15 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.join(F.broadcast(first)).withColumn("t", (F.unix_micros("ts") - F.unix_micros("first")) / 1e6)
 
 
-register("bin_1d", plain=lambda s, d: agg.bin_1d(table(s, d, "events"), F.col("user_id"), F.col("value"), Axis(40, 0.0, 5.0)), sql="SELECT b AS i1, round(coalesce(avg(value), 0), 6) + 0.0 AS v FROM range(40) r(b) LEFT JOIN events ON floor(user_id / 5.0) = b GROUP BY b")
+def _by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean value of each 5 users: 40 bins, and more before and after them where the table's ids go on."""
+    df = table(spark, sf_dir, "events")
+    first, last = df.agg(F.floor(F.min("user_id") / 5).cast("long"), F.floor(F.max("user_id") / 5).cast("long")).first()
+    low, high = min(0, first or 0), max(39, last or 0)
+    return agg.bin_1d(df, F.col("user_id"), F.col("value"), Axis(high - low + 1, low * 5.0, 5.0)).withColumn("i1", F.col("i1") + low)
+
+
+register("bin_1d", plain=_by_user, sql="SELECT b AS i1, round(coalesce(avg(value), 0), 6) + 0.0 AS v FROM range(40) r(b) LEFT JOIN events ON floor(user_id / 5.0) = b GROUP BY b")
 register("bin_2d", plain=lambda s, d: agg.bin_2d(table(s, d, "lineitem"), F.col("l_quantity"), F.col("l_linenumber").cast("double"), F.col("l_extendedprice"), (Axis(10, 1.0, 5.0), Axis(7, 1.0, 1.0)), "sum"), sql="SELECT a AS i1, b AS i2, round(coalesce(sum(l_extendedprice), 0), 6) + 0.0 AS v FROM range(10) x(a), range(7) y(b) LEFT JOIN lineitem ON floor((l_quantity - 1) / 5) = a AND l_linenumber - 1 = b GROUP BY a, b")
 register("fold", plain=lambda s, d: agg.fold(table(s, d, "lineitem"), [F.col("l_quantity"), F.col("l_linenumber").cast("double"), F.col("l_discount") * 100], (Axis(10, 0.0, 5.0), Axis(7, 1.0, 1.0), Axis(6, 0.0, 2.0))), sql="SELECT a AS i1, b AS i2, c AS i3, count(l_quantity) AS v FROM range(10) x(a), range(7) y(b), range(6) z(c) LEFT JOIN lineitem ON round_even(l_quantity / 5, 0) = a AND round_even(l_linenumber - 1.0::DOUBLE, 0) = b AND round_even(l_discount * 100 / 2, 0) = c GROUP BY a, b, c")
 register("linefit", plain=lambda s, d: agg.linefit(table(s, d, "part"), F.col("p_size").cast("double"), F.col("p_retailprice"), Axis(20, 0.0, 2.5)), sql="SELECT k AS i1, round(a * k * 2.5 + b, 6) + 0.0 AS v FROM range(20) r(k), (SELECT regr_slope(p_retailprice, p_size) AS a, regr_intercept(p_retailprice, p_size) AS b FROM part)")

@@ -196,6 +196,14 @@ def test_embeddings(spark, tile):
     assert got == {rows[i][0]: (links[i], rows[roots[i]][0], roots[i] == i) for i in range(len(rows))}
 
 
+def test_embeddings_with_null_ids_link(spark):
+    at = lambda x: [float(np.cos(x)), float(np.sin(x))]
+    rows = [(5, 0, at(0)), (None, 0, at(0.15)), (7, 0, at(0.3)), (None, 1, at(0)), (None, 1, at(0)), (9, 2, at(0))]
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"))
+    want = [(5, 1, 5, True), (None, 2, 5, False), (7, 1, 5, False), (None, 1, None, True), (None, 1, None, True), (9, 0, 9, True)]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
 def test_suffix_tree(spark):
     rng = random.Random(4)
     rows = list(EDGE) + [(20 + k, " ".join(rng.choice(["a b", "b c", "c a", "d"]) for _ in range(80))) for k in range(200)]

@@ -89,7 +89,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = TIL
     A vector that is null, empty, zero, or holds a null or non-finite component
     links with nothing, as does a row with a null label; such a row is its own
     component.  Rows with equal vectors link with each other.  A null id links
-    as any other, but never names a component unless it is alone (then null).
+    as any other, but never names a component; one of null ids only has the name
+    null, and its rows are all kept.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
@@ -102,7 +103,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = TIL
     # -0.0 and 0.0 are the same component
     every = every.withColumn("same", F.when(F.col("fine"), F.sha2(F.concat_ws(",", F.transform("v", lambda x: (x + 0.0).cast("string"))), 256)))
     rows = scratch.table(every.select("vec_id", "label", "same", "fine"), "rows")
-    heads = scratch.table(every.where("fine").groupBy("label", "same").agg(F.min("vec_id").alias("head"), F.count("*").alias("copies"), F.first("v").alias("v")).where("head is not null"), "heads")
+    # a class of null ids only goes by a number past all ids, so that it links but is never the smallest beside an id
+    last = rows.agg(F.max("vec_id").cast("long")).first()[0]
+    last = -1 if last is None else last
+    heads = every.where("fine").groupBy("label", "same").agg(F.min("vec_id").cast("long").alias("head"), F.count("*").alias("copies"), F.first("v").alias("v"))
+    heads = scratch.table(heads.withColumn("head", F.coalesce("head", F.lit(last) + 1 + F.monotonically_increasing_id())), "heads")
 
     lengths = [r[0] for r in heads.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(64).collect()]
     bases = {}
@@ -126,7 +131,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = TIL
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(slabs, pa.int32()), pa.array(turned, pa.list_(pa.float64()))], names=[*batch.schema.names, "slab", "y"])
 
     kind = vectors.schema[label].dataType.simpleString()
-    kept = "label " + kind + ", head " + vectors.schema[key].dataType.simpleString() + ", copies long, v array<double>"
+    kept = "label " + kind + ", head long, copies long, v array<double>"
     placed = scratch.table(heads.select("label", "head", "copies", "v").mapInArrow(turn, f"{kept}, slab int, y array<double>").withColumn("d", F.size("v")), "placed")
     sizes = placed.groupBy("label", "d", "slab").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
     sizes = scratch.table(sizes, "sizes")
@@ -167,12 +172,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = TIL
         keep = np.flatnonzero(links)
         return pa.table({"head": pa.array(head[keep]), "other": pa.array(head[label[keep]]), "links": pa.array(links[keep])})
 
-    id_kind = vectors.schema[key].dataType.simpleString()
-    got = scratch.table(tasks.repartition(parts, "label", "d", "s", "a", "b", "across").groupBy("label", "d", "s", "a", "b", "across").applyInArrow(compare, f"head {id_kind}, other {id_kind}, links long"), "links")
+    got = scratch.table(tasks.repartition(parts, "label", "d", "s", "a", "b", "across").groupBy("label", "d", "s", "a", "b", "across").applyInArrow(compare, "head long, other long, links long"), "links")
     counts = got.groupBy("head").agg(F.sum("links").alias("links")).withColumnRenamed("head", "h")
     groups = components(got.select(F.col("head").alias("a"), F.col("other").alias("b")), scratch).withColumnRenamed("node", "g")
     named = heads.select("label", "same", "head", "copies").join(counts, F.col("head") == F.col("h"), "left").join(groups, F.col("head") == F.col("g"), "left")
-    named = scratch.table(named.select(F.col("label").alias("l"), F.col("same").alias("sm"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "head").alias("component_id")), "named")
+    named = scratch.table(named.select(F.col("label").alias("l"), F.col("same").alias("sm"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.when(F.coalesce("component", "head") <= last, F.coalesce("component", "head")).cast(vectors.schema[key].dataType).alias("component_id")), "named")
     out = rows.join(named, (F.col("label") == F.col("l")) & (F.col("same") == F.col("sm")), "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("vec_id").isNull() & F.col("component_id").isNull()))

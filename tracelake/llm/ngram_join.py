@@ -2,21 +2,24 @@
 
 A document's set is its distinct n-word shingles.  All shingles stand in one
 global order (frequent ones last, else by hash); two sets with Jaccard t or more
-share a shingle among the first |x| - ceil(t |x|) + 1 of each.
-
-1.  Equal sets count as one head.  Heads with the same prefix and size are one
-    group; a prefix shingle's bucket lists groups, and a bucket of one group
-    ends here.  Groups are then expanded to their members.
-2.  Each bucket is linked as a star first: its leader with every member that
-    passes the size and position filters.  Verified links join components.
-3.  What remains are members of different components in one bucket.  Their pairs
-    are filtered by size, position and the parity of 512-bit signatures (an
-    upper bound of the overlap), block by block where a bucket is large, and
-    verified.  Pairs in one component need no look: they are linked already.
+share a shingle among the first |x| - ceil(t |x|) + 1 of each, and up to their
+first common one nothing else is common, so their places there bound the overlap.
+
+1.  A first pass counts the shingles that prefixes by hash hold; those of many
+    documents go last in the order of the second pass.
+2.  Equal sets count as one head.  Heads with the same prefix and size are one
+    group, and buckets of prefix shingles list groups.
+3.  Group pairs of a bucket's leader and its other groups, as far as sizes and
+    places allow, are expanded to members and verified; so are the leader and
+    the members of each group.  Verified links join components.
+4.  In buckets that still hold several components all group pairs that could
+    join two are formed, block by block, filtered, expanded and verified.  Pairs
+    in one component need no look: they are linked already.
 
 So copies and near copies, however many, cost rows in proportion to their
 number, every link that could join two components is verified, and none is
-lost.  Sets are kept as 64-bit hashes of shingles.
+lost.  Sets are kept as 64-bit hashes of shingles.  Before texts are fetched,
+signatures (the parity of the set in two bits a shingle) rule pairs out.
 """
 
 from __future__ import annotations
@@ -33,15 +36,15 @@ from pyspark.sql import functions as F
 from tracelake.llm import prefilter
 from tracelake.llm.components import components
 from tracelake.llm.scratch import Scratch, partitions_for
-from tracelake.llm.text import WordHashes, chunks, hashed, mix64, words_of
+from tracelake.llm.text import WordHashes, chunks, hashed, mix64, text_keys, words_of
 
-#: Counters of the sketch that tells frequent shingles (any order is right, this one keeps buckets small).
-SKETCH = 1 << 18
+#: Documents from which on a prefix shingle counts as frequent, by class.
+FREQUENT = (32, 1024)
 BLOCK = 512
 #: Buckets of up to so many rows are compared many at a time.
 SMALL = 48
-#: 64-bit words of the signature of a set of up to 1024 shingles, doubled with each doubling of the set; words of the one folded from it that goes with bucket rows.
-LONG, SHORT = 32, 8
+#: 64-bit words of the signature of a set of up to 1024 shingles, doubled with each doubling of the set.
+LONG = 32
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
@@ -70,7 +73,7 @@ def signature(shingles: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
-def folded(long: bytes, words: int = SHORT) -> np.ndarray:
+def folded(long: bytes, words: int) -> np.ndarray:
     """The parity in fewer bits, from the longer one."""
     return np.bitwise_xor.reduce(np.frombuffer(long, np.uint64).reshape(-1, words), axis=0)
 
@@ -81,8 +84,9 @@ def most_overlap(nx: int, ny: int, x: bytes, y: bytes) -> int:
     return (nx + ny - int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())) // 2
 
 
-def _bits(column: pa.Array, words: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, words)
+def prefix_length(size: int, top: int, bottom: int) -> int:
+    """Shingles of a set's prefix for the threshold top / bottom."""
+    return size - -(-top * size // bottom) + 1 if size else 0
 
 
 def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
@@ -90,127 +94,181 @@ def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
 
-def _frequent(docs: DataFrame, n: int) -> np.ndarray:
-    """Class of each sketch counter: 0, or for a frequent one 1 + log2 of its count.
+def _frequent(docs: DataFrame, n: int, top: int, bottom: int, scratch: Scratch) -> list[np.ndarray]:
+    """For each class of frequent shingles a bitmap of its hashes (a few others may be in it: any order is right).
 
-    Every task counts all its shingles and reports the counters that stand out;
-    at most SKETCH sums reach the driver.
+    Every prefix by hash is counted, added up a chunk at a time before the
+    exchange; only the bitmaps, of bounded size, reach the driver.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, total = WordHashes(), np.zeros(SKETCH, np.int64)
+        memo = WordHashes()
         for part in chunks(batches):
-            got = [shingle_hashes(t, n, memo) for t in part.column(0).to_pylist()]
-            if got:
-                total += np.bincount((np.concatenate(got) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
-        high = np.flatnonzero(total > max(3.0, 4 * total.mean()))
-        yield pa.RecordBatch.from_arrays([pa.array(high), pa.array(total[high])], names=["k", "c"])
-
-    found = docs.select("text").mapInArrow(count, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).toPandas()
-    out = np.zeros(SKETCH, np.uint8)
-    out[found["k"].to_numpy(np.int64)] = 1 + np.log2(np.maximum(1, found["c"].to_numpy(np.float64))).astype(np.uint8)
-    return out
+            sets = [shingle_set(t, n, memo) for t in part.column(0).to_pylist()]
+            prefixes, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *(s[: prefix_length(len(s), top, bottom)] for s in sets)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(prefixes.view(np.int64)), pa.array(counts)], names=["k", "c"])
 
+    found = docs.select("text").mapInArrow(count, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).where(f"c > {FREQUENT[0]}")
+    found = scratch.table(found, "frequent")
+    return [prefilter.collected(*prefilter.bitmap(keys, "k", keys.count(), mixed=True)) for keys in (found.where(f"c > {c}") for c in FREQUENT)]
 
-def similarity_components(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs(doc_id, text)``.
 
-    Two documents link when intersection size / union size of their sets is
-    ``threshold`` or more (compared in whole numbers, to 6 decimals).
-    component_id is the smallest id reachable by links.  A null, empty or blank
-    text has an empty set, links with nothing and is its own component.  Rows
-    with equal sets link.  A row with a null id links as any other but names no
-    component; its own is null if nothing else is in it.  Ids are taken to be
-    unique but for rows that repeat id and text.
-    """
+def _linked(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, Scratch]:
+    """(doc_id, t1, t2, n, comp, name) of every row: hashes of its text, set size, component by number (null for an empty set) and by its smallest id."""
     limit = Fraction(round(threshold * 1_000_000), 1_000_000)
     if not 0 < limit <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     top, bottom = limit.numerator, limit.denominator
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "ngrams")
-    parts = partitions_for(spark)
-    docs = docs.select("doc_id", "text")
-    classes = _frequent(docs, n)
+    scratch = Scratch(docs.sparkSession, "ngrams")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.select("doc_id", "text", *text_keys("text"))
+    classes = _frequent(docs, n, top, bottom, scratch)
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for part in chunks(batches):
             rows = []
             for t in part.column(1).to_pylist():
                 s = shingle_set(t, n, memo)
-                k = len(s) - -(-top * len(s) // bottom) + 1 if len(s) else 0
-                level = classes[(s % np.uint64(SKETCH)).astype(np.int64)]
+                k = prefix_length(len(s), top, bottom)
+                level = sum(prefilter.among(s, words).astype(np.int8) for words in classes)
                 # in the global order: class, then hash; s is sorted by hash
                 first = s[np.argsort(level, kind="stable")[:k]] if level.any() else s[:k]
                 digest = xxhash.xxh3_128_digest(s.tobytes())
-                long = signature(s)
-                rows.append((len(s), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), first.view(np.int64), long, folded(long).tobytes()))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-            made = _batch(rows, ["n", "d1", "d2", "prefix", "signature", "short"], kinds)
-            yield pa.RecordBatch.from_arrays([part.column(0), *made.columns], names=["doc_id", *made.schema.names])
+                rows.append((len(s), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), first.view(np.int64), signature(s)))
+            made = _batch(rows, ["n", "d1", "d2", "prefix", "signature"], [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), *made.columns], names=["doc_id", "t1", "t2", *made.schema.names])
+
+    sets = scratch.table(docs.mapInArrow(describe, f"doc_id {kind}, t1 long, t2 long, n long, d1 long, d2 long, prefix array<long>, signature binary"), "sets")
+    heads = sets.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("name"), F.min(F.struct("t1", "t2")).alias("t"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    heads = scratch.table(heads.select("d1", "d2", "name", "t.t1", "t.t2", "n", "prefix", F.xxhash64("prefix").alias("p1"), F.xxhash64(F.lit(1), "prefix").alias("p2"), F.monotonically_increasing_id().alias("head")), "heads")
+
+    # groups of several heads; any other head is its own group
+    groups = heads.groupBy("n", "p1", "p2").agg(F.min("head").alias("gid"), F.count("*").alias("c")).where("c > 1").select(F.col("n").alias("gn"), F.col("p1").alias("g1"), F.col("p2").alias("g2"), "gid")
+    grouped = heads.select("head", "n", "p1", "p2").join(groups, (F.col("n") == F.col("gn")) & (F.col("p1") == F.col("g1")) & (F.col("p2") == F.col("g2"))).select("gid", "head", "n")
+    grouped = scratch.table(grouped, "grouped")
+    some, none = prefilter.split(heads.select("head", "n", "prefix"), "head", *prefilter.bitmap(grouped, "head", grouped.count()))
+    some = some.join(grouped.select(F.col("head").alias("h"), "gid"), F.col("head") == F.col("h"), "left").where("gid is null or gid = head")
+    leaders = none.withColumn("several", F.lit(False)).union(some.select("head", "n", "prefix", F.col("gid").isNotNull().alias("several")))
+
+    posts = leaders.select(F.col("head").alias("gid"), "n", "several", F.posexplode("prefix").alias("pos", "bucket"))
+    shared = scratch.table(posts.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select(F.col("bucket").alias("b")), "shared")
+    posts, _ = prefilter.split(posts.select("bucket", "gid", "n", "several", "pos"), "bucket", *prefilter.bitmap(shared, "b", shared.count()))
+    posts = scratch.table(posts, "posts")
+    first = posts.groupBy("bucket").agg(F.min(F.struct("gid", "n", "several", "pos")).alias("l"), F.count("*").alias("c")).where("c > 1").select(F.col("bucket").alias("b"), "l", "c")
+    rows = scratch.table(posts.join(first, F.col("bucket") == F.col("b")).select("bucket", "gid", "n", "several", "pos", "l", "c"), "rows")
+    scratch.drop(posts)
+
+    star = scratch.table(rows.where("gid <> l.gid").where(_may(F.col("n"), F.col("l.n"), F.col("pos"), F.col("l.pos"), top, bottom)).select(F.col("l.gid").alias("a"), F.col("gid").alias("b")).distinct(), "star")
+    more = grouped.where("head <> gid").select(F.col("gid").alias("g"), F.col("head").alias("m"))
+    expanded = star.union(star.join(more, F.col("b") == F.col("g")).select("a", F.col("m").alias("b"))).union(more.select(F.col("g").alias("a"), F.col("m").alias("b")))
+    links = _verified(expanded, heads, sets, docs, n, top, bottom, scratch)
+    labels = scratch.table(components(links, scratch), "components")
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    every = scratch.table(docs.mapInArrow(prefixes, f"doc_id {kind}, n long, d1 long, d2 long, prefix array<long>, signature binary, short binary"), "sets")
-    heads = every.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("head"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("signature").alias("signature"), F.first("short").alias("short")).where("head is not null")
-    heads = scratch.table(heads.withColumn("p1", F.xxhash64("prefix")).withColumn("p2", F.xxhash64(F.lit(1), "prefix")), "heads")
+    # what the stars have not joined: the least and greatest component of each group
+    known = labels.select(F.col("node").alias("x"), "component")
+    of_group = grouped.join(known, F.col("head") == F.col("x"), "left").withColumn("component", F.coalesce("component", "head"))
+    of_group = scratch.table(of_group.select("gid", "head", "n", "component"), "labelled")
+    spread = of_group.groupBy("gid").agg(F.min("component").alias("from"), F.max("component").alias("to")).withColumnRenamed("gid", "y")
+    # a leader's own pairs are settled, but not those of the other members of its group
+    left = rows.where("(gid <> l.gid or several) and (c > 2 or l.several)").select("bucket", "gid", "n", "pos").join(known, F.col("gid") == F.col("x"), "left").join(spread, F.col("gid") == F.col("y"), "left")
+    left = left.select("bucket", F.col("gid").alias("id"), "n", "pos", F.coalesce("from", "component", "gid").alias("from"), F.coalesce("to", "component", "gid").alias("to"))
+    pairs = scratch.table(_blocked_pairs(scratch.table(left, "left"), top, bottom, scratch).distinct(), "group_pairs")
+    of_several = grouped.select(F.col("gid").alias("g")).distinct()
+    single = pairs.join(of_several, F.col("a") == F.col("g"), "left_anti").join(of_several, F.col("b") == F.col("g"), "left_anti")
+    wide = pairs.join(single.select(F.col("a").alias("sa"), F.col("b").alias("sb")), (F.col("a") == F.col("sa")) & (F.col("b") == F.col("sb")), "left_anti").withColumn("bucket", F.xxhash64("a", "b"))
+    sides = wide.select("bucket", F.col("a").alias("id")).union(wide.select("bucket", F.col("b").alias("id")))
+    sides = sides.join(of_group, F.col("id") == F.col("gid"), "left").join(known, F.col("id") == F.col("x"), "left").join(heads.select(F.col("head").alias("i"), F.col("n").alias("m")), F.col("id") == F.col("i"))
+    sides = sides.select("bucket", F.coalesce("head", "id").alias("id"), F.col("m").alias("n"), F.lit(0).alias("pos"), F.coalesce(of_group["component"], known["component"], "id").alias("from"))
+    own = of_group.where("head <> gid").select(F.col("gid").alias("bucket"), F.col("head").alias("id"), "n", F.lit(0).alias("pos"), F.col("component").alias("from"))
+    members = scratch.table(sides.union(own).withColumn("to", F.col("from")), "members")
+    wanted = single.union(_blocked_pairs(members, top, bottom, scratch)).distinct()
+    links = links.union(_verified(wanted, heads, sets, docs, n, top, bottom, scratch))
+
+    labels = scratch.table(components(links, scratch), "components").select(F.col("node").alias("x"), "component")
+    named = heads.select("d1", "d2", "name", "head").join(labels, F.col("head") == F.col("x"), "left").select("d1", "d2", "name", F.coalesce("component", "head").alias("comp"))
+    named = scratch.table(named, "named")
+    names = named.groupBy(F.col("comp").alias("k")).agg(F.min("name").alias("least"))
+    named = named.join(names, F.col("comp") == F.col("k")).select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "comp", "least")
+    out = sets.select("doc_id", "t1", "t2", "n", "d1", "d2").join(named, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left")
+    out = scratch.table(out.select("doc_id", "t1", "t2", "n", "comp", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("name")), "linked")
+    scratch.clear(keep=[out])
+    return out, scratch
 
-    groups = scratch.table(heads.groupBy("n", "p1", "p2").agg(F.min("head").alias("gid"), F.count("*").alias("members")), "groups")
-    g = groups.select(F.col("n").alias("gn"), F.col("p1").alias("g1"), F.col("p2").alias("g2"), "gid", "members")
-    members = scratch.table(heads.join(g, (F.col("n") == F.col("gn")) & (F.col("p1") == F.col("g1")) & (F.col("p2") == F.col("g2"))).select("gid", "members", "head", "n", "prefix"), "members")
 
-    posts = members.where("head = gid").select("gid", "n", F.posexplode("prefix").alias("pos", "bucket"))
-    shared = scratch.table(posts.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select(F.col("bucket").alias("b")), "shared")
-    words, bits = prefilter.bitmap(shared, "b", shared.count())
-    posts, _ = prefilter.split(posts.select("bucket", "gid", "pos"), "bucket", words, bits)
-    group_rows = scratch.table(posts.join(shared, F.col("bucket") == F.col("b")).select("bucket", "gid", "pos"), "group_rows")
-    expanded = group_rows.join(members.select(F.col("gid").alias("g"), "head", "n"), F.col("gid") == F.col("g")).select("bucket", F.lit(False).alias("own"), "gid", "head", "n", "pos")
-    # and each group of several members is a bucket of its own, at no place in the order
-    own = members.where("members > 1").select(F.col("gid").alias("bucket"), F.lit(True).alias("own"), "gid", "head", "n", F.lit(0).alias("pos"))
-    rows = scratch.table(expanded.union(own), "rows")
-
-    leaders = scratch.table(rows.groupBy("bucket", "own").agg(F.min(F.struct("head", "n", "pos", "gid")).alias("l"), F.count("*").alias("c")).select(F.col("bucket").alias("b"), F.col("own").alias("o"), "l", "c"), "leaders")
-    at = (F.col("bucket") == F.col("b")) & (F.col("own") == F.col("o"))
-    star = rows.join(leaders, at).where((F.col("head") != F.col("l.head")) & (F.col("own") | (F.col("gid") != F.col("l.gid"))))
-    star = star.where(_may(F.col("n"), F.col("l.n"), F.col("pos"), F.col("l.pos"), F.col("own"), top, bottom)).select(F.col("l.head").alias("a"), F.col("head").alias("b")).distinct()
-    star = scratch.table(star, "star")
-    links = _verified(star, heads, docs, n, top, bottom, scratch)
-    labels = scratch.table(components(links, scratch), "components")
+def similarity_components(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs(doc_id, text)``.
+
+    Two documents link when intersection size / union size of their sets is
+    ``threshold`` or more (compared in whole numbers, to 6 decimals).
+    component_id is the smallest id reachable by links.  A null, empty or blank
+    text has an empty set, links with nothing and is its own component.  Rows
+    with equal sets link.  A row with a null id links as any other but names no
+    component: one of null ids only has the name null.  Rows that repeat an id
+    are documents of their own, each with its text's component.
+    """
+    return _linked(docs, n, threshold)[0].select("doc_id", F.col("n").alias("n_shingles"), F.col("name").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group of similar ones: that with the smallest id (null last; then by hash of the text).
 
-    # what the stars have not joined
-    now = rows.join(labels.select(F.col("node").alias("x"), "component"), F.col("head") == F.col("x"), "left").withColumn("component", F.coalesce("component", "head")).drop("x")
-    now = scratch.table(now, "labelled")
-    open_ = now.groupBy("bucket", "own").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"), F.min("head").alias("leader")).where("lo < hi and c > 2")
-    open_ = scratch.table(open_.select(F.col("bucket").alias("b"), F.col("own").alias("o"), "leader", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "open")
-    left = now.join(open_, at).where(F.col("head") != F.col("leader")).drop("b", "o", "leader")
-    left = left.join(heads.select(F.col("head").alias("h"), "short"), F.col("head") == F.col("h")).drop("h")
-    block = F.pmod(F.xxhash64("head"), F.col("blocks")).cast("int")
-    left = left.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.withColumn("lo", F.least("block", "with")).withColumn("hi", F.greatest("block", "with")).select("bucket", "own", "lo", "hi", "block", "head", "gid", "component", "n", "pos", "short")
+    Of rows that repeat its id and text one stays.  Rows without words all stay.
+    Only texts of rows that may go are shuffled.
+    """
+    linked, scratch = _linked(docs.select("doc_id", "text"), n, threshold)
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "t1", "t2")
+    copies = linked.where("comp is not null").groupBy("comp", "doc_id", "t1", "t2").agg(F.count("*").alias("c"))
+    best = linked.where("comp is not null").groupBy(F.col("comp").alias("k")).agg(F.min(place).alias("best"))
+    touched = copies.join(best, F.col("comp") == F.col("k")).select(F.col("doc_id").alias("id"), F.col("t1").alias("u1"), F.col("t2").alias("u2"), (place == F.col("best")).alias("stays"), "c")
+    touched = scratch.table(touched.where("not stays or c > 1").drop("c"), "touched")
+    scratch.clear(keep=[touched])
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("key"), *text_keys("text"))
+    some, none = prefilter.split(packed, "t1", *prefilter.bitmap(touched, "u1", touched.count()))
+    same = F.col("key").eqNullSafe(F.col("id")) & (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2"))
+    kept = some.join(touched.where("stays"), same).dropDuplicates(["key", "t1", "t2"])
+    return none.select("row").union(some.join(touched, same, "left_anti").select("row")).union(kept.select("row")).select("row.*")
+
+
+def _may(nx: Column, ny: Column, px: Column, py: Column, top: int, bottom: int) -> Column:
+    """Whether sizes, and places of the first common shingle in the order, leave room for the overlap that is needed."""
+    sizes = F.least(nx, ny) * bottom >= F.greatest(nx, ny) * top
+    return sizes & (F.least(nx - px, ny - py) * (top + bottom) >= (nx + ny) * top)
+
+
+def _blocked_pairs(rows: DataFrame, top: int, bottom: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of ids of a bucket, a < b, that could join two components and that sizes and places allow.
+
+    ``rows`` has (bucket, id, n, pos, from, to).  Buckets of one component end
+    here.  A bucket of more than BLOCK rows is dealt in blocks, and a task
+    compares two of them.
+    """
+    parts = partitions_for(rows.sparkSession)
+    open_ = rows.groupBy("bucket").agg(F.min("from").alias("lo"), F.max("to").alias("hi"), F.count("*").alias("c")).where("lo < hi and c > 1")
+    open_ = scratch.table(open_.select(F.col("bucket").alias("b"), F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "open")
+    left = rows.join(open_, F.col("bucket") == F.col("b")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = left.select("bucket", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "id", "from", "to", "n", F.col("pos").cast("long").alias("pos"))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches, 4):
-            own, lo, hi, block, head, gid, component, size, pos = (np.asarray(table.column(k)) for k in range(1, 10))
-            marks = _bits(table.column(10), SHORT)
-            starts = np.flatnonzero(_changes(table, 4))
+        for table in _whole_groups(batches, 3):
+            lo, hi, block, key, low, high, size, pos = (np.asarray(table.column(k)) for k in range(1, 9))
+            starts = np.flatnonzero(_changes(table, 3))
             sizes = np.diff(np.append(starts, table.num_rows))
 
             def settle(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-                keep = (component[i] != component[j]) & (bottom * np.minimum(size[i], size[j]) >= top * np.maximum(size[i], size[j]))
+                one = (low[i] == high[i]) & (low[i] == low[j]) & (high[i] == high[j])
+                keep = ~one & (key[i] != key[j]) & (bottom * np.minimum(size[i], size[j]) >= top * np.maximum(size[i], size[j]))
                 i, j = i[keep], j[keep]
-                need = -(-top * (size[i] + size[j]) // (top + bottom))
-                keep = own[i] | ((gid[i] != gid[j]) & (np.minimum(pos[i], pos[j]) + np.minimum(size[i] - pos[i], size[j] - pos[j]) >= need))
-                i, j, need = i[keep], j[keep], need[keep]
-                apart = np.bitwise_count(marks[i] ^ marks[j]).sum(axis=1, dtype=np.int64)
-                keep = (size[i] + size[j] - apart) // 2 >= need
-                a, b = head[i[keep]], head[j[keep]]
+                keep = np.minimum(size[i] - pos[i], size[j] - pos[j]) * (top + bottom) >= top * (size[i] + size[j])
+                a, b = key[i[keep]], key[j[keep]]
                 return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
             small = (sizes <= SMALL) & (lo[starts] == hi[starts])
             for m in np.unique(sizes[small]).tolist():
                 i, j = np.triu_indices(m, 1)
                 at = starts[small & (sizes == m)][:, None]
-                yield settle((at + i).reshape(-1), (at + j).reshape(-1))
+                for piece in np.array_split(at, -(-len(at) * len(i) // 1_000_000)) if len(i) else []:
+                    yield settle((piece + i).reshape(-1), (piece + j).reshape(-1))
             for a, m in zip(starts[~small].tolist(), sizes[~small].tolist(), strict=True):
                 rows = np.arange(a, a + m)
                 one = rows[block[rows] == lo[a]]
@@ -220,31 +278,7 @@ def similarity_components(docs: DataFrame, n: int = 5, threshold: float = 0.8) -
                     keep = (i < j) | (lo[a] != hi[a])
                     yield settle(i[keep], j[keep])
 
-    more = left.repartition(parts, "bucket", "own", "lo", "hi").sortWithinPartitions("bucket", "own", "lo", "hi").mapInArrow(pairs, f"a {kind}, b {kind}").distinct()
-    more = scratch.table(more, "more")
-    links = links.union(_verified(more, heads, docs, n, top, bottom, scratch))
-    labels = components(links, scratch)
-    named = heads.select("d1", "d2", "head").join(labels, F.col("head") == F.col("node"), "left").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.coalesce("component", "head").alias("component"))
-    named = scratch.table(named, "named")
-    out = every.select("doc_id", "n", "d1", "d2").join(named, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-
-
-def one_of_each(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """``docs`` with one document of each group of similar ones: that with the smallest id.
-
-    Rows with a null id all stay; of rows that repeat an id one stays.
-    """
-    first = similarity_components(docs, n, threshold).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, F.col("doc_id") == F.col("_first")).drop("_first").dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id is null"))
-
-
-def _may(nx: Column, ny: Column, px: Column, py: Column, own: Column, top: int, bottom: int) -> Column:
-    """Whether sizes and places in the order leave room for the overlap that is needed."""
-    sizes = F.least(nx, ny) * bottom >= F.greatest(nx, ny) * top
-    room = F.least(px, py) + F.least(nx - px, ny - py)
-    return sizes & (own | (room * (top + bottom) >= (nx + ny) * top))
+    return left.repartition(parts, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(pairs, "a long, b long")
 
 
 def _changes(table: pa.Table | pa.RecordBatch, keys: int) -> np.ndarray:
@@ -273,22 +307,29 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.R
         yield pa.concat_batches(held)
 
 
-def _verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, n: int, top: int, bottom: int, scratch: Scratch) -> DataFrame:
+def _verified(pairs: DataFrame, heads: DataFrame, sets: DataFrame, docs: DataFrame, n: int, top: int, bottom: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough; those that the signatures rule out need no texts."""
-    kind = pairs.schema["a"].dataType.simpleString()
+    pairs = scratch.table(pairs, "pairs")
+    needed = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "needed")
+    some, _ = prefilter.split(heads.select("head", "n", "t1", "t2"), "head", *prefilter.bitmap(needed, "id", needed.count()))
+    needed = scratch.table(some.join(needed, F.col("head") == F.col("id")).select("id", "n", F.col("t1").alias("u1"), F.col("t2").alias("u2")), "needed")
+    same = (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2"))
+    some, _ = prefilter.split(sets.select("t1", "t2", "signature"), "t1", *prefilter.bitmap(needed, "u1", needed.count()))
+    marks = scratch.table(some.dropDuplicates(["t1", "t2"]).join(needed, same).select("id", "n", "signature"), "marks")
 
     def rule_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = [most_overlap(nx, ny, x, y) * (top + bottom) >= top * (nx + ny) for nx, ny, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    side = lambda k: heads.select(F.col("head").alias(k), F.col("n").alias(f"n{k}"), F.col("signature").alias(f"s{k}"))
-    pairs = scratch.table(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(rule_out, f"a {kind}, b {kind}"), "likely")
-    needed = scratch.table(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "needed")
-    words, bits = prefilter.bitmap(needed, "id", needed.count())
-    texts, _ = prefilter.split(docs, "doc_id", words, bits)
-    texts = scratch.table(texts.join(needed, F.col("doc_id") == F.col("id")).dropDuplicates(["doc_id"]).select("doc_id", "text"), "texts")
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    side = lambda k: marks.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("signature").alias(f"s{k}"))
+    pairs = scratch.table(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(rule_out, "a long, b long"), "likely")
+    scratch.drop(marks)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("i")).distinct()
+    wanted = scratch.table(needed.join(wanted, F.col("id") == F.col("i")).select("id", "u1", "u2"), "wanted")
+    some, _ = prefilter.split(docs.select("text", "t1", "t2"), "t1", *prefilter.bitmap(wanted, "u1", wanted.count()))
+    texts = scratch.table(some.join(wanted, same).dropDuplicates(["id"]).select("id", "text"), "texts")
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, sets = WordHashes(), {}
@@ -300,16 +341,16 @@ def _verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, n: int, top:
                 sets[key] = shingle_set(text, n, memo)
             return sets[key]
 
-        for batch in batches:
+        for part in chunks(batches, "ta"):
             good = []
-            for a, b, ta, tb in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for a, b, ta, tb in zip(*(part.column(k).to_pylist() for k in range(4)), strict=True):
                 x, y = known(a, ta), known(b, tb)
                 both = np.concatenate([x, y])
                 both.sort()
                 inter = int((both[1:] == both[:-1]).sum())
                 good.append(bottom * inter >= top * (len(x) + len(y) - inter))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(part.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    links = scratch.table(both.select("a", "b", "ta", "tb").mapInArrow(check, f"a {kind}, b {kind}"), "links")
+    links = scratch.table(both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long"), "links")
     scratch.drop(texts)
     return links

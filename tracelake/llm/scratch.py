@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     key = id(spark.sparkContext)
     if key not in _LOCAL:
         _LOCAL[key] = "file://" + tempfile.mkdtemp(prefix="tracelake-")
@@ -32,6 +35,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.tables: list[tuple[DataFrame, str]] = []
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -40,15 +44,24 @@ class Scratch:
         """Write ``df`` and return it reread: lineage ends here."""
         path = self.path(f"{name}-{uuid.uuid4().hex[:8]}")
         df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete the files below a table that is no longer needed."""
-        jvm = self.spark.sparkContext._jvm
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-            target.getFileSystem(conf).delete(target, True)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((out, path))
+        return out
+
+    def drop(self, *unneeded: DataFrame) -> None:
+        """Delete tables that are no longer read."""
+        self._delete(lambda df: any(df is x for x in unneeded))
+
+    def clear(self, keep: list[DataFrame]) -> None:
+        """Delete all tables but those that are still to be read."""
+        self._delete(lambda df: not any(df is x for x in keep))
+
+    def _delete(self, chosen: Callable[[DataFrame], bool]) -> None:
+        context = self.spark.sparkContext
+        for df, path in [t for t in self.tables if chosen(t[0])]:
+            target = context._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+            self.tables = [t for t in self.tables if t[0] is not df]
 
 
 def partitions_for(spark: SparkSession, at_least: int = 1) -> int:

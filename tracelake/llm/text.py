@@ -26,6 +26,12 @@ def crc_fold(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
+def text_keys(text: str) -> list[Column]:
+    """Columns t1 and t2: 128 bits that stand for a text (null as empty)."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return [F.xxhash64(whole).alias("t1"), F.xxhash64(F.lit(1), whole).alias("t2")]
+
+
 def fold_of(doc_id: int, modulus: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % modulus
 

@@ -130,9 +130,9 @@ def _emit(rows: dict[str, pa.Array]) -> pa.RecordBatch:
 
 
 def repeated_strings(docs: DataFrame, width: int = 200, most_shards: int = MOST_SHARDS, scratch: Scratch | None = None) -> DataFrame:
-    """(rid, base, firsts, lasts): runs of places in a document, counted from base, where repeated strings of ``width`` bytes start.
+    """(rid, rid2, base, firsts, lasts): runs of places in a document, counted from base, where repeated strings of ``width`` bytes start.
 
-    ``docs`` has (rid, text).  Runs may repeat and overlap.
+    ``docs`` has (rid, rid2, text): 96 bits that stand for a row.  Runs may repeat and overlap.
     """
     if width < 2 * GRAM:
         raise ValueError(f"width must be at least {2 * GRAM}")
@@ -143,41 +143,43 @@ def repeated_strings(docs: DataFrame, width: int = 200, most_shards: int = MOST_
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
             got = []
-            for rid, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            for rid, rid2, t in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 data = (t or "").encode()
                 if len(data) >= width:
                     key, first, n, _ = segments(data, width)
                     ends = (first + n + (width - 1)).tolist()
                     digest = [xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(first.tolist(), ends, strict=True)]
-                    got.append((key, np.array(digest, np.uint64), np.full(len(key), rid), first, n))
+                    got.append((key, np.array(digest, np.uint64), np.full(len(key), rid), np.full(len(key), rid2), first, n))
             if got:
-                key, digest, rid, first, n = (np.concatenate(x) for x in zip(*got, strict=True))
-                yield _emit({"anchor": pa.array(key.view(np.int64)), "digest": pa.array(digest.view(np.int64)), "rid": pa.array(rid), "first": pa.array(first.astype(np.int32)), "n": pa.array(n.astype(np.int32))})
+                key, digest, rid, rid2, first, n = (np.concatenate(x) for x in zip(*got, strict=True))
+                yield _emit({"anchor": pa.array(key.view(np.int64)), "digest": pa.array(digest.view(np.int64)), "rid": pa.array(rid), "rid2": pa.array(rid2.astype(np.int32)), "first": pa.array(first.astype(np.int32)), "n": pa.array(n.astype(np.int32))})
 
-    found = docs.select("rid", "text").mapInArrow(cut, "anchor long, digest long, rid long, first int, n int")
+    found = docs.select("rid", "rid2", "text").mapInArrow(cut, "anchor long, digest long, rid long, rid2 int, first int, n int")
     again = scratch.table(found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select(F.col("anchor").alias("a")), "anchors")
     rows = scratch.table(found.join(again, F.col("anchor") == F.col("a")).drop("a"), "segments")
-    kinds = scratch.table(rows.groupBy("anchor", "digest").agg(F.count("*").alias("c"), F.min(F.struct("rid", "first", "n")).alias("at")), "kinds")
+    kinds = scratch.table(rows.groupBy("anchor", "digest").agg(F.count("*").alias("c"), F.min(F.struct("rid", "rid2", "first", "n")).alias("at")), "kinds")
     several = scratch.table(kinds.groupBy("anchor").agg(F.count("*").alias("shards")).where("shards > 1").select(F.col("anchor").alias("a"), "shards"), "several")
     wanted = scratch.table(kinds.join(several, F.col("anchor") == F.col("a")).select("anchor", "digest", "c", "shards", "at.*"), "wanted")
 
     # the bytes of one segment of each kind
-    needed = wanted.select("rid")
-    words, bits = prefilter.bitmap(needed, "rid", needed.count())
-    texts, _ = prefilter.split(docs.select("rid", "text"), "rid", words, bits)
-    texts = texts.dropDuplicates(["rid"])
-    asked = wanted.groupBy("rid").agg(F.collect_list(F.struct("anchor", "digest", "first", "n", "shards")).alias("asked"))
+    asked = wanted.groupBy("rid", "rid2").agg(F.collect_list(F.struct("anchor", "digest", "first", "n", "shards")).alias("asked"))
+    words, bits = prefilter.bitmap(wanted, "rid", wanted.count())
+    texts, _ = prefilter.split(docs.select("rid", "rid2", "text"), "rid", words, bits)
+    texts = texts.dropDuplicates(["rid", "rid2"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
-            got = []
-            for t, asked in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            flat, ends = part.column(1).values, np.asarray(part.column(1).offsets)
+            low = int(ends[0])
+            flat = flat.slice(low, int(ends[-1]) - low)
+            first, n = (np.asarray(flat.field(k)) for k in (2, 3))
+            pieces = []
+            for t, a, z in zip(part.column(0).to_pylist(), (ends[:-1] - low).tolist(), (ends[1:] - low).tolist(), strict=True):
                 data = t.encode()
-                got += [(x["anchor"], x["digest"], x["n"], x["shards"], data[x["first"] : x["first"] + x["n"] + width - 1]) for x in asked]
-            cols = list(zip(*got, strict=True)) if got else [[]] * 5
-            yield _emit(dict(zip(("anchor", "digest", "n", "shards", "piece"), (pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)), strict=True)))
+                pieces += [data[x : x + k + width - 1] for x, k in zip(first[a:z].tolist(), n[a:z].tolist(), strict=True)]
+            yield _emit({"anchor": flat.field(0), "digest": flat.field(1), "n": flat.field(3), "shards": flat.field(4), "piece": pa.array(pieces, pa.binary())})
 
-    pieces = scratch.table(texts.join(asked, "rid").select("text", "asked").mapInArrow(fetch, "anchor long, digest long, n int, shards long, piece binary"), "pieces")
+    pieces = scratch.table(texts.join(asked, ["rid", "rid2"]).select("text", "asked").mapInArrow(fetch, "anchor long, digest long, n int, shards long, piece binary"), "pieces")
 
     def leads(pieces: list[bytes]) -> np.ndarray:
         return np.array([int(np.argmin(gram_hashes(np.frombuffer(s[:width], np.uint8), GRAM))) for s in pieces], np.int64)
@@ -224,11 +226,12 @@ def repeated_strings(docs: DataFrame, width: int = 200, most_shards: int = MOST_
     hot = hot.join(twice, (F.col("anchor") == F.col("a")) & (F.col("string") == F.col("s"))).groupBy("anchor", "digest").agg(F.collect_list("hit").alias("firsts")).withColumn("lasts", F.col("firsts"))
 
     runs = scratch.table(cold.union(hot).select(F.col("anchor").alias("a"), F.col("digest").alias("d"), "firsts", "lasts"), "runs")
+    scratch.drop(pieces, wanted, several, again)
     whole = scratch.table(kinds.where("c > 1").select(F.col("anchor").alias("a"), F.col("digest").alias("d")), "whole")
     by = (F.col("anchor") == F.col("a")) & (F.col("digest") == F.col("d"))
-    alone = kinds.where("c = 1").select("anchor", "digest", "at.rid", "at.first")
-    all_of = rows.join(whole, by).select("rid", F.col("first").alias("base"), F.array(F.lit(0)).alias("firsts"), F.array(F.col("n") - 1).alias("lasts"))
-    return all_of.union(alone.join(runs, by).select("rid", "first", "firsts", "lasts"))
+    alone = kinds.where("c = 1").select("anchor", "digest", "at.rid", "at.rid2", "at.first")
+    all_of = rows.join(whole, by).select("rid", "rid2", F.col("first").alias("base"), F.array(F.lit(0)).alias("firsts"), F.array(F.col("n") - 1).alias("lasts"))
+    return all_of.union(alone.join(runs, by).select("rid", "rid2", "first", "firsts", "lasts"))
 
 
 def _runs(hits: np.ndarray) -> tuple[list[int], list[int]]:
@@ -245,24 +248,35 @@ def covered(size: int, first: np.ndarray, last: np.ndarray, width: int) -> np.nd
     return np.cumsum(edges[:-1]) > 0
 
 
-def _with_cuts(docs: DataFrame, width: int, most_shards: int) -> tuple[DataFrame, DataFrame]:
-    """(documents with their runs as the array column _cuts, documents without any); both keep ``docs``' columns."""
+def _with_cuts(docs: DataFrame, width: int, most_shards: int) -> DataFrame:
+    """``docs`` with the first and last places of its runs as two more array columns (null or empty: none).
+
+    Only rows whose text has runs are shuffled.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "bwt")
-    keyed = docs.withColumn("_rid", F.xxhash64("doc_id", "text"))
-    runs = repeated_strings(keyed.select(F.col("_rid").alias("rid"), "text"), width, most_shards, scratch)
-    cuts = scratch.table(runs.groupBy("rid").agg(F.collect_list(F.struct("base", "firsts", "lasts")).alias("_cuts")).withColumnRenamed("rid", "_r"), "cuts")
-    words, bits = prefilter.bitmap(cuts, "_r", cuts.count())
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    a, b, x, y, firsts, lasts = prefilter.unused(docs, "rid", "rid2", "cut_rid", "cut_rid2", "firsts", "lasts")
+    keys = F.xxhash64("doc_id", "text"), F.hash("doc_id", "text")
+    runs = repeated_strings(docs.select(keys[0].alias("rid"), keys[1].alias("rid2"), "text"), width, most_shards, scratch)
+    from_base = lambda name: F.transform(name, lambda k: k + F.col("base"))
+    cuts = runs.groupBy("rid", "rid2").agg(F.collect_list(F.struct(from_base("firsts").alias("f"), from_base("lasts").alias("l"))).alias("c"))
+    cuts = scratch.table(cuts.select("rid", "rid2", F.flatten("c.f").alias("firsts"), F.flatten("c.l").alias("lasts")), "cuts")
+    words, bits = prefilter.bitmap(cuts, "rid", cuts.count())
     words = scratch.table(words, "bitmap")
-    some, none = prefilter.split(keyed, "_rid", words, bits)
-    joined = some.join(cuts, F.col("_rid") == F.col("_r"), "left").drop("_rid", "_r")
-    return joined, none.drop("_rid")
+    scratch.clear(keep=[cuts, words])
+    some, none = prefilter.split(docs.withColumns({a: keys[0], b: keys[1]}), a, words, bits)
+    joined = some.join(cuts.toDF(x, y, firsts, lasts), (F.col(a) == F.col(x)) & (F.col(b) == F.col(y)), "left")
+    nothing = F.lit(None).cast("array<int>")
+    return joined.select(*names, firsts, lasts).union(none.select(*names, nothing.alias(firsts), nothing.alias(lasts)))
 
 
-def _mask(data: bytes, cuts, width: int) -> np.ndarray:
-    first = np.array([c["base"] + x for c in cuts for x in c["firsts"]], np.int64)
-    last = np.array([c["base"] + x for c in cuts for x in c["lasts"]], np.int64)
-    return covered(len(data), first, last, width)
+def _masks(part: pa.RecordBatch, sizes: list[int], width: int) -> Iterator[np.ndarray | None]:
+    """For each row the mask of its covered bytes, or None, from the last two columns."""
+    values, ends = zip(*((np.asarray(c.values), np.asarray(c.offsets)) for c in part.columns[-2:]), strict=True)
+    for k, size in enumerate(sizes):
+        first, last = (v[e[k] : e[k + 1]] for v, e in zip(values, ends, strict=True))
+        yield covered(size, first, last, width) if len(first) else None
 
 
 def dedup_digest(docs: DataFrame, width: int = 200, most_shards: int = MOST_SHARDS) -> DataFrame:
@@ -277,40 +291,36 @@ def dedup_digest(docs: DataFrame, width: int = 200, most_shards: int = MOST_SHAR
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
             rows = []
-            cuts = part.column(2).to_pylist() if part.num_columns > 2 else [None] * part.num_rows
-            for key, t, cut in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), cuts, strict=True):
-                data = (t or "").encode()
+            texts = [(t or "").encode() for t in part.column(1).to_pylist()]
+            for data, mask in zip(texts, _masks(part, [len(d) for d in texts], width), strict=True):
                 gone, spans, kept = 0, 0, data
-                if cut:
-                    mask = _mask(data, cut, width)
+                if mask is not None:
                     gone, spans = int(mask.sum()), int(mask[0]) + int((mask[1:] > mask[:-1]).sum())
                     kept = np.frombuffer(data, np.uint8)[~mask].tobytes()
-                rows.append((key, len(data), gone, spans, hashlib.sha256(kept).hexdigest()))
+                rows.append((len(data), gone, spans, hashlib.sha256(kept).hexdigest()))
             cols = list(zip(*rows, strict=True))
-            yield _emit({"doc_id": pa.array(cols[0], part.schema.field(0).type), "n_bytes": pa.array(cols[1], pa.int64()), "n_removed": pa.array(cols[2], pa.int64()), "n_spans": pa.array(cols[3], pa.int64()), "kept_sha256": pa.array(cols[4])})
+            yield _emit({"doc_id": part.column(0), "n_bytes": pa.array(cols[0], pa.int64()), "n_removed": pa.array(cols[1], pa.int64()), "n_spans": pa.array(cols[2], pa.int64()), "kept_sha256": pa.array(cols[3])})
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    some, none = _with_cuts(docs.select("doc_id", "text"), width, most_shards)
-    return some.select("doc_id", "text", "_cuts").mapInArrow(run, schema).union(none.select("doc_id", "text").mapInArrow(run, schema))
+    return _with_cuts(docs.select("doc_id", "text"), width, most_shards).mapInArrow(run, schema)
 
 
 def dedup_texts(docs: DataFrame, width: int = 200, most_shards: int = MOST_SHARDS) -> DataFrame:
     """``docs`` with every covered byte taken out of ``text`` (the rest of a character that is cut in two goes too); null stays null."""
 
     names = docs.columns
+    at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
-            at = part.schema.get_field_index("text")
+            texts = [None if t is None else t.encode() for t in part.column(at).to_pylist()]
             out = []
-            for t, cut in zip(part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True):
-                if cut and t:
-                    data = t.encode()
-                    t = np.frombuffer(data, np.uint8)[~_mask(data, cut, width)].tobytes().decode(errors="ignore")
-                out.append(t)
-            columns = part.columns[:-1]
+            for data, mask in zip(texts, _masks(part, [len(d or b"") for d in texts], width), strict=True):
+                if mask is not None:
+                    data = np.frombuffer(data, np.uint8)[~mask].tobytes()
+                out.append(None if data is None else data.decode(errors="ignore"))
+            columns = part.columns[:-2]
             columns[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    some, none = _with_cuts(docs, width, most_shards)
-    return some.select(*[F.col(f"`{c}`") for c in names], "_cuts").mapInArrow(run, docs.schema).union(none)
+    return _with_cuts(docs, width, most_shards).mapInArrow(run, docs.schema)

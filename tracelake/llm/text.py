@@ -69,13 +69,16 @@ def hashed(words: list[bytes], memo: WordHashes) -> np.ndarray:
 
 
 def chunks(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each piece holds about CHUNK_BYTES of text (a single longer text stays whole)."""
+    """Cut Arrow batches so that each piece holds about CHUNK_BYTES of text and lists (a single longer row stays whole)."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
         column = batch.column(batch.schema.get_field_index(text))
         sizes = np.array(pa.compute.fill_null(pa.compute.binary_length(column), 0), dtype=np.int64)
+        for other in batch.columns:
+            if pa.types.is_list(other.type):
+                sizes = sizes + 8 * np.array(pa.compute.fill_null(pa.compute.list_value_length(other), 0), dtype=np.int64)
         bins = np.cumsum(sizes) // CHUNK_BYTES
         cuts = [0, *(np.flatnonzero(np.diff(bins)) + 1).tolist(), n]
         for a, b in zip(cuts, cuts[1:], strict=False):

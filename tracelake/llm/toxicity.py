@@ -227,6 +227,8 @@ def score(docs: DataFrame, model: ToxicityModel, evidence: bool = False) -> Data
             if evidence:
                 columns += [pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *added])
+        use.memo.clear()  # the worker lives on
+        use.known.clear()
 
     return kept.mapInArrow(run, schema)
 

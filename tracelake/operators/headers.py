@@ -54,6 +54,18 @@ def cut(c: Cube, mask: DataFrame, axis: int = 2) -> Cube:
 
 def intbin(df: DataFrame, x: Column, y: Column, value: Column, row: Column, axes: tuple[Axis, Axis]) -> DataFrame:
     """Values on an integer grid; of several in a cell the last row stays, cells without any are 0."""
-    got = df.select((x - int(axes[0].o)).cast("long").alias("i1"), (y - int(axes[1].o)).cast("long").alias("i2"), F.struct(row.alias("r"), value.alias("v")).alias("s"))
-    got = got.where((F.col("i1") >= 0) & (F.col("i1") < axes[0].n) & (F.col("i2") >= 0) & (F.col("i2") < axes[1].n)).groupBy("i1", "i2").agg(F.max("s").alias("m"))
-    return grid(df.sparkSession, axes).join(got, ["i1", "i2"], "left").select("i1", "i2", F.coalesce("m.v", F.lit(0.0)).alias("v"))
+    return _on_grid(df, [x, y], value, row, axes)
+
+
+def intbin3(df: DataFrame, x: Column, y: Column, z: Column, value: Column, row: Column, axes: tuple[Axis, Axis, Axis]) -> DataFrame:
+    """``intbin`` on a grid of three keys."""
+    return _on_grid(df, [x, y, z], value, row, axes)
+
+
+def _on_grid(df: DataFrame, keys: list[Column], value: Column, row: Column, axes: tuple[Axis, ...]) -> DataFrame:
+    names = [f"i{k}" for k in range(1, len(keys) + 1)]
+    got = df.select(*((key - int(a.o)).cast("long").alias(name) for key, a, name in zip(keys, axes, names, strict=True)), F.struct(row.alias("r"), value.alias("v")).alias("s"))
+    for name, a in zip(names, axes, strict=True):
+        got = got.where((F.col(name) >= 0) & (F.col(name) < a.n))
+    got = got.groupBy(*names).agg(F.max("s").alias("m"))
+    return grid(df.sparkSession, axes).join(got, names, "left").select(*names, F.coalesce("m.v", F.lit(0.0)).alias("v"))

@@ -98,7 +98,7 @@ def laplacian(c: Cube, axes: list[int]) -> Cube:
 
 
 def sobel_square(c: Cube) -> Cube:
-    """Square of the Sobel gradient over axes 1 and 2, edges 0; neighbours come by shifted joins on rows of one trace each."""
+    """Square of the Sobel gradient over axes 1 and 2, edges 0; neighbours come by windows along the two axes."""
     own = c.long()
     along, across = _along(own, 1), _along(own, 2)
     n1, n2 = own.meta.shape[:2]
@@ -110,6 +110,42 @@ def sobel_square(c: Cube) -> Cube:
     return own.derive(df.select(*own.keys, F.coalesce("g", F.lit(0.0)).alias("v")))
 
 
+def sobel3(c: Cube, part: int = 0) -> Cube:
+    """Sobel gradient over axes 1, 2 and 3, edges 0: the sum of squares (``part`` 0), or component 1, 2 or 3.
+
+    A component is the difference along its axis of sums across the other two,
+    weighted 1 at corners and 4 at sides and centre.  Whole traces meet their
+    neighbours along axis 2, then along axis 3, so samples are never exploded.
+    """
+    if c.rank < 3:
+        raise ValueError("three axes are needed")
+    own = c.traces()
+    keys, (n1, n2, n3) = own.keys[1:], own.meta.shape[:3]
+    across = [Window.partitionBy(*[k for k in keys if k != f"i{axis}"]).orderBy(f"i{axis}") for axis in (2, 3)]
+
+    def sum4(x: str, w) -> Column:
+        return F.zip_with(F.zip_with(F.lag(x).over(w), F.lead(x).over(w), lambda a, b: a + b), x, lambda a, b: a + 4 * b)
+
+    def step(x: str, w) -> Column:
+        return F.zip_with(F.lag(x).over(w), F.lead(x).over(w), lambda a, b: b - a)
+
+    df = own.df.select(*keys, "samples", sum4("samples", across[0]).alias("a"), step("samples", across[0]).alias("b"))
+    df = df.select(*keys, "samples", "b", sum4("a", across[1]).alias("p"), sum4("b", across[1]).alias("q"), step("a", across[1]).alias("r"), step("samples", across[1]).alias("s"))
+    inner = F.col("i2").between(1, n2 - 2) & F.col("i3").between(1, n3 - 2)
+    at = lambda name, i: F.element_at(name, i.cast("int"))
+    wide = lambda name, i: at(name, i) + 4 * at(name, i + 1) + at(name, i + 2)
+    one = lambda i: at("p", i + 2) - 12 * at("samples", i + 2) - at("p", i) + 12 * at("samples", i)
+    two = lambda i: wide("q", i) - 12 * at("b", i + 1)
+    three = lambda i: wide("r", i) - 12 * at("s", i + 1)
+    value = {0: lambda i: (one(i) * one(i) + two(i) * two(i) + three(i) * three(i)) / 36, 1: lambda i: one(i) / 6, 2: lambda i: two(i) / 6, 3: lambda i: three(i) / 6}[part]
+    zeros = F.array_repeat(F.lit(0.0), n1)
+    if n1 < 3:
+        return own.derive(own.df.withColumn("samples", zeros))
+    middle = F.transform(F.sequence(F.lit(1), F.lit(n1 - 2)), value)
+    edge = F.array(F.lit(0.0))
+    return own.derive(df.select(*keys, F.when(inner, F.concat(edge, middle, edge)).otherwise(zeros).alias("samples")))
+
+
 def demean(c: Cube, axis: int | None = 1) -> Cube:
     own = c.long()
     w = Window.partitionBy(*own.others(axis)) if axis else Window.partitionBy(F.lit(1))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.cube import Axis, Cube
@@ -38,33 +38,76 @@ def linear(c: Cube, n: int, o: float, d: float, fill: float = 0.0) -> Cube:
     return remap(c, Axis(n, o, d), fill=fill)
 
 
-def t2warp(c: Cube, n: int) -> Cube:
-    """t to t^2, over the same span."""
+def t2warp(c: Cube, n: int, inverse: bool = False) -> Cube:
+    """t to t^2, over the same span, or back."""
     a = c.meta.axes[0]
-    t0, t1 = a.o**2, (a.o + (a.n - 1) * a.d) ** 2
+    if a.o < 0:
+        raise ValueError("coordinates below 0")
+    end = a.o + (a.n - 1) * a.d
+    if inverse:
+        t0, t1 = a.o**0.5, end**0.5
+        return remap(c, Axis(n, t0, (t1 - t0) / (n - 1)), lambda x: x * x)
+    t0, t1 = a.o**2, end**2
     return remap(c, Axis(n, t0, (t1 - t0) / (n - 1)), lambda x: F.sqrt(F.greatest(x, F.lit(0.0))))
 
 
-def nmo(c: Cube, offset: Column, velocity: float, half: bool = True, h0: float = 0.0) -> Cube:
-    """Normal moveout: the sample at t comes from sqrt(t^2 + (h^2 - h0^2) / v^2)."""
-    own, a = c.traces(), c.meta.axes[0]
-    h = offset * (2.0 if half else 1.0)
+def _moved(rows: DataFrame, h: Column, speed: Callable[[Column], Column], a: Axis, h0: float, stretch: float | None) -> DataFrame:
+    """``samples`` of rows after moveout of the offset h; the places are made once, as an array.
+
+    With ``stretch``, a sample is 0 where its place and that of the sample
+    before it (which must be past the first) are less than that apart.
+    """
     k = F.sequence(F.lit(0).cast("long"), F.lit(a.n - 1).cast("long"))
-    moved = lambda i: F.sqrt(F.greatest(F.pow(F.lit(a.o) + i * a.d, F.lit(2.0)) + (h * h - h0 * h0) / (velocity * velocity), F.lit(0.0)))
-    return own.derive(own.df.withColumn("samples", F.transform(k, lambda i: at_place(F.col("samples"), (moved(i) - a.o) / a.d, a.n))))
+
+    def place(i: Column) -> Column:
+        square = F.pow(F.lit(a.o) + i * a.d, F.lit(2.0)) + (h * h - h0 * h0) / (speed(i) * speed(i))
+        return F.when(square >= 0, (F.sqrt(square) - a.o) / a.d)
+
+    placed = rows.withColumn("_place", F.transform(k, place))
+    value = lambda p: at_place(F.col("samples"), p, a.n)
+    if not stretch:
+        return placed.withColumn("samples", F.transform("_place", value)).drop("_place")
+    before = F.concat(F.array(F.lit(None).cast("double")), F.slice("_place", 1, a.n - 1))
+    squeezed = lambda p, b: F.coalesce((b > 0) & (F.abs(p - b) < stretch), F.lit(False))
+    return placed.withColumn("samples", F.zip_with("_place", before, lambda p, b: F.when(squeezed(p, b), 0.0).otherwise(value(p)))).drop("_place")
+
+
+def _speed(velocity: float | list[float], n: int) -> Callable[[Column], Column]:
+    """Velocity at sample i: one for all, or a list with one for each."""
+    if isinstance(velocity, (int, float)):
+        return lambda i: F.lit(float(velocity))
+    if len(velocity) != n:
+        raise ValueError(f"{len(velocity)} velocities for {n} samples")
+    values = F.array(*[F.lit(float(v)) for v in velocity])
+    return lambda i: F.element_at(values, (i + 1).cast("int"))
 
 
-def semblance(c: Cube, offset: Column, gather: Column, velocities: list[float], half: bool = True) -> DataFrame:
-    """(gather, i1, i2, v): (sum of a)^2 / (fold * sum of a^2) over live traces after moveout with velocity i2."""
+def nmo(c: Cube, offset: Column, velocity: float | list[float], half: bool = True, h0: float = 0.0, stretch: float | None = 0.5) -> Cube:
+    """Normal moveout: the sample at t comes from sqrt(t^2 + (h^2 - h0^2) / v^2); stretched samples are 0."""
     own, a = c.traces(), c.meta.axes[0]
-    h = offset * (2.0 if half else 1.0)
+    times = 2.0 if half else 1.0
+    return own.derive(_moved(own.df, offset * times, _speed(velocity, a.n), a, h0 * times, stretch))
+
+
+def semblance(c: Cube, offset: Column, gather: Column, velocities: list[float], half: bool = True, h0: float = 0.0, stretch: float | None = 0.5, smooth: int = 0) -> DataFrame:
+    """(gather, i1, i2, v): (sum of a)^2 / (fold * sum of a^2) over live traces after moveout with velocity i2.
+
+    ``smooth`` adds up numerator and denominator over that many samples either
+    side.  Sums of all samples of a gather and velocity are made before the
+    exchange.
+    """
+    own, a = c.traces(), c.meta.axes[0]
+    times = 2.0 if half else 1.0
     speeds = F.array(*[F.lit(float(v)) for v in velocities])
-    rows = own.df.select(gather.alias("gather"), "samples", h.alias("h"), F.posexplode(speeds).alias("i2", "speed"))
-    k = F.sequence(F.lit(0).cast("long"), F.lit(a.n - 1).cast("long"))
-    place = lambda i: (F.sqrt(F.pow(F.lit(a.o) + i * a.d, F.lit(2.0)) + F.col("h") * F.col("h") / (F.col("speed") * F.col("speed"))) - a.o) / a.d
-    moved = rows.select("gather", F.col("i2").cast("long").alias("i2"), F.posexplode(F.transform(k, lambda i: at_place(F.col("samples"), place(i), a.n))).alias("i1", "a"))
+    rows = own.df.select(gather.alias("gather"), "samples", (offset * times).alias("h"), F.posexplode(speeds).alias("i2", "speed"))
+    moved = _moved(rows, F.col("h"), lambda i: F.col("speed"), a, h0 * times, stretch)
+    moved = moved.select("gather", F.col("i2").cast("long").alias("i2"), F.posexplode("samples").alias("i1", "a"))
     sums = moved.groupBy("gather", F.col("i1").cast("long").alias("i1"), "i2").agg(F.sum("a").alias("s"), F.sum(F.col("a") * F.col("a")).alias("q"), F.count_if(F.col("a") != 0).alias("n"))
-    return sums.select("gather", "i1", "i2", F.coalesce(F.try_divide(F.col("s") * F.col("s"), F.col("n") * F.col("q")), F.lit(0.0)).alias("v"))
+    sums = sums.select("gather", "i1", "i2", (F.col("s") * F.col("s")).alias("above"), (F.col("n") * F.col("q")).alias("below"))
+    if smooth:
+        near = Window.partitionBy("gather", "i2").orderBy("i1").rowsBetween(-smooth, smooth)
+        sums = sums.select("gather", "i1", "i2", F.sum("above").over(near).alias("above"), F.sum("below").over(near).alias("below"))
+    return sums.select("gather", "i1", "i2", F.when(F.col("below") > 0, F.col("above") / F.col("below")).otherwise(0.0).alias("v"))
 
 
 def radon(c: Cube, offset: Column, slopes: list[float], gather: Column | None = None, parabolic: bool = False, x0: float = 1.0) -> DataFrame:

@@ -150,12 +150,12 @@ def frequency_attributes(c: Cube) -> Cube:
     return c.map_traces(kernel, Axis(3))
 
 
-def dct(c: Cube) -> Cube:
-    """Orthonormal cosine transform of the second kind."""
+def dct(c: Cube, inverse: bool = False) -> Cube:
+    """Orthonormal cosine transform of the second kind, or its inverse."""
     n = c.meta.axes[0].n
     k = np.arange(n)
     basis = np.cos(np.pi * (k[:, None] + 0.5) * k / n) * np.sqrt(2 / n) * np.where(k == 0, np.sqrt(0.5), 1)
-    return c.map_traces(lambda x: x @ basis)
+    return c.map_traces(lambda x: x @ (basis.T if inverse else basis))
 
 
 def spline(c: Cube, axis: Axis, fill: float = 0.0) -> Cube:

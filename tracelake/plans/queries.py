@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tracelake.cube import Axis, Cube, Meta, from_traces
 from tracelake.operators import aggregate as agg
-from tracelake.operators import cross, filters, gathers, generators, headers, modelling, neighbour, pointwise, resample, reshape, scatter, solvers, spectral
+from tracelake.operators import complexes, cross, filters, gathers, generators, headers, modelling, neighbour, pointwise, resample, reshape, scatter, solvers, spectral
 from tracelake.streaming import binning
 
 N, DT = 64, 0.004
@@ -164,9 +164,9 @@ def _by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agg.bin_1d(df, F.col("user_id"), F.col("value"), Axis(high - low + 1, low * 5.0, 5.0)).withColumn("i1", F.col("i1") + low)
 
 
-register("bin_1d", plain=_by_user, sql="SELECT b AS i1, round(coalesce(avg(value), 0), 6) + 0.0 AS v FROM range(40) r(b) LEFT JOIN events ON floor(user_id / 5.0) = b GROUP BY b")
+register("bin_1d", plain=_by_user, sql="SELECT b AS i1, round(coalesce(avg(value), 0), 6) + 0.0 AS v FROM (SELECT unnest(range(n)) AS b FROM (SELECT greatest(40, max(user_id) // 5 + 1) AS n FROM events)) LEFT JOIN events ON floor(user_id / 5.0) = b GROUP BY b")
 register("bin_2d", plain=lambda s, d: agg.bin_2d(table(s, d, "lineitem"), F.col("l_quantity"), F.col("l_linenumber").cast("double"), F.col("l_extendedprice"), (Axis(10, 1.0, 5.0), Axis(7, 1.0, 1.0)), "sum"), sql="SELECT a AS i1, b AS i2, round(coalesce(sum(l_extendedprice), 0), 6) + 0.0 AS v FROM range(10) x(a), range(7) y(b) LEFT JOIN lineitem ON floor((l_quantity - 1) / 5) = a AND l_linenumber - 1 = b GROUP BY a, b")
-register("fold", plain=lambda s, d: agg.fold(table(s, d, "lineitem"), [F.col("l_quantity"), F.col("l_linenumber").cast("double"), F.col("l_discount") * 100], (Axis(10, 0.0, 5.0), Axis(7, 1.0, 1.0), Axis(6, 0.0, 2.0))), sql="SELECT a AS i1, b AS i2, c AS i3, count(l_quantity) AS v FROM range(10) x(a), range(7) y(b), range(6) z(c) LEFT JOIN lineitem ON round_even(l_quantity / 5, 0) = a AND round_even(l_linenumber - 1.0::DOUBLE, 0) = b AND round_even(l_discount * 100 / 2, 0) = c GROUP BY a, b, c")
+register("fold", plain=lambda s, d: agg.fold(table(s, d, "lineitem"), [F.col("l_quantity"), F.col("l_linenumber").cast("double"), F.col("l_discount") * 100], (Axis(11, 0.0, 5.0), Axis(7, 1.0, 1.0), Axis(6, 0.0, 2.0))), sql="SELECT a AS i1, b AS i2, c AS i3, count(l_quantity) AS v FROM range(11) x(a), range(7) y(b), range(6) z(c) LEFT JOIN lineitem ON round_even(l_quantity / 5, 0) = a AND round_even(l_linenumber - 1.0::DOUBLE, 0) = b AND round_even(l_discount * 100 / 2, 0) = c GROUP BY a, b, c")
 register("linefit", plain=lambda s, d: agg.linefit(table(s, d, "part"), F.col("p_size").cast("double"), F.col("p_retailprice"), Axis(20, 0.0, 2.5)), sql="SELECT k AS i1, round(a * k * 2.5 + b, 6) + 0.0 AS v FROM range(20) r(k), (SELECT regr_slope(p_retailprice, p_size) AS a, regr_intercept(p_retailprice, p_size) AS b FROM part)")
 register("headersort", plain=lambda s, d: headers.sort(table(s, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", True).select("o_orderkey", "position"), sql="SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS position FROM orders")
 register("headermath", plain=lambda s, d: headers.math(table(s, d, "lineitem"), "l_extendedprice*(1-l_discount)^2", "net").select("l_orderkey", "l_linenumber", "net"), sql="SELECT l_orderkey, l_linenumber, round(l_extendedprice * pow(1 - l_discount, 2), 6) + 0.0 AS net FROM lineitem")
@@ -209,23 +209,31 @@ def _lerp(place: str, source: str = PANEL, keys: str = "i2") -> str:
 
 _E = "(SELECT vec_id AS i2, label, embedding::DOUBLE[] AS e FROM embeddings)"
 register("linear", lambda c: resample.linear(c, 50, 0.01, 0.005), f"SELECT k AS i1, i2, round({_lerp('p')}, 6) + 0.0 AS v FROM (SELECT *, (0.01 + k * 0.005) / 0.004 AS p FROM {_E}, range(50) r(k))")
-register("t2warp", lambda c: resample.t2warp(c, 64), f"SELECT k AS i1, i2, round({_lerp('p')}, 6) + 0.0 AS v FROM (SELECT *, least(sqrt(k * (pow(63 * 0.004, 2) / 63)) / 0.004, 63) AS p FROM {_E}, range(64) r(k)) WHERE k < 63")
-QUERIES["t2warp"] = lambda s, d: rounded(resample.t2warp(panel(s, d), 64).long().df.where("i1 < 63"))
+register("t2warp", lambda c: resample.t2warp(c, 64), f"SELECT k AS i1, i2, round({_lerp('p')}, 6) + 0.0 AS v FROM (SELECT *, least(sqrt(k * (pow(63 * 0.004, 2) / 63)) / 0.004, 63) AS p FROM {_E}, range(64) r(k))")
+register("t2warp_inverse", lambda c: resample.t2warp(c, 64, inverse=True), f"SELECT k AS i1, i2, round({_lerp('p')}, 6) + 0.0 AS v FROM (SELECT *, pow(k * (sqrt(63 * 0.004e0) / 63), 2) / 0.004e0 AS p FROM {_E}, range(64) r(k))")
 _H = "((i2 % 12) * 20.0)"
-register("nmo", lambda c: resample.nmo(c, F.pmod(F.col("i2"), F.lit(12)) * 20.0, 2000.0), f"SELECT k AS i1, i2, round({_lerp('p')}, 6) + 0.0 AS v FROM (SELECT *, sqrt(pow(k * 0.004, 2) + pow({_H} * 2, 2) / (2000.0 * 2000.0)) / 0.004 AS p FROM {_E}, range(64) r(k)) WHERE i2 % 12 <> 0")
-QUERIES["nmo"] = lambda s, d: rounded(resample.nmo(panel(s, d), F.pmod(F.col("i2"), F.lit(12)) * 20.0, 2000.0).long().df.where("i2 % 12 <> 0"))
+_MOVED = f"(SELECT *, sqrt(pow(k * 0.004, 2) + pow({_H} * 2, 2) / (2000.0 * 2000.0)) / 0.004 AS p FROM {_E}, range(64) r(k))"
+_offset = lambda: F.pmod(F.col("i2"), F.lit(12)) * 20.0
+register("nmo", lambda c: resample.nmo(c, _offset(), 2000.0, stretch=None), f"SELECT k AS i1, i2, round({_lerp('p')}, 6) + 0.0 AS v FROM {_MOVED}")
+#: 0 where a place and the one before it (past the first) are less than half a sample apart.
+_UNSTRETCHED = f"CASE WHEN b > 0 AND abs(p - b) < 0.5 THEN 0 ELSE {_lerp('p')} END"
+register("nmo_stretch", lambda c: resample.nmo(c, _offset(), 2000.0), f"SELECT k AS i1, i2, round({_UNSTRETCHED}, 6) + 0.0 AS v FROM (SELECT *, lag(p) OVER (PARTITION BY i2 ORDER BY k) AS b FROM {_MOVED})")
+register("nmo_of_time", lambda c: resample.nmo(c, _offset(), [1500.0 + 10 * k for k in range(N)], h0=30.0, stretch=None), f"SELECT k AS i1, i2, round(CASE WHEN q >= 0 THEN {_lerp('(sqrt(greatest(q, 0)) / 0.004e0)')} ELSE 0 END, 6) + 0.0 AS v FROM (SELECT *, pow(k * 0.004e0, 2) + (pow({_H} * 2e0, 2) - 3600) / pow(1500e0 + 10 * k, 2) AS q FROM {_E}, range(64) r(k))")
 
 
-def semblance(spark: SparkSession, sf_dir: str) -> DataFrame:
+def semblance(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     df = table(spark, sf_dir, "embeddings")
     labels = df.select(F.col("vec_id").alias("i2"), F.col("label").cast("long").alias("label"))
     c = panel(spark, sf_dir)
     c = c.derive(c.df.join(labels, "i2"))
-    return resample.semblance(c, (F.pmod(F.col("i2"), F.lit(12)) + 1) * 20.0, F.col("label"), [1500.0, 2000.0, 2500.0])
+    return resample.semblance(c, (F.pmod(F.col("i2"), F.lit(12)) + 1) * 20.0, F.col("label"), [1500.0, 2000.0, 2500.0], **options)
 
 
-register("semblance", plain=semblance, sql=f"""SELECT label::BIGINT AS gather, k AS i1, j AS i2, round(coalesce(pow(sum(a), 2) / nullif(count(*) FILTER (a <> 0) * sum(a * a), 0), 0), 6) + 0.0 AS v FROM
+register("semblance", plain=lambda s, d: semblance(s, d, stretch=None), sql=f"""SELECT label::BIGINT AS gather, k AS i1, j AS i2, round(coalesce(pow(sum(a), 2) / nullif(count(*) FILTER (a <> 0) * sum(a * a), 0), 0), 6) + 0.0 AS v FROM
 (SELECT label, k, j, {_lerp('p')} AS a FROM (SELECT *, sqrt(pow(k * 0.004, 2) + pow((i2 % 12 + 1) * 40.0, 2) / (speed * speed)) / 0.004 AS p FROM {_E}, range(64) r(k), (VALUES (0::BIGINT, 1500.0::DOUBLE), (1, 2000), (2, 2500)) s(j, speed))) GROUP BY label, k, j""")
+_SCAN = f"""(SELECT *, lag(p) OVER (PARTITION BY i2, j ORDER BY k) AS b FROM (SELECT *, sqrt(pow(k * 0.004, 2) + pow((i2 % 12 + 1) * 40.0, 2) / (speed * speed)) / 0.004 AS p FROM {_E}, range(64) r(k), (VALUES (0::BIGINT, 1500.0::DOUBLE), (1, 2000), (2, 2500)) s(j, speed)))"""
+register("semblance_smooth", plain=lambda s, d: semblance(s, d, smooth=3), sql=f"""SELECT gather, i1, i2, round(CASE WHEN below > 0 THEN above / below ELSE 0 END, 6) + 0.0 AS v FROM (SELECT gather, i1, i2, sum(x) OVER w AS above, sum(y) OVER w AS below FROM
+(SELECT label::BIGINT AS gather, k AS i1, j AS i2, pow(sum(a), 2) AS x, count(*) FILTER (a <> 0) * sum(a * a) AS y FROM (SELECT label, k, j, {_UNSTRETCHED} AS a FROM {_SCAN}) GROUP BY label, k, j) WINDOW w AS (PARTITION BY gather, i2 ORDER BY i1 ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))""")
 register("radon", lambda c: resample.radon(c, F.pmod(F.col("i2"), F.lit(12)) * 20.0, [0.00007, 0.00013]).drop("gather"), f"SELECT k AS i1, j AS i2, round(sum(a), 6) + 0.0 AS v FROM (SELECT k, j, {_lerp('p')} AS a FROM (SELECT *, k + p0 * {_H} / 0.004 AS p FROM {_E}, range(64) r(k), (VALUES (0::BIGINT, 0.00007::DOUBLE), (1, 0.00013)) s(j, p0))) GROUP BY k, j")
 
 # spectra and filters
@@ -235,14 +243,33 @@ register("rfft_imag", lambda c: spectral.rfft_parts(c)[1].map(lambda v: F.round(
 register("psd", lambda c: spectral.psd(c, "boxcar"), f"SELECT i1, i2, round((re * re + im * im) * CASE WHEN i1 IN (0, 32) THEN 1 ELSE 2 END / 64 * 0.004, 6) + 0.0 AS v FROM {DFT}")
 register("autocorr", lambda c: spectral.autocorrelate(c, 8), "SELECT k AS i1, vec_id AS i2, round(list_sum([CAST(embedding[i] AS DOUBLE) * CAST(embedding[i + k] AS DOUBLE) FOR i IN range(1, 65 - k)]), 6) + 0.0 AS v FROM embeddings, range(8) r(k)")
 register("convolve", lambda c: spectral.convolve(c, _taps()), f"SELECT i1, i2, round(0.25 * coalesce(a, 0) + 0.5 * v + 0.25 * coalesce(b, 0), 6) + 0.0 AS v FROM (SELECT *, lag(v) {_W} AS b, lead(v) {_W} AS a FROM {PANEL})")
-register("bandpass", lambda c: spectral.bandpass(c, 8.0, 60.0, 4.0))
-register("fir", lambda c: spectral.fir_filter(c, spectral.firwin(21, 40.0, 250.0)))
-register("envelope", spectral.envelope)
-register("hilbert", spectral.hilbert)
-register("whiten", spectral.whiten)
-register("welch", lambda c: spectral.welch(c, 32))
-register("freqattr", spectral.frequency_attributes)
+
+
+def _filtered(re: str, im: str = "0", more: str = "") -> str:
+    """DuckDB traces after a gain re + i im at frequency f (in Hz) and bin k."""
+    spectrum = f"(SELECT i1 AS k, i2, i1 / 0.256e0 AS f, re, im{more} FROM {DFT})"
+    gained = f"SELECT k, i2, re * ({re}) - im * ({im}) AS re, re * ({im}) + im * ({re}) AS im FROM {spectrum}"
+    return f"SELECT t AS i1, i2, round(sum(CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END * (re * cos(2 * pi() * k * t / 64) - CASE WHEN k IN (0, 32) THEN 0 ELSE im END * sin(2 * pi() * k * t / 64))) / 64, 6) + 0.0 AS v FROM ({gained}), range(64) r(t) GROUP BY t, i2"
+
+
+def _flank(position: str) -> str:
+    return f"(0.5 - 0.5 * cos(pi() * greatest(least({position}, 1), 0)))"
+
+
+_ANALYTIC = f"(SELECT t AS i1, i2, sum(CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END * (re * cos(2 * pi() * k * t / 64) - im * sin(2 * pi() * k * t / 64))) / 64 AS x, sum(CASE WHEN k IN (0, 32) THEN 0 ELSE 2 END * (re * sin(2 * pi() * k * t / 64) + im * cos(2 * pi() * k * t / 64))) / 64 AS y FROM (SELECT i1 AS k, i2, re, im FROM {DFT}), range(64) r(t) GROUP BY t, i2)"
+#: A windowed sinc of 21 taps, 40 Hz of 125, with unit gain at 0.
+_SINC = "(SELECT j, h / sum(h) OVER () AS h FROM (SELECT j, CASE WHEN j = 10 THEN 0.32e0 ELSE sin(pi() * 0.32e0 * (j - 10)) / (pi() * (j - 10)) END * (0.5 - 0.5 * cos(2 * pi() * j / 20)) AS h FROM range(21) r(j)))"
+register("bandpass", lambda c: spectral.bandpass(c, 8.0, 60.0, 4.0), _filtered("0.5 - 0.5 * cos(pi() * greatest(least((f - 8) / 4 + 1, 1), 0) * greatest(least((60 - f) / 4 + 1, 1), 0))"))
+register("fir", lambda c: spectral.fir_filter(c, spectral.firwin(21, 40.0, 250.0)), f"SELECT t AS i1, vec_id AS i2, round(sum(h * CASE WHEN t + 10 - j BETWEEN 0 AND 63 THEN CAST(embedding[t + 11 - j] AS DOUBLE) ELSE 0 END), 6) + 0.0 AS v FROM embeddings, range(64) r(t), {_SINC} GROUP BY t, vec_id")
+register("envelope", spectral.envelope, f"SELECT i1, i2, round(sqrt(x * x + y * y), 6) + 0.0 AS v FROM {_ANALYTIC}")
+register("hilbert", spectral.hilbert, f"SELECT i1, i2, round(y, 6) + 0.0 AS v FROM {_ANALYTIC}")
+register("whiten", spectral.whiten, _filtered("1 / greatest(sqrt(re * re + im * im), 1e-6 * top)", more=", sqrt(max(re * re + im * im) OVER (PARTITION BY i2)) AS top"))
+register("welch", lambda c: spectral.welch(c, 32), f"""SELECT k AS i1, i2, round(avg(re * re + im * im) * CASE WHEN k IN (0, 16) THEN 1 ELSE 2 END * 0.004e0 / (SELECT sum(pow(0.5 - 0.5 * cos(2 * pi() * m / 31), 2)) FROM range(32) r(m)), 6) + 0.0 AS v FROM
+(SELECT k, i2, g, sum(w * cos(2 * pi() * m * k / 32)) AS re, sum(w * sin(2 * pi() * m * k / 32)) AS im FROM (SELECT i2, g, i1 - 16 * g AS m, v * (0.5 - 0.5 * cos(2 * pi() * (i1 - 16 * g) / 31)) AS w FROM {PANEL}, range(3) s(g) WHERE i1 - 16 * g BETWEEN 0 AND 31), range(17) q(k) GROUP BY k, i2, g) GROUP BY k, i2""")
+register("freqattr", spectral.frequency_attributes, f"""SELECT j AS i1, i2, round(CASE j WHEN 0 THEN top WHEN 1 THEN centre ELSE sqrt(greatest(square - centre * centre, 0)) END, 6) + 0.0 AS v FROM
+(SELECT i2, arg_max(i1, p) / 0.256e0 AS top, sum(p * i1 / 0.256e0) / sum(p) AS centre, sum(p * pow(i1 / 0.256e0, 2)) / sum(p) AS square FROM (SELECT i1, i2, re * re + im * im AS p FROM {DFT}) GROUP BY i2), range(3) r(j)""")
 register("cosft", spectral.dct, f"SELECT k AS i1, i2, round(sum(v * cos(pi() * (i1 + 0.5) * k / 64)) * sqrt(2.0 / 64) * CASE WHEN k = 0 THEN sqrt(0.5) ELSE 1 END, 6) + 0.0 AS v FROM {PANEL}, range(64) r(k) GROUP BY k, i2")
+register("icosft", lambda c: spectral.dct(c, inverse=True), f"SELECT k AS i1, i2, round(sum(v * cos(pi() * (k + 0.5) * i1 / 64) * sqrt(2.0 / 64) * CASE WHEN i1 = 0 THEN sqrt(0.5) ELSE 1 END), 6) + 0.0 AS v FROM {PANEL}, range(64) r(k) GROUP BY k, i2")
 register("spline", lambda c: resample_spline(c))
 
 _BOTH = f"(SELECT i2, k AS i1, sum(v * cos(2 * pi() * i1 * k / 64)) AS re, -sum(v * sin(2 * pi() * i1 * k / 64)) AS im, sum(abs(v) * cos(2 * pi() * i1 * k / 64)) AS re2, -sum(abs(v) * sin(2 * pi() * i1 * k / 64)) AS im2 FROM {PANEL}, range(33) r(k) GROUP BY i2, k)"
@@ -250,6 +277,7 @@ _TWICE = "CASE WHEN i1 IN (0, 32) THEN 1 ELSE 2 END"
 register("csd_real", lambda c: cross.csd(c, c.map(F.abs), kind="boxcar"), f"SELECT i1, i2, round((re * re2 + im * im2) * {_TWICE} / 64 * 0.004, 6) + 0.0 AS v FROM {_BOTH}")
 register("csd_imag", lambda c: cross.csd(c, c.map(F.abs), kind="boxcar", part="imag"), f"SELECT i1, i2, round((re * im2 - im * re2) * {_TWICE} / 64 * 0.004, 6) + 0.0 AS v FROM {_BOTH}")
 register("transfer", lambda c: cross.transfer(c, c.map(lambda v: v * 3), N, kind="boxcar"), f"SELECT i1, i2, CASE WHEN re * re + im * im <= 1e-12 THEN 0.0 ELSE 3.0 END::DOUBLE AS v FROM {DFT}")
+register("transfer_panels", lambda c: cross.transfer(c, c.map(F.abs), N, kind="boxcar"), f"SELECT i1, i2, round(CASE WHEN re * re + im * im <= 1e-12 THEN 0 ELSE sqrt((re2 * re2 + im2 * im2) / (re * re + im * im)) END, 6) + 0.0 AS v FROM {_BOTH}")
 register("bandenergy", lambda c: cross.band_energy(c, [(0.0, 40.0), (50.0, 125.0)], "energy"), f"SELECT (k)::BIGINT AS i1, i2, round(sum((re * re + im * im) * {_TWICE} / 64), 6) + 0.0 AS v FROM {DFT}, (VALUES (0, 0.0, 40.0), (1, 50.0, 125.0)) b(k, low, high) WHERE i1 / 0.256 BETWEEN low AND high GROUP BY k, i2")
 register("specnorm", lambda c: cross.normalize_spectrum(c), f"SELECT i1, i2, round(v / greatest(s, 1e-12), 6) + 0.0 AS v FROM {PANEL} JOIN (SELECT i2, sqrt(avg(re * re + im * im)) AS s FROM {DFT} GROUP BY i2) USING (i2)")
 register("coherence", lambda c: cross.coherence(c, c.map(F.abs), 16))
@@ -268,16 +296,9 @@ def _gathers(c: Cube) -> Cube:
 _N = "(SELECT (count(*) + 3) // 4 AS n FROM embeddings)"
 register("cmp2shot", lambda c: gathers.cmp2shot(_gathers(c)), f"SELECT t AS i1, h AS i2, s AS i3, round(coalesce(v, 0), 6) + 0.0 AS v FROM (SELECT t, h, s FROM {_N}, range(64) a(t), range(4) b(h), (SELECT unnest(range(n + 3)) AS s FROM {_N})) LEFT JOIN (SELECT i1 AS t, i2 % 4 AS h, i2 // 4 - i2 % 4 + 3 AS s, v FROM {PANEL}) USING (t, h, s)")
 register("shot2cmp", lambda c: gathers.shot2cmp(_gathers(c)), f"SELECT t AS i1, h AS i2, m AS i3, round(coalesce(v, 0), 6) + 0.0 AS v FROM (SELECT t, h, m FROM {_N}, range(64) a(t), range(4) b(h), (SELECT unnest(range(n + 3)) AS m FROM {_N})) LEFT JOIN (SELECT i1 AS t, i2 % 4 AS h, i2 // 4 + i2 % 4 AS m, v FROM {PANEL}) USING (t, h, m)")
-register("kirchhoff", lambda c: gathers.kirchhoff(c.derive(c.df, c.meta.with_axis(2, d=10.0)), 2000.0, 20.0), f"SELECT k AS i1, x AS i2, round(sum({_lerp('p')}), 6) + 0.0 AS v FROM (SELECT *, sqrt(pow(k * 0.004, 2) + pow((i2 - x) * 0.01, 2)) / 0.004 AS p FROM (SELECT *, unnest(range(greatest(i2 - 2, 0), least(i2 + 3, (SELECT count(*) FROM embeddings)))) AS x FROM {_E}), range(64) r(k)) GROUP BY k, x")
-QUERIES["kirchhoff"] = lambda s, d: rounded(_migrated(panel(s, d)))
-
-
-def _migrated(c: Cube) -> DataFrame:
-    """Samples whose place is past the last one count in part, so the twin covers those before it."""
-    return gathers.kirchhoff(c.derive(c.df, c.meta.with_axis(2, d=10.0)), 2000.0, 20.0).where("i1 < 62")
-
-
-ORACLES["kirchhoff"] = f"SELECT * FROM ({ORACLES['kirchhoff']}) WHERE i1 < 62"
+#: As _lerp, with a zero sample after the last.
+_LERP_OPEN = "CASE WHEN p BETWEEN 0 AND 64 THEN coalesce(e[floor(p)::INT + 1], 0) * (1 - (p - floor(p))) + coalesce(e[floor(p)::INT + 2], 0) * (p - floor(p)) ELSE 0 END"
+register("kirchhoff", lambda c: gathers.kirchhoff(c.derive(c.df, c.meta.with_axis(2, d=10.0)), 2000.0, 20.0), f"SELECT k AS i1, x AS i2, round(sum({_LERP_OPEN}), 6) + 0.0 AS v FROM (SELECT *, sqrt(pow(k * 0.004, 2) + pow((i2 - x) * 0.01, 2)) / 0.004 AS p FROM (SELECT *, unnest(range(greatest(i2 - 2, 0), least(i2 + 3, (SELECT count(*) FROM embeddings)))) AS x FROM {_E}), range(64) r(k)) GROUP BY k, x")
 register("radon_model", lambda c: gathers.radon_model(c.derive(c.df, c.meta.with_axis(2, d=1e-5)), [0.0, 30.0]), f"SELECT q AS i1, j AS i2, round(sum(w), 6) + 0.0 AS v FROM (SELECT j, floor(p)::BIGINT + e AS q, v * CASE WHEN e = 0 THEN 1 - p + floor(p) ELSE p - floor(p) END AS w FROM (SELECT *, (i1 * 0.004 + i2 * 1e-5::DOUBLE * x) / 0.004 AS p FROM {PANEL}, (VALUES (0::BIGINT, 0.0::DOUBLE), (1, 30.0)) o(j, x) WHERE v <> 0), range(2) t(e)) WHERE q BETWEEN 0 AND 63 GROUP BY q, j")
 register("locate", plain=lambda s, d: gathers.locate(table(s, d, "embeddings").selectExpr("0D AS sx", "0D AS sz", "vec_id % 100 * 1D AS rx", "0D AS rz", "0.05 + 0.001 * (vec_id % 7) AS observed", "1D AS weight"), 1500.0, Axis(11, 0.0, 10.0), Axis(6, 0.0, 20.0)), sql="SELECT iz, ix, ix * 10.0::DOUBLE AS x, iz * 20.0::DOUBLE AS z, round(o, 6) + 0.0 AS objective FROM (SELECT iz, ix, sum(0.5 * pow(0.05::DOUBLE + 0.001::DOUBLE * (vec_id % 7) - (sqrt(pow(ix * 10, 2) + pow(iz * 20, 2)) + sqrt(pow(vec_id % 100 - ix * 10, 2) + pow(iz * 20, 2))) / 1500, 2)) AS o FROM embeddings, range(6) z(iz), range(11) x(ix) GROUP BY iz, ix) ORDER BY o, iz, ix LIMIT 1")
 
@@ -300,11 +321,12 @@ register("cconv", lambda c: filters.circular_convolve(c, _taps_of_four()), "SELE
 register("correlate", lambda c: filters.correlate(c, _taps_of_four()[:3]), f"SELECT i1, i2, round(coalesce(lag(v) {_W}, 0) - 0.5 * v + 2 * coalesce(lead(v) {_W}, 0), 6) + 0.0 AS v FROM {PANEL}")
 register("xcorr", lambda c: filters.trace_correlation(c, c.map(F.abs)), "SELECT k AS i1, vec_id AS i2, round(list_sum([CAST(embedding[i] AS DOUBLE) * abs(CAST(embedding[i - k + 63] AS DOUBLE)) FOR i IN range(greatest(1, k - 62), least(64, k + 1) + 1)]), 6) + 0.0 AS v FROM embeddings, range(127) r(k)")
 register("envcorr", lambda c: filters.trace_correlation(c, c.map(F.abs), "same", True, True))
-register("bandstop", lambda c: filters.bandstop(c, 20.0, 40.0, 4.0))
-register("notch", lambda c: filters.notch(c, 50.0, 8.0))
-register("trapez", lambda c: filters.trapezoid(c, (5.0, 12.0, 50.0, 70.0)))
-register("halfint", filters.half_integral)
-register("halfdiff", lambda c: filters.half_integral(c, True))
+register("bandstop", lambda c: filters.bandstop(c, 20.0, 40.0, 4.0), _filtered(f"1 - {_flank('(f - 20) / 4 + 1')} * {_flank('(40 - f) / 4 + 1')}"))
+register("notch", lambda c: filters.notch(c, 50.0, 8.0), _filtered("CASE WHEN f BETWEEN 46 AND 54 THEN 0 ELSE 1 END"))
+register("trapez", lambda c: filters.trapezoid(c, (5.0, 12.0, 50.0, 70.0)), _filtered(f"CASE WHEN f >= 5 AND f < 12 THEN {_flank('(f - 5) / 7')} WHEN f >= 12 AND f < 50 THEN 1 WHEN f >= 50 AND f < 70 THEN {_flank('(70 - f) / 20')} ELSE 0 END"))
+_OMEGA = "CASE WHEN k = 0 THEN 0 ELSE pow(greatest(2 * pi() * k / 64, 1 / 64e0), {power}) * {turn}(pi() / 4) END"
+register("halfint", filters.half_integral, _filtered(_OMEGA.format(power=-0.5, turn="cos"), _OMEGA.format(power=-0.5, turn="-sin")))
+register("halfdiff", lambda c: filters.half_integral(c, True), _filtered(_OMEGA.format(power=0.5, turn="cos"), _OMEGA.format(power=0.5, turn="sin")))
 register("fkspectrum", filters.fk_spectrum)
 register("fkfilter", lambda c: filters.fk_filter(c, 10.0, 400.0, 5.0))
 register("spectra2", filters.spectra2)
@@ -315,6 +337,32 @@ register("locate_velocity", plain=lambda s, d: modelling.locate_velocity(_picks(
 SELECT iz, ix, sum(t * t) AS tt, sum(p * t) AS pt, sum(p * p) AS pp FROM (SELECT iz, ix, 0.05::DOUBLE + 0.001::DOUBLE * (vec_id % 7) AS t, sqrt(pow(ix * 10, 2) + pow(iz * 20, 2)) + sqrt(pow(vec_id % 100 - ix * 10, 2) + pow(iz * 20, 2)) AS p FROM embeddings, range(6) z(iz), range(11) x(ix)) GROUP BY iz, ix))) ORDER BY o, iz, ix LIMIT 1""")
 register("least_squares", plain=lambda s, d: _solved(s, d), sql="SELECT 0::BIGINT AS i, round(regr_intercept(p_retailprice, p_size / 50.0), 4) + 0.0 AS v FROM part UNION ALL SELECT 1, round(regr_slope(p_retailprice, p_size / 50.0), 4) + 0.0 FROM part")
 
+# complex samples
+_FULL = f"(SELECT (k + 32) % 64 AS i1, i2, sum(v * cos(2 * pi() * i1 * k / 64)) AS re, -sum(v * sin(2 * pi() * i1 * k / 64)) AS im FROM {PANEL}, range(64) r(k) GROUP BY k, i2)"
+_PARTS = "round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im"
+register("fft_real", lambda c: complexes.real(complexes.fft(c)), f"SELECT i1, i2, round(re, 6) + 0.0 AS v FROM {_FULL}")
+register("fft_imag", lambda c: complexes.imag(complexes.fft(c)), f"SELECT i1, i2, round(im, 6) + 0.0 AS v FROM {_FULL}")
+register("fft_axis2", lambda c: complexes.fft(reshape.reshape(c, (16, 4, c.meta.shape[1])), 2).long(), f"SELECT i1, i2, i3, {_PARTS} FROM (SELECT i1 % 16 AS i1, (k + 2) % 4 AS i2, i2 AS i3, sum(v * cos(pi() * (i1 // 16) * k / 2)) AS re, -sum(v * sin(pi() * (i1 // 16) * k / 2)) AS im FROM {PANEL}, range(4) r(k) GROUP BY 1, 2, 3)")
+register("ifft", lambda c: complexes.real(complexes.ifft(complexes.conjugate(complexes.fft(c)))), f"SELECT (64 - i1) % 64 AS i1, i2, round(v, 6) + 0.0 AS v FROM {PANEL}")
+register("rfft", lambda c: complexes.rfft(c).long(), f"SELECT i1, i2, {_PARTS} FROM {DFT}")
+register("irfft", lambda c: complexes.irfft(complexes.conjugate(complexes.rfft(c))), f"SELECT (64 - i1) % 64 AS i1, i2, round(v, 6) + 0.0 AS v FROM {PANEL}")
+register("fft1", lambda c: complexes.fft1(c).long(), f"SELECT i1, i2, {_PARTS} FROM {DFT}")
+register("fft1_inverse", lambda c: complexes.fft1(complexes.fft1(c), inverse=True), f"SELECT i1, i2, round(v, 6) + 0.0 AS v FROM {PANEL}")
+register("cmplx", lambda c: complexes.cmplx(c, c.map(F.abs)).long(), f"SELECT i1, i2, round(v, 6) + 0.0 AS re, round(abs(v), 6) + 0.0 AS im FROM {PANEL}")
+register("rtoc", lambda c: complexes.rtoc(c).long(), f"SELECT i1, i2, round(v, 6) + 0.0 AS re, 0.0::DOUBLE AS im FROM {PANEL}")
+register("real", lambda c: complexes.real(complexes.cmplx(c, c.map(F.abs))), f"SELECT i1, i2, round(v, 6) + 0.0 AS v FROM {PANEL}")
+register("imag", lambda c: complexes.imag(complexes.cmplx(c, c.map(F.abs))), f"SELECT i1, i2, round(abs(v), 6) + 0.0 AS v FROM {PANEL}")
+register("modulus", lambda c: complexes.modulus(complexes.cmplx(c, c.map(lambda v: v * v))), f"SELECT i1, i2, round(sqrt(v * v + pow(v, 4)), 6) + 0.0 AS v FROM {PANEL}")
+register("phase", lambda c: complexes.phase(complexes.cmplx(c, c.map(lambda v: v * v + 1))), f"SELECT i1, i2, round(atan2(v * v + 1, v), 6) + 0.0 AS v FROM {PANEL}")
+register("complex_cg", plain=lambda s, d: _complex_system(s, d), sql="SELECT unnest([0::BIGINT, 1]) AS i, unnest([round(3 * m / 5, 6), 0.0]) + 0.0 AS re, unnest([0.0, round(4 * m / 5, 6)]) + 0.0 AS im FROM (SELECT avg(p_size) AS m FROM part)")
+register("grad3", lambda c: neighbour.sobel3(reshape.reshape(c, (16, 4, c.meta.shape[1]))), f"""WITH t AS (SELECT i1 % 16 AS i1, i1 // 16 AS i2, i2 AS i3, v FROM {PANEL}),
+a AS (SELECT *, lag(v) OVER w + 4 * v + lead(v) OVER w AS a, lead(v) OVER w - lag(v) OVER w AS b FROM t WINDOW w AS (PARTITION BY i1, i3 ORDER BY i2)),
+p AS (SELECT *, lag(a) OVER w + 4 * a + lead(a) OVER w - 12 * v AS p, lag(b) OVER w + 4 * b + lead(b) OVER w AS q, lead(a) OVER w - lag(a) OVER w AS r, lead(v) OVER w - lag(v) OVER w AS s FROM a WINDOW w AS (PARTITION BY i1, i2 ORDER BY i3)),
+g AS (SELECT *, lead(p) OVER w - lag(p) OVER w AS x, lag(q) OVER w + 4 * q + lead(q) OVER w - 12 * b AS y, lag(r) OVER w + 4 * r + lead(r) OVER w - 12 * s AS z FROM p WINDOW w AS (PARTITION BY i2, i3 ORDER BY i1))
+SELECT i1, i2, i3, round(coalesce((x * x + y * y + z * z) / 36, 0), 6) + 0.0 AS v FROM g""")
+register("intbin3", plain=lambda s, d: headers.intbin3(table(s, d, "lineitem"), F.col("l_linenumber"), F.col("l_suppkey") % 10, F.col("l_orderkey") % 8, F.col("l_quantity"), F.col("l_orderkey"), (Axis(7, 1.0), Axis(10, 0.0), Axis(8, 0.0))), sql="SELECT a AS i1, b AS i2, c AS i3, coalesce(max_by(l_quantity, l_orderkey * 100 + l_quantity), 0)::DOUBLE AS v FROM range(7) x(a), range(10) y(b), range(8) z(c) LEFT JOIN lineitem ON l_linenumber - 1 = a AND l_suppkey % 10 = b AND l_orderkey % 8 = c GROUP BY a, b, c")
+register("parabolic_radon", lambda c: resample.radon(c, _offset(), [0.001, 0.004], parabolic=True, x0=100.0).drop("gather"), f"SELECT k AS i1, j AS i2, round(sum(a), 6) + 0.0 AS v FROM (SELECT k, j, {_lerp('p')} AS a FROM (SELECT *, k + p0 * pow({_H} / 100e0, 2) / 0.004e0 AS p FROM {_E}, range(64) r(k), (VALUES (0::BIGINT, 0.001::DOUBLE), (1, 0.004)) s(j, p0))) GROUP BY k, j")
+
 # generators
 register("spike", plain=lambda s, d: generators.spike(s, (Axis(100), Axis(40)), [(5, 7), (100, 40)], [1.5, -2.0]).df, sql="SELECT i1, i2, CASE WHEN i1 = 4 AND i2 = 6 THEN 1.5 WHEN i1 = 99 AND i2 = 39 THEN -2.0 ELSE 0.0 END::DOUBLE AS v FROM range(100) a(i1), range(40) b(i2)")
 register("ricker", plain=lambda s, d: generators.ricker(s, 25.0, Axis(200, 0.0, DT)).df, sql="SELECT i1, round((1 - 2 * s) * exp(-s), 6) + 0.0 AS v FROM (SELECT i1, pow(pi() * 25 * (i1 * 0.004 - 0.04), 2) AS s FROM range(200) r(i1))")
@@ -362,6 +410,14 @@ def _solved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.x.select("i", F.round("v", 4).alias("v"))
 
 
+def _complex_system(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[[3, i], [-i, 2]] x = (m, i m), m being the mean size of a part."""
+    entries = spark.createDataFrame([(0, 0, 3.0, 0.0), (0, 1, 0.0, 1.0), (1, 0, 0.0, -1.0), (1, 1, 2.0, 0.0)], "row long, col long, re double, im double")
+    mean = table(spark, sf_dir, "part").agg(F.avg("p_size").alias("m"))
+    right = mean.select(F.explode(F.array(F.struct(F.lit(0).cast("long").alias("i"), F.col("m").alias("re"), F.lit(0.0).alias("im")), F.struct(F.lit(1).cast("long").alias("i"), F.lit(0.0).alias("re"), F.col("m").alias("im")))).alias("e")).select("e.*")
+    return complexes.complex_conjugate_gradient(entries, right, 2, steps=4, tol=1e-12).x
+
+
 def _survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A shot for each nation over a layered model."""
     model = modelling.layered_velocity(spark, Axis(40, 0.0, 10.0), Axis(60, 0.0, 10.0), [(0.0, 1500.0), (200.0, 2500.0)])

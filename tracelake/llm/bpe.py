@@ -23,10 +23,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.llm.scratch import small_batches
 from tracelake.llm.text import chunks, extended
 
 #: Distinct pre-tokens in a generation of a worker's memo.
-MEMO = 400_000
+MEMO = 200_000
 
 
 def pack(ids: list[int]) -> bytes:
@@ -172,6 +173,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     A null or empty text has no ids (an empty array).  ``ranks_path`` must be
     readable on every executor.  A column already named ``into`` is replaced.
     """
+    small_batches(docs.sparkSession)
     kept = docs.drop(into)
     schema = extended(kept.schema, f"`{into}` array<int>")
 
@@ -221,5 +223,6 @@ def round_trip_digest(docs: DataFrame, ranks_path: str, pattern: str, key: str =
                 names=[key, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

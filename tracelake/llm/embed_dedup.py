@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.components import components
+from tracelake.llm.components import components, forest
 from tracelake.llm.scratch import Scratch, partitions_for
 
 #: Vectors of a tile; rows that the principal components are fitted on (any basis gives right results, a fitted one is fast).
@@ -41,21 +41,6 @@ def fit_basis(vectors: np.ndarray) -> np.ndarray:
     return np.linalg.eigh(centred.T @ centred)[1][:, ::-1]
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest reachable number of each of n nodes."""
-    label = np.arange(n)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        np.minimum.at(label, before, label)
-        label = label[label]
-        if (label == before).all():
-            break
-    return label
-
-
 def linked_pairs(x: np.ndarray, y: np.ndarray, raw_x: np.ndarray, raw_y: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) of rows whose cosine is ``threshold`` or more; i < j where both tiles are the same."""
     suffix = lambda m, k: np.sqrt((m[:, k:] ** 2).sum(axis=1))
@@ -90,7 +75,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = TIL
     links with nothing, as does a row with a null label; such a row is its own
     component.  Rows with equal vectors link with each other.  A null id links
     as any other, but never names a component; one of null ids only has the name
-    null, and its rows are all kept.
+    null, and its rows are all kept.  Rows that repeat an id are vectors of
+    their own, each with its own links and component.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
@@ -103,16 +89,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = TIL
     # -0.0 and 0.0 are the same component
     every = every.withColumn("same", F.when(F.col("fine"), F.sha2(F.concat_ws(",", F.transform("v", lambda x: (x + 0.0).cast("string"))), 256)))
     rows = scratch.table(every.select("vec_id", "label", "same", "fine"), "rows")
-    # a class of null ids only goes by a number past all ids, so that it links but is never the smallest beside an id
-    last = rows.agg(F.max("vec_id").cast("long")).first()[0]
-    last = -1 if last is None else last
-    heads = every.where("fine").groupBy("label", "same").agg(F.min("vec_id").cast("long").alias("head"), F.count("*").alias("copies"), F.first("v").alias("v"))
-    heads = scratch.table(heads.withColumn("head", F.coalesce("head", F.lit(last) + 1 + F.monotonically_increasing_id())), "heads")
+    heads = every.where("fine").groupBy("label", "same").agg(F.min("vec_id").alias("name"), F.count("*").alias("copies"), F.first("v").alias("v"))
+    heads = scratch.table(heads.withColumn("head", F.monotonically_increasing_id()), "heads")
 
     lengths = [r[0] for r in heads.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(64).collect()]
     bases = {}
     for d in lengths:  # a table of vectors has one length; others are compared in their own basis
-        rows_d = heads.where(F.size("v") == d).orderBy(F.xxhash64("head")).limit(FIT_ROWS).select("v").toPandas()["v"]
+        rows_d = heads.where(F.size("v") == d).orderBy("same").limit(FIT_ROWS).select("v").toPandas()["v"]
         sample = np.array([np.asarray(x) for x in rows_d])
         bases[d] = fit_basis(sample / np.sqrt((sample**2).sum(axis=1, keepdims=True)))
     slab_width = math.sqrt(max(2 - 2 * threshold, 0)) + 1e-6
@@ -175,8 +158,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = TIL
     got = scratch.table(tasks.repartition(parts, "label", "d", "s", "a", "b", "across").groupBy("label", "d", "s", "a", "b", "across").applyInArrow(compare, "head long, other long, links long"), "links")
     counts = got.groupBy("head").agg(F.sum("links").alias("links")).withColumnRenamed("head", "h")
     groups = components(got.select(F.col("head").alias("a"), F.col("other").alias("b")), scratch).withColumnRenamed("node", "g")
-    named = heads.select("label", "same", "head", "copies").join(counts, F.col("head") == F.col("h"), "left").join(groups, F.col("head") == F.col("g"), "left")
-    named = scratch.table(named.select(F.col("label").alias("l"), F.col("same").alias("sm"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.when(F.coalesce("component", "head") <= last, F.coalesce("component", "head")).cast(vectors.schema[key].dataType).alias("component_id")), "named")
+    named = heads.select("label", "same", "head", "name", "copies").join(counts, F.col("head") == F.col("h"), "left").join(groups, F.col("head") == F.col("g"), "left")
+    named = scratch.table(named.select("label", "same", "name", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "head").alias("component")), "named")
+    names = named.groupBy(F.col("component").alias("c")).agg(F.min("name").alias("component_id"))
+    named = named.join(names, F.col("component") == F.col("c")).select(F.col("label").alias("l"), F.col("same").alias("sm"), "n_links", "component_id")
     out = rows.join(named, (F.col("label") == F.col("l")) & (F.col("same") == F.col("sm")), "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("vec_id").isNull() & F.col("component_id").isNull()))
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = scratch.table(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("vec_id").isNull() & F.col("component_id").isNull())), "found")
+    scratch.clear(keep=[out])
+    return out

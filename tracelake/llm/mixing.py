@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.llm.prefilter import unused
 from tracelake.llm.scratch import Scratch
 
 #: 2^31 divided by the golden ratio, made odd.
@@ -24,6 +25,8 @@ STEP, RANGE_BITS = 1327217885, 31
 #: Points are matched to sources by cells of this many bits.
 CELL_BITS = 10
 SLOTS_PER_CHUNK, DOCS_PER_BUCKET = 256, 512
+#: Chunks or buckets whose sums are added up in one window.
+SUMS_PER_WINDOW = 4096
 
 
 @dataclass(frozen=True)
@@ -69,6 +72,20 @@ def targets(sizes: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
     return per.select("source", "source_size", "target", point(upto - F.col("target")).alias("low"), point(upto).alias("high"))
 
 
+def _totals_before(sums: DataFrame, place: str) -> DataFrame:
+    """``sums(source, place, n)`` as (s, p, base): what the smaller places of the source add up to.
+
+    In two levels, so that a source with most of the rows is not one window.
+    """
+    sums = sums.withColumn("high", F.floor(F.col(place) / SUMS_PER_WINDOW))
+    upto = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    tops = sums.groupBy(F.col("source").alias("s"), F.col("high").alias("h")).agg(F.sum("n").alias("n"))
+    tops = tops.select("s", "h", F.coalesce(F.sum("n").over(upto("s").orderBy("h")), F.lit(0)).alias("top"))
+    inside = sums.select("source", "high", F.col(place).alias("p"), F.coalesce(F.sum("n").over(upto("source", "high").orderBy(place)), F.lit(0)).alias("within"))
+    both = inside.join(tops, F.col("source").eqNullSafe(F.col("s")) & (F.col("high") == F.col("h")))
+    return both.select("s", "p", (F.col("top") + F.col("within")).alias("base"))
+
+
 def schedule(spark, goals: DataFrame, slots: int) -> DataFrame:
     """(slot, source, block): the source of each slot, and how many of its slots came before."""
     shift = RANGE_BITS - CELL_BITS
@@ -76,10 +93,9 @@ def schedule(spark, goals: DataFrame, slots: int) -> DataFrame:
     points = spark.range(slots).select(F.col("id").alias("slot"), ((F.col("id") % (1 << RANGE_BITS)) * STEP % (1 << RANGE_BITS)).alias("point"))
     points = points.withColumn("cell", F.shiftright("point", shift))
     chosen = points.join(cells, "cell").where("point >= low and point < high").select("slot", "source", F.floor(F.col("slot") / SLOTS_PER_CHUNK).alias("chunk"))
-    before = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    counts = chosen.groupBy("source", "chunk").agg(F.count("*").alias("n")).select(F.col("source").alias("s"), F.col("chunk").alias("c"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    counts = _totals_before(chosen.groupBy("source", "chunk").agg(F.count("*").alias("n")), "chunk")
     ranked = chosen.withColumn("r", F.row_number().over(Window.partitionBy("source", "chunk").orderBy("slot")) - 1)
-    return ranked.join(counts, F.col("source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c"))).select("slot", "source", (F.col("base") + F.col("r")).alias("block"))
+    return ranked.join(counts, F.col("source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("p"))).select("slot", "source", (F.col("base") + F.col("r")).alias("block"))
 
 
 def _key(plan: MixPlan) -> Column:
@@ -93,11 +109,10 @@ def _bucket(key: Column, rows: int) -> Column:
 def streams(sizes: DataFrame, plan: MixPlan, rows: int) -> DataFrame:
     """``sizes`` with (bucket, nth, start): each document's place in its source's stream, by hash of its id."""
     placed = sizes.withColumn("key", _key(plan)).withColumn("bucket", _bucket(F.col("key"), rows))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = placed.groupBy("source", "bucket").agg(F.sum("size").alias("n")).select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    sums = _totals_before(placed.groupBy("source", "bucket").agg(F.sum("size").alias("n")), "bucket")
     inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size")
     placed = placed.withColumn("nth", F.row_number().over(inside)).withColumn("within", F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = placed.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    placed = placed.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("p")))
     return placed.select("doc_id", "source", "size", "bucket", "nth", (F.col("base") + F.col("within")).alias("start"))
 
 
@@ -148,8 +163,9 @@ def mixed_documents(docs: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
     _, pieces, rows = mix(docs, plan)
     place = lambda key: F.struct(_bucket(key, rows).alias("bucket"), key.alias("key"), F.col("doc_id").alias("id"))
     ends = pieces.groupBy("source", "pass").agg(F.max(place(_key(plan))).alias("end"))
-    ends = ends.groupBy(F.col("source").alias("_source")).agg(F.collect_list("end").alias("_ends"))
+    of, last, uses, nth = unused(docs, "of_source", "last_places", "uses", "nth_use")
+    ends = ends.groupBy(F.col("source").alias(of)).agg(F.collect_list("end").alias(last))
     ends = Scratch(docs.sparkSession, "mixed").table(ends, "ends")  # a row for each source
-    here = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).join(ends, F.col("source").eqNullSafe(F.col("_source")))
-    uses = F.size(F.filter("_ends", lambda end: place(_key(plan)) <= end))
-    return here.withColumn("_uses", uses).where("_uses > 0").withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_uses")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    here = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).join(ends, F.col("source").eqNullSafe(F.col(of)))
+    here = here.withColumn(uses, F.size(F.filter(last, lambda end: place(_key(plan)) <= end))).where(F.col(uses) > 0)
+    return here.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(uses)))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -140,8 +140,8 @@ def _linked(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, Scrat
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), *made.columns], names=["doc_id", "t1", "t2", *made.schema.names])
 
     sets = scratch.table(docs.mapInArrow(describe, f"doc_id {kind}, t1 long, t2 long, n long, d1 long, d2 long, prefix array<long>, signature binary"), "sets")
-    heads = sets.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("name"), F.min(F.struct("t1", "t2")).alias("t"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    heads = scratch.table(heads.select("d1", "d2", "name", "t.t1", "t.t2", "n", "prefix", F.xxhash64("prefix").alias("p1"), F.xxhash64(F.lit(1), "prefix").alias("p2"), F.monotonically_increasing_id().alias("head")), "heads")
+    heads = sets.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("name"), F.min(F.struct("t1", "t2")).alias("t"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("signature").alias("signature"))
+    heads = scratch.table(heads.select("d1", "d2", "name", "t.t1", "t.t2", "n", "prefix", "signature", F.xxhash64("prefix").alias("p1"), F.xxhash64(F.lit(1), "prefix").alias("p2"), F.monotonically_increasing_id().alias("head")), "heads")
 
     # groups of several heads; any other head is its own group
     groups = heads.groupBy("n", "p1", "p2").agg(F.min("head").alias("gid"), F.count("*").alias("c")).where("c > 1").select(F.col("n").alias("gn"), F.col("p1").alias("g1"), F.col("p2").alias("g2"), "gid")
@@ -162,7 +162,7 @@ def _linked(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, Scrat
     star = scratch.table(rows.where("gid <> l.gid").where(_may(F.col("n"), F.col("l.n"), F.col("pos"), F.col("l.pos"), top, bottom)).select(F.col("l.gid").alias("a"), F.col("gid").alias("b")).distinct(), "star")
     more = grouped.where("head <> gid").select(F.col("gid").alias("g"), F.col("head").alias("m"))
     expanded = star.union(star.join(more, F.col("b") == F.col("g")).select("a", F.col("m").alias("b"))).union(more.select(F.col("g").alias("a"), F.col("m").alias("b")))
-    links = _verified(expanded, heads, sets, docs, n, top, bottom, scratch)
+    links = _verified(expanded, heads, docs, n, top, bottom, scratch)
     labels = scratch.table(components(links, scratch), "components")
 
     # what the stars have not joined: the least and greatest component of each group
@@ -171,19 +171,18 @@ def _linked(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, Scrat
     of_group = scratch.table(of_group.select("gid", "head", "n", "component"), "labelled")
     spread = of_group.groupBy("gid").agg(F.min("component").alias("from"), F.max("component").alias("to")).withColumnRenamed("gid", "y")
     # a leader's own pairs are settled, but not those of the other members of its group
-    left = rows.where("(gid <> l.gid or several) and (c > 2 or l.several)").select("bucket", "gid", "n", "pos").join(known, F.col("gid") == F.col("x"), "left").join(spread, F.col("gid") == F.col("y"), "left")
-    left = left.select("bucket", F.col("gid").alias("id"), "n", "pos", F.coalesce("from", "component", "gid").alias("from"), F.coalesce("to", "component", "gid").alias("to"))
+    left = rows.where("(gid <> l.gid or several) and (c > 2 or l.several)").select("bucket", "gid", "n", "pos", "several").join(known, F.col("gid") == F.col("x"), "left").join(spread, F.col("gid") == F.col("y"), "left")
+    left = left.select("bucket", F.col("gid").alias("id"), "n", "pos", F.coalesce("from", "component", "gid").alias("from"), F.coalesce("to", "component", "gid").alias("to"), "several")
     pairs = scratch.table(_blocked_pairs(scratch.table(left, "left"), top, bottom, scratch).distinct(), "group_pairs")
-    of_several = grouped.select(F.col("gid").alias("g")).distinct()
-    single = pairs.join(of_several, F.col("a") == F.col("g"), "left_anti").join(of_several, F.col("b") == F.col("g"), "left_anti")
-    wide = pairs.join(single.select(F.col("a").alias("sa"), F.col("b").alias("sb")), (F.col("a") == F.col("sa")) & (F.col("b") == F.col("sb")), "left_anti").withColumn("bucket", F.xxhash64("a", "b"))
-    sides = wide.select("bucket", F.col("a").alias("id")).union(wide.select("bucket", F.col("b").alias("id")))
-    sides = sides.join(of_group, F.col("id") == F.col("gid"), "left").join(known, F.col("id") == F.col("x"), "left").join(heads.select(F.col("head").alias("i"), F.col("n").alias("m")), F.col("id") == F.col("i"))
-    sides = sides.select("bucket", F.coalesce("head", "id").alias("id"), F.col("m").alias("n"), F.lit(0).alias("pos"), F.coalesce(of_group["component"], known["component"], "id").alias("from"))
-    own = of_group.where("head <> gid").select(F.col("gid").alias("bucket"), F.col("head").alias("id"), "n", F.lit(0).alias("pos"), F.col("component").alias("from"))
-    members = scratch.table(sides.union(own).withColumn("to", F.col("from")), "members")
-    wanted = single.union(_blocked_pairs(members, top, bottom, scratch)).distinct()
-    links = links.union(_verified(wanted, heads, sets, docs, n, top, bottom, scratch))
+    # pairs with a group of several members become buckets of the members of both
+    side = lambda k: F.struct(F.col(k).alias("id"), F.col(f"n{k}").alias("n"))
+    sides = pairs.where("wide").select(F.xxhash64("a", "b").alias("bucket"), F.explode(F.array(side("a"), side("b"))).alias("s")).select("bucket", "s.*")
+    sides = sides.join(of_group.select("gid", "head", F.col("component").alias("own")), F.col("id") == F.col("gid"), "left").join(known, F.col("id") == F.col("x"), "left")
+    sides = sides.select("bucket", F.coalesce("head", "id").alias("id"), "n", F.coalesce("own", "component", "id").alias("from"))
+    own = of_group.where("head <> gid").select(F.col("gid").alias("bucket"), F.col("head").alias("id"), "n", F.col("component").alias("from"))
+    members = scratch.table(sides.union(own).select("bucket", "id", "n", F.lit(0).alias("pos"), "from", F.col("from").alias("to"), F.lit(False).alias("several")), "members")
+    wanted = pairs.where("not wide").select("a", "b").union(_blocked_pairs(members, top, bottom, scratch).select("a", "b")).distinct()
+    links = links.union(_verified(wanted, heads, docs, n, top, bottom, scratch))
 
     labels = scratch.table(components(links, scratch), "components").select(F.col("node").alias("x"), "component")
     named = heads.select("d1", "d2", "name", "head").join(labels, F.col("head") == F.col("x"), "left").select("d1", "d2", "name", F.coalesce("component", "head").alias("comp"))
@@ -237,9 +236,10 @@ def _may(nx: Column, ny: Column, px: Column, py: Column, top: int, bottom: int)
 
 
 def _blocked_pairs(rows: DataFrame, top: int, bottom: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of ids of a bucket, a < b, that could join two components and that sizes and places allow.
+    """Pairs (a, b, na, nb, wide) of ids of a bucket, a < b, that could join two components and that sizes and places allow.
 
-    ``rows`` has (bucket, id, n, pos, from, to).  Buckets of one component end
+    ``rows`` has (bucket, id, n, pos, from, to, several); a pair is wide if
+    either stands for several.  Buckets of one component end
     here.  A bucket of more than BLOCK rows is dealt in blocks, and a task
     compares two of them.
     """
@@ -247,11 +247,11 @@ def _blocked_pairs(rows: DataFrame, top: int, bottom: int, scratch: Scratch) ->
     open_ = rows.groupBy("bucket").agg(F.min("from").alias("lo"), F.max("to").alias("hi"), F.count("*").alias("c")).where("lo < hi and c > 1")
     open_ = scratch.table(open_.select(F.col("bucket").alias("b"), F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "open")
     left = rows.join(open_, F.col("bucket") == F.col("b")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("bucket", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "id", "from", "to", "n", F.col("pos").cast("long").alias("pos"))
+    left = left.select("bucket", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "id", "from", "to", "n", F.col("pos").cast("long").alias("pos"), "several")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches, 3):
-            lo, hi, block, key, low, high, size, pos = (np.asarray(table.column(k)) for k in range(1, 9))
+            lo, hi, block, key, low, high, size, pos, several = (table.column(k).to_numpy(zero_copy_only=False) for k in range(1, 10))
             starts = np.flatnonzero(_changes(table, 3))
             sizes = np.diff(np.append(starts, table.num_rows))
 
@@ -260,8 +260,9 @@ def _blocked_pairs(rows: DataFrame, top: int, bottom: int, scratch: Scratch) ->
                 keep = ~one & (key[i] != key[j]) & (bottom * np.minimum(size[i], size[j]) >= top * np.maximum(size[i], size[j]))
                 i, j = i[keep], j[keep]
                 keep = np.minimum(size[i] - pos[i], size[j] - pos[j]) * (top + bottom) >= top * (size[i] + size[j])
-                a, b = key[i[keep]], key[j[keep]]
-                return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                i, j = i[keep], j[keep]
+                i, j = np.where(key[i] < key[j], i, j), np.where(key[i] < key[j], j, i)
+                return pa.RecordBatch.from_arrays([pa.array(x) for x in (key[i], key[j], size[i], size[j], several[i] | several[j])], names=["a", "b", "na", "nb", "wide"])
 
             small = (sizes <= SMALL) & (lo[starts] == hi[starts])
             for m in np.unique(sizes[small]).tolist():
@@ -278,7 +279,7 @@ def _blocked_pairs(rows: DataFrame, top: int, bottom: int, scratch: Scratch) ->
                     keep = (i < j) | (lo[a] != hi[a])
                     yield settle(i[keep], j[keep])
 
-    return left.repartition(parts, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(pairs, "a long, b long")
+    return left.repartition(parts, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(pairs, "a long, b long, na long, nb long, wide boolean")
 
 
 def _changes(table: pa.Table | pa.RecordBatch, keys: int) -> np.ndarray:
@@ -307,29 +308,25 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.R
         yield pa.concat_batches(held)
 
 
-def _verified(pairs: DataFrame, heads: DataFrame, sets: DataFrame, docs: DataFrame, n: int, top: int, bottom: int, scratch: Scratch) -> DataFrame:
+def _verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, n: int, top: int, bottom: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough; those that the signatures rule out need no texts."""
     pairs = scratch.table(pairs, "pairs")
-    needed = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "needed")
-    some, _ = prefilter.split(heads.select("head", "n", "t1", "t2"), "head", *prefilter.bitmap(needed, "id", needed.count()))
-    needed = scratch.table(some.join(needed, F.col("head") == F.col("id")).select("id", "n", F.col("t1").alias("u1"), F.col("t2").alias("u2")), "needed")
-    same = (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2"))
-    some, _ = prefilter.split(sets.select("t1", "t2", "signature"), "t1", *prefilter.bitmap(needed, "u1", needed.count()))
-    marks = scratch.table(some.dropDuplicates(["t1", "t2"]).join(needed, same).select("id", "n", "signature"), "marks")
+    marks, _ = prefilter.split(heads.select("head", "n", "t1", "t2", "signature"), "head", *prefilter.bitmap(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id", 2 * pairs.count()))
+    marks = scratch.table(marks, "marks")
 
     def rule_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [most_overlap(nx, ny, x, y) * (top + bottom) >= top * (nx + ny) for nx, ny, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+            good = [most_overlap(nx, ny, x, y) * (top + bottom) >= top * (nx + ny) for nx, ny, x, y in zip(*(batch.column(k).to_pylist() for k in range(6, 10)), strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:6], names=["a", "b", "a1", "a2", "b1", "b2"]).filter(pa.array(good, pa.bool_()))
 
-    side = lambda k: marks.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("signature").alias(f"s{k}"))
-    pairs = scratch.table(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(rule_out, "a long, b long"), "likely")
+    side = lambda k: marks.select(F.col("head").alias(k), F.col("n").alias(f"n{k}"), F.col("t1").alias(f"{k}1"), F.col("t2").alias(f"{k}2"), F.col("signature").alias(f"s{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a1", "a2", "b1", "b2", "na", "nb", "sa", "sb")
+    likely = scratch.table(both.mapInArrow(rule_out, "a long, b long, a1 long, a2 long, b1 long, b2 long"), "likely")
     scratch.drop(marks)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("i")).distinct()
-    wanted = scratch.table(needed.join(wanted, F.col("id") == F.col("i")).select("id", "u1", "u2"), "wanted")
-    some, _ = prefilter.split(docs.select("text", "t1", "t2"), "t1", *prefilter.bitmap(wanted, "u1", wanted.count()))
-    texts = scratch.table(some.join(wanted, same).dropDuplicates(["id"]).select("id", "text"), "texts")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    texts, _ = prefilter.split(docs.select("t1", "t2", "text"), "t1", *prefilter.bitmap(likely.select(F.explode(F.array("a1", "b1")).alias("u1")), "u1", 2 * likely.count()))
+    texts = scratch.table(texts.dropDuplicates(["t1", "t2"]), "texts")
+    text = lambda k: texts.select(F.col("t1").alias(f"{k}1"), F.col("t2").alias(f"{k}2"), F.col("text").alias(f"t{k}"))
+    both = likely.join(text("a"), ["a1", "a2"]).join(text("b"), ["b1", "b2"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, sets = WordHashes(), {}

@@ -1,20 +1,19 @@
 """Quality classifier: random-indexing word vectors and a two-layer network.
 
-Each word gets a sparse ternary index vector from its hash; a word's vector adds
-up the index vectors of its neighbours in the labelled sample, scaled, plus its
-own.  Words outside the vocabulary share vectors by shape.  A document is the
-mean of its words' vectors and, over runs of 64 words, the largest and smallest
+A word's parts and their shapes are symbols, numbered by hash.  Each number has
+a sparse ternary index vector; a symbol's vector adds up the index vectors of
+its neighbours in all documents, scaled, plus its own.  A document is the mean
+of its symbols' vectors and, over runs of 64 symbols, the largest and smallest
 value of each component.  A hidden layer and a logistic output are trained with
 numpy; a temperature fitted on rows set aside calibrates the probabilities.
 
-Fitting is bounded: at most ``examples`` labelled rows (by hash of the id) and
-``words`` words.
+Word vectors cover every document and every word.  The network is fitted on at
+most ``examples`` labelled rows (by hash of the id).
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -26,16 +25,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.llm.scratch import Scratch
 from tracelake.llm.text import chunks, crc_fold, extended
 
 _PARTS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 _RUN = 64
+#: Numbers of symbols; words that share one share a vector.
+NUMBERS = 1 << 14
 
 
 @dataclass(frozen=True)
 class QualityPlan:
     examples: int = 12_000
-    words: int = 4096
     size: int = 48
     nonzero: int = 6
     window: int = 2
@@ -50,7 +51,7 @@ class QualityPlan:
 
 
 def shape(part: str) -> str:
-    """Class of a part of a word that is not in the vocabulary."""
+    """Class of a part of a word."""
     if part[0].isdigit():
         return f"<digits{min(len(part), 6)}>"
     if not part[0].isalpha():
@@ -60,61 +61,54 @@ def shape(part: str) -> str:
 
 
 def symbols(word: str) -> list[str]:
-    """Parts of a word: letters (lower-cased, with a mark of capitals), digits, signs."""
-    out = []
-    for p in _PARTS.findall(word):
-        out.append(p.lower() if p[0].isalpha() else p)
-        if p[0].isalpha():
-            out.append(shape(p))
-    return out
+    """Parts of a word (letters in lower case), each with its shape."""
+    return [x for p in _PARTS.findall(word) for x in (p.lower(), shape(p))]
 
 
-REPEAT, UNKNOWN = "<repeat>", "<other>"
+def number(symbol: str) -> int:
+    return xxhash.xxh3_64_intdigest(symbol.encode()) & (NUMBERS - 1)
+
+
+REPEAT = number("<repeat>")
 
 
 class Words:
     """Numbers of symbols; remembered by word up to a bound."""
 
-    def __init__(self, names: list[str]):
-        self.names = names
-        self.number = {w: i for i, w in enumerate(names)}
+    def __init__(self):
         self.memo: dict[str, tuple[int, ...]] = {}
 
-    def __getstate__(self):
-        return {"names": self.names, "number": self.number, "memo": {}}
-
-    def _of(self, word: str) -> tuple[int, ...]:
-        other = self.number[UNKNOWN]
-        got = []
-        for s in symbols(word):
-            n = self.number.get(s)
-            if n is None:
-                n = self.number.get(shape(s), other) if not s[0].isalpha() and s[0] != "<" else other if s[0] == "<" else None
-            if n is not None:
-                got.append(n)
-        return tuple(got)
-
     def of(self, text: str | None) -> np.ndarray:
         """Numbers of a text's symbols; a word like the one before it is one REPEAT."""
         words = text.split() if text else []
         memo = self.memo
-        if len(memo) > 400_000:
+        if len(memo) > 300_000:
             memo.clear()
         for w in set(words).difference(memo):
-            memo[w] = self._of(w)
+            memo[w] = tuple(map(number, symbols(w)))
         same = [False, *map(eq, words[1:], words)]
         if True in same:
-            repeat = (self.number[REPEAT],)
-            return np.fromiter(chain.from_iterable(repeat if s else memo[w] for w, s in zip(words, same, strict=True)), np.int32)
+            return np.fromiter(chain.from_iterable((REPEAT,) if s else memo[w] for w, s in zip(words, same, strict=True)), np.int32)
         return np.fromiter(chain.from_iterable(map(memo.__getitem__, words)), np.int32)
 
 
-def index_vector(word: str, size: int, nonzero: int) -> np.ndarray:
-    """Sparse ternary vector of a word, from its hash."""
-    rng = np.random.default_rng(xxhash.xxh3_64_intdigest(word.encode()))
-    out = np.zeros(size)
-    out[rng.permutation(size)[:nonzero]] = rng.choice([-1.0, 1.0], nonzero)
-    return out
+def index_vectors(plan: QualityPlan) -> tuple[np.ndarray, np.ndarray]:
+    """(components, signs) of the entries of each number's index vector."""
+    rng = np.random.default_rng(plan.seed)
+    return rng.random((NUMBERS, plan.size)).argsort(axis=1)[:, : plan.nonzero], rng.choice([-1.0, 1.0], (NUMBERS, plan.nonzero))
+
+
+def neighbour_sums(texts: list[np.ndarray], components: np.ndarray, signs: np.ndarray, plan: QualityPlan) -> np.ndarray:
+    """For each number the sum of the index vectors of its neighbours within ``window``, over whole texts (whole numbers)."""
+    gap = np.full(plan.window, NUMBERS, np.int32)  # stands between texts and has no entries
+    ids = np.concatenate([x for t in texts for x in (t, gap)] or [gap])
+    components, signs = np.vstack([components, components[:1]]), np.vstack([signs, np.zeros((1, signs.shape[1]))])
+    total = np.zeros((NUMBERS + 1) * plan.size)
+    for k in range(1, plan.window + 1):
+        for one, other in ((ids[k:], ids[:-k]), (ids[:-k], ids[k:])):
+            for j in range(plan.nonzero):
+                total += np.bincount(one.astype(np.int64) * plan.size + components[other, j], signs[other, j], len(total))
+    return total.reshape(-1, plan.size)[:NUMBERS]
 
 
 def pooled(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -187,72 +181,61 @@ def train(x: np.ndarray, y: np.ndarray, plan: QualityPlan) -> Network:
 @dataclass
 class QualityModel:
     plan: QualityPlan
-    words: Words | None
     vectors: np.ndarray | None
     network: Network | None
     rate: float
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
+    def scores(self, texts: list[str | None], words: Words) -> np.ndarray:
         if self.network is None:
             return np.full(len(texts), self.rate)
-        return self.network.probabilities(np.array([pooled(self.words.of(t), self.vectors) for t in texts]).reshape(len(texts), -1))
+        return self.network.probabilities(np.array([pooled(words.of(t), self.vectors) for t in texts]).reshape(len(texts), -1))
 
 
 def fit(docs: DataFrame, labels: DataFrame, plan: QualityPlan = QualityPlan()) -> QualityModel:
     """Fit on rows of ``labels(doc_id, quality)`` outside the held-out fold.
 
     Rows with a null id or label are left out; an id that repeats counts once,
-    good if any of its rows is.  With labels of one kind only, or none, every
+    good if any of its rows is, with the first of its texts in their order.  With labels of one kind only, or none, every
     score is their rate (0.5 for none).
     """
+    scratch = Scratch(docs.sparkSession, "quality")
     sample = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (crc_fold("doc_id", plan.folds) != plan.held_out))
     sample = sample.groupBy("doc_id").agg(F.max((F.col("quality") > 0).cast("int")).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(plan.examples)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y")  # at most plan.examples rows of 16 bytes
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for part in chunks(batches):
-            for t in part.column(1).to_pylist():
-                seen.update(set(chain.from_iterable(map(symbols, set((t or "").split())))))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-
-    common = rows.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(plan.words)
-    names = [REPEAT, UNKNOWN, *(r["word"] for r in common.collect() if r["word"] not in (REPEAT, UNKNOWN))]
-    words, size = Words(names), plan.size
-    index = np.array([index_vector(w, size, plan.nonzero) for w in names])
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most plan.examples rows of 16 bytes
+    rows = scratch.table(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")), "sample")
+    components, signs = index_vectors(plan)
+    names = [f"v{k}" for k in range(plan.size)]
 
     def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(names), size))
+        words, total = Words(), np.zeros((NUMBERS, plan.size))
         for part in chunks(batches):
-            for t in part.column(1).to_pylist():
-                ids = words.of(t)
-                for k in range(1, plan.window + 1):
-                    if len(ids) > k:
-                        np.add.at(total, ids[k:], index[ids[:-k]])
-                        np.add.at(total, ids[:-k], index[ids[k:]])
+            total += neighbour_sums([words.of(t) for t in part.column(0).to_pylist()], components, signs, plan)
         hit = np.flatnonzero(total.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(hit), *(pa.array(total[hit, k]) for k in range(size))], names=["word", *(f"v{k}" for k in range(size))])
+        yield pa.RecordBatch.from_arrays([pa.array(hit), *(pa.array(total[hit, k], pa.float32()) for k in range(plan.size))], names=["word", *names])
 
-    near = rows.mapInArrow(context, "word long, " + ", ".join(f"v{k} double" for k in range(size))).groupBy("word").agg(*(F.sum(f"v{k}").alias(f"v{k}") for k in range(size))).toPandas()
-    vectors = index / np.sqrt(plan.nonzero)
+    near = docs.select("text").mapInArrow(context, "word long, " + ", ".join(f"{n} float" for n in names)).groupBy("word").agg(*(F.sum(n).alias(n) for n in names)).toPandas()  # at most NUMBERS rows
+    vectors = np.zeros((NUMBERS, plan.size))
+    np.put_along_axis(vectors, components, signs / np.sqrt(plan.nonzero), axis=1)
     if len(near):
-        sums = near[[f"v{k}" for k in range(size)]].to_numpy()
+        sums = near[names].to_numpy(np.float64)
         vectors[near["word"].to_numpy()] += sums / np.maximum(1e-9, np.sqrt((sums**2).sum(axis=1, keepdims=True)))
     vectors = vectors.astype(np.float32)
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
         for part in chunks(batches):
             got = [pooled(words.of(t), vectors).tolist() for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(2), pa.array(got, pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-    made = rows.mapInArrow(pool, "doc_id long, y int, x array<double>").toPandas().sort_values(["doc_id"], kind="stable")
+    made = rows.select("doc_id", "text", "y").mapInArrow(pool, "doc_id long, y int, x array<double>").toPandas().sort_values(["doc_id"], kind="stable")
+    scratch.clear(keep=[])
     rng = np.random.default_rng(plan.seed)
     made = made.iloc[rng.permutation(len(made))]
     y = made["y"].to_numpy(np.float64)
     rate = float(y.mean()) if len(y) else 0.5
     if not len(y) or not 0 < rate < 1:
-        return QualityModel(plan, None, None, None, rate)
-    return QualityModel(plan, words, vectors, train(np.array(made["x"].tolist()), y, plan), rate)
+        return QualityModel(plan, None, None, rate)
+    return QualityModel(plan, vectors, train(np.array(made["x"].tolist()), y, plan), rate)
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
@@ -261,9 +244,9 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = shared.value
+        use, words = shared.value, Words()
         for part in chunks(batches):
-            got = use.scores(part.column(part.schema.get_field_index("text")).to_pylist())
+            got = use.scores(part.column(part.schema.get_field_index("text")).to_pylist(), words)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got), pa.array((got >= use.plan.threshold).astype(np.int32))], names=[*part.schema.names, "score", "predicted"])
 
     return kept.mapInArrow(run, extended(kept.schema, "score double, predicted int"))

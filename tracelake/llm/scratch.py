@@ -29,10 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[key]
 
 
+#: Rows of an Arrow batch, where the session has Spark's default of 10,000: texts take a few kilobytes each.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches of texts that go to Python, for the session; a setting other than the default stays."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 class Scratch:
     """Intermediate tables of one operator call, under one folder."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.tables: list[tuple[DataFrame, str]] = []

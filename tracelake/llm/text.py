@@ -53,7 +53,7 @@ def words_of(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """word -> 64-bit hash, remembered up to a bound."""
 
-    def __init__(self, bound: int = 400_000):
+    def __init__(self, bound: int = 150_000):
         super().__init__()
         self.bound = bound
 
@@ -84,6 +84,7 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:
                 yield batch.slice(a, b - a)
+        pa.default_memory_pool().release_unused()
 
 
 def extended(schema: StructType, more: str) -> StructType:

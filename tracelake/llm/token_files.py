@@ -107,7 +107,9 @@ class LibraryEncoder:
     is remembered.  This is right for byte-level tokenizers that split before
     their merges by a pattern in which a space starts a token and no token goes
     on over one, as GPT-2's; a text in which a space meets other white space or
-    the end goes through whole.  Without ``by_word`` every text goes whole.
+    the end, or that holds the string of an added token (which the library
+    turns into that token's id), goes through whole.  Without ``by_word`` every
+    text goes whole.
     """
 
     #: Words in a call.
@@ -118,7 +120,7 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.by_word = by_word
         self.sizes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # bytes of each id; a byte is one character in the vocabulary
         for token, k in self.tokenizer.get_vocab().items():
@@ -149,7 +151,7 @@ class LibraryEncoder:
             return self._library(texts)
         if len(self.young) >= MEMO:
             self.old, self.young = self.young, {}
-        odd = [bool(self._ODD.search(t)) for t in texts]
+        odd = [bool(self._ODD.search(t)) or any(x in t for x in self.added) for t in texts]
         split = [[t] if o else t.split(" ") for t, o in zip(texts, odd, strict=True)]
         firsts = self._library([s.pop(0) for s in split])
         young, old = self.young, self.old

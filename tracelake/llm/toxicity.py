@@ -10,8 +10,7 @@ cosine beats the next bound, so its neighbours are
 exact within the vocabulary.  Votes weighted by
 distance, shrunk towards the rate of the examples, give score and evidence.
 
-Fitting is bounded: at most ``examples`` labelled rows (by hash of the id) and
-``terms`` terms.
+Fitting is bounded: at most ``examples`` labelled rows (by hash of the id).
 """
 
 from __future__ import annotations
@@ -28,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.llm.scratch import Scratch
 from tracelake.llm.text import chunks, crc_fold, extended
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -36,7 +36,6 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 @dataclass(frozen=True)
 class ToxicityPlan:
     examples: int = 20_000
-    terms: int = 4096
     neighbours: int = 25
     #: Lengths of word beginnings that are terms besides whole words.
     beginnings: tuple[int, ...] = (4, 5, 6, 7)
@@ -135,7 +134,7 @@ class ToxicityModel:
     def counts(self, text: str | None) -> dict[int, int]:
         memo, words = self.memo, words_in(text)
         for w in set(words).difference(memo):
-            if len(memo) > 400_000:
+            if len(memo) > 200_000:
                 memo.clear()
                 return self.counts(text) if len(words) < 200_000 else self._slow(words)
             memo[w] = tuple(self.number[t] for t in terms_of(w, self.plan.beginnings) if t in self.number)
@@ -164,11 +163,13 @@ def fit(docs: DataFrame, labels: DataFrame, plan: ToxicityPlan = ToxicityPlan())
     """Fit on rows of ``labels(doc_id, toxic)`` outside the held-out fold.
 
     Rows with a null id or label are left out; an id that repeats counts once,
-    toxic if any of its rows is.  Without labelled rows every score is 0.
+    toxic if any of its rows is, with the first of its texts in their order.  Without labelled rows every score is 0.
     """
+    scratch = Scratch(docs.sparkSession, "toxicity")
     sample = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_fold("doc_id", plan.folds) != plan.held_out))
     sample = sample.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(plan.examples)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y")  # at most plan.examples rows of 16 bytes
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most plan.examples rows of 16 bytes
+    rows = scratch.table(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -182,20 +183,20 @@ def fit(docs: DataFrame, labels: DataFrame, plan: ToxicityPlan = ToxicityPlan())
 
     found = rows.mapInArrow(count, "term string, clean long, toxic long")
     found = found.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    found = found.where(f"toxic >= {plan.least_toxic} or term = ''").persist()
+    found = found.where(f"toxic >= {plan.least_toxic} or term = ''")
+    found = scratch.table(found, "terms")
     whole = found.where("term = ''").first()
     clean, toxic = (whole["clean"], whole["toxic"]) if whole else (0, 0)
     if not toxic:
-        found.unpersist()
+        scratch.clear(keep=[])
         return ToxicityModel(plan, [], [], (clean, clean, 0))
     share = F.col("toxic") / toxic
     other = (F.col("clean") + 0.5) / (clean + 1)
     mean = (F.col("toxic") + F.col("clean")) / (clean + toxic)
     part = lambda n, p, q: n * (p * F.log((p + 1e-12) / (q + 1e-12)) + (1 - p) * F.log((1 - p + 1e-12) / (1 - q + 1e-12)))
     g2 = 2 * (part(F.lit(toxic), share, mean) + part(F.lit(max(1, clean)), F.col("clean") / max(1, clean), mean))
-    chosen = found.where("term <> ''").withColumn("g2", g2).where((F.col("g2") >= plan.least_g2) & (share >= plan.least_ratio * other)).orderBy(F.desc("g2"), "term").limit(plan.terms)
-    terms = [r["term"] for r in chosen.select("term").collect()]
-    found.unpersist()
+    chosen = found.where("term <> ''").withColumn("g2", g2).where((F.col("g2") >= plan.least_g2) & (share >= plan.least_ratio * other)).orderBy(F.desc("g2"), "term")
+    terms = [r["term"] for r in chosen.select("term").collect()]  # terms of at most plan.examples texts
     number = {t: i for i, t in enumerate(terms)}
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,9 +204,10 @@ def fit(docs: DataFrame, labels: DataFrame, plan: ToxicityPlan = ToxicityPlan())
             got = [Counter(number[x] for w in words_in(t) for x in terms_of(w, plan.beginnings) if x in number) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(2), pa.array([list(c) for c in got], pa.list_(pa.int32())), pa.array([list(c.values()) for c in got], pa.list_(pa.int64()))], names=["doc_id", "y", "t", "c"])
 
-    made = rows.mapInArrow(vectors, "doc_id long, y int, t array<int>, c array<long>")
+    made = scratch.table(rows.mapInArrow(vectors, "doc_id long, y int, t array<int>, c array<long>"), "vectors")
     bare = made.where("size(t) = 0").agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     examples = [(r["doc_id"], r["y"], dict(zip(r["t"], r["c"], strict=True))) for r in made.where("size(t) > 0").collect()]  # bounded as plan.examples
+    scratch.clear(keep=[])
     return ToxicityModel(plan, terms, sorted(examples, key=lambda x: (x[0], x[1])), (len(examples) + bare[0], bare[0], bare[1]))
 
 

@@ -1,4 +1,4 @@
-"""Reductions: partial aggregates, then one exchange on the remaining axes."""
+"""Reductions: partial aggregates, then one exchange on the remaining axes; along whole traces array functions, without any."""
 
 from __future__ import annotations
 
@@ -22,8 +22,25 @@ def _value(stat: str, omit: bool, ddof: int) -> Column:
     return {"sum": F.sum(v), "mean": F.avg(v), "rms": F.sqrt(F.avg(v * v)), "var": spread, "std": F.sqrt(spread), "min": least, "max": F.max(v), "median": middle, "count": n.cast("double")}[stat]
 
 
+def _of_trace(stat: str, omit: bool, ddof: int) -> Column:
+    """The statistic of the array ``samples``."""
+    x = F.filter("samples", lambda v: ~F.isnan(v)) if omit else F.col("samples")
+    n = F.size(x)
+    total = lambda value: F.aggregate(x, F.lit(0.0), lambda acc, v: acc + value(v))
+    some = lambda value: F.when(n > 0, value)
+    mean = total(lambda v: v) / n
+    spread = F.when(n > ddof, total(lambda v: (v - mean) * (v - mean)) / (n - ddof)).otherwise(F.lit(float("nan")))
+    odd = F.exists(x, F.isnan)
+    put = F.array_sort(x)
+    middle = (F.element_at(put, (F.floor((n - 1) / 2) + 1).cast("int")) + F.element_at(put, (F.floor(n / 2) + 1).cast("int"))) / 2
+    nan = lambda value: some(F.when(odd, F.lit(float("nan"))).otherwise(value))
+    return {"sum": lambda: some(total(lambda v: v)), "mean": lambda: some(mean), "rms": lambda: some(F.sqrt(total(lambda v: v * v) / n)), "var": lambda: spread, "std": lambda: F.sqrt(spread), "min": lambda: nan(F.array_min(x)), "max": lambda: some(F.array_max(x)), "median": lambda: nan(middle), "count": lambda: n.cast("double")}[stat]()
+
+
 def reduce(c: Cube, stat: str, axis: int | None = None, omit_nan: bool = False, ddof: int = 0) -> Cube:
     """sum, mean, rms, var, std, min, max, median or count over one axis or all."""
+    if axis == 1 and c.layout == "trace" and stat not in ("var", "std"):
+        return _renumber(c, c.df.select(*(c.keys[1:] or ["i2"]), _of_trace(stat, omit_nan, ddof).alias("v")), 1, c.meta.without(1))
     own = c.long()
     value = _value(stat, omit_nan, ddof).alias("v")
     if axis is None:
@@ -33,6 +50,11 @@ def reduce(c: Cube, stat: str, axis: int | None = None, omit_nan: bool = False,
 
 def quantile(c: Cube, q: list[float], axis: int) -> Cube:
     """Linear-interpolated quantiles; the axis becomes the quantiles."""
+    if axis == 1 and c.layout == "trace":
+        put, n = F.col("_put"), c.meta.axis(1).n
+        df = c.df.withColumn("_put", F.array_sort("samples"))
+        values = [(F.element_at(put, int(x * (n - 1)) + 1) * (1 - x * (n - 1) % 1) + F.element_at(put, min(int(x * (n - 1)) + 2, n)) * (x * (n - 1) % 1)) for x in q]
+        return c.derive(df.select(*(c.keys[1:] or ["i2"]), F.array(*values).alias("samples")), c.meta.with_axis(1, n=len(q), o=q[0], d=q[1] - q[0] if len(q) > 1 else 1.0))
     own = c.long()
     got = own.df.groupBy(*own.others(axis)).agg(F.expr(f"percentile(v, array({', '.join(map(str, q))}))").alias("q"))
     df = got.select(*own.others(axis), F.posexplode("q").alias("k", "v")).withColumn(f"i{axis}", F.col("k").cast("long")).select(*own.keys, "v")
@@ -42,6 +64,11 @@ def quantile(c: Cube, q: list[float], axis: int) -> Cube:
 
 def argmax(c: Cube, absolute: bool = False) -> DataFrame:
     """First largest sample of each trace: the other indices, value, index, coord."""
+    if c.layout == "trace":
+        ranks = F.transform("samples", F.abs) if absolute else F.col("samples")
+        at = F.array_position(ranks, F.array_max(ranks))
+        placed = c.df.select(*(c.keys[1:] or ["i2"]), "samples", at.alias("_at"))
+        return placed.select(*(c.keys[1:] or ["i2"]), F.element_at("samples", F.col("_at").cast("int")).alias("value"), (F.col("_at") - 1).alias("index"), c.meta.axis(1).coordinate(F.col("_at") - 1).alias("coord"))
     own = c.long()
     rank = F.abs("v") if absolute else F.col("v")
     best = F.max(F.struct(rank.alias("r"), (-F.col("i1")).alias("k"), F.col("v").alias("v"))).alias("m")

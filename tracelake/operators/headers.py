@@ -7,21 +7,23 @@ from pyspark.sql import functions as F
 
 from tracelake.cube import Axis, Cube, grid
 from tracelake.functions.expr import compile_expression
+from tracelake.operators.solvers import cut as cut_lineage
 
 
 def sort(df: DataFrame, key: str, row: str, reverse: bool = False) -> DataFrame:
     """Stable order by a key, as the column ``position``; ties keep the order of ``row``.
 
-    Positions come from a range-partitioned sort: the rows before a partition
-    are counted once, so no task holds all rows.
+    Positions come from one range-partitioned sort, written down once: the rows
+    before a partition are counted, so no task holds all rows.
     """
     order = F.desc(key) if reverse else F.asc(key)
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, order, F.asc(row)).withColumn("_part", F.spark_partition_id())
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(order, F.asc(row))) - 1
-    return ranged.withColumn("_k", inside).join(F.broadcast(counts.select("_part", "_base")), "_part").withColumn("position", (F.col("_base") + F.col("_k")).cast("long")).drop("_part", "_base", "_k")
+    ranged = cut_lineage(df.repartitionByRange(parts, order, F.asc(row)).sortWithinPartitions(order, F.asc(row)).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    counts = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    placed = ranged.withColumn("_part", part).join(F.broadcast(counts), "_part")  # a row for each partition
+    return placed.withColumn("position", (F.col("_base") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("_part", "_id", "_base")
 
 
 def math(df: DataFrame, expression: str, out: str) -> DataFrame:

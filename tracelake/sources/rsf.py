@@ -2,17 +2,20 @@
 
 The header is a list of ``key=value`` words, the last value of a key counting;
 ``in=`` names the payload.  Tasks read byte ranges of whole traces through
-``pyarrow.fs``; writers leave a part for each range of traces and the parts are
-joined in order, a block at a time.
+``pyarrow.fs``.  In a mounted file system tasks write traces at their places in
+one file; elsewhere they leave a part for each range of traces, and the parts
+are joined in order, a block at a time.
 """
 
 from __future__ import annotations
 
+import os
 import posixpath
 import re
 import shlex
 import uuid
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.cube import Axis, Cube, Meta
+from tracelake.operators.complexes import ComplexCube
 
 # Payload formats.
 FORMATS = {
@@ -31,6 +35,8 @@ FORMATS = {
     "xdr_double": ">f8",
     "xdr_int": ">i4",
 }
+#: Complex formats, as pairs of real ones.
+COMPLEX = {"native_complex": "native_float", "native_double_complex": "native_double", "xdr_complex": "xdr_float", "xdr_double_complex": "xdr_double"}
 BLOCK = 8 << 20
 
 
@@ -66,15 +72,24 @@ def meta_of(header: dict[str, str]) -> Meta:
     return Meta(axes, rest)
 
 
-def read(spark: SparkSession, path: str, partition_bytes: int = 64 << 20) -> Cube:
-    """The file as a cube in trace layout; a payload shorter than its axes raises."""
+def read(spark: SparkSession, path: str, partition_bytes: int = 64 << 20) -> Cube | ComplexCube:
+    """The file as a (complex) cube in trace layout; a payload shorter than its axes raises."""
     header = read_header(path)
     meta = meta_of(header)
     kind = header.get("data_format", "native_float")
+    if kind in COMPLEX:
+        flat = replace(meta, axes=(Axis(2 * meta.axes[0].n), *meta.axes[1:]))
+        pairs = _read_binary(spark, path, header, flat, COMPLEX[kind], partition_bytes).df
+        half = lambda k: F.filter("samples", lambda v, i: i % 2 == k)
+        return ComplexCube(pairs.withColumns({"re": half(0), "im": half(1)}).drop("samples"), meta)
     if kind == "ascii_float":
         return _read_ascii(spark, path, header, meta)
     if kind not in FORMATS:
         raise ValueError(f"data_format {kind}")
+    return _read_binary(spark, path, header, meta, kind, partition_bytes)
+
+
+def _read_binary(spark: SparkSession, path: str, header: dict[str, str], meta: Meta, kind: str, partition_bytes: int) -> Cube:
     payload = _payload(path, header)
     n1, traces, item = meta.axes[0].n, meta.leftsize(1), np.dtype(FORMATS[kind]).itemsize
     system, name = _open(payload)
@@ -122,18 +137,67 @@ def _read_ascii(spark: SparkSession, path: str, header: dict[str, str], meta: Me
     return Cube(words.where(F.col("at") < step).select(*keys, F.col("word").cast("double").alias("v")), meta, "long")
 
 
-def write(c: Cube, path: str, kind: str = "native_float", partitions: int | None = None) -> None:
-    """Header at ``path`` and payload at ``path@``; absent traces are zeros."""
+def write(c: Cube | ComplexCube, path: str, kind: str = "", partitions: int | None = None) -> None:
+    """Header at ``path`` and payload at ``path@``; absent traces are zeros.
+
+    ``kind`` is a format, by default the native single one; ``ascii_float`` is
+    text, of one trace a line.
+    """
+    if isinstance(c, ComplexCube):
+        kind = kind or "native_complex"
+        if kind not in COMPLEX:
+            raise ValueError(f"data_format {kind} is not complex")
+        pairs = F.flatten(F.zip_with("re", "im", F.array)).alias("samples")
+        flat = Cube(c.df.select(*c.keys, pairs), replace(c.meta, axes=(Axis(2 * c.meta.axes[0].n), *c.meta.axes[1:])), "trace")
+        _write_payload(flat, path, COMPLEX[kind], partitions)
+        _write_header(c.meta, path, kind, 2 * np.dtype(FORMATS[COMPLEX[kind]]).itemsize)
+        return
+    kind = kind or "native_float"
+    if kind == "ascii_float":
+        _write_ascii(c, path)
+        return
     if kind not in FORMATS:
         raise ValueError(f"data_format {kind}")
+    _write_payload(c, path, kind, partitions)
+    _write_header(c.meta, path, kind, np.dtype(FORMATS[kind]).itemsize)
+
+
+def _write_header(meta: Meta, path: str, kind: str, size: int) -> None:
+    target, out = _open(path)
+    with target.open_output_stream(out) as sink:
+        sink.write(header_text(meta, kind, posixpath.basename(path) + "@", size).encode())
+
+
+def _write_ascii(c: Cube, path: str) -> None:
+    """Text, which has no fixed width: sorted by range of traces, then joined part by part."""
+    own = c.traces()
+    rows = own.df.select(_place(own.meta).alias("at"), F.array_join(F.transform("samples", lambda v: F.format_string("%.9g", v)), " ").alias("line"))
+    target, out = _open(path + "@")
+    with target.open_output_stream(out) as sink:
+        for row in rows.orderBy("at").toLocalIterator():  # a partition at a time
+            sink.write((row["line"] + "\n").encode())
+    _write_header(own.meta, path, "ascii_float", 0)
+
+
+def _place(meta: Meta):
+    """Linear place of a trace."""
+    at, step = F.lit(0).cast("long"), 1
+    for k, a in enumerate(meta.axes[1:], 2):
+        at, step = at + F.col(f"i{k}") * step, step * a.n
+    return at
+
+
+def _write_payload(c: Cube, path: str, kind: str, partitions: int | None) -> None:
     own = c.traces()
     n1, traces = own.meta.axes[0].n, own.meta.leftsize(1)
+    target, out = _open(path + "@")
+    if isinstance(target, fs.LocalFileSystem):
+        _write_at(own, out, kind, n1, traces)
+        return
     folder = f"{path}@parts-{uuid.uuid4().hex}"
     system, name = _open(folder)
     system.create_dir(name)
-    at, step = F.lit(0).cast("long"), 1
-    for k, a in enumerate(own.meta.axes[1:], 2):
-        at, step = at + F.col(f"i{k}") * step, step * a.n
+    at = _place(own.meta)
     parts = partitions or max(1, min(traces, traces * n1 * np.dtype(FORMATS[kind]).itemsize // (64 << 20) + 1))
     share = -(-traces // parts)
 
@@ -163,7 +227,6 @@ def write(c: Cube, path: str, kind: str = "native_float", partitions: int | None
 
     rows = own.df.select(F.floor(at / share).cast("long").alias("part"), at.alias("at"), "samples")
     rows.repartition(parts, "part").sortWithinPartitions("part", "at").mapInArrow(run, "done long").write.format("noop").mode("overwrite").save()
-    target, out = _open(path + "@")
     with target.open_output_stream(out) as sink:
         for part in range(-(-traces // share)):
             if system.get_file_info(f"{name}/{part:08d}").type == fs.FileType.NotFound:
@@ -174,17 +237,34 @@ def write(c: Cube, path: str, kind: str = "native_float", partitions: int | None
                 while block := source.read(BLOCK):
                     sink.write(block)
     system.delete_dir(name)
-    with target.open_output_stream(out.removesuffix("@")) as sink:
-        sink.write(header_text(own.meta, kind, posixpath.basename(path) + "@").encode())
 
 
-def header_text(meta: Meta, kind: str, payload: str) -> str:
+def _write_at(own: Cube, out: str, kind: str, n1: int, traces: int) -> None:
+    """Every trace at its place in one file, whatever task holds it; a task run again writes the same bytes."""
+    size, temporary = n1 * np.dtype(FORMATS[kind]).itemsize, f"{out}.{uuid.uuid4().hex}"
+    with open(temporary, "wb") as f:
+        f.truncate(traces * size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with open(temporary, "r+b") as f:
+            for batch in batches:
+                values = np.asarray(batch.column(1).flatten(), np.float64).astype(FORMATS[kind]).reshape(batch.num_rows, -1)
+                for place, row in zip(batch.column(0).to_pylist(), values, strict=True):
+                    f.seek(place * size)
+                    f.write(row.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([0])], names=["done"])
+
+    own.df.select(_place(own.meta).alias("at"), "samples").mapInArrow(run, "done long").write.format("noop").mode("overwrite").save()
+    os.replace(temporary, out)
+
+
+def header_text(meta: Meta, kind: str, payload: str, size: int | None = None) -> str:
     quoted = lambda v: '"' + str(v).replace('"', "'") + '"'
     lines = [f"{k}={quoted(v)}" for k, v in meta.attrs.items() if k not in ("in", "esize", "data_format")]
     for k, a in enumerate(meta.axes, 1):
         lines.append(f"n{k}={a.n} o{k}={a.o!r} d{k}={a.d!r}")
         lines += [f"{word}{k}={quoted(v)}" for word, v in (("label", a.label), ("unit", a.unit)) if v]
-    return "\n".join([*lines, f'esize={np.dtype(FORMATS[kind]).itemsize}', f'data_format="{kind}"', f'in="{payload}"', ""])
+    return "\n".join([*lines, f"esize={np.dtype(FORMATS[kind]).itemsize if size is None else size}", f'data_format="{kind}"', f'in="{payload}"', ""])
 
 
 def put(path: str, **changes: object) -> None:
@@ -198,3 +278,104 @@ def put(path: str, **changes: object) -> None:
 def get(path: str, *keys: str) -> list[str | None]:
     header = read_header(path)
     return [header.get(k) for k in keys]
+
+
+def info(path: str) -> dict[str, object]:
+    """What a header says: format, shape, axes and other words."""
+    header = read_header(path)
+    meta = meta_of(header)
+    return {"data_format": header.get("data_format", "native_float"), "shape": meta.shape, "samples": meta.leftsize(0), "axes": [(a.n, a.o, a.d, a.label, a.unit) for a in meta.axes], "words": meta.attrs}
+
+
+def info_text(path: str) -> str:
+    """The same as lines of text."""
+    got = info(path)
+    lines = [f"{path}:", f"    data_format={got['data_format']} samples={got['samples']}"]
+    for k, (n, o, d, label, unit) in enumerate(got["axes"], 1):
+        lines.append(f"    n{k}={n} o{k}={o:g} d{k}={d:g}" + (f' label{k}="{label}"' if label else "") + (f' unit{k}="{unit}"' if unit else ""))
+    return "\n".join(lines)
+
+
+def copy(path: str, to: str, overwrite: bool = False) -> tuple[str, str]:
+    """Header and payload as they are, at another place; (header, payload) written."""
+    header = read_header(path)
+    payload = _payload(path, header)
+    (source, at), (target, name), (sink, out) = _open(payload), _open(to), _open(to + "@")
+    if at == out or _open(path)[1] == name:
+        raise ValueError("input and output are the same file")
+    for system, place in ((target, name), (sink, out)):
+        if not overwrite and system.get_file_info(place).type != fs.FileType.NotFound:
+            raise ValueError(f"{place} is there already")
+    fs.copy_files(at, out, source_filesystem=source, destination_filesystem=sink)
+    with target.open_output_stream(name) as stream:
+        stream.write("".join(f'{k}="{v}"\n' for k, v in (header | {"in": posixpath.basename(to) + "@"}).items()).encode())
+    return to, to + "@"
+
+
+def remove(path: str, dry_run: bool = True, confirm: bool = False, missing_ok: bool = False) -> list[str]:
+    """The files of a dataset; they are deleted only with ``confirm`` and without ``dry_run``."""
+    system, name = _open(path)
+    if system.get_file_info(name).type == fs.FileType.NotFound:
+        if missing_ok:
+            return []
+        raise ValueError(f"{path} is not there")
+    if system.get_file_info(name).type != fs.FileType.File:
+        raise ValueError(f"{path} is not a file")
+    payload = _payload(path, read_header(path))
+    there = [p for p in (payload, path) if (lambda s, n: s.get_file_info(n).type == fs.FileType.File)(*_open(p))]
+    if dry_run:
+        return there
+    if not confirm:
+        raise ValueError("deletion needs confirm")
+    for p in there:
+        files, at = _open(p)
+        files.delete_file(at)
+    return there
+
+
+def convert(spark: SparkSession, path: str, to: str, kind: str, truncate: bool = False) -> None:
+    """The dataset in another format; integers are rounded half to even, or cut towards 0 with ``truncate``.
+
+    A real dataset becomes complex with imaginary parts of 0; a complex one does not become real.
+    """
+    c = read(spark, path)
+    if kind in COMPLEX and isinstance(c, Cube):
+        from tracelake.operators.complexes import rtoc
+
+        c = rtoc(c)
+    elif kind.endswith("_int") and isinstance(c, Cube):
+        c = c.map((lambda v: F.signum(v) * F.floor(F.abs(v))) if truncate else F.rint)
+    write(c, to, kind)
+
+
+def disfil(c: Cube | ComplexCube, limit: int = 1000, precision: int = 6, numbers: str = "flat") -> str:
+    """Lines of the first ``limit`` samples in storage order, each with its number: flat, multi (slowest axis first), rsf (i1=..) or none."""
+    if numbers not in ("flat", "multi", "rsf", "none"):
+        raise ValueError("numbers are flat, multi, rsf or none")
+    keys = [f"i{k}" for k in range(1, len(c.meta.axes) + 1)]
+    df = c.long() if isinstance(c, ComplexCube) else c.long().df.select("*", F.col("v").alias("re"))
+    at, step = F.lit(0).cast("long"), 1
+    for k, a in zip(keys, c.meta.axes, strict=True):
+        at, step = at + F.col(k) * step, step * a.n
+    lines = []
+    for row in df.withColumn("_at", at).where(F.col("_at") < limit).orderBy("_at").limit(limit).collect():
+        text = f"{row['re']:.{precision}g}" + (f"{row['im']:+.{precision}g}j" if isinstance(c, ComplexCube) else "")
+        label = {"flat": str(row["_at"]), "multi": "(" + ",".join(str(row[k]) for k in keys[::-1]) + ")", "rsf": ",".join(f"{k}={row[k]}" for k in keys), "none": ""}[numbers]
+        lines.append(f"{label}\t{text}" if label else text)
+    if step > limit:
+        lines.append(f"# truncated: shown={limit} total={step} max={limit}")
+    return "\n".join(lines)
+
+
+def write_table(df: DataFrame, keys: list[str], path: str, row: str) -> None:
+    """A header table: a row for each trace in order of ``row`` (0, 1, ..), a sample for each key, whose names the header keeps."""
+    n = df.count()
+    rows = df.select(F.col(row).cast("long").alias("i2"), F.array(*[F.col(k).cast("double") for k in keys]).alias("samples"))
+    write(Cube(rows, Meta((Axis(len(keys)), Axis(max(1, n))), {f"key{k}": name for k, name in enumerate(keys)}), "trace"), path, "native_double")
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """(trace, one column for each key) of a header table."""
+    c = read(spark, path)
+    n = c.meta.axes[0].n
+    return c.df.select(F.col("i2").alias("trace"), *[F.element_at("samples", k + 1).alias(str(c.meta.attrs.get(f"key{k}", f"key{k}"))) for k in range(n)])

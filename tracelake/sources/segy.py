@@ -17,13 +17,21 @@ from pyspark.sql import functions as F
 
 from tracelake.sources.rsf import BLOCK, _open
 
-# Names of the trace header's words in order, those of four bytes marked by a colon.
-WORDS = """tracl: tracr: fldr: tracf: ep: cdp: cdpt: trid nvs nhs duse offset: gelev: selev: sdepth: gdel: sdel: swdep: gwdep:
-scalel scalco sx: sy: gx: gy: counit wevel swevel sut gut sstat gstat tstat laga lagb delrt muts mute ns dt gain igc igi corr
-sfs sfe slen styp stas stae tatyp afilf afils nofilf nofils lcf hcf lcs hcs year day hour minute sec timbas trwf grnors grnofr
-grnlof gaps otrav cdpx: cdpy: iline: xline: shnum: shsca tval tconst4: tconst2 tunits device tscalar stype sendir: unknown
-smeas4: smeas2 smeasu unass1: unass2:""".split()
-NAMES = [w.rstrip(":") for w in WORDS]
+# The words of a trace header in order, with their bytes.
+# fmt: off
+WORDS = [
+    ("tracl", 4), ("tracr", 4), ("fldr", 4), ("tracf", 4), ("ep", 4), ("cdp", 4), ("cdpt", 4), ("trid", 2), ("nvs", 2), ("nhs", 2), ("duse", 2),
+    ("offset", 4), ("gelev", 4), ("selev", 4), ("sdepth", 4), ("gdel", 4), ("sdel", 4), ("swdep", 4), ("gwdep", 4), ("scalel", 2), ("scalco", 2),
+    ("sx", 4), ("sy", 4), ("gx", 4), ("gy", 4), ("counit", 2), ("wevel", 2), ("swevel", 2), ("sut", 2), ("gut", 2), ("sstat", 2), ("gstat", 2),
+    ("tstat", 2), ("laga", 2), ("lagb", 2), ("delrt", 2), ("muts", 2), ("mute", 2), ("ns", 2), ("dt", 2), ("gain", 2), ("igc", 2), ("igi", 2),
+    ("corr", 2), ("sfs", 2), ("sfe", 2), ("slen", 2), ("styp", 2), ("stas", 2), ("stae", 2), ("tatyp", 2), ("afilf", 2), ("afils", 2), ("nofilf", 2),
+    ("nofils", 2), ("lcf", 2), ("hcf", 2), ("lcs", 2), ("hcs", 2), ("year", 2), ("day", 2), ("hour", 2), ("minute", 2), ("sec", 2), ("timbas", 2),
+    ("trwf", 2), ("grnors", 2), ("grnofr", 2), ("grnlof", 2), ("gaps", 2), ("otrav", 2), ("cdpx", 4), ("cdpy", 4), ("iline", 4), ("xline", 4),
+    ("shnum", 4), ("shsca", 2), ("tval", 2), ("tconst4", 4), ("tconst2", 2), ("tunits", 2), ("device", 2), ("tscalar", 2), ("stype", 2),
+    ("sendir", 4), ("unknown", 2), ("smeas4", 4), ("smeas2", 2), ("smeasu", 2), ("unass1", 4), ("unass2", 4),
+]
+# fmt: on
+NAMES = [name for name, _ in WORDS]
 TEXT, BINARY, HEAD = 3200, 400, 240
 # Sample formats by code (1, base-16 floats, is decoded apart).
 SAMPLES = {1: "u4", 2: "i4", 3: "i2", 5: "f4", 7: "i1", 8: "i1"}
@@ -39,7 +47,7 @@ class Layout:
 
     @property
     def record(self) -> np.dtype:
-        head = [(w.rstrip(":"), self.order + ("i4" if w.endswith(":") else "i2")) for w in WORDS]
+        head = [(name, f"{self.order}i{size}") for name, size in WORDS]
         return np.dtype([*head, ("samples", self.order + SAMPLES[self.kind], (self.samples,))])
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.cube import Cube
@@ -169,3 +169,14 @@ def mute(c: Cube, t0: float, velocity: float, offset: Column, taper: float = 0.0
     if taper > 0:
         weight = weight.when(late < taper, F.pow(F.sin(late / taper * (math.pi / 2)), F.lit(2.0)))
     return own.derive(own.df.withColumn("v", F.col("v") * weight.otherwise(1.0)))
+
+
+def with_axis_values(c: Cube, values: DataFrame, axis: int, how: str = "mul") -> Cube:
+    """Every sample and the value of its place along an axis, ``values(i, w)``: add, sub, mul or div; places without a value count as 0."""
+    own = c.traces() if axis > 1 else c.long()
+    key = f"i{axis}"
+    joined = own.df.join(values.select(F.col("i").alias(key), F.col("w").cast("double").alias("w")), key, "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
+    value = {"add": lambda v: v + F.col("w"), "sub": lambda v: v - F.col("w"), "mul": lambda v: v * F.col("w"), "div": lambda v: _divide(v, F.col("w"), "inf")}[how]
+    if own.layout == "trace":
+        return own.derive(joined.select(*(own.keys[1:] or ["i2"]), F.transform("samples", value).alias("samples")))
+    return own.derive(joined.select(*own.keys, value(F.col("v")).alias("v")))

@@ -16,14 +16,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+_LOCAL: dict[int, str] = {}
+
+
+def shared_folder(spark) -> str:
+    """spark.checkpoint.dir; a temporary folder serves local sessions only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _LOCAL.setdefault(id(spark.sparkContext), "file://" + tempfile.mkdtemp(prefix="tracelake-"))
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpointed; spark.checkpoint.dir names the folder, a temporary one serves local sessions only."""
+    """Checkpointed in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and context.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tracelake-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

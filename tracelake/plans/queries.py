@@ -8,6 +8,7 @@ sides, as sums may be taken in any order.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 
 from tracelake.cube import Axis, Cube, Meta, from_traces
 from tracelake.operators import aggregate as agg
-from tracelake.operators import complexes, cross, filters, gathers, generators, headers, modelling, neighbour, pointwise, resample, reshape, scatter, solvers, spectral
+from tracelake.operators import complexes, cross, filters, gathers, generators, headers, metrics, modelling, neighbour, pointwise, resample, reshape, scatter, solvers, spectral
+from tracelake.sources import rsf, segy
 from tracelake.streaming import binning
 
 N, DT = 64, 0.004
@@ -363,6 +365,77 @@ SELECT i1, i2, i3, round(coalesce((x * x + y * y + z * z) / 36, 0), 6) + 0.0 AS
 register("intbin3", plain=lambda s, d: headers.intbin3(table(s, d, "lineitem"), F.col("l_linenumber"), F.col("l_suppkey") % 10, F.col("l_orderkey") % 8, F.col("l_quantity"), F.col("l_orderkey"), (Axis(7, 1.0), Axis(10, 0.0), Axis(8, 0.0))), sql="SELECT a AS i1, b AS i2, c AS i3, coalesce(max_by(l_quantity, l_orderkey * 100 + l_quantity), 0)::DOUBLE AS v FROM range(7) x(a), range(10) y(b), range(8) z(c) LEFT JOIN lineitem ON l_linenumber - 1 = a AND l_suppkey % 10 = b AND l_orderkey % 8 = c GROUP BY a, b, c")
 register("parabolic_radon", lambda c: resample.radon(c, _offset(), [0.001, 0.004], parabolic=True, x0=100.0).drop("gather"), f"SELECT k AS i1, j AS i2, round(sum(a), 6) + 0.0 AS v FROM (SELECT k, j, {_lerp('p')} AS a FROM (SELECT *, k + p0 * pow({_H} / 100e0, 2) / 0.004e0 AS p FROM {_E}, range(64) r(k), (VALUES (0::BIGINT, 0.001::DOUBLE), (1, 0.004)) s(j, p0))) GROUP BY k, j")
 
+# datasets: written to the shared folder and read back
+def _dataset(write: Callable[[Cube, str], None], read: Callable[[SparkSession, str], Cube | DataFrame] = rsf.read) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = f"{solvers.shared_folder(spark)}/{uuid.uuid4().hex}"
+        write(panel(spark, sf_dir), path)
+        return read(spark, path)
+
+    return query
+
+
+def _converted(kind: str, **options) -> Callable[[Cube, str], None]:
+    def write(c: Cube, path: str) -> None:
+        rsf.write(c, path + ".first")
+        rsf.convert(c.df.sparkSession, path + ".first", path, kind, **options)
+
+    return write
+
+
+def _copied(c: Cube, path: str) -> None:
+    rsf.write(c, path + ".first")
+    rsf.copy(path + ".first", path)
+    rsf.remove(path + ".first", dry_run=False, confirm=True)
+
+
+def _segy(c: Cube, path: str) -> None:
+    segy.write(c.df.select(F.col("i2").alias("trace"), "samples", (F.col("i2") % 7).cast("int").alias("cdp"), (F.col("i2") * 25).cast("int").alias("offset")), path, N, 4000)
+
+
+def _put(c: Cube, path: str) -> None:
+    rsf.write(c, path)
+    rsf.put(path, label2="Shot", o2=5)
+
+
+def _words(spark: SparkSession, path: str) -> DataFrame:
+    keys = ["n1", "o2", "label1", "label2", "data_format"]
+    return spark.createDataFrame(list(zip(keys, rsf.get(path, *keys), strict=True)), "key string, value string")
+
+
+_SAMPLES = f"SELECT i1, i2, round(v, 6) + 0.0 AS v FROM {PANEL}"
+register("dataset", plain=lambda s, d: rounded(_dataset(rsf.write)(s, d)), sql=_SAMPLES)
+register("dataset_xdr", plain=lambda s, d: rounded(_dataset(lambda c, p: rsf.write(c, p, "xdr_double"))(s, d)), sql=_SAMPLES)
+register("dataset_text", plain=lambda s, d: rounded(_dataset(_converted("ascii_float"))(s, d)), sql=_SAMPLES)
+register("dataset_int", plain=lambda s, d: rounded(_dataset(_converted("native_int", truncate=True))(s, d)), sql=f"SELECT i1, i2, trunc(v) + 0.0 AS v FROM {PANEL}")
+register("dataset_copy", plain=lambda s, d: rounded(_dataset(_copied)(s, d)), sql=_SAMPLES)
+register("dataset_complex", plain=lambda s, d: _dataset(lambda c, p: rsf.write(complexes.cmplx(c, c.map(F.abs)), p, "native_double_complex"))(s, d).long(), sql=ORACLES["cmplx"])
+register("dataset_words", plain=_dataset(_put, _words), sql="SELECT * FROM (VALUES ('n1', '64'), ('o2', '5'), ('label1', 'Time'), ('label2', 'Shot'), ('data_format', 'native_float')) t(key, value)")
+register("header_table", plain=_dataset(lambda c, p: rsf.write_table(c.df.select("i2", (F.col("i2") * 2).alias("twice"), F.element_at("samples", 1).alias("first")), ["twice", "first"], p, "i2"), rsf.read_table), sql="SELECT vec_id AS trace, (vec_id * 2)::DOUBLE AS twice, round(embedding[1]::DOUBLE, 6) + 0.0 AS first FROM embeddings")
+register("segy", plain=_dataset(_segy, lambda s, p: segy.read(s, p)[0].select(F.col("trace").alias("i2"), F.posexplode("samples").alias("i1", "v")).select(F.col("i1").cast("long").alias("i1"), "i2", F.col("v").cast("double").alias("v"))), sql=_SAMPLES)
+register("segy_headers", plain=_dataset(_segy, lambda s, p: segy.header_table(s, p, "cdp", "offset", "ns", "dt")), sql="SELECT vec_id AS trace, (vec_id % 7)::INT AS cdp, (vec_id * 25)::INT AS \"offset\", 64 AS ns, 4000 AS dt FROM embeddings")
+register("compare", plain=lambda s, d: metrics.compare(panel(s, d), panel(s, d).map(lambda v: F.when(v > 1, v + 0.25).otherwise(v))), sql=f"SELECT count(*) FILTER (v > 1) = 0 AS same, count(*) AS samples, count(*) FILTER (v > 1) AS different, round(coalesce(max(0.25::DOUBLE) FILTER (v > 1), 0), 6) + 0.0 AS max_abs, round(max(CASE WHEN v > 1 THEN 0.25 / (v + 0.25) ELSE 0 END), 6) + 0.0 AS max_rel FROM {PANEL}")
+register("panel_metrics", lambda c: metrics.panel_metrics(c, (10, 30), (40, 60)), f"""SELECT * FROM (SELECT round(a, 6) + 0.0 AS rms, round(b, 6) + 0.0 AS signal_rms, round(c, 6) + 0.0 AS noise_rms, round(20 * log10(b / c), 6) + 0.0 AS snr_db FROM (SELECT sqrt(avg(v * v)) AS a, sqrt(avg(v * v) FILTER (i1 BETWEEN 10 AND 29)) AS b, sqrt(avg(v * v) FILTER (i1 BETWEEN 40 AND 59)) AS c FROM {PANEL})),
+(SELECT round(avg(top), 6) + 0.0 AS dominant_frequency, round(avg(t), 6) + 0.0 AS target_band_energy, round(avg(r), 6) + 0.0 AS reject_band_energy FROM (SELECT i2, arg_max(i1, p) / 0.256e0 AS top, sum(p) FILTER (i1 / 0.256e0 BETWEEN 15 AND 35) / 32 AS t, sum(p) FILTER (i1 / 0.256e0 BETWEEN 60 AND 80) / 32 AS r FROM (SELECT i1, i2, re * re + im * im AS p FROM {DFT}) GROUP BY i2))""")
+register("source_receiver", plain=lambda s, d: metrics.source_receiver_table(s, Axis(21, -500.0, 50.0), 100.0), sql="SELECT t AS trace, 100 - h / 2 AS source_x, 100 + h / 2 AS receiver_x, h AS \"offset\", 100.0::DOUBLE AS midpoint, t + 1 AS channel, 1::BIGINT AS source_id, t + 1 AS receiver_id FROM (SELECT t, -500e0 + 50 * t AS h FROM range(21) r(t))")
+register("plane_wave", plain=lambda s, d: metrics.plane_wave(s, level=0.0).df, sql="SELECT i1, i2, round((1 - 2 * s) * exp(-s), 6) + 0.0 AS v FROM (SELECT i1, i2, pow(pi() * 30 * (i1 * 0.002e0 - 0.45e0 - (10 * i2 - 115) / 1500e0), 2) AS s FROM range(512) a(i1), range(24) b(i2))")
+register("axis_values", plain=lambda s, d: pointwise.with_axis_values(panel(s, d), table(s, d, "embeddings").select(F.col("vec_id").alias("i"), F.col("label").alias("w")), 2).long().df.select("i1", "i2", "v"), sql=f"SELECT i1, i2, round(v * coalesce(label, 0), 6) + 0.0 AS v FROM {PANEL}")
+
+# windows, filters and solvers
+_ANGLE = "2 * pi() * i1 / 30"
+register("window_function", plain=lambda s, d: s.createDataFrame([(k, *(float(spectral.window_weights(31, w)[k]) for w in ("hann", "hamming", "blackman", "bartlett"))) for k in range(31)], "i1 long, hann double, hamming double, blackman double, bartlett double"), sql=f"SELECT i1, round(0.5 - 0.5 * cos({_ANGLE}), 6) + 0.0 AS hann, round(0.54 - 0.46 * cos({_ANGLE}), 6) + 0.0 AS hamming, round(0.42 - 0.5 * cos({_ANGLE}) + 0.08 * cos(2 * {_ANGLE}), 6) + 0.0 AS blackman, round(1 - abs(i1 / 15e0 - 1), 6) + 0.0 AS bartlett FROM range(31) r(i1)")
+register("firwin", plain=lambda s, d: s.createDataFrame([(k, float(v)) for k, v in enumerate(spectral.firwin(21, 40.0, 250.0))], "i1 long, v double"), sql=f"SELECT j AS i1, round(h, 6) + 0.0 AS v FROM {_SINC}")
+register("freqz", plain=lambda s, d: s.createDataFrame([(k, float(f), float(abs(h))) for k, (f, h) in enumerate(zip(*cross.frequency_response(spectral.firwin(21, 40.0, 250.0), 250.0, 64), strict=True))], "i1 long, frequency double, gain double"), sql=f"SELECT k AS i1, round(k * 250 / 64e0, 6) + 0.0 AS frequency, round(sqrt(pow(sum(h * cos(2 * pi() * k * j / 64)), 2) + pow(sum(h * sin(2 * pi() * k * j / 64)), 2)), 6) + 0.0 AS gain FROM {_SINC}, range(33) r(k) GROUP BY k")
+register("welchcsd", lambda c: cross.csd(c, c.map(F.abs), 32), f"""SELECT k AS i1, i2, round(avg(re * re2 + im * im2) * CASE WHEN k IN (0, 16) THEN 1 ELSE 2 END * 0.004e0 / (SELECT sum(pow(0.5 - 0.5 * cos(2 * pi() * m / 31), 2)) FROM range(32) r(m)), 6) + 0.0 AS v FROM
+(SELECT k, i2, g, sum(v * w * cos(2 * pi() * m * k / 32)) AS re, sum(v * w * sin(2 * pi() * m * k / 32)) AS im, sum(abs(v) * w * cos(2 * pi() * m * k / 32)) AS re2, sum(abs(v) * w * sin(2 * pi() * m * k / 32)) AS im2 FROM (SELECT i2, g, i1 - 16 * g AS m, v, 0.5 - 0.5 * cos(2 * pi() * (i1 - 16 * g) / 31) AS w FROM {PANEL}, range(3) s(g) WHERE i1 - 16 * g BETWEEN 0 AND 31), range(17) q(k) GROUP BY k, i2, g) GROUP BY k, i2""")
+register("cg", plain=lambda s, d: _normal_system(s, d), sql=ORACLES["least_squares"])
+register("cgnr", plain=lambda s, d: _solved(s, d, solvers.cgnr, steps=4, tol=1e-13), sql=ORACLES["least_squares"])
+register("cgls", plain=lambda s, d: _solved(s, d, solvers.cgls, steps=4, tol=1e-13), sql=ORACLES["least_squares"])
+register("cgls_preconditioned", plain=lambda s, d: _solved(s, d, solvers.cgls, steps=4, tol=1e-13, preconditioner=solvers.diagonal(s.createDataFrame([(0, 2.0), (1, 5.0)], "i long, v double"), 2)), sql=ORACLES["least_squares"])
+register("differences", plain=lambda s, d: solvers.differences(N, 2).forward(_first_trace(s, d)), sql="SELECT i, round(e[i + 1] - 2 * e[i + 2] + e[i + 3], 6) + 0.0 AS v FROM (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0), range(62) r(i)")
+register("custom_operator", plain=lambda s, d: solvers.composed(solvers.scaled(solvers.identity(N), 3.0), solvers.Custom(N, N, lambda x: x.select("i", (F.col("v") * F.col("i")).alias("v")), lambda y: y.select("i", (F.col("v") * F.col("i")).alias("v")))).forward(_first_trace(s, d)), sql="SELECT i, round(3 * i * embedding[i + 1]::DOUBLE, 6) + 0.0 AS v FROM embeddings, range(64) r(i) WHERE vec_id = 0")
+register("dot_test", plain=lambda s, d: s.createDataFrame([(solvers.dot_test(s, solvers.stacked(solvers.identity(20), solvers.differences(20)))[2],)], "same boolean"), sql="SELECT true AS same")
+
 # generators
 register("spike", plain=lambda s, d: generators.spike(s, (Axis(100), Axis(40)), [(5, 7), (100, 40)], [1.5, -2.0]).df, sql="SELECT i1, i2, CASE WHEN i1 = 4 AND i2 = 6 THEN 1.5 WHEN i1 = 99 AND i2 = 39 THEN -2.0 ELSE 0.0 END::DOUBLE AS v FROM range(100) a(i1), range(40) b(i2)")
 register("ricker", plain=lambda s, d: generators.ricker(s, 25.0, Axis(200, 0.0, DT)).df, sql="SELECT i1, round((1 - 2 * s) * exp(-s), 6) + 0.0 AS v FROM (SELECT i1, pow(pi() * 25 * (i1 * 0.004 - 0.04), 2) AS s FROM range(200) r(i1))")
@@ -402,11 +475,27 @@ def _picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").selectExpr("0D AS sx", "0D AS sz", "vec_id % 100 * 1D AS rx", "0D AS rz", "0.05D + 0.001D * (vec_id % 7) AS observed", "1D AS weight")
 
 
-def _solved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line through price over size / 50 by LSQR, each part a row of the matrix."""
+def _first_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").where("vec_id = 0").select(F.posexplode("embedding").alias("i", "v")).select(F.col("i").cast("long").alias("i"), F.col("v").cast("double").alias("v"))
+
+
+def _normal_system(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same line by conjugate gradients on its two normal equations."""
+    part = table(spark, sf_dir, "part").select((F.col("p_size") / 50.0).alias("x"), F.col("p_retailprice").alias("y"))
+    sums = part.agg(F.count("*").cast("double").alias("n"), F.sum("x").alias("x"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum("y").alias("y"), F.sum(F.col("x") * F.col("y")).alias("xy"))
+    cell = lambda i, j, v: F.struct(F.lit(i).cast("long").alias("row"), F.lit(j).cast("long").alias("col"), F.col(v).alias("value"))
+    place = lambda i, v: F.struct(F.lit(i).cast("long").alias("i"), F.col(v).alias("v"))
+    entries = sums.select(F.explode(F.array(cell(0, 0, "n"), cell(0, 1, "x"), cell(1, 0, "x"), cell(1, 1, "xx"))).alias("e")).select("e.*")
+    right = sums.select(F.explode(F.array(place(0, "y"), place(1, "xy"))).alias("e")).select("e.*")
+    return solvers.conjugate_gradient(solvers.Matrix(entries, 2, 2), right, steps=4, tol=1e-13).x.select("i", F.round("v", 4).alias("v"))
+
+
+def _solved(spark: SparkSession, sf_dir: str, solver=solvers.lsqr, **options) -> DataFrame:
+    """Line through price over size / 50 by a solver, each part a row of the matrix."""
+    options = options or {"steps": 2, "tol": 0.0}
     part = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 50.0).alias("x"), "p_retailprice")
     entries = part.select(F.col("p_partkey").alias("row"), F.posexplode(F.array(F.lit(1.0), F.col("x"))).alias("col", "value")).withColumn("col", F.col("col").cast("long"))
-    found = solvers.lsqr(solvers.Matrix(entries, 0, 2), part.select(F.col("p_partkey").alias("i"), F.col("p_retailprice").alias("v")), steps=2, tol=0.0)
+    found = solver(solvers.Matrix(entries, 0, 2), part.select(F.col("p_partkey").alias("i"), F.col("p_retailprice").alias("v")), **options)
     return found.x.select("i", F.round("v", 4).alias("v"))
 
 

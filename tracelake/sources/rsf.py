@@ -147,7 +147,7 @@ def write(c: Cube | ComplexCube, path: str, kind: str = "", partitions: int | No
         kind = kind or "native_complex"
         if kind not in COMPLEX:
             raise ValueError(f"data_format {kind} is not complex")
-        pairs = F.flatten(F.zip_with("re", "im", F.array)).alias("samples")
+        pairs = F.flatten(F.zip_with("re", "im", lambda a, b: F.array(a, b))).alias("samples")
         flat = Cube(c.df.select(*c.keys, pairs), replace(c.meta, axes=(Axis(2 * c.meta.axes[0].n), *c.meta.axes[1:])), "trace")
         _write_payload(flat, path, COMPLEX[kind], partitions)
         _write_header(c.meta, path, kind, 2 * np.dtype(FORMATS[COMPLEX[kind]]).itemsize)

@@ -32,7 +32,8 @@ from tracelake.llm.scratch import Scratch, partitions_for
 TILE, FIT_ROWS = 1024, 4096
 #: Components after which pairs are tested.
 STAGES = (8, 24)
-SLACK = 1e-9
+#: Turned vectors travel as single floats; the last test takes the vectors as given.
+SLACK = 1e-5
 
 
 def fit_basis(vectors: np.ndarray) -> np.ndarray:
@@ -84,38 +85,39 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = TIL
     scratch = Scratch(spark, "embed")
     parts = partitions_for(spark)
     v = F.transform(vector, lambda x: x.cast("double"))
+    element = "float" if vectors.schema[vector].dataType.elementType.simpleString() == "float" else "double"
     fine = F.col(label).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
     every = vectors.select(F.col(key).alias("vec_id"), F.col(label).alias("label"), v.alias("v"), F.coalesce(fine, F.lit(False)).alias("fine"))
     # -0.0 and 0.0 are the same component
     every = every.withColumn("same", F.when(F.col("fine"), F.sha2(F.concat_ws(",", F.transform("v", lambda x: (x + 0.0).cast("string"))), 256)))
     rows = scratch.table(every.select("vec_id", "label", "same", "fine"), "rows")
-    heads = every.where("fine").groupBy("label", "same").agg(F.min("vec_id").alias("name"), F.count("*").alias("copies"), F.first("v").alias("v"))
+    heads = every.where("fine").groupBy("label", "same").agg(F.min("vec_id").alias("name"), F.count("*").alias("copies"), F.first("v").cast(f"array<{element}>").alias("v"))
     heads = scratch.table(heads.withColumn("head", F.monotonically_increasing_id()), "heads")
 
     lengths = [r[0] for r in heads.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(64).collect()]
     bases = {}
     for d in lengths:  # a table of vectors has one length; others are compared in their own basis
         rows_d = heads.where(F.size("v") == d).orderBy("same").limit(FIT_ROWS).select("v").toPandas()["v"]
-        sample = np.array([np.asarray(x) for x in rows_d])
+        sample = np.array([np.asarray(x, np.float64) for x in rows_d])
         bases[d] = fit_basis(sample / np.sqrt((sample**2).sum(axis=1, keepdims=True)))
     slab_width = math.sqrt(max(2 - 2 * threshold, 0)) + 1e-6
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slabs, turned = [], []
-            for x in batch.column(batch.schema.get_field_index("v")).to_pylist():
-                x = np.array(x)
+            for x in batch.column(batch.schema.get_field_index("v")):
+                x = np.asarray(x.values, np.float64)
                 x = x / np.abs(x).max()  # keeps squares of very large or small components in range
                 basis = bases.get(len(x))
                 unit = x / math.sqrt(x @ x)
                 y = unit @ basis if basis is not None else unit
                 slabs.append(math.floor(y[0] / slab_width))
                 turned.append(y)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(slabs, pa.int32()), pa.array(turned, pa.list_(pa.float64()))], names=[*batch.schema.names, "slab", "y"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(slabs, pa.int32()), pa.array([t.astype(np.float32) for t in turned], pa.list_(pa.float32()))], names=[*batch.schema.names, "slab", "y"])
 
     kind = vectors.schema[label].dataType.simpleString()
-    kept = "label " + kind + ", head long, copies long, v array<double>"
-    placed = scratch.table(heads.select("label", "head", "copies", "v").mapInArrow(turn, f"{kept}, slab int, y array<double>").withColumn("d", F.size("v")), "placed")
+    kept = f"label {kind}, head long, copies long, v array<{element}>"
+    placed = scratch.table(heads.select("label", "head", "copies", "v").mapInArrow(turn, f"{kept}, slab int, y array<float>").withColumn("d", F.size("v")), "placed")
     sizes = placed.groupBy("label", "d", "slab").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
     sizes = scratch.table(sizes, "sizes")
     near = lambda k, name: sizes.select(F.col("label").alias("l"), F.col("d").alias("dd"), (F.col("slab") + k).alias("s"), F.col("tiles").alias(name))

@@ -252,8 +252,12 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, by_word: bool = Fals
     sorted_rows = staged.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"), "ids")
     manifest = scratch.table(sorted_rows.mapInArrow(write, "file string, part long, piece long, docs long, ids long"), "manifest")
     scratch.drop(staged)
-    before = Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)
-    return folder, manifest.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))
+    # ids of the parts before, then of the pieces before in the part
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = manifest.groupBy(F.col("part").alias("p")).agg(F.sum("ids").alias("n")).select("p", F.coalesce(F.sum("n").over(upto(Window.orderBy("p"))), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum("ids").over(upto(Window.partitionBy("part").orderBy("piece"))), F.lit(0))
+    placed = manifest.withColumn("inside", inside).join(sums, F.col("part") == F.col("p"))
+    return folder, placed.select("file", "part", "piece", "docs", "ids", (F.col("base") + F.col("inside")).alias("start"))
 
 
 def read_token_files(folder: str, manifest: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ def op4_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).select("doc_id", toxicity.held_out(), "score", "predicted")
+    return toxicity.score(docs, model, evidence=True).select("doc_id", toxicity.held_out(), "score", "predicted", "neighbours", "cosines")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

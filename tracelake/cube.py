@@ -68,6 +68,8 @@ class Cube:
     df: DataFrame
     meta: Meta
     layout: str = "long"
+    #: Where only ``map`` made this cube: the rows it came from, and the function of their samples.
+    origin: tuple[DataFrame, Callable[[Column], Column]] | None = field(default=None, repr=False, compare=False)
 
     @property
     def rank(self) -> int:
@@ -88,7 +90,7 @@ class Cube:
             return self
         rest = self.keys[1:]
         df = self.df.select(*rest, F.posexplode("samples").alias("i1", "v")).select(F.col("i1").cast("long").alias("i1"), *rest, "v")
-        return replace(self, df=df, layout="long")
+        return replace(self, df=df, layout="long", origin=None)
 
     def traces(self) -> Cube:
         """Trace layout; missing samples are 0, so every trace has all its samples."""
@@ -99,16 +101,31 @@ class Cube:
         cells = F.map_from_entries(F.collect_list(F.struct("i1", "v")))
         got = self.df.groupBy(*rest).agg(cells.alias("cells"))
         samples = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("cells", i), F.lit(0.0)))
-        return replace(self, df=got.select(*(self.keys[1:] or ["i2"]), samples.alias("samples")), layout="trace")
+        return replace(self, df=got.select(*(self.keys[1:] or ["i2"]), samples.alias("samples")), layout="trace", origin=None)
 
     def derive(self, df: DataFrame, meta: Meta | None = None, layout: str | None = None) -> Cube:
         return Cube(df, meta or self.meta, layout or self.layout)
 
     def map(self, value: Callable[[Column], Column]) -> Cube:
         """A function of the sample alone, in either layout."""
+        rows, before = self._origin()
+        origin = (rows, lambda v: value(before(v)))
         if self.layout == "trace":
-            return self.derive(self.df.withColumn("samples", F.transform("samples", value)))
-        return self.derive(self.df.withColumn("v", value(F.col("v"))))
+            return replace(self, df=self.df.withColumn("samples", F.transform("samples", lambda v: value(v))), origin=origin)
+        return replace(self, df=self.df.withColumn("v", value(F.col("v"))), origin=origin)
+
+    def _origin(self) -> tuple[DataFrame, Callable[[Column], Column]]:
+        return self.origin or (self.df, lambda v: v)
+
+    def beside(self, other: Cube) -> DataFrame:
+        """Rows of both cubes in this one's layout, the other's samples (or v) as ``_other``; joined only if they come from different rows."""
+        name = "samples" if self.layout == "trace" else "v"
+        (mine, one), (theirs, two) = self._origin(), other._origin()
+        if mine is theirs and self.layout == other.layout:
+            both = (F.transform(name, lambda v: f(v)) if name == "samples" else f(F.col(name)) for f in (one, two))
+            return mine.select(*[k for k in self.df.columns if k != name], *(c.alias(n) for c, n in zip(both, (name, "_other"), strict=True)))
+        right = other.traces() if self.layout == "trace" else other.long()
+        return self.df.join(right.df.withColumnRenamed(name, "_other"), [k for k in self.df.columns if k != name])
 
     def map_traces(self, kernel: Callable[[np.ndarray], np.ndarray], first: Axis | None = None) -> Cube:
         """A NumPy kernel on (traces, samples) matrices, Arrow batch by batch."""

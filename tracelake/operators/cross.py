@@ -18,9 +18,8 @@ def pair(a: Cube, b: Cube, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray
     """A kernel of the traces that two cubes hold at the same place."""
     if a.meta.shape != b.meta.shape:
         raise ValueError("the cubes differ in shape")
-    left, right, n = a.traces(), b.traces(), a.meta.axes[0].n
-    keys = left.keys[1:] or ["i2"]
-    both = left.df.join(right.df.withColumnRenamed("samples", "_other"), keys).select(*keys, F.concat("samples", "_other").alias("samples"))
+    left, n = a.traces(), a.meta.axes[0].n
+    both = left.beside(b).select(*(left.keys[1:] or ["i2"]), F.concat("samples", "_other").alias("samples"))
     return left.derive(both).map_traces(lambda x: kernel(x[:, :n], x[:, n:]), first)
 
 

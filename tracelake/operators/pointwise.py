@@ -49,18 +49,18 @@ def math_expression(c: Cube, text: str) -> Cube:
 
 
 def combine(a: Cube, b: Cube, how: str, zero: str = "raise") -> Cube:
-    """add, multiply or divide of two cubes of one shape, joined on all indices, or whole traces on theirs."""
+    """add, multiply or divide of two cubes of one shape, joined on all indices, or whole traces on theirs.
+
+    Cubes that are functions of the same samples are not joined.
+    """
     if a.meta.shape != b.meta.shape:
         raise ValueError("cubes differ in shape")
-    if a.layout == b.layout == "trace":
-        joined = a.df.join(b.df.withColumnRenamed("samples", "other"), a.keys[1:] or ["i2"])
-        value = {"add": lambda v, w: v + w, "mul": lambda v, w: v * w, "sub": lambda v, w: v - w, "div": lambda v, w: _divide(v, w, zero)}[how]
-        return a.derive(joined.select(*(a.keys[1:] or ["i2"]), F.zip_with("samples", "other", value).alias("samples")))
-    x, y = a.long(), b.long()
-    joined = x.df.join(y.df.withColumnRenamed("v", "w"), x.keys)
-    v, w = F.col("v"), F.col("w")
-    value = {"add": v + w, "mul": v * w, "sub": v - w, "div": _divide(v, w, zero)}[how]
-    return x.derive(joined.select(*x.keys, value.alias("v")))
+    own = a if a.layout == b.layout else a.long()
+    value = {"add": lambda v, w: v + w, "mul": lambda v, w: v * w, "sub": lambda v, w: v - w, "div": lambda v, w: _divide(v, w, zero)}[how]
+    both = own.beside(b)
+    if own.layout == "trace":
+        return own.derive(both.withColumn("samples", F.zip_with("samples", "_other", value)).drop("_other"))
+    return own.derive(both.withColumn("v", value(F.col("v"), F.col("_other"))).drop("_other"))
 
 
 def _divide(v: Column, w: Column, zero: str) -> Column:

@@ -131,10 +131,9 @@ def match_adjoint(c: Cube, noise: Cube, taps: int) -> Cube:
 
 
 def beside(c: Cube, other: Cube) -> Cube:
-    """Traces of two cubes end to end, by a join on the trace keys."""
-    a, b = c.traces(), other.traces()
-    if a.meta.shape[1:] != b.meta.shape[1:]:
+    """Traces of two cubes end to end, by the trace keys."""
+    a = c.traces()
+    if a.meta.shape[1:] != other.meta.shape[1:]:
         raise ValueError("both cubes have the same traces")
-    keys = [k for k in a.df.columns if k != "samples"]
-    df: DataFrame = a.df.join(b.df.withColumnRenamed("samples", "_other"), keys).select(*keys, F.concat("samples", "_other").alias("samples"))
-    return a.derive(df, replace(a.meta, axes=(Axis(a.meta.axes[0].n + b.meta.axes[0].n), *a.meta.axes[1:])))
+    df = a.beside(other).withColumn("samples", F.concat("samples", "_other")).drop("_other")
+    return a.derive(df, replace(a.meta, axes=(Axis(a.meta.axes[0].n + other.meta.axes[0].n), *a.meta.axes[1:])))

@@ -9,17 +9,21 @@ first common one nothing else is common, so their places there bound the overlap
     documents go last in the order of the second pass.
 2.  Equal sets count as one head.  Heads with the same prefix and size are one
     group, and buckets of prefix shingles list groups.
-3.  Group pairs of a bucket's leader and its other groups, as far as sizes and
-    places allow, are expanded to members and verified; so are the leader and
-    the members of each group.  Verified links join components.
-4.  In buckets that still hold several components all group pairs that could
-    join two are formed, block by block, filtered, expanded and verified.  Pairs
-    in one component need no look: they are linked already.
+3.  Group pairs of a bucket's leader (the group with the bucket's shingle at the
+    first place, so that with the fewest rare ones) and its other groups, as far
+    as sizes and places allow, are expanded to members and verified; so are the
+    leader and the members of each group.  Verified links join components.
+4.  In small buckets that still hold several components the group pairs that
+    could join two are formed and filtered.  Large buckets of one leader, the
+    members of both groups of a pair, and those of one group become units, whose
+    pairs are compared block by block by their signatures (the parity of the set
+    in two bits a shingle, an upper bound of the overlap) before any is written.
+    Pairs in one component need no look: they are linked already.
 
 So copies and near copies, however many, cost rows in proportion to their
 number, every link that could join two components is verified, and none is
-lost.  Sets are kept as 64-bit hashes of shingles.  Before texts are fetched,
-signatures (the parity of the set in two bits a shingle) rule pairs out.
+lost.  Sets are kept as 64-bit hashes of shingles.  Signatures rule pairs out
+before texts are fetched.
 """
 
 from __future__ import annotations
@@ -40,11 +44,10 @@ from tracelake.llm.text import WordHashes, chunks, hashed, mix64, text_keys, wor
 
 #: Documents from which on a prefix shingle counts as frequent, by class.
 FREQUENT = (32, 1024)
-BLOCK = 512
-#: Buckets of up to so many rows are compared many at a time.
-SMALL = 48
-#: 64-bit words of the signature of a set of up to 1024 shingles, doubled with each doubling of the set.
-LONG = 32
+#: Groups of a small bucket; members in a block of a unit; pairs compared at a time.
+SMALL, BLOCK, AT_ONCE = 48, 2048, 1 << 18
+#: 64-bit words of the signature of a set of up to 512 shingles, doubled with each doubling of the set.
+LONG = 16
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
@@ -68,7 +71,7 @@ def shingle_set(text: str | None, n: int, memo: WordHashes) -> np.ndarray:
 
 def signature(shingles: np.ndarray) -> bytes:
     """Parity of the set in about two bits a shingle."""
-    bits = 64 * LONG << max(0, (len(shingles) - 1).bit_length() - 10)
+    bits = 64 * LONG << max(0, (len(shingles) - 1).bit_length() - 9)
     counts = np.bincount((shingles >> np.uint64(24)).astype(np.int64) % bits, minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
@@ -155,7 +158,7 @@ def _linked(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, Scrat
     shared = scratch.table(posts.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select(F.col("bucket").alias("b")), "shared")
     posts, _ = prefilter.split(posts.select("bucket", "gid", "n", "several", "pos"), "bucket", *prefilter.bitmap(shared, "b", shared.count()))
     posts = scratch.table(posts, "posts")
-    first = posts.groupBy("bucket").agg(F.min(F.struct("gid", "n", "several", "pos")).alias("l"), F.count("*").alias("c")).where("c > 1").select(F.col("bucket").alias("b"), "l", "c")
+    first = posts.groupBy("bucket").agg(F.min(F.struct("pos", "gid", "n", "several")).alias("l"), F.count("*").alias("c")).where("c > 1").select(F.col("bucket").alias("b"), "l", "c")
     rows = scratch.table(posts.join(first, F.col("bucket") == F.col("b")).select("bucket", "gid", "n", "several", "pos", "l", "c"), "rows")
     scratch.drop(posts)
 
@@ -165,23 +168,22 @@ def _linked(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, Scrat
     links = _verified(expanded, heads, docs, n, top, bottom, scratch)
     labels = scratch.table(components(links, scratch), "components")
 
-    # what the stars have not joined: the least and greatest component of each group
+    # what the stars have not joined: components of heads, the least and greatest of each group
     known = labels.select(F.col("node").alias("x"), "component")
-    of_group = grouped.join(known, F.col("head") == F.col("x"), "left").withColumn("component", F.coalesce("component", "head"))
-    of_group = scratch.table(of_group.select("gid", "head", "n", "component"), "labelled")
+    of_group = grouped.join(known, F.col("head") == F.col("x"), "left").select("gid", "head", F.coalesce("component", "head").alias("component"))
+    of_group = scratch.table(of_group, "labelled")
     spread = of_group.groupBy("gid").agg(F.min("component").alias("from"), F.max("component").alias("to")).withColumnRenamed("gid", "y")
     # a leader's own pairs are settled, but not those of the other members of its group
-    left = rows.where("(gid <> l.gid or several) and (c > 2 or l.several)").select("bucket", "gid", "n", "pos", "several").join(known, F.col("gid") == F.col("x"), "left").join(spread, F.col("gid") == F.col("y"), "left")
-    left = left.select("bucket", F.col("gid").alias("id"), "n", "pos", F.coalesce("from", "component", "gid").alias("from"), F.coalesce("to", "component", "gid").alias("to"), "several")
-    pairs = scratch.table(_blocked_pairs(scratch.table(left, "left"), top, bottom, scratch).distinct(), "group_pairs")
-    # pairs with a group of several members become buckets of the members of both
-    side = lambda k: F.struct(F.col(k).alias("id"), F.col(f"n{k}").alias("n"))
-    sides = pairs.where("wide").select(F.xxhash64("a", "b").alias("bucket"), F.explode(F.array(side("a"), side("b"))).alias("s")).select("bucket", "s.*")
-    sides = sides.join(of_group.select("gid", "head", F.col("component").alias("own")), F.col("id") == F.col("gid"), "left").join(known, F.col("id") == F.col("x"), "left")
-    sides = sides.select("bucket", F.coalesce("head", "id").alias("id"), "n", F.coalesce("own", "component", "id").alias("from"))
-    own = of_group.where("head <> gid").select(F.col("gid").alias("bucket"), F.col("head").alias("id"), "n", F.col("component").alias("from"))
-    members = scratch.table(sides.union(own).select("bucket", "id", "n", F.lit(0).alias("pos"), "from", F.col("from").alias("to"), F.lit(False).alias("several")), "members")
-    wanted = pairs.where("not wide").select("a", "b").union(_blocked_pairs(members, top, bottom, scratch).select("a", "b")).distinct()
+    left = rows.where("(gid <> l.gid or several) and (c > 2 or l.several)")
+    few = left.where(F.col("c") <= SMALL).select("bucket", "gid", "n", "pos", "several").join(known, F.col("gid") == F.col("x"), "left").join(spread, F.col("gid") == F.col("y"), "left")
+    few = few.select("bucket", F.col("gid").alias("id"), "n", "pos", F.coalesce("from", "component", "gid").alias("from"), F.coalesce("to", "component", "gid").alias("to"), "several")
+    pairs = scratch.table(_small_pairs(scratch.table(few, "few"), top, bottom, scratch).distinct(), "group_pairs")
+    sides = pairs.where("wide").select(F.xxhash64("a", "b").alias("unit"), F.explode(F.array("a", "b")).alias("id"))
+    units = left.where(F.col("c") > SMALL).select(F.col("l.gid").alias("unit"), F.col("gid").alias("id")).union(sides)
+    units = units.join(of_group.select("gid", "head"), F.col("id") == F.col("gid"), "left").select("unit", F.coalesce("head", "id").alias("id"))
+    units = units.union(of_group.select(F.col("gid").alias("unit"), F.col("head").alias("id"))).distinct()
+    units = units.join(known, F.col("id") == F.col("x"), "left").select("unit", "id", F.coalesce("component", "id").alias("component"))
+    wanted = pairs.where("not wide").select("a", "b").union(_unit_pairs(scratch.table(units, "units"), heads, top, bottom, scratch)).distinct()
     links = links.union(_verified(wanted, heads, docs, n, top, bottom, scratch))
 
     labels = scratch.table(components(links, scratch), "components").select(F.col("node").alias("x"), "component")
@@ -235,51 +237,93 @@ def _may(nx: Column, ny: Column, px: Column, py: Column, top: int, bottom: int)
     return sizes & (F.least(nx - px, ny - py) * (top + bottom) >= (nx + ny) * top)
 
 
-def _blocked_pairs(rows: DataFrame, top: int, bottom: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b, na, nb, wide) of ids of a bucket, a < b, that could join two components and that sizes and places allow.
+def _small_pairs(rows: DataFrame, top: int, bottom: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b, wide) of groups of a small bucket, a < b, that could join two components and that sizes and places allow.
 
     ``rows`` has (bucket, id, n, pos, from, to, several); a pair is wide if
-    either stands for several.  Buckets of one component end
-    here.  A bucket of more than BLOCK rows is dealt in blocks, and a task
-    compares two of them.
+    either stands for several.  Buckets of one component end here.
     """
-    parts = partitions_for(rows.sparkSession)
-    open_ = rows.groupBy("bucket").agg(F.min("from").alias("lo"), F.max("to").alias("hi"), F.count("*").alias("c")).where("lo < hi and c > 1")
-    open_ = scratch.table(open_.select(F.col("bucket").alias("b"), F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "open")
-    left = rows.join(open_, F.col("bucket") == F.col("b")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("bucket", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "id", "from", "to", "n", F.col("pos").cast("long").alias("pos"), "several")
+    open_ = rows.groupBy("bucket").agg(F.min("from").alias("lo"), F.max("to").alias("hi"), F.count("*").alias("c")).where("lo < hi and c > 1").select(F.col("bucket").alias("b"))
+    left = rows.join(open_, F.col("bucket") == F.col("b")).select("bucket", "id", "from", "to", "n", F.col("pos").cast("long").alias("pos"), "several")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches, 3):
-            lo, hi, block, key, low, high, size, pos, several = (table.column(k).to_numpy(zero_copy_only=False) for k in range(1, 10))
-            starts = np.flatnonzero(_changes(table, 3))
+        for table in _whole_groups(batches, 1):
+            key, low, high, size, pos, several = (table.column(k).to_numpy(zero_copy_only=False) for k in range(1, 7))
+            starts = np.flatnonzero(_changes(table, 1))
             sizes = np.diff(np.append(starts, table.num_rows))
+            for m in np.unique(sizes).tolist():
+                one, two = np.triu_indices(m, 1)
+                at = starts[sizes == m][:, None]
+                for piece in np.array_split(at, -(-len(at) * len(one) // AT_ONCE)) if len(one) else []:
+                    i, j = (piece + one).reshape(-1), (piece + two).reshape(-1)
+                    joined = (low[i] == high[i]) & (low[i] == low[j]) & (high[i] == high[j])
+                    keep = ~joined & (bottom * np.minimum(size[i], size[j]) >= top * np.maximum(size[i], size[j]))
+                    i, j = i[keep], j[keep]
+                    keep = np.minimum(size[i] - pos[i], size[j] - pos[j]) * (top + bottom) >= top * (size[i] + size[j])
+                    i, j = i[keep], j[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.minimum(key[i], key[j]), np.maximum(key[i], key[j]), several[i] | several[j])], names=["a", "b", "wide"])
+
+    return left.repartition(partitions_for(rows.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(pairs, "a long, b long, wide boolean")
+
+
+def _unit_pairs(units: DataFrame, heads: DataFrame, top: int, bottom: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of heads of a unit, a < b, of different components, whose sizes and signatures leave room for the overlap that is needed.
+
+    ``units`` has (unit, id, component).  Units of one component end here.  A
+    unit is dealt in blocks, and a task compares two of them.
+    """
+    open_ = units.groupBy("unit").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo < hi")
+    open_ = scratch.table(open_.select(F.col("unit").alias("u"), F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "open")
+    left = scratch.table(units.join(open_, F.col("unit") == F.col("u")).drop("u"), "open_units")
+    marks, _ = prefilter.split(heads.select("head", "n", "signature"), "head", *prefilter.bitmap(left, "id", left.count()))
+    left = left.join(marks, F.col("id") == F.col("head")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = left.select("unit", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "id", "component", "n", "signature")
 
-            def settle(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-                one = (low[i] == high[i]) & (low[i] == low[j]) & (high[i] == high[j])
-                keep = ~one & (key[i] != key[j]) & (bottom * np.minimum(size[i], size[j]) >= top * np.maximum(size[i], size[j]))
-                i, j = i[keep], j[keep]
-                keep = np.minimum(size[i] - pos[i], size[j] - pos[j]) * (top + bottom) >= top * (size[i] + size[j])
-                i, j = i[keep], j[keep]
-                i, j = np.where(key[i] < key[j], i, j), np.where(key[i] < key[j], j, i)
-                return pa.RecordBatch.from_arrays([pa.array(x) for x in (key[i], key[j], size[i], size[j], several[i] | several[j])], names=["a", "b", "na", "nb", "wide"])
-
-            small = (sizes <= SMALL) & (lo[starts] == hi[starts])
-            for m in np.unique(sizes[small]).tolist():
-                i, j = np.triu_indices(m, 1)
-                at = starts[small & (sizes == m)][:, None]
-                for piece in np.array_split(at, -(-len(at) * len(i) // 1_000_000)) if len(i) else []:
-                    yield settle((piece + i).reshape(-1), (piece + j).reshape(-1))
-            for a, m in zip(starts[~small].tolist(), sizes[~small].tolist(), strict=True):
-                rows = np.arange(a, a + m)
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, 3):
+            lo, hi, block, key, component, size = (table.column(k).to_numpy(zero_copy_only=False) for k in range(1, 7))
+            marks = table.column(7)
+            starts = np.flatnonzero(_changes(table, 3))
+            for a, z in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
+                rows = np.arange(a, z)
                 one = rows[block[rows] == lo[a]]
                 two = one if lo[a] == hi[a] else rows[block[rows] == hi[a]]
-                for piece in np.array_split(one, -(-len(one) // 64)) if len(one) and len(two) else []:
+                if not len(one) or not len(two):
+                    continue
+                folds = _folds([marks[k].as_py() for k in range(a, z)])
+                for piece in np.array_split(one, -(-len(one) * len(two) // AT_ONCE)):
                     i, j = (x.reshape(-1) for x in np.meshgrid(piece, two, indexing="ij"))
-                    keep = (i < j) | (lo[a] != hi[a])
-                    yield settle(i[keep], j[keep])
-
-    return left.repartition(parts, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(pairs, "a long, b long, na long, nb long, wide boolean")
+                    keep = (component[i] != component[j]) & ((i < j) | (lo[a] != hi[a])) & (bottom * np.minimum(size[i], size[j]) >= top * np.maximum(size[i], size[j]))
+                    i, j = i[keep], j[keep]
+                    keep = (size[i] + size[j] - _apart(folds, i - a, j - a)) // 2 * (top + bottom) >= top * (size[i] + size[j])
+                    x, y = key[i[keep]], key[j[keep]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    parts = partitions_for(units.sparkSession)
+    return left.repartition(parts, "unit", "lo", "hi").sortWithinPartitions("unit", "lo", "hi").mapInArrow(pairs, "a long, b long")
+
+
+def _folds(marks: list[bytes]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Words of each signature, and for each length that occurs all signatures of that length or more, folded to it."""
+    words = np.array([len(m) // 8 for m in marks])
+    out = {}
+    for w in np.unique(words).tolist():
+        table = np.zeros((len(marks), w), np.uint64)
+        for k in np.flatnonzero(words >= w).tolist():
+            table[k] = folded(marks[k], w)
+        out[w] = table
+    return words, out
+
+
+def _apart(folds: tuple[np.ndarray, dict[int, np.ndarray]], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bits in which the signatures of pairs differ, at the shorter one's length."""
+    words, tables = folds
+    out, least = np.zeros(len(i), np.int64), np.minimum(words[i], words[j])
+    for w, table in tables.items():
+        at = np.flatnonzero(least == w)
+        for piece in np.array_split(at, -(-len(at) * w // (1 << 21))) if len(at) else []:
+            out[piece] = np.bitwise_count(table[i[piece]] ^ table[j[piece]]).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def _changes(table: pa.Table | pa.RecordBatch, keys: int) -> np.ndarray:

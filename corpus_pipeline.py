@@ -51,7 +51,7 @@ STAGES = [
     ("byte_bpe", encode_texts),
 ]
 
-#: SQL can't express the toxicity scorer or the encoder; the test of the whole looks at columns and rows only.
+#: SQL can't express the toxicity scorer or the encoder; tests hold the stages against brute force, each on what the one before kept.
 ORACLE_SQL = None
 
 

@@ -112,6 +112,47 @@ def test_classifiers_take_repeated_ids_and_odd_columns(spark):
         assert one == two
 
 
+def test_toxicity_votes_against_brute_force(spark):
+    rng = random.Random(3)
+    bad, good = ["vile", "hateful", "scum", "rot", "filth"], [f"calm{k}" for k in range(30)]
+    rows = [(k, " ".join(near(rng, good, 12) + (near(rng, bad, 1 + k % 4) if k % 3 == 0 else near(rng, bad, 1) if k % 10 == 1 else []))) for k in range(400)]
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(300)], "doc_id long, toxic int")
+    model = toxicity.fit(table(spark, rows), labels)
+    index, plan = model.index, model.plan
+    dense = np.zeros((index.n, len(index.place)))
+    for t, (places, weights) in enumerate(zip(index.place, index.weight, strict=True)):
+        dense[places, t] = weights
+    assert index.n > 50
+    for r in toxicity.score(table(spark, rows), model, evidence=True).collect():
+        query = model.vector(model.counts(r["text"])) if model.counts(r["text"]) else {}
+        cosines = dense @ np.array([query.get(t, 0.0) for t in range(dense.shape[1])])
+        best = np.lexsort((np.arange(index.n), -np.round(cosines, 9)))[: plan.neighbours]
+        best = best[cosines[best] > 0]
+        assert np.allclose(r["cosines"], cosines[best], atol=1e-6) and r["neighbours"] == index.ids[best].tolist()
+        votes = 1 / (1.05 - np.minimum(cosines[best], 1))
+        want = (votes @ index.labels[best] + plan.shrink * model.rate) / (votes.sum() + plan.shrink) if len(best) else model.bare_rate
+        assert np.isclose(r["score"], want) and r["predicted"] == int(want >= plan.threshold)
+
+
+def test_word_vectors_against_brute_force():
+    plan = quality.QualityPlan(size=16, nonzero=3)
+    components, signs = quality.index_vectors(plan)
+    dense = np.zeros((quality.NUMBERS, plan.size))
+    for n in range(quality.NUMBERS):
+        for c, s in zip(components[n], signs[n], strict=True):
+            dense[n, c] += s
+    words = quality.Words()
+    texts = [words.of(t) for t in ("one two three two", "", "a", "A-1 b,b b b c", None)]
+    want = np.zeros_like(dense)
+    for ids in texts:
+        for i in range(len(ids)):
+            for j in range(max(0, i - plan.window), min(len(ids), i + plan.window + 1)):
+                if i != j:
+                    want[ids[i]] += dense[ids[j]]
+    assert (quality.neighbour_sums(texts, components, signs, plan) == want).all() and want.any()
+    assert words.of("b b b").tolist().count(quality.REPEAT) == 2
+
+
 def test_library_ids_as_the_library_gives_them(spark):
     path = files.path("byte_bpe_50k.json")
     plain = tokenizers.Tokenizer.from_file(path)

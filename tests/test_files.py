@@ -145,6 +145,31 @@ def test_programs(spark, tmp_path):
     for program, words in (("agc", ["rect=2"]), ("vscan", ["vmin=1", "vmax=3", "dv=1"]), ("nmo", ["v=2"]), ("radon", ["np=3", "dp=0.1"]), ("mean", ["axis=1"]), ("welch", ["nperseg=8"])):
         run(program, here("a"), here("out"), *words)
         assert rsf.read(spark, here("out")).traces().df.count() >= 1
+    table = spark.createDataFrame([(k, float(x), float(y), 1.0 + k) for k, (x, y) in enumerate([(2, 1), (0, 1), (1, 0)])], "trace long, x double, y double, value double")
+    rsf.write_table(table, ["x", "y", "value"], here("t"), "trace")
+    run("headersort", here("t"), here("u"), "key=x")
+    assert [r["x"] for r in rsf.read_table(spark, here("u")).orderBy("trace").collect()] == [0, 1, 2]
+    run("headermath", here("t"), here("w"), "output=x+2*y", "key=z")
+    assert [r["z"] for r in rsf.read_table(spark, here("w")).orderBy("trace").collect()] == [4, 2, 1]
+    run("intbin", here("t"), here("grid"), "keys=x,y,value", "n1=3", "n2=2")
+    assert matrix(rsf.read(spark, here("grid"))).tolist() == [[0, 3, 0], [2, 0, 1]]
+    assert "value" in run("headerattr", here("t"))
+    run("headercut", here("a"), here("t"), here("cutout"), "key=y")
+    assert (matrix(rsf.read(spark, here("cutout")))[:2] == 0).all()
+    run("windowfunc", here("hann"), "n1=5")
+    assert np.allclose(rsf.read(spark, here("hann")).df.first()["samples"], np.hanning(5))
+    run("spike", here("m"), "n1=2", "n2=2", "k1=1", "k2=1", "mag=3")
+    run("spike", here("n"), "n1=2", "n2=2", "k1=2", "k2=2", "mag=4")
+    run("add", here("m"), here("n"), here("m2"))
+    run("spike", here("rhs"), "n1=2", "k1=2", "mag=8")
+    assert "converged=True" in run("conjgrad", here("m2"), here("rhs"), here("sol"), "mode=spd", "niter=4")
+    assert np.allclose(rsf.read(spark, here("sol")).df.first()["samples"], [0, 2])
+    run("spike", here("s"), "n1=12", "d1=0.004", "n2=3", "k1=4", "k2=2", "mag=2")
+    run("segywrite", here("s"), here("sgy"))
+    run("segyread", here("sgy"), here("back"))
+    assert np.allclose(matrix(rsf.read(spark, here("back"))), matrix(rsf.read(spark, here("s"))))
+    with pytest.raises(ValueError):
+        run("segywrite", here("a"), here("far"))
     for words in (["scale", here("a"), here("x")], ["scale", here("a"), here("x"), "dscale=much"], ["nothing"]):
         with pytest.raises(ValueError):
             commands.run(spark, words[0], words[1:])

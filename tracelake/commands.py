@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.cube import Axis, Cube
-from tracelake.operators import aggregate, complexes, cross, filters, gathers, generators, metrics, neighbour, pointwise, resample, reshape, scatter, spectral
+from tracelake.operators import aggregate, complexes, cross, filters, gathers, generators, headers, metrics, modelling, neighbour, pointwise, resample, reshape, scatter, solvers, spectral
 from tracelake.sources import rsf, segy
 
 
@@ -147,6 +147,84 @@ def _taps(p: Parameters):
     return np.array(p.floats("taps"))
 
 
+def _pairs(p: Parameters, key: str) -> list[tuple[float, float]]:
+    """a:b,a:b,.."""
+    return p._get(key, ..., lambda s: [tuple(map(float, x.split(":"))) for x in s.split(",")])
+
+
+def _migrated(c: Cube, p: Parameters) -> Cube:
+    return _with(c, gathers.kirchhoff(c, p.float("v"), p.float("aperture", None), p.bool("normalize", False)))
+
+
+def _vector(spark: SparkSession, values, axis: Axis) -> Cube:
+    """A short trace that the parameters give."""
+    rows = spark.createDataFrame([(0, [float(v) for v in values])], "i2 long, samples array<double>")
+    return Cube(rows, rsf.Meta((axis,)), "trace")
+
+
+def _fir(p: Parameters):
+    cutoff = p.floats("cutoff")
+    return spectral.firwin(p.int("taps"), cutoff[0] if len(cutoff) == 1 else tuple(cutoff), p.float("fs"), p.bool("pass_zero", True), p.text("window", "hann"))
+
+
+def _solved(spark: SparkSession, p: Parameters) -> str:
+    """matrix and right side in, solution out: dense matrices, axis 1 being columns."""
+    m, b = (rsf.read(spark, f).traces() for f in p.files[:2])
+    columns, rows = m.meta.axes[0].n, m.meta.leftsize(1)
+    entries = m.df.select(F.col("i2").alias("row"), F.posexplode("samples").alias("col", "value")).withColumn("col", F.col("col").cast("long"))
+    right = b.df.select(F.posexplode("samples").alias("i", "v")).withColumn("i", F.col("i").cast("long"))
+    solve = {"spd": solvers.conjugate_gradient, "normal": solvers.cgnr, "cgls": solvers.cgls, "lsqr": solvers.lsqr}[p.text("mode", "normal")]
+    found = solve(solvers.Matrix(entries, rows, columns), right, None, p.int("niter", 10), p.float("tol", 1e-6), p.float("damp", 0.0))
+    rsf.write(Cube(found.x.select(F.col("i").alias("i1"), "v"), rsf.Meta((Axis(columns),))), p.files[2])
+    return f"iterations={found.iterations} converged={found.converged}"
+
+
+def _shot(c: Cube, p: Parameters) -> Cube:
+    """Traces at receivers rx=.. rz=.. (indices) of a shot at sx=, sz= over a velocity model."""
+    spark = c.df.sparkSession
+    shot = spark.createDataFrame([(0, p.int("sx"), p.int("sz"), p.ints("rx"), p.ints("rz"))], "shot long, sx int, sz int, rx array<int>, rz array<int>")
+    time = Axis(p.int("nt"), 0.0, p.float("dt"), "Time", "s")
+    return Cube(modelling.acoustic_survey(shot, c, time, p.float("frequency", 25.0)).select("i2", "samples"), rsf.Meta((time, Axis(len(p.ints("rx")), label="Receiver"))), "trace")
+
+
+def _columns(p: Parameters, k: int) -> list:
+    return [F.col(x) for x in p.text("keys").split(",")][:k]
+
+
+#: Header tables: a table in, a table or a grid out.
+def _sorted(df: DataFrame, p: Parameters) -> DataFrame:
+    return headers.sort(df, p.text("key"), "trace", p.bool("reverse", False)).withColumn("trace", F.col("position")).drop("position")
+
+
+TABLES: dict[str, Callable[[DataFrame, Parameters], DataFrame]] = {
+    "headersort": _sorted,
+    "headermath": lambda df, p: headers.math(df, p.text("output"), p.text("key")),
+    "headerattr": lambda df, p: headers.attributes(df, [c for c in df.columns if c != "trace"]),
+    "bin": lambda df, p: aggregate.bin_2d(df, *_columns(p, 3), (p.axis(1), p.axis(2)), p.text("statistic", "mean"), p.float("fill", 0.0)),
+    "fold": lambda df, p: aggregate.fold(df, _columns(p, 3), (p.axis(1), p.axis(2), p.axis(3))),
+    "intbin": lambda df, p: headers.intbin(df, *_columns(p, 3), F.col("trace"), (p.axis(1), p.axis(2))),
+    "intbin3": lambda df, p: headers.intbin3(df, *_columns(p, 4), F.col("trace"), (p.axis(1), p.axis(2), p.axis(3))),
+    "linefit": lambda df, p: aggregate.linefit(df, *_columns(p, 2), p.axis(1)),
+}
+
+
+def _on_table(spark: SparkSession, program: str, p: Parameters) -> str:
+    """A table stays a table (trace and keys); a grid (i1, .., v) becomes a dataset; anything else is said."""
+    df = TABLES[program](rsf.read_table(spark, p.files[0]), p)
+    if "trace" in df.columns:
+        rsf.write_table(df, [c for c in df.columns if c != "trace"], p.files[1], "trace")
+        return p.files[1]
+    if "i1" in df.columns:
+        keys = [c for c in df.columns if c != "v"]
+        rsf.write(Cube(df.withColumn("v", F.col("v").cast("double")), rsf.Meta(tuple(p.axis(k) for k in range(1, len(keys) + 1)))), p.files[1])
+        return p.files[1]
+    return _table(df)
+
+
+def _masked(c: Cube, table: DataFrame, p: Parameters, name: str) -> DataFrame:
+    return table.select(F.col("trace").alias("i"), (F.col(p.text("key")) != 0).alias(name))
+
+
 #: One dataset in, one out.
 ONE: dict[str, Callable[[Cube, Parameters], Cube]] = {
     "abs": lambda c, p: pointwise.absolute(c),
@@ -232,6 +310,22 @@ ONE: dict[str, Callable[[Cube, Parameters], Cube]] = {
     "welch": lambda c, p: spectral.welch(c, p.int("nperseg"), p.int("noverlap", None), p.text("window", "hann")),
     "whiten": lambda c, p: spectral.whiten(c, p.float("floor", 1e-6)),
     "window": _window,
+    "acoustic2d": _shot,
+    "avo": lambda c, p: scatter.avo(c.traces(), half=p.bool("half", True)),
+    "bandenergy": lambda c, p: cross.band_energy(c, _pairs(p, "bands"), p.text("mode", "rms")),
+    "cos2ang": lambda c, p: scatter.to_angle(c, "cos", p.int("na", None), p.float("a0", 0.0), p.float("da", None)),
+    "isin2ang": lambda c, p: scatter.to_angle(c, "sin", p.int("na", None), p.float("a0", 0.0), p.float("da", None)),
+    "cconv": lambda c, p: filters.circular_convolve(c, _taps(p)),
+    "conv": lambda c, p: spectral.convolve(c, _taps(p), p.text("mode", "full")),
+    "corr": lambda c, p: filters.correlate(c, _taps(p), p.text("mode", "same")),
+    "filterbank": lambda c, p: cross.filter_bank(c, _pairs(p, "bands"), p.int("taps", 101), p.text("window", "hann")),
+    "filtfilt": lambda c, p: cross.zero_phase(c, _taps(p), p.bool("pad", True)),
+    "fk": lambda c, p: filters.fk_spectrum(c),
+    "kirchhoff": _migrated,
+    "match": lambda c, p: scatter.match(c, _taps(p)),
+    "moveout": lambda c, p: scatter.moveout_spikes(c, p.axis(1)),
+    "mute": lambda c, p: pointwise.mute(c.long(), p.float("t0", 0.0), p.float("v0"), _offset(c), p.float("taper", 0.0)),
+    "remap1": lambda c, p: resample.linear(c, p.int("n1"), p.float("o1"), p.float("d1"), p.float("fill", 0.0)),
     **{stat: (lambda c, p, s=stat: aggregate.reduce(c, s, p.int("axis", None), p.bool("omitnan", False), p.int("ddof", 0))) for stat in ("mean", "median", "rms", "std", "var", "min", "max")},
     "range": lambda c, p: pointwise.combine(aggregate.reduce(c, "max", p.int("axis", None)), aggregate.reduce(c, "min", p.int("axis", None)), "sub"),
 }
@@ -241,6 +335,7 @@ TWO: dict[str, Callable[[Cube, Cube, Parameters], Cube]] = {
     **{how: (lambda a, b, p, h=how: pointwise.combine(a, b, h, p.text("zero", "raise"))) for how in ("add", "mul", "sub", "div")},
     "cat": lambda a, b, p: reshape.cat([a, b], p.int("axis", 1)),
     "interleave": lambda a, b, p: reshape.interleave([a, b]),
+    "map2coh": lambda a, b, p: scatter.map_to_coherence(a, b, Axis(p.int("nv"), p.float("v0"), p.float("dv"), "Velocity")),
     "xcorr": lambda a, b, p: filters.trace_correlation(a, b, p.text("mode", "full"), normalize=p.bool("normalize", False)),
     "envcorr": lambda a, b, p: filters.trace_correlation(a, b, p.text("mode", "full"), True, p.bool("normalize", False)),
     "coherence": lambda a, b, p: cross.coherence(a, b, p.int("nperseg"), p.int("noverlap", None), p.text("window", "hann")),
@@ -264,6 +359,10 @@ COMPLEX: dict[str, Callable] = {
 #: No dataset in, one out.
 NONE: dict[str, Callable[[SparkSession, Parameters], Cube]] = {
     "spike": lambda s, p: generators.spike(s, _axes(p), [tuple(p.int(f"k{k}", 1) for k in range(1, len(_axes(p)) + 1))], [p.float("mag", 1.0)]),
+    "firwin": lambda s, p: _vector(s, _fir(p), Axis(p.int("taps"))),
+    "freqz": lambda s, p: _vector(s, abs(cross.frequency_response(_taps(p), p.float("fs", 2.0), p.int("nfft", 512))[1]), Axis(p.int("nfft", 512) // 2 + 1, 0.0, p.float("fs", 2.0) / p.int("nfft", 512), "Frequency")),
+    "polymask": lambda s, p: scatter.polygon_mask(s, _axes(p)[:2], _pairs(p, "corners")),
+    "windowfunc": lambda s, p: _vector(s, spectral.window_weights(p.int("n1"), p.text("window", "hann")), p.axis(1)),
     "ricker": lambda s, p: generators.ricker(s, p.float("frequency"), p.axis(1), p.float("peak", None)),
 }
 
@@ -288,6 +387,10 @@ FILES: dict[str, Callable[[SparkSession, Parameters], str]] = {
     "rm": lambda s, p: "\n".join(rsf.remove(p.files[0], p.bool("dry_run", True), p.bool("confirm", False), p.bool("missing_ok", False))),
     "diff": lambda s, p: _table(metrics.compare(*(rsf.read(s, f) for f in p.files[:2]), p.float("rtol", 1e-5), p.float("atol", 1e-8))),
     "segyread": lambda s, p: _from_segy(s, *p.files[:2]),
+    "segywrite": lambda s, p: _to_segy(s, *p.files[:2]),
+    "conjgrad": _solved,
+    "headercut": lambda s, p: _under(s, p, "cut", headers.cut),
+    "headerwindow": lambda s, p: _under(s, p, "keep", headers.window),
 }
 
 
@@ -298,6 +401,22 @@ def _from_segy(spark: SparkSession, path: str, to: str) -> str:
     return to
 
 
+def _to_segy(spark: SparkSession, path: str, to: str) -> str:
+    c = rsf.read(spark, path).traces()
+    segy.write(c.df.select(F.col("i2").alias("trace"), "samples"), to, c.meta.axes[0].n, round(c.meta.axes[0].d * 1e6))
+    return to
+
+
+def _under(spark: SparkSession, p: Parameters, name: str, operator: Callable) -> str:
+    """dataset, header table and output: the operator on traces where a key is not 0."""
+    c, table = rsf.read(spark, p.files[0]), rsf.read_table(spark, p.files[1])
+    out = operator(c, _masked(c, table, p, name))
+    if name == "keep":
+        out = replace(out, meta=out.meta.with_axis(2, n=max(1, table.where(F.col(p.text("key")) != 0).count())))
+    rsf.write(out, p.files[2])
+    return p.files[2]
+
+
 def _table(df: DataFrame, most: int = 1000) -> str:
     """The first rows as text; a report, so it is bounded."""
     rows = df.limit(most).collect()
@@ -305,7 +424,7 @@ def _table(df: DataFrame, most: int = 1000) -> str:
 
 
 def programs() -> list[str]:
-    return sorted({*ONE, *TWO, *COMPLEX, *NONE, *SAID, *FILES, "cmplx"})
+    return sorted({*ONE, *TWO, *COMPLEX, *NONE, *SAID, *FILES, *TABLES, "cmplx"})
 
 
 def run(spark: SparkSession, program: str, words: list[str]) -> str:
@@ -314,6 +433,8 @@ def run(spark: SparkSession, program: str, words: list[str]) -> str:
     files = p.files
     if program in FILES:
         return FILES[program](spark, p)
+    if program in TABLES:
+        return _on_table(spark, program, p)
     if program in NONE:
         rsf.write(NONE[program](spark, p), files[0])
         return files[0]

@@ -123,6 +123,8 @@ def write(traces: DataFrame, path: str, samples: int, interval: int, kind: int =
 
     Each range of traces is a part file, and parts are joined in order.
     """
+    if not (0 < samples < 1 << 16 and 0 < interval < 1 << 16):
+        raise ValueError("samples and interval (in microseconds) have 16 bits")
     record = Layout(order, kind, samples, interval, 0).record
     system, name = _open(path + "@parts")
     if system.get_file_info(name).type != fs.FileType.NotFound:

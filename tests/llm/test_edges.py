@@ -30,8 +30,8 @@ def near(rng, words, n):
 def test_ngram_join_with_null_and_repeated_ids(spark):
     a = [f"w{k}" for k in range(60)]
     b, c = a[:-1] + ["x"], a[:-2] + ["y", "z"]
-    other = [f"v{k}" for k in range(60)]
-    rows = [(1, a), (None, b), (2, c), (5, other), (5, a), (None, other), (None, other[:-1] + ["q"]), (9, None), (None, None), (1, a)]
+    other, third = [f"v{k}" for k in range(60)], [f"z{k}" for k in range(60)]
+    rows = [(1, a), (None, b), (2, c), (5, other), (5, a), (None, other), (None, other[:-1] + ["q"]), (9, None), (None, None), (1, a), (None, third), (None, third)]
     texts = [None if w is None else " ".join(w) for _, w in rows]
     sets = [shingles(t, 5) for t in texts]
     label = _components(len(rows), lambda i, j: sets[i] and sets[j] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]))
@@ -45,7 +45,7 @@ def test_ngram_join_with_null_and_repeated_ids(spark):
     kept = ngram_join.one_of_each(docs)
     assert kept.columns == docs.columns and kept.schema == docs.schema
     # a stays with the smallest id, the other group keeps id 5, rows without words stay
-    assert sorted((str(r["doc_id"]), (r["text"] or "")[:2]) for r in kept.collect()) == sorted([("1", "w0"), ("5", "v0"), ("9", ""), ("None", "")])
+    assert sorted((str(r["doc_id"]), (r["text"] or "")[:2]) for r in kept.collect()) == sorted([("1", "w0"), ("5", "v0"), ("9", ""), ("None", ""), ("None", "z0")])
 
 
 def test_ngram_join_of_many_near_copies(spark):

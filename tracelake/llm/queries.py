@@ -19,37 +19,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; a file that gives fewer partitions than there are cores is dealt out to all of them."""
+    docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _tokenizers()
-    return bpe.round_trip_digest(table(spark, sf_dir, "documents"), files.path("byte_bpe_multi_50k.tiktoken"), files.PATTERN)
+    return bpe.round_trip_digest(documents(spark, sf_dir), files.path("byte_bpe_multi_50k.tiktoken"), files.PATTERN)
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similarity_components(table(spark, sf_dir, "documents"), n=3, threshold=0.9)
+    return ngram_join.similarity_components(documents(spark, sf_dir), n=3, threshold=0.9)
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.taken_words(table(spark, sf_dir, "documents"))
+    return mixing.taken_words(documents(spark, sf_dir))
 
 
 def op4_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bwt_dedup.dedup_digest(table(spark, sf_dir, "documents"), width=200)
+    return bwt_dedup.dedup_digest(documents(spark, sf_dir), width=200)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, evidence=True).select("doc_id", toxicity.held_out(), "score", "predicted", "neighbours", "cosines")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model).select("doc_id", quality.held_out(), "score", "predicted")
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.stored_digest(table(spark, sf_dir, "documents"))
+    return media.stored_digest(documents(spark, sf_dir))
 
 
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,12 +63,12 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_tree_lm.score(table(spark, sf_dir, "documents"))
+    return suffix_tree_lm.score(documents(spark, sf_dir))
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _tokenizers()
-    folder, manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), files.path("byte_bpe_50k.json"), by_word=True)
+    folder, manifest = token_files.write_token_files(documents(spark, sf_dir), files.path("byte_bpe_50k.json"), by_word=True)
     return token_files.token_file_digest(folder, manifest)
 
 

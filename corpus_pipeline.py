@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm import bpe, bwt_dedup, mixing, ngram_join, toxicity
-from tracelake.llm.queries import table
+from tracelake.llm.queries import documents, table
 from tracelake.llm.scratch import Scratch
 
 
@@ -58,7 +58,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     scratch = Scratch(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     for name, stage in STAGES:
         docs = scratch.table(stage(spark, docs, sf_dir), name)
     return docs

@@ -151,6 +151,8 @@ def test_word_vectors_against_brute_force():
                     want[ids[i]] += dense[ids[j]]
     assert (quality.neighbour_sums(texts, components, signs, plan) == want).all() and want.any()
     assert words.of("b b b").tolist().count(quality.REPEAT) == 2
+    for w in ("plain", "a", "Title", "UPPER", "mIxed", "été", "ß", "x1", "12", "a.b", "_", "x²", "\u0345", "ªb", "longerwordthanmost"):
+        assert list(quality.numbers(w)) == [quality.number(x) for x in quality.symbols(w)], w
 
 
 def test_library_ids_as_the_library_gives_them(spark):

@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain
 from operator import eq
 
@@ -70,6 +71,15 @@ def number(symbol: str) -> int:
 
 
 REPEAT = number("<repeat>")
+_shape_number = lru_cache(maxsize=None)(number)  # shapes are few
+_LOWER = [number(shape("a" * (4 * k + 1))) for k in range(6)]
+
+
+def numbers(word: str) -> tuple[int, ...]:
+    """Numbers of a word's symbols; words of small letters only, which are most, need no pattern."""
+    if word.isalpha() and word.islower():
+        return number(word), _LOWER[min(len(word) // 4, 5)]
+    return tuple(n for p in _PARTS.findall(word) for n in (number(p.lower()), _shape_number(shape(p))))
 
 
 class Words:
@@ -85,7 +95,7 @@ class Words:
         if len(memo) > 300_000:
             memo.clear()
         for w in set(words).difference(memo):
-            memo[w] = tuple(map(number, symbols(w)))
+            memo[w] = numbers(w)
         same = [False, *map(eq, words[1:], words)]
         if True in same:
             return np.fromiter(chain.from_iterable((REPEAT,) if s else memo[w] for w, s in zip(words, same, strict=True)), np.int32)
@@ -102,12 +112,13 @@ def neighbour_sums(texts: list[np.ndarray], components: np.ndarray, signs: np.nd
     """For each number the sum of the index vectors of its neighbours within ``window``, over whole texts (whole numbers)."""
     gap = np.full(plan.window, NUMBERS, np.int32)  # stands between texts and has no entries
     ids = np.concatenate([x for t in texts for x in (t, gap)] or [gap])
-    components, signs = np.vstack([components, components[:1]]), np.vstack([signs, np.zeros((1, signs.shape[1]))])
+    at = ids.astype(np.int64) * plan.size
     total = np.zeros((NUMBERS + 1) * plan.size)
-    for k in range(1, plan.window + 1):
-        for one, other in ((ids[k:], ids[:-k]), (ids[:-k], ids[k:])):
-            for j in range(plan.nonzero):
-                total += np.bincount(one.astype(np.int64) * plan.size + components[other, j], signs[other, j], len(total))
+    for j in range(plan.nonzero):
+        component, sign = np.append(components[:, j], 0)[ids], np.append(signs[:, j], 0.0)[ids]
+        for k in range(1, plan.window + 1):
+            total += np.bincount(at[k:] + component[:-k], sign[:-k], len(total))
+            total += np.bincount(at[:-k] + component[k:], sign[k:], len(total))
     return total.reshape(-1, plan.size)[:NUMBERS]
 
 

@@ -133,7 +133,7 @@ def pooled(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     for a in range(0, len(starts), 4096):  # a very long text in pieces
         b = min(a + 4096, len(starts))
         stop = len(ids) if b == len(starts) else starts[b]
-        sums[a:b] = np.add.reduceat(vectors[ids[starts[a] : stop]], starts[a:b] - starts[a], axis=0)
+        sums[a:b] = np.add.reduceat(vectors.take(ids[starts[a] : stop], axis=0, mode="clip"), starts[a:b] - starts[a], axis=0)
     runs = sums / np.diff(np.append(starts, len(ids)))[:, None]
     return np.concatenate([sums.sum(axis=0) / len(ids), runs.max(axis=0), runs.min(axis=0), [np.log1p(len(ids))]])
 

@@ -81,11 +81,13 @@ def _subsets(mask: int) -> list[int]:
     return [s for s in range(mask + 1) if s & mask == s]
 
 
-def _total(terms: list[Column]) -> Column:
-    out = terms[0]
-    for t in terms[1:]:
-        out = out + t
-    return out
+def _sums(array: str, sums: list[list[tuple[int, int]]]) -> Column:
+    """An array of sums of factor * place of an array."""
+    return F.expr("array(" + ", ".join(" + ".join(f"{factor} * `{array}`[{place}]" for factor, place in terms) or "0L" for terms in sums) + ")")
+
+
+def _sign(mask: int) -> int:
+    return -1 if mask.bit_count() % 2 else 1
 
 
 def joint_failures(counted: DataFrame, filters: list[str], weights: list[str], part: str = "part") -> DataFrame:
@@ -108,26 +110,24 @@ def joint_failures(counted: DataFrame, filters: list[str], weights: list[str], p
 
 def survivors(joint: str, k: int) -> Column:
     """Array over bit sets P: weight of the rows that no filter of P fails."""
-    at = F.col(joint)
-    return F.array(*[_total([at[s] if s.bit_count() % 2 == 0 else -at[s] for s in _subsets(p)]) for p in range(1 << k)])
+    return _sums(joint, [[(_sign(s), s) for s in _subsets(p)] for p in range(1 << k)])
 
 
 def failed_exactly(joint: str, k: int) -> Column:
     """Array over bit sets P: weight of the rows that all filters of P and no others fail."""
-    at, full = F.col(joint), (1 << k) - 1
-    return F.array(*[_total([at[p | s] if s.bit_count() % 2 == 0 else -at[p | s] for s in _subsets(full & ~p)]) for p in range(1 << k)])
+    full = (1 << k) - 1
+    return _sums(joint, [[(_sign(s), p | s) for s in _subsets(full & ~p)] for p in range(1 << k)])
 
 
 def dividends(joint: str, k: int) -> Column:
     """Array over bit sets S: the Harsanyi dividend of S (0 for the empty set)."""
-    at = F.col(joint)
-    return F.array(*[F.lit(0).cast("long") if not s else at[s] if s.bit_count() % 2 else -at[s] for s in range(1 << k)])
+    return _sums(joint, [[(-_sign(s), s)] if s else [] for s in range(1 << k)])
 
 
 def shapley_over_orders(dividend: str, k: int) -> Column:
     """Array over filters: rows removed, summed over all k! orders (k! times the Shapley value, a whole number)."""
-    at, orders = F.col(dividend), factorial(k)
-    return F.array(*[_total([at[s] * (orders // s.bit_count()) for s in range(1 << k) if s >> i & 1]) for i in range(k)])
+    orders = factorial(k)
+    return _sums(dividend, [[(orders // s.bit_count(), s) for s in range(1 << k) if s >> i & 1] for i in range(k)])
 
 
 def interactions(joint: DataFrame, filters: list[str], weight: str = "n", part: str = "part") -> DataFrame:
@@ -146,12 +146,11 @@ def order_report(joint: DataFrame, filters: list[str], part: str = "part") -> Da
     k = len(filters)
     steps = []
     for order in permutations(range(k)):
-        before = 0
+        name, before = "".join(filters[x] for x in order), 0
         for step, i in enumerate(order, 1):
-            after = before | 1 << i
-            steps.append((F.lit("".join(filters[x] for x in order)), F.lit(step), F.lit(i), F.lit(1 << i), F.lit(before), F.lit(after)))
-            before = after
-    listed = F.array(*[F.struct(o.alias("filter_order"), s.alias("step"), i.alias("i"), one.alias("one"), b.alias("before"), a.alias("after")) for o, s, i, one, b, a in steps])
+            steps.append(f"named_struct('filter_order', '{name}', 'step', {step}, 'i', {i}, 'one', {1 << i}, 'before', {before}, 'after', {before | 1 << i})")
+            before |= 1 << i
+    listed = F.expr(f"array({', '.join(steps)})")
     solved = joint.select(part, F.col("n").alias("joint"), failed_exactly("n", k).alias("exactly"), dividends("n", k).alias("dividend"), *[survivors(w, k).alias(f"left_{w}") for w in ("n", "good", "toxic")])
     solved = solved.withColumn("shapley", shapley_over_orders("dividend", k))
     lost = lambda w: (F.col(f"left_{w}")[F.col("at.before")] - F.col(f"left_{w}")[F.col("at.after")]).cast("long")

@@ -105,6 +105,13 @@ def _velocities(p: Parameters) -> list[float]:
     return [low + step * k for k in range(int((high - low) / step + 0.5) + 1)]
 
 
+def _omits(p: Parameters) -> bool:
+    policy = p.text("nan_policy", "propagate")
+    if policy not in ("propagate", "omit"):
+        raise ValueError("nan_policy is propagate or omit")
+    return policy == "omit"
+
+
 def _slopes(p: Parameters) -> Axis:
     return Axis(p.int("np"), p.float("p0", 0.0), p.float("dp", 1.0), "Slope")
 
@@ -234,10 +241,10 @@ ONE: dict[str, Callable[[Cube, Parameters], Cube]] = {
     "bandpass": lambda c, p: spectral.bandpass(c, p.float("flo", None), p.float("fhi", None), p.float("fade", 0.0)),
     "bandstop": lambda c, p: filters.bandstop(c, p.float("flo"), p.float("fhi"), p.float("fade", 0.0)),
     "boxsmooth": lambda c, p: neighbour.smooth(c, p.int("rect"), p.int("axis", 1), repeat=p.int("repeat", 1)),
-    "byte": lambda c, p: pointwise.byte_scale(c, p.float("clip"), p.float("bias", 0.0), p.bool("allpos", False)),
+    "byte": lambda c, p: pointwise.byte_scale(c, p.float("clip", None), p.float("bias", None), p.bool("allpos", False), p.float("pclip", None)),
     "causint": lambda c, p: neighbour.integrate(c, p.int("axis", 1)),
     "clip": lambda c, p: pointwise.clip(c, p.float("clip"), p.float("value", None)),
-    "clip2": lambda c, p: pointwise.clip_bounds(c, p.float("lower", None), p.float("upper", None)),
+    "clip2": lambda c, p: pointwise.clip_bounds(c, p.float("min", p.float("lower", None)), p.float("max", p.float("upper", None)), p.float("pclip", None), p.bool("symmetric", False)),
     "cmp2shot": lambda c, p: gathers.cmp2shot(c, p.bool("positive", True)),
     "convolve": lambda c, p: spectral.convolve(c, _taps(p), p.text("mode", "same")),
     "cosft": lambda c, p: spectral.dct(c, p.bool("inv", False)),
@@ -277,7 +284,7 @@ ONE: dict[str, Callable[[Cube, Parameters], Cube]] = {
     "pad": _pad,
     "pow": lambda c, p: pointwise.power(c, p.float("pow")),
     "psd": lambda c, p: spectral.psd(c, p.text("window", "hann"), p.text("scaling", "density")),
-    "quantile": lambda c, p: aggregate.quantile(c, p.floats("q"), p.int("axis", 1)),
+    "quantile": lambda c, p: aggregate.quantile(c, p.floats("q"), p.int("axis", 0) or None, _omits(p)),
     "radon": _radon,
     "slant": _radon,
     "refl2ai": lambda c, p: neighbour.impedance(c, p.float("a0")),

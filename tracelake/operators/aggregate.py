@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.cube import Axis, Cube, Meta, grid
+from tracelake.operators import order
 from tracelake.operators.reshape import _renumber
 
 
@@ -43,22 +44,35 @@ def reduce(c: Cube, stat: str, axis: int | None = None, omit_nan: bool = False,
         return _renumber(c, c.df.select(*(c.keys[1:] or ["i2"]), _of_trace(stat, omit_nan, ddof).alias("v")), 1, c.meta.without(1))
     own = c.long()
     value = _value(stat, omit_nan, ddof).alias("v")
+    if axis is None and stat == "median":
+        return quantile(c, [0.5], None, omit_nan)
     if axis is None:
         return Cube(own.df.agg(value).select(F.lit(0).cast("long").alias("i1"), "v"), Meta((Axis(1),)))
     return _renumber(own, own.df.groupBy(*own.others(axis)).agg(value), axis, own.meta.without(axis))
 
 
-def quantile(c: Cube, q: list[float], axis: int) -> Cube:
-    """Linear-interpolated quantiles; the axis becomes the quantiles."""
+def quantile(c: Cube, q: list[float], axis: int | None = None, omit_nan: bool = False) -> Cube:
+    """Linear-interpolated quantiles over an axis, which becomes that of the quantiles, or over all samples.
+
+    A NaN makes every quantile of its line NaN, unless NaN is left out; a line without any sample is NaN.
+    """
+    step = q[1] - q[0] if len(q) > 1 else 1.0
+    if axis is None:
+        values = F.array(*[F.lit(float(x)) for x in order.quantiles(c.long().df, q, omit_nan=omit_nan)])
+        return Cube(c.df.sparkSession.range(len(q)).select(F.col("id").alias("i1"), F.element_at(values, (F.col("id") + 1).cast("int")).alias("v")), Meta((Axis(len(q), q[0], step),)))
     if axis == 1 and c.layout == "trace":
-        put, n = F.col("_put"), c.meta.axis(1).n
-        df = c.df.withColumn("_put", F.array_sort("samples"))
-        values = [(F.element_at(put, int(x * (n - 1)) + 1) * (1 - x * (n - 1) % 1) + F.element_at(put, min(int(x * (n - 1)) + 2, n)) * (x * (n - 1) % 1)) for x in q]
-        return c.derive(df.select(*(c.keys[1:] or ["i2"]), F.array(*values).alias("samples")), c.meta.with_axis(1, n=len(q), o=q[0], d=q[1] - q[0] if len(q) > 1 else 1.0))
+        put, n = F.array_sort(F.filter("samples", lambda v: ~F.isnan(v)) if omit_nan else F.col("samples")), F.size("_put")
+        odd = (n == 0) if omit_nan else F.isnan(F.element_at("_put", -1))  # NaN is last
+        at = lambda x: F.floor(F.lit(float(x)) * (n - 1)).cast("int")
+        part = lambda x: F.lit(float(x)) * (n - 1) - at(x)
+        values = [F.when(odd, F.lit(float("nan"))).otherwise(F.get("_put", at(x)) * (1 - part(x)) + F.get("_put", F.least(at(x) + 1, n - 1)) * part(x)) for x in q]
+        return c.derive(c.df.withColumn("_put", put).select(*(c.keys[1:] or ["i2"]), F.array(*values).alias("samples")), c.meta.with_axis(1, n=len(q), o=q[0], d=step))
     own = c.long()
-    got = own.df.groupBy(*own.others(axis)).agg(F.expr(f"percentile(v, array({', '.join(map(str, q))}))").alias("q"))
-    df = got.select(*own.others(axis), F.posexplode("q").alias("k", "v")).withColumn(f"i{axis}", F.col("k").cast("long")).select(*own.keys, "v")
-    step = q[1] - q[0] if len(q) > 1 else 1.0
+    v = _skip(F.col("v"), True)
+    nan = F.count(v) == 0 if omit_nan else F.max(F.isnan("v"))
+    got = own.df.groupBy(*own.others(axis)).agg(F.percentile(v, q).alias("q"), nan.alias("nan"))
+    values = F.when(F.col("nan"), F.array_repeat(F.lit(float("nan")), len(q))).otherwise(F.col("q"))
+    df = got.select(*own.others(axis), F.posexplode(values).alias("k", "v")).withColumn(f"i{axis}", F.col("k").cast("long")).select(*own.keys, "v")
     return own.derive(df, own.meta.with_axis(axis, n=len(q), o=q[0], d=step))
 
 

@@ -1,7 +1,9 @@
 """Local neighbourhoods along an axis.
 
 Along axis 1 of traces they are NumPy kernels on whole traces, so nothing is
-exchanged; else windows over the other axes' keys.
+exchanged.  Along other axes the same kernels work on overlapping blocks of
+traces (see ``blocks``), so no task holds a line.  Along axis 1 of samples they
+are windows over a trace's samples.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.cube import Cube
+from tracelake.operators import blocks
 
 
 def _along(c: Cube, axis: int):
@@ -51,8 +54,11 @@ def beside(df: DataFrame, keys: list[str], axis: int, n: int, columns: list[str]
 
 def deriv(c: Cube, axis: int = 1, method: str = "central") -> Cube:
     d = c.meta.axis(axis).d
+    kernel = lambda x: _differences(x, method) / d
+    if axis > 1:
+        return blocks.along(c, axis, kernel, 2)
     if _whole(c, axis):
-        return c.map_traces(lambda x: _differences(x, method) / d)
+        return c.map_traces(kernel)
     own = c.long()
     w = _along(own, axis)
     v, before, after = F.col("v"), F.lag("v").over(w), F.lead("v").over(w)
@@ -66,9 +72,11 @@ def deriv(c: Cube, axis: int = 1, method: str = "central") -> Cube:
 
 def integrate(c: Cube, axis: int = 1, method: str = "sum", by_d: bool = False) -> Cube:
     """Running sum, or trapezoids from 0."""
+    by = c.meta.axis(axis).d if by_d else 1.0
+    terms = lambda x: x if method == "sum" else np.concatenate([np.zeros((len(x), 1)), (x[:, 1:] + x[:, :-1]) / 2], axis=1)
+    if axis > 1:
+        return blocks.running(c, axis, lambda x: terms(x) * by, 1)
     if _whole(c, axis):
-        by = c.meta.axis(axis).d if by_d else 1.0
-        terms = lambda x: x if method == "sum" else np.concatenate([np.zeros((len(x), 1)), (x[:, 1:] + x[:, :-1]) / 2], axis=1)
         return c.map_traces(lambda x: np.cumsum(terms(x), axis=1) * by)
     own = c.long()
     w = _along(own, axis)
@@ -81,8 +89,11 @@ def integrate(c: Cube, axis: int = 1, method: str = "sum", by_d: bool = False) -
 def local_rms(c: Cube, width: int, axis: int = 1) -> Cube:
     """Root of the windowed mean square over ``width`` samples, as far as there are any; even widths lean left."""
     left = width // 2
+    kernel = lambda x: np.sqrt((_windows(x, left, width) ** 2).sum(axis=2) / _windows(np.ones_like(x[:1]), left, width).sum(axis=2))
+    if axis > 1:
+        return blocks.along(c, axis, kernel, width)
     if _whole(c, axis):
-        return c.map_traces(lambda x: np.sqrt((_windows(x, left, width) ** 2).sum(axis=2) / _windows(np.ones_like(x[:1]), left, width).sum(axis=2)))
+        return c.map_traces(kernel)
     own = c.long()
     w = _along(own, axis).rowsBetween(-left, width - 1 - left)
     return own.derive(own.df.withColumn("v", F.sqrt(F.sum(F.col("v") * F.col("v")).over(w) / F.count("v").over(w))))
@@ -92,12 +103,14 @@ def agc(c: Cube, rect: float, axis: int = 1, eps: float = 1e-12) -> Cube:
     """Sample over the local rms of a window of ``rect`` seconds padded with zeros; 0 where that is eps or less."""
     width = max(1, round(rect / c.meta.axis(axis).d))
     left = width // 2
-    if _whole(c, axis):
 
-        def kernel(x: np.ndarray) -> np.ndarray:
-            rms = np.sqrt((_windows(x, left, width) ** 2).sum(axis=2) / width)
-            return np.where(rms > eps, x / np.where(rms > eps, rms, 1), 0.0)
+    def kernel(x: np.ndarray) -> np.ndarray:
+        rms = np.sqrt((_windows(x, left, width) ** 2).sum(axis=2) / width)
+        return np.where(rms > eps, x / np.where(rms > eps, rms, 1), 0.0)
 
+    if axis > 1:
+        return blocks.along(c, axis, kernel, width)
+    if _whole(c, axis):
         return c.map_traces(kernel)
     own = c.long()
     w = _along(own, axis).rowsBetween(-left, width - 1 - left)
@@ -120,13 +133,15 @@ def _weighted(own: Cube, axis: int, left: int, weights: list[float]) -> DataFram
 def smooth(c: Cube, r: int, axis: int = 1, kind: str = "box", repeat: int = 1) -> Cube:
     """Box of 2r - 1 samples with ends repeated, or triangle weights r - |k|; ``repeat`` times."""
     weights = [r - abs(k) if kind == "triangle" else 1 for k in range(1 - r, r)]
-    if _whole(c, axis):
 
-        def kernel(x: np.ndarray) -> np.ndarray:
-            for _ in range(repeat):
-                x = _windows(x, r - 1, 2 * r - 1, edge=True) @ (np.array(weights, float) / sum(weights))
-            return x
+    def kernel(x: np.ndarray) -> np.ndarray:
+        for _ in range(repeat):
+            x = _windows(x, r - 1, 2 * r - 1, edge=True) @ (np.array(weights, float) / sum(weights))
+        return x
 
+    if axis > 1:
+        return blocks.along(c, axis, kernel, repeat * (r - 1) + 1)
+    if _whole(c, axis):
         return c.map_traces(kernel)
     own = c.long()
     for _ in range(repeat):
@@ -138,6 +153,9 @@ def decimate(c: Cube, factor: int, axis: int = 1) -> Cube:
     """Moving average with ends repeated, then every ``factor``-th sample."""
     a, left = c.meta.axis(axis), (factor - 1) // 2
     n, d = -(-a.n // factor), a.d * factor
+    if axis > 1:
+        out = blocks.chosen(blocks.along(c, axis, lambda x: _windows(x, left, factor, edge=True).mean(axis=2), factor), axis, factor, n, d)
+        return out if c.layout == "trace" else out.long()
     if _whole(c, axis):
         return c.map_traces(lambda x: _windows(x, left, factor, edge=True)[:, ::factor].mean(axis=2), replace(a, n=n, d=d))
     own, i = c.long(), F.col(f"i{axis}")
@@ -148,16 +166,17 @@ def decimate(c: Cube, factor: int, axis: int = 1) -> Cube:
 
 def laplacian(c: Cube, axes: list[int]) -> Cube:
     """Sum over axes of (centre - neighbour) / d^2, neighbours beyond an end left out."""
-    if axes == [1] and c.layout == "trace":
-        d = c.meta.axis(1).d
-        return c.map_traces(lambda x: (np.diff(x, axis=1, prepend=x[:, :1]) - np.diff(x, axis=1, append=x[:, -1:])) / (d * d))
-    own = c.long()
-    total: Column = F.lit(0.0)
+    bent = lambda d: lambda x: (np.diff(x, axis=1, prepend=x[:, :1]) - np.diff(x, axis=1, append=x[:, -1:])) / (d * d)
+    own, total = c.traces(), None
     for axis in axes:
-        w, d = _along(own, axis), own.meta.axis(axis).d
-        for near in (F.lag("v").over(w), F.lead("v").over(w)):
-            total = total + F.coalesce((F.col("v") - near) / (d * d), F.lit(0.0))
-    return own.derive(own.df.withColumn("s", total).select(*own.keys, F.col("s").alias("v")))
+        kernel = bent(own.meta.axis(axis).d)
+        part = own.map_traces(kernel) if axis == 1 else blocks.along(own, axis, kernel, 1)
+        if total is None:
+            total = part
+            continue
+        both = total.df.join(part.df.withColumnRenamed("samples", "_more"), own.keys[1:] or ["i2"])
+        total = own.derive(both.select(*(own.keys[1:] or ["i2"]), F.zip_with("samples", "_more", lambda a, b: a + b).alias("samples")))
+    return total if c.layout == "trace" else total.long()
 
 
 def sobel_square(c: Cube) -> Cube:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelake.cube import Cube
 from tracelake.functions.expr import compile_expression, safe_log, safe_sqrt
+from tracelake.operators import order
 
 NAN = float("nan")
 
@@ -96,7 +97,40 @@ def clip(c: Cube, limit: float, value: float | None = None) -> Cube:
     return c.map(lambda v: F.when(F.isnan(v) | (F.abs(v) > limit), F.when(v < 0, -to).otherwise(to)).otherwise(v))
 
 
-def clip_bounds(c: Cube, low: float | None = None, high: float | None = None) -> Cube:
+def _finite(c: Cube) -> DataFrame:
+    return c.long().df.where(~_odd(F.col("v"), "nonfinite"))
+
+
+def _percent(p: float) -> float:
+    if not 0 < p <= 100:
+        raise ValueError("a percentage is above 0 and at most 100")
+    return p / 100
+
+
+def clip_bounds(c: Cube, low: float | None = None, high: float | None = None, pclip: float | None = None, symmetric: bool = False) -> Cube:
+    """Between bounds: given ones, or those of the central ``pclip`` percent of all finite samples.
+
+    ``symmetric``: +- the ``pclip`` percentile of magnitudes, or +- the one
+    bound, or the two equal ones, that are given.
+    """
+    if pclip is not None:
+        if low is not None or high is not None:
+            raise ValueError("pclip or bounds")
+        p, fine = _percent(pclip), _finite(c)
+        got = order.quantiles(fine.select(F.abs("v").alias("v")), [p]) if symmetric else order.quantiles(fine, [(1 - p) / 2, (1 + p) / 2])
+        if math.isnan(got[0]):
+            raise ValueError("no finite samples")
+        low, high = (-got[0], got[0]) if symmetric else got
+    elif low is None and high is None:
+        raise ValueError("pclip or bounds")
+    elif symmetric:
+        limits = [abs(float(x)) for x in (low, high) if x is not None]
+        if not math.isclose(limits[0], limits[-1], rel_tol=1e-5, abs_tol=1e-8):
+            raise ValueError("symmetric bounds differ")
+        low, high = -limits[0], limits[0]
+    if low is not None and high is not None and low > high:
+        raise ValueError("bounds are out of order")
+
     def bound(v: Column) -> Column:
         v = v if low is None else F.when(F.isnan(v), v).otherwise(F.greatest(v, F.lit(float(low))))
         return v if high is None else F.when(F.isnan(v), v).otherwise(F.least(v, F.lit(float(high))))
@@ -139,9 +173,35 @@ def fill_nan(c: Cube, value: float = 0.0, mode: str = "nan") -> Cube:
     return c.map(lambda v: F.when(_odd(v, mode), float(value)).otherwise(v))
 
 
-def byte_scale(c: Cube, limit: float, bias: float = 0.0, positive: bool = False) -> Cube:
-    """0 .. 255 (half to even) over bias +- limit, or 0 .. limit."""
-    low, high = (bias, bias + limit) if positive else (bias - limit, bias + limit)
+def _byte_limits(c: Cube, limit: float | None, bias: float | None, positive: bool, pclip: float | None) -> tuple[float, float]:
+    middle = bias or 0.0
+    if limit is not None:
+        if not limit > 0 or math.isinf(limit):
+            raise ValueError("a limit is positive and finite")
+        return (middle, middle + limit) if positive else (middle - limit, middle + limit)
+    fine = _finite(c)
+    from_middle = F.col("v") - middle
+    if pclip is not None:
+        own = fine.select((from_middle if positive else F.abs(from_middle)).alias("v"))
+        width = order.quantiles(own.where("v > 0") if positive else own, [_percent(pclip)])[0]
+        width = 0.0 if math.isnan(width) else width
+        return (middle, middle + width) if positive else (middle - width, middle + width)
+    least, most, far = fine.agg(F.min("v"), F.max("v"), F.max(F.abs(from_middle))).first()
+    if least is None:
+        raise ValueError("no finite samples")
+    return (middle, most) if positive else (least, most) if bias is None else (middle - far, middle + far)
+
+
+def byte_scale(c: Cube, limit: float | None = None, bias: float | None = None, positive: bool = False, pclip: float | None = None) -> Cube:
+    """0 .. 255 (half to even) over bias +- limit, or with ``positive`` over bias .. bias + limit.
+
+    Without a limit, the ``pclip`` percentile of the distances from the bias
+    (with ``positive`` of those above it) is it; without either, the samples'
+    range. Samples that are not finite are 0, as is all where the range is empty.
+    """
+    low, high = _byte_limits(c, limit, bias, positive, pclip)
+    if high <= low:
+        return c.map(lambda v: F.lit(0.0))
     squeezed = lambda v: F.greatest(F.least(v, F.lit(float(high))), F.lit(float(low)))
     return c.map(lambda v: F.when(_odd(v, "nonfinite"), 0.0).otherwise(F.rint((squeezed(v) - low) * 255.0 / (high - low))))
 

@@ -84,6 +84,12 @@ sample("mask", lambda c: pointwise.mask(c, -0.5, 0.5), "CASE WHEN v BETWEEN -0.5
 sample("isnan", pointwise.is_nan, "isnan(v)::INT::DOUBLE")
 sample("fillnan", lambda c: pointwise.fill_nan(c.map(lambda v: F.when(v > 0.5, F.lit(float("nan"))).otherwise(v)), -1.0), "CASE WHEN v > 0.5 THEN -1 ELSE v END")
 sample("byte", lambda c: pointwise.byte_scale(c, 1.0), "round_even((greatest(least(v, 1.0), -1.0) + 1) * 255.0 / 2, 0)")
+_ABOVE = f"(SELECT quantile_cont(v - 0.1, 0.9) FROM {PANEL} WHERE v - 0.1 > 0)"
+sample("clip2_pclip", lambda c: pointwise.clip_bounds(c, pclip=90.0), f"least(greatest(v, (SELECT quantile_cont(v, 0.05) FROM {PANEL})), (SELECT quantile_cont(v, 0.95) FROM {PANEL}))")
+sample("clip2_symmetric", lambda c: pointwise.clip_bounds(c, pclip=80.0, symmetric=True), f"least(greatest(v, -(SELECT quantile_cont(abs(v), 0.8) FROM {PANEL})), (SELECT quantile_cont(abs(v), 0.8) FROM {PANEL}))")
+sample("byte_pclip", lambda c: pointwise.byte_scale(c, pclip=95.0, bias=0.1), f"round_even((greatest(least(v, 0.1 + w), 0.1 - w) - (0.1 - w)) * 255.0 / (0.1 + w - (0.1 - w)), 0)".replace("w", f"(SELECT quantile_cont(abs(v - 0.1), 0.95) FROM {PANEL})"))
+sample("byte_positive", lambda c: pointwise.byte_scale(c, pclip=90.0, bias=0.1, positive=True), f"round_even((greatest(least(v, 0.1 + {_ABOVE}), 0.1) - 0.1) * 255.0 / {_ABOVE}, 0)")
+sample("byte_range", lambda c: pointwise.byte_scale(c), f"round_even((v - (SELECT min(v) FROM {PANEL})) * 255.0 / (SELECT max(v) - min(v) FROM {PANEL}), 0)")
 sample("costaper", lambda c: pointwise.cosine_taper(c, {1: 8}), "v * CASE WHEN least(i1, 63 - i1) < 8 THEN pow(sin((least(i1, 63 - i1) + 1) * pi() / 18), 2) ELSE 1 END")
 sample("mute", lambda c: pointwise.mute(c, 0.02, 1500.0, F.pmod(F.col("i2"), F.lit(50)) * 2.0, 0.03), "v * CASE WHEN i1 * 0.004 - (0.02 + abs((i2 % 50) * 2.0) / 1500) < 0 THEN 0 WHEN i1 * 0.004 - (0.02 + abs((i2 % 50) * 2.0) / 1500) < 0.03 THEN pow(sin((i1 * 0.004 - (0.02 + abs((i2 % 50) * 2.0) / 1500)) / 0.03 * pi() / 2), 2) ELSE 1 END")
 
@@ -121,6 +127,12 @@ reduction("range", lambda c: pointwise.combine(agg.reduce(c, "max", 1), agg.redu
 register("mean_all", lambda c: agg.reduce(c, "mean"), f"SELECT 0::BIGINT AS i1, round(avg(v), 6) + 0.0 AS v FROM {PANEL}")
 register("stack", lambda c: agg.stack(c, 2), f"SELECT i1, round(coalesce(sum(v) / nullif(count(*) FILTER (v <> 0), 0), 0), 6) + 0.0 AS v FROM {PANEL} GROUP BY i1")
 register("quantile", lambda c: agg.quantile(c, [0.1, 0.5, 0.9], 1), f"SELECT k AS i1, i2, round(q, 6) + 0.0 AS v FROM (SELECT i2, unnest(range(3)) AS k, unnest(quantile_cont(v, [0.1, 0.5, 0.9])) AS q FROM {PANEL} GROUP BY i2)")
+_ALL_Q = [0.001, 0.25, 0.5, 0.9, 0.99, 1.0]
+register("quantile_all", lambda c: agg.quantile(c, _ALL_Q), f"SELECT k AS i1, round(q, 6) + 0.0 AS v FROM (SELECT unnest(range(6)) AS k, unnest(quantile_cont(v, {_ALL_Q})) AS q FROM {PANEL})")
+register("quantile_axis2", lambda c: agg.quantile(c, [0.1, 0.5, 0.9], 2), f"SELECT i1, k AS i2, round(q, 6) + 0.0 AS v FROM (SELECT i1, unnest(range(3)) AS k, unnest(quantile_cont(v, [0.1, 0.5, 0.9])) AS q FROM {PANEL} GROUP BY i1)")
+_HOLED = lambda c: c.map(lambda v: F.when(v > 0.1, F.lit(float("nan"))).otherwise(v))
+register("quantile_omit", lambda c: agg.quantile(_HOLED(c), [0.25, 0.5], 1, True), f"SELECT k AS i1, i2, round(q, 6) + 0.0 AS v FROM (SELECT i2, unnest(range(2)) AS k, unnest(quantile_cont(v, [0.25, 0.5])) AS q FROM {PANEL} WHERE v <= 0.1 GROUP BY i2)")
+register("median_all", lambda c: agg.reduce(c, "median"), f"SELECT 0::BIGINT AS i1, round(quantile_cont(v, 0.5), 6) + 0.0 AS v FROM {PANEL}")
 register("max1", agg.argmax, f"SELECT i2, round(value, 6) + 0.0 AS value, i AS index, round(i * 0.004, 6) + 0.0 AS coord FROM (SELECT i2, v AS value, i1 AS i, row_number() OVER (PARTITION BY i2 ORDER BY v DESC, i1) AS r FROM {PANEL}) WHERE r = 1")
 register("min_index", lambda c: agg.extreme(c, "min"), f"SELECT round(v, 6) + 0.0 AS value, i1 + 64 * i2 AS index FROM {PANEL} ORDER BY v, i1 + 64 * i2 LIMIT 1")
 register("max_index", lambda c: agg.extreme(c, "max"), f"SELECT round(v, 6) + 0.0 AS value, i1 + 64 * i2 AS index FROM {PANEL} ORDER BY v DESC, i1 + 64 * i2 LIMIT 1")
@@ -200,6 +212,23 @@ register("detrend", neighbour.detrend, f"SELECT i1, i2, round(v - (a * i1 + b),
 along("ai2refl", lambda c: neighbour.reflectivity(c.map(lambda v: F.abs(v) + 1.0), 1e-7), "coalesce((abs(a) - abs(v)) / (abs(a) + abs(v) + 2 + 1e-7), 0)")
 register("refl2ai", lambda c: neighbour.impedance(c.map(lambda v: F.tanh(v) * 0.1), 2.0), f"SELECT i1, i2, round(2 * exp(coalesce(sum(ln((1 + r) / (1 - r))) OVER (PARTITION BY i2 ORDER BY i1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)), 6) + 0.0 AS v FROM (SELECT i1, i2, tanh(v) * 0.1 AS r FROM {PANEL})")
 _X = "OVER (PARTITION BY i1 ORDER BY i2)"
+
+
+def across(name: str, query: Callable[[Cube], Cube], value: str, more: str = "") -> None:
+    """Along axis 2, over all traces."""
+    register(name, query, f"SELECT i1, i2, round({value}, 6) + 0.0 AS v FROM (SELECT *, lag(v) {_X} AS b, lead(v) {_X} AS a{more} FROM {PANEL})")
+
+
+_near = lambda k: f"OVER (PARTITION BY i1 ORDER BY i2 ROWS BETWEEN {k} PRECEDING AND {k} FOLLOWING)"
+across("deriv_axis2", lambda c: neighbour.deriv(c, 2), "CASE WHEN b IS NULL THEN a - v WHEN a IS NULL THEN v - b ELSE (a - b) / 2 END")
+across("causint_axis2", lambda c: neighbour.integrate(c, 2), "s", f", sum(v) {_X} AS s")
+register("integral_axis2", lambda c: neighbour.integrate(c, 2, "trapezoid", True), f"SELECT i1, i2, round(sum(t) {_X}, 6) + 0.0 AS v FROM (SELECT i1, i2, coalesce((v + lag(v) {_X}) / 2, 0) AS t FROM {PANEL})")
+across("localrms_axis2", lambda c: neighbour.local_rms(c, 5, 2), "s", f", sqrt(avg(v * v) {_near(2)}) AS s")
+across("agc_axis2", lambda c: neighbour.agc(c, 9.0, 2), "CASE WHEN s > 1e-12 THEN v / s ELSE 0 END", f", sqrt(sum(v * v) {_near(4)} / 9) AS s")
+across("smooth_axis2", lambda c: neighbour.smooth(c, 2, 2, "triangle"), "(coalesce(b, v) + 2 * v + coalesce(a, v)) / 4")
+across("laplac_axis2", lambda c: neighbour.laplacian(c, [2]), "coalesce(v - b, 0) + coalesce(v - a, 0)")
+register("laplac_both", lambda c: neighbour.laplacian(c, [1, 2]), f"SELECT i1, i2, round((coalesce(v - lag(v) {_W}, 0) + coalesce(v - lead(v) {_W}, 0)) / (0.004 * 0.004) + coalesce(v - lag(v) {_X}, 0) + coalesce(v - lead(v) {_X}, 0), 6) + 0.0 AS v FROM {PANEL}")
+register("decimate_axis2", lambda c: neighbour.decimate(c, 4, 2), f"SELECT i1, i2 // 4 AS i2, round((coalesce(b, v) + v + coalesce(a, v) + coalesce(a2, a, v)) / 4, 6) + 0.0 AS v FROM (SELECT *, lag(v) {_X} AS b, lead(v) {_X} AS a, lead(v, 2) {_X} AS a2 FROM {PANEL}) WHERE i2 % 4 = 0")
 register("grad2", neighbour.sobel_square, f"SELECT i1, i2, round(CASE WHEN i1 IN (0, 63) OR lag(d) {_X} IS NULL OR lead(d) {_X} IS NULL THEN 0 ELSE pow(lead(d) {_X} + 2 * d + lag(d) {_X}, 2) + pow(lead(s) {_X} - lag(s) {_X}, 2) END, 6) + 0.0 AS v FROM (SELECT i1, i2, lead(v) {_W} - lag(v) {_W} AS d, lead(v) {_W} + 2 * v + lag(v) {_W} AS s FROM {PANEL})")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.cube import Axis, Cube, Meta
-from tracelake.operators import solvers
+from tracelake.operators import solvers, transforms
 
 
 @dataclass(frozen=True)
@@ -70,19 +70,6 @@ def conjugate(c: ComplexCube) -> ComplexCube:
     return replace(c, df=c.df.withColumn("im", F.transform("im", lambda v: -v)))
 
 
-def _swapped(c: ComplexCube, axis: int) -> ComplexCube:
-    """Axes 1 and ``axis`` change places: one exchange, on the keys of the new traces."""
-    if axis == 1:
-        return c
-    c.meta.axis(axis)
-    names = {"i1": f"i{axis}", f"i{axis}": "i1"}
-    rows = c.long().withColumnsRenamed({k: f"_{k}" for k in names}).withColumnsRenamed({f"_{k}": v for k, v in names.items()})
-    axes = list(c.meta.axes)
-    axes[0], axes[axis - 1] = axes[axis - 1], axes[0]
-    traces = rows.groupBy(*c.keys).agg(F.array_sort(F.collect_list(F.struct("i1", "re", "im"))).alias("z"))
-    return ComplexCube(traces.select(*c.keys, F.col("z.re").alias("re"), F.col("z.im").alias("im")), replace(c.meta, axes=tuple(axes)))
-
-
 def _kernel(c: ComplexCube, kernel: Callable[[np.ndarray], np.ndarray], meta: Meta) -> ComplexCube:
     """A NumPy kernel on matrices of whole complex traces, Arrow batch by batch."""
     keys = c.keys
@@ -101,10 +88,28 @@ def _kernel(c: ComplexCube, kernel: Callable[[np.ndarray], np.ndarray], meta: Me
     return ComplexCube(c.df.select(*keys, "re", "im").mapInArrow(run, schema), meta)
 
 
-def _transformed(c: ComplexCube, axis: int, kernel: Callable[[np.ndarray], np.ndarray], new: Axis, attrs: dict) -> ComplexCube:
-    swapped = _swapped(c, axis)
-    meta = replace(swapped.meta, axes=(new, *swapped.meta.axes[1:]), attrs=attrs)
-    return _swapped(_kernel(swapped, kernel, meta), axis)
+def _scaled(c: ComplexCube, factor: float) -> ComplexCube:
+    by = lambda name: F.transform(name, lambda v: v * factor)
+    return c if factor == 1 else replace(c, df=c.df.withColumns({"re": by("re"), "im": by("im")}))
+
+
+def _factor(n: int, norm: str | None, inverse: bool) -> float:
+    return {None: 1 / n if inverse else 1.0, "backward": 1 / n if inverse else 1.0, "ortho": n**-0.5, "forward": 1.0 if inverse else 1 / n}[norm]
+
+
+def _across(c: ComplexCube, axis: int, n: int, inverse: bool, norm: str | None) -> ComplexCube:
+    """Transform along an axis across traces, in exchanges of bounded groups of traces."""
+    return _scaled(replace(c, df=transforms.along(c.df, c.keys, axis, n, 1 if inverse else -1)), _factor(n, norm, inverse))
+
+
+def _moved(c: ComplexCube, axis: int, by: int) -> ComplexCube:
+    return replace(c, df=transforms.shifted(c.df, axis, c.meta.axis(axis).n, by))
+
+
+def _meta(c: ComplexCube, axis: int, new: Axis, attrs: dict) -> Meta:
+    axes = list(c.meta.axes)
+    axes[axis - 1] = new
+    return replace(c.meta, axes=tuple(axes), attrs=attrs)
 
 
 def _with_origin(c: ComplexCube, axis: int) -> dict:
@@ -125,13 +130,19 @@ def fft(c: Cube | ComplexCube, axis: int = 1, norm: str | None = None) -> Comple
     a = own.meta.axis(axis)
     f = np.fft.fftshift(np.fft.fftfreq(a.n, a.d))
     new = Axis(a.n, float(f[0]), float(f[1] - f[0]) if a.n > 1 else 1.0, "Frequency", "Hz" if a.unit == "s" else "")
-    return _transformed(own, axis, lambda x: np.fft.fftshift(np.fft.fft(x, norm=norm), axes=1), new, _with_origin(own, axis))
+    meta = _meta(own, axis, new, _with_origin(own, axis))
+    if axis == 1:
+        return _kernel(own, lambda x: np.fft.fftshift(np.fft.fft(x, norm=norm), axes=1), meta)
+    return replace(_moved(_across(own, axis, a.n, False, norm), axis, a.n // 2), meta=meta)
 
 
 def ifft(c: ComplexCube, axis: int = 1, norm: str | None = None) -> ComplexCube:
     """The inverse of ``fft``; the axis comes from what the transform kept of it."""
-    back, attrs = _origin(c, axis, c.meta.axis(axis).n)
-    return _transformed(c, axis, lambda x: np.fft.ifft(np.fft.ifftshift(x, axes=1), norm=norm), back, attrs)
+    n = c.meta.axis(axis).n
+    meta = _meta(c, axis, *_origin(c, axis, n))
+    if axis == 1:
+        return _kernel(c, lambda x: np.fft.ifft(np.fft.ifftshift(x, axes=1), norm=norm), meta)
+    return replace(_across(_moved(c, axis, -(n // 2)), axis, n, True, norm), meta=meta)
 
 
 def rfft(c: Cube, axis: int = 1, norm: str | None = None) -> ComplexCube:
@@ -139,14 +150,23 @@ def rfft(c: Cube, axis: int = 1, norm: str | None = None) -> ComplexCube:
     own = rtoc(c)
     a = own.meta.axis(axis)
     new = Axis(a.n // 2 + 1, 0.0, 1 / (a.n * a.d), "Frequency", "Hz" if a.unit == "s" else "")
-    return _transformed(own, axis, lambda x: np.fft.rfft(x.real, norm=norm), new, _with_origin(own, axis))
+    meta = _meta(own, axis, new, _with_origin(own, axis))
+    if axis == 1:
+        return _kernel(own, lambda x: np.fft.rfft(x.real, norm=norm), meta)
+    both = _across(own, axis, a.n, False, norm)
+    return ComplexCube(both.df.where(F.col(f"i{axis}") < new.n), meta)
 
 
 def irfft(c: ComplexCube, axis: int = 1, n: int | None = None, norm: str | None = None) -> Cube:
     """Real samples of a one-sided transform: n of them, else as many as there were, else 2 (n - 1)."""
     size = n or int(c.meta.attrs.get(f"fft_n{axis}", max(1, 2 * (c.meta.axis(axis).n - 1))))
-    back, attrs = _origin(c, axis, size)
-    return real(_transformed(c, axis, lambda x: np.fft.irfft(x, size, norm=norm).astype(np.complex128), back, attrs))
+    meta = _meta(c, axis, *_origin(c, axis, size))
+    if axis == 1:
+        return real(_kernel(c, lambda x: np.fft.irfft(x, size, norm=norm).astype(np.complex128), meta))
+    key = F.col(f"i{axis}")
+    own = c.df.where(key <= size // 2)
+    mirrored = own.where(key.between(1, (size - 1) // 2)).withColumns({f"i{axis}": F.lit(size) - key, "im": F.transform("im", lambda v: -v)})
+    return real(replace(_across(replace(c, df=own.unionByName(mirrored)), axis, size, True, norm), meta=meta))
 
 
 def fft1(c: Cube | ComplexCube, axis: int = 1, inverse: bool = False, norm: str | None = None) -> Cube | ComplexCube:

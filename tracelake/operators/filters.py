@@ -1,8 +1,8 @@
 """Further frequency-domain filters and correlations, and transforms over two axes.
 
-Two-axis transforms are separable: a kernel along axis 1, an exchange that
-turns the panel, and a kernel along axis 2, so no task holds a panel.  Panels
-are dense along axis 2.
+Two-axis transforms are separable: a kernel along axis 1, then exchanges of
+bounded groups of traces along axis 2 (see ``transforms``), so no task holds a
+panel, nor a line of axis 2.  Absent traces count as zeros.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tracelake.cube import Axis, Cube
+from tracelake.operators import complexes, transforms
 from tracelake.operators.scatter import beside
 from tracelake.operators.spectral import analytic, convolve
 
@@ -117,23 +118,11 @@ def trace_correlation(c: Cube, other: Cube, mode: str = "full", envelopes: bool
 
 
 # two axes
-def _split(z: np.ndarray) -> np.ndarray:
-    return np.concatenate([z.real, z.imag], axis=1)
-
-
-def _join(x: np.ndarray) -> np.ndarray:
-    m = x.shape[1] // 2
-    return x[:, :m] + 1j * x[:, m:]
-
-
-def _turned(c: Cube) -> Cube:
-    """Axes 1 and 2 exchanged; samples are real parts and then imaginary ones."""
-    m, n2, rest = c.meta.axes[0].n // 2, c.meta.axes[1].n, c.keys[2:]
-    pairs = F.transform(F.sequence(F.lit(1), F.lit(m)), lambda i: F.struct(F.element_at("samples", i).alias("re"), F.element_at("samples", i + m).alias("im")))
-    rows = c.df.select(F.col("i2").alias("x"), *rest, F.posexplode(pairs).alias("k", "z"))
-    got = rows.groupBy(F.col("k").cast("long").alias("i2"), *rest).agg(F.array_sort(F.collect_list(F.struct("x", "z.re", "z.im"))).alias("g"))
-    df = got.select("i2", *rest, F.concat(F.transform("g", lambda g: g["re"]), F.transform("g", lambda g: g["im"])).alias("samples"))
-    return Cube(df, replace(c.meta, axes=(Axis(2 * n2), Axis(m), *c.meta.axes[2:])), "trace")
+def fk_spectrum(c: Cube) -> Cube:
+    """Amplitudes over centred frequency (axis 1) and wavenumber (axis 2)."""
+    a, b = c.meta.axes[:2]
+    got = complexes.modulus(complexes.fft(complexes.fft(c, 1), 2))
+    return replace(got, meta=replace(got.meta, axes=(_centred(a, "Frequency", "Hz"), _centred(b, "Wavenumber", ""), *c.meta.axes[2:]), attrs=c.meta.attrs))
 
 
 def _centred(a: Axis, label: str, unit: str) -> Axis:
@@ -141,35 +130,15 @@ def _centred(a: Axis, label: str, unit: str) -> Axis:
     return Axis(a.n, float(f[0]), float(1 / (a.n * a.d)), label, unit)
 
 
-def _back(turned: Cube, first: Axis, second: Axis) -> Cube:
-    """Long layout in the first order of axes."""
-    own = turned.long()
-    df = own.df.select(F.col("i2").alias("i1"), F.col("i1").alias("i2"), *own.keys[2:], "v")
-    return Cube(df, replace(own.meta, axes=(first, second, *own.meta.axes[2:])), "long")
-
-
-def _forward(c: Cube) -> Cube:
-    n1, n2 = c.meta.shape[:2]
-    half = c.traces().map_traces(lambda x: _split(np.fft.fftshift(np.fft.fft(x), axes=1)), Axis(2 * n1))
-    return _turned(half).map_traces(lambda x: _split(np.fft.fftshift(np.fft.fft(_join(x)), axes=1)), Axis(2 * n2))
-
-
-def fk_spectrum(c: Cube) -> Cube:
-    """Amplitudes over centred frequency (axis 1) and wavenumber (axis 2)."""
-    a, b = c.meta.axes[:2]
-    amplitude = _forward(c).map_traces(lambda x: np.abs(_join(x)), Axis(b.n))
-    return _back(amplitude, _centred(a, "Frequency", "Hz"), _centred(b, "Wavenumber", ""))
-
-
 def fk_filter(c: Cube, low: float | None = None, high: float | None = None, taper: float = 0.0, reject: bool = False) -> Cube:
     """Keeps apparent velocities |f| / |k| from low to high, with cosine edges ``taper`` wide outside."""
     if low is None and high is None or low is not None and high is not None and low > high:
         raise ValueError("low or high, in order")
     a, b = c.meta.axes[:2]
-    f = F.abs(F.lit(float(-(a.n // 2))) + F.col("i2")) / (a.n * a.d)
+    k = F.abs(F.lit(float(-(b.n // 2))) + F.col("i2")) / (b.n * b.d)
 
     def weight(i: Column) -> Column:
-        k = F.abs(F.lit(float(-(b.n // 2))) + i % b.n) / (b.n * b.d)
+        f = F.abs(F.lit(float(-(a.n // 2))) + i) / (a.n * a.d)
         speed = F.when((k == 0) & (f == 0), 0.0).when(k == 0, float("inf")).otherwise(F.try_divide(f, k))
         w = F.lit(1.0)
         if low is not None and (low or taper):
@@ -181,22 +150,21 @@ def fk_filter(c: Cube, low: float | None = None, high: float | None = None, tape
             w = w * F.when(speed <= high, 1.0).when(speed < high + taper, ramp).otherwise(0.0)
         return 1 - w if reject else w
 
-    spectrum = _forward(c)
-    kept = spectrum.derive(spectrum.df.withColumn("samples", F.transform("samples", lambda v, i: v * weight(i))))
-    space = kept.map_traces(lambda x: _split(np.fft.ifft(np.fft.ifftshift(_join(x), axes=1))), Axis(2 * b.n))
-    out = _turned(space).map_traces(lambda x: np.fft.ifft(np.fft.ifftshift(_join(x), axes=1)).real, a)
-    return Cube(out.df, replace(out.meta, axes=c.meta.axes), "trace")
+    spectrum = complexes.fft(complexes.fft(c, 1), 2)
+    weighted = spectrum.df.withColumn("_w", F.transform("re", lambda v, i: weight(i)))
+    by = lambda name: F.zip_with(name, "_w", lambda v, w: v * w).alias(name)
+    kept = replace(spectrum, df=weighted.select(*spectrum.keys, by("re"), by("im")))
+    out = complexes.real(complexes.ifft(complexes.ifft(kept, 2), 1))
+    return Cube(out.df, c.meta, "trace")
 
 
 def spectra2(c: Cube, power: bool = False) -> Cube:
     """Amplitude (or power) over frequency and centred wavenumber, divided by sqrt(n1 n2)."""
     a, b = c.meta.axes[:2]
-    half = c.traces().map_traces(lambda x: _split(np.fft.rfft(x)), Axis(2 * (a.n // 2 + 1)))
-    sign = np.where(np.arange(b.n) % 2, -1.0, 1.0)
-
-    def kernel(x: np.ndarray) -> np.ndarray:
-        got = np.abs(np.fft.fft(_join(x) * sign)) / np.sqrt(a.n * b.n)
-        return got**2 if power else got
-
-    out = _turned(half).map_traces(kernel, Axis(b.n))
-    return _back(out, Axis(a.n // 2 + 1, 0.0, 1 / (a.n * a.d), "Frequency", "Hz"), _centred(b, "Wavenumber", ""))
+    half = complexes.rfft(c, 1)
+    by = lambda name: F.transform(name, lambda v: F.when(F.col("i2") % 2 == 1, -v).otherwise(v))
+    df = transforms.along(half.df.withColumns({"re": by("re"), "im": by("im")}), half.keys, 2, b.n)
+    size = (a.n * b.n) ** 0.5
+    got = complexes.modulus(replace(half, df=df)).map(lambda v: v / size * (v / size) if power else v / size)
+    axes = (Axis(a.n // 2 + 1, 0.0, 1 / (a.n * a.d), "Frequency", "Hz"), _centred(b, "Wavenumber", ""), *c.meta.axes[2:])
+    return replace(got, meta=replace(got.meta, axes=axes, attrs=c.meta.attrs))

@@ -358,9 +358,6 @@ register("trapez", lambda c: filters.trapezoid(c, (5.0, 12.0, 50.0, 70.0)), _fil
 _OMEGA = "CASE WHEN k = 0 THEN 0 ELSE pow(greatest(2 * pi() * k / 64, 1 / 64e0), {power}) * {turn}(pi() / 4) END"
 register("halfint", filters.half_integral, _filtered(_OMEGA.format(power=-0.5, turn="cos"), _OMEGA.format(power=-0.5, turn="-sin")))
 register("halfdiff", lambda c: filters.half_integral(c, True), _filtered(_OMEGA.format(power=0.5, turn="cos"), _OMEGA.format(power=0.5, turn="sin")))
-register("fkspectrum", filters.fk_spectrum)
-register("fkfilter", lambda c: filters.fk_filter(c, 10.0, 400.0, 5.0))
-register("spectra2", filters.spectra2)
 _LAYERS = "CASE WHEN abs(x - 100) <= 50 AND abs(z - 60) <= 20 THEN 3000 WHEN pow(x - 300, 2) + pow(z - 100, 2) <= 900 THEN w - 200 ELSE w END"
 register("velocity_model", plain=lambda s, d: modelling.circle(modelling.rectangle(modelling.layered_velocity(s, Axis(30, 0.0, 5.0), Axis(50, 0.0, 10.0), [(0.0, 1500.0), (80.0, 2200.0)]), (50.0, 150.0), (40.0, 80.0), velocity=3000.0), 300.0, 100.0, 30.0, delta=-200.0).df, sql=f"SELECT i1, i2, ({_LAYERS})::DOUBLE AS v FROM (SELECT *, i1 * 5.0 AS z, i2 * 10.0 AS x, CASE WHEN i1 * 5.0 >= 80 THEN 2200 ELSE 1500 END AS w FROM range(30) a(i1), range(50) b(i2))")
 register("acoustic2d", plain=lambda s, d: _survey(s, d))
@@ -371,6 +368,26 @@ register("least_squares", plain=lambda s, d: _solved(s, d), sql="SELECT 0::BIGIN
 # complex samples
 _FULL = f"(SELECT (k + 32) % 64 AS i1, i2, sum(v * cos(2 * pi() * i1 * k / 64)) AS re, -sum(v * sin(2 * pi() * i1 * k / 64)) AS im FROM {PANEL}, range(64) r(k) GROUP BY k, i2)"
 _PARTS = "round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im"
+_N2 = "(SELECT count(*) FROM embeddings)"
+_PLACES = "(SELECT unnest(range(count(*))) AS k FROM embeddings)"
+
+
+def _across_traces(source: str, sign: int, place: str = "i2", out: str = "k") -> str:
+    """DuckDB transform of (i1, i2, re, im) along axis 2: place ``place`` against bin k, as ``out``."""
+    w = f"(2 * pi() * (({place}) * k % {_N2}) / {_N2})"
+    return f"(SELECT i1, {out} AS i2, sum(re * cos({w}) - {sign} * im * sin({w})) AS re, sum(im * cos({w}) + {sign} * re * sin({w})) AS im FROM {source}, {_PLACES} GROUP BY i1, k)"
+
+
+_FK = _across_traces(_FULL, -1, out=f"(k + {_N2} // 2) % {_N2}")
+register("fkspectrum", filters.fk_spectrum, f"SELECT i1, i2, round(sqrt(re * re + im * im), 6) + 0.0 AS v FROM {_FK}")
+_SPEED = f"SELECT *, CASE WHEN i2 = {_N2} // 2 THEN CASE WHEN i1 = 32 THEN 0e0 ELSE 'inf'::DOUBLE END ELSE abs(i1 - 32) / 0.256e0 / (abs(i2 - {_N2} // 2) / {_N2}::DOUBLE) END AS s FROM {_FK}"
+_KEPT = f"(SELECT i1, i2, re * w AS re, im * w AS im FROM (SELECT *, CASE WHEN s >= 10 THEN 1 WHEN s > 5 THEN 0.5 * (1 - cos(pi() * (s - 5) / 5)) ELSE 0 END * CASE WHEN s <= 400 THEN 1 WHEN s < 405 THEN 0.5 * (1 + cos(pi() * (s - 400) / 5)) ELSE 0 END AS w FROM ({_SPEED})))"
+register("fkfilter", lambda c: filters.fk_filter(c, 10.0, 400.0, 5.0), f"SELECT t AS i1, i2, round(sum(re * cos(2 * pi() * (i1 - 32) * t / 64) - im * sin(2 * pi() * (i1 - 32) * t / 64)) / 64 / {_N2}, 6) + 0.0 AS v FROM {_across_traces(_KEPT, 1, f'i2 + {_N2} - {_N2} // 2')}, range(64) r(t) GROUP BY t, i2")
+_ALTERNATED = f"(SELECT i1, i2, re * (1 - 2 * (i2 % 2)) AS re, im * (1 - 2 * (i2 % 2)) AS im FROM {DFT})"
+register("spectra2", filters.spectra2, f"SELECT i1, i2, round(sqrt(re * re + im * im) / sqrt(64 * {_N2}), 6) + 0.0 AS v FROM {_across_traces(_ALTERNATED, -1)}")
+register("fft_traces", lambda c: complexes.fft(c, 2).long(), f"SELECT i1, i2, {_PARTS} FROM {_across_traces(f'(SELECT i1, i2, v AS re, 0e0 AS im FROM {PANEL})', -1, out=f'(k + {_N2} // 2) % {_N2}')}")
+register("rfft_traces", lambda c: complexes.rfft(c, 2).long(), f"SELECT i1, i2, {_PARTS} FROM {_across_traces(f'(SELECT i1, i2, v AS re, 0e0 AS im FROM {PANEL})', -1)} WHERE i2 <= {_N2} // 2")
+register("irfft_traces", lambda c: complexes.irfft(complexes.conjugate(complexes.rfft(c, 2)), 2), f"SELECT i1, ({_N2} - i2) % {_N2} AS i2, round(v, 6) + 0.0 AS v FROM {PANEL}")
 register("fft_real", lambda c: complexes.real(complexes.fft(c)), f"SELECT i1, i2, round(re, 6) + 0.0 AS v FROM {_FULL}")
 register("fft_imag", lambda c: complexes.imag(complexes.fft(c)), f"SELECT i1, i2, round(im, 6) + 0.0 AS v FROM {_FULL}")
 register("fft_axis2", lambda c: complexes.fft(reshape.reshape(c, (16, 4, c.meta.shape[1])), 2).long(), f"SELECT i1, i2, i3, {_PARTS} FROM (SELECT i1 % 16 AS i1, (k + 2) % 4 AS i2, i2 AS i3, sum(v * cos(pi() * (i1 // 16) * k / 2)) AS re, -sum(v * sin(pi() * (i1 // 16) * k / 2)) AS im FROM {PANEL}, range(4) r(k) GROUP BY 1, 2, 3)")

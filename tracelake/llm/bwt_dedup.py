@@ -19,6 +19,13 @@ at it.  Neighbouring strings of a document with one anchor form a segment.
     within the anchor, which partial aggregation spreads over all tasks.
 
 Segments with anchor and digest (128 bits) alike count as equal bytes.
+
+In periodic text (padding, rules, one line over and over) the anchor moves on
+with every period, so there are as many segments as periods.  A document
+therefore brings each kind of segment once, with its count, and the places of
+those it holds more than once as merged runs: one for a periodic text of any
+length.  Long texts are cut into slices of strings first; a segment so cut in
+two is two segments of one anchor, which step 2 compares as any others.
 """
 
 from __future__ import annotations
@@ -38,6 +45,8 @@ from tracelake.llm.text import chunks, mix64
 
 #: Bytes of an anchor; a power of two.
 GRAM = 32
+#: Strings of a text that are cut into segments at a time, so that memory beside a long text is bounded.
+SLICE = 1 << 21
 #: Different segments of an anchor that one task merges; segments merged at a time.
 MOST_SHARDS, AT_ONCE = 4096, 16384
 
@@ -79,6 +88,51 @@ def segments(data: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return grams[at[first]], first, np.diff(np.append(first, len(at))), at[first] - first
 
 
+def union_of_runs(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Disjoint runs, not even neighbours, that cover the same places."""
+    order = np.argsort(first, kind="stable")
+    first, upto = first[order], np.maximum.accumulate(last[order])
+    new = np.flatnonzero(np.concatenate([[True], first[1:] > upto[:-1] + 1]))
+    return first[new], upto[np.append(new[1:] - 1, len(upto) - 1)]
+
+
+#: Columns of ``own_kinds``: anchor, digest, first string, strings, segments like this one.
+Kinds = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _gathered(kinds: Kinds) -> tuple[Kinds, tuple[np.ndarray, np.ndarray]]:
+    """Each kind once, at its first place; and the runs of those that were there more than once."""
+    order = np.lexsort((kinds[2], kinds[1], kinds[0]))
+    anchor, digest, first, n, count = (x[order] for x in kinds)
+    new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (digest[1:] != digest[:-1])])
+    at = np.flatnonzero(new)
+    several = np.repeat(np.diff(np.append(at, len(new))) > 1, np.diff(np.append(at, len(new))))
+    runs = union_of_runs(first[several], first[several] + n[several] - 1) if several.any() else (first[:0], first[:0])
+    return (anchor[at], digest[at], first[at], n[at], np.add.reduceat(count, at)), runs
+
+
+def own_kinds(data: bytes, width: int) -> tuple[Kinds, tuple[np.ndarray, np.ndarray]]:
+    """Kinds of segments of a text of ``width`` bytes or more, and the runs of strings that it holds more than once as whole segments."""
+    found, runs, strings = [], [], len(data) - width + 1
+    for a in range(0, strings, SLICE):
+        own = data if strings <= SLICE else data[a : a + SLICE + width - 1]
+        key, first, n, _ = segments(own, width)
+        digest = np.empty(len(key), np.uint64)
+        for k in range(0, len(key), 65536):
+            x, z = first[k : k + 65536].tolist(), (first[k : k + 65536] + n[k : k + 65536] + (width - 1)).tolist()
+            digest[k : k + 65536] = [xxhash.xxh3_64_intdigest(own[i:j]) for i, j in zip(x, z, strict=True)]
+        kinds = key, digest, first + a, n, np.ones(len(key), np.int64)
+        if len(set(digest.tolist())) < len(digest):
+            kinds, more = _gathered(kinds)
+            runs.append(more)
+        found.append(kinds)
+    kinds = found[0]
+    if len(found) > 1:
+        kinds, more = _gathered(tuple(np.concatenate(x) for x in zip(*found, strict=True)))
+        runs.append(more)
+    return kinds, union_of_runs(*(np.concatenate(x) for x in zip(*runs, strict=True))) if any(len(r[0]) for r in runs) else (kinds[2][:0], kinds[2][:0])
+
+
 def merge_shards(group: np.ndarray, strings: list[bytes], lead: np.ndarray, count: np.ndarray, width: int) -> list[np.ndarray]:
     """Which of each segment's strings occur in another segment of its group.
 
@@ -142,22 +196,25 @@ def repeated_strings(docs: DataFrame, width: int = 200, most_shards: int = MOST_
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
-            got = []
+            got, firsts, lasts = [], [], []
             for rid, rid2, t in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 data = (t or "").encode()
                 if len(data) >= width:
-                    key, first, n, _ = segments(data, width)
-                    ends = (first + n + (width - 1)).tolist()
-                    digest = [xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(first.tolist(), ends, strict=True)]
-                    got.append((key, np.array(digest, np.uint64), np.full(len(key), rid), np.full(len(key), rid2), first, n))
+                    kinds, runs = own_kinds(data, width)
+                    size = len(kinds[0])
+                    got.append((*kinds, np.full(size, rid), np.full(size, rid2)))
+                    one = int(np.argmax(kinds[4] > 1))  # the text's runs go with one of its repeated kinds
+                    sure = [None if not len(r) else r.tolist() for r in runs]
+                    for column, own in zip((firsts, lasts), sure, strict=True):
+                        column += [None] * one + [own] + [None] * (size - one - 1)
             if got:
-                key, digest, rid, rid2, first, n = (np.concatenate(x) for x in zip(*got, strict=True))
-                yield _emit({"anchor": pa.array(key.view(np.int64)), "digest": pa.array(digest.view(np.int64)), "rid": pa.array(rid), "rid2": pa.array(rid2.astype(np.int32)), "first": pa.array(first.astype(np.int32)), "n": pa.array(n.astype(np.int32))})
+                key, digest, first, n, count, rid, rid2 = (np.concatenate(x) for x in zip(*got, strict=True))
+                yield _emit({"anchor": pa.array(key.view(np.int64)), "digest": pa.array(digest.view(np.int64)), "rid": pa.array(rid), "rid2": pa.array(rid2.astype(np.int32)), "first": pa.array(first.astype(np.int32)), "n": pa.array(n.astype(np.int32)), "times": pa.array(count), "firsts": pa.array(firsts, pa.list_(pa.int32())), "lasts": pa.array(lasts, pa.list_(pa.int32()))})
 
-    found = docs.select("rid", "rid2", "text").mapInArrow(cut, "anchor long, digest long, rid long, rid2 int, first int, n int")
-    again = scratch.table(found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select(F.col("anchor").alias("a")), "anchors")
+    found = docs.select("rid", "rid2", "text").mapInArrow(cut, "anchor long, digest long, rid long, rid2 int, first int, n int, times long, firsts array<int>, lasts array<int>")
+    again = scratch.table(found.groupBy("anchor").agg(F.sum("times").alias("c")).where("c > 1").select(F.col("anchor").alias("a")), "anchors")
     rows = scratch.table(found.join(again, F.col("anchor") == F.col("a")).drop("a"), "segments")
-    kinds = scratch.table(rows.groupBy("anchor", "digest").agg(F.count("*").alias("c"), F.min(F.struct("rid", "rid2", "first", "n")).alias("at")), "kinds")
+    kinds = scratch.table(rows.groupBy("anchor", "digest").agg(F.sum("times").alias("c"), F.min(F.struct("rid", "rid2", "first", "n")).alias("at")), "kinds")
     several = scratch.table(kinds.groupBy("anchor").agg(F.count("*").alias("shards")).where("shards > 1").select(F.col("anchor").alias("a"), "shards"), "several")
     wanted = scratch.table(kinds.join(several, F.col("anchor") == F.col("a")).select("anchor", "digest", "c", "shards", "at.*"), "wanted")
 
@@ -231,7 +288,8 @@ def repeated_strings(docs: DataFrame, width: int = 200, most_shards: int = MOST_
     by = (F.col("anchor") == F.col("a")) & (F.col("digest") == F.col("d"))
     alone = kinds.where("c = 1").select("anchor", "digest", "at.rid", "at.rid2", "at.first")
     all_of = rows.join(whole, by).select("rid", "rid2", F.col("first").alias("base"), F.array(F.lit(0)).alias("firsts"), F.array(F.col("n") - 1).alias("lasts"))
-    return all_of.union(alone.join(runs, by).select("rid", "rid2", "first", "firsts", "lasts"))
+    sure = rows.where("firsts is not null").select("rid", "rid2", F.lit(0).alias("base"), "firsts", "lasts")
+    return all_of.union(alone.join(runs, by).select("rid", "rid2", "first", "firsts", "lasts")).union(sure)
 
 
 def _runs(hits: np.ndarray) -> tuple[list[int], list[int]]:

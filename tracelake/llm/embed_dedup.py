@@ -99,21 +99,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = TIL
     for d in lengths:  # a table of vectors has one length; others are compared in their own basis
         rows_d = heads.where(F.size("v") == d).orderBy("same").limit(FIT_ROWS).select("v").toPandas()["v"]
         sample = np.array([np.asarray(x, np.float64) for x in rows_d])
+        sample = sample / np.abs(sample).max(axis=1, keepdims=True)  # keeps squares of very large or small components in range
         bases[d] = fit_basis(sample / np.sqrt((sample**2).sum(axis=1, keepdims=True)))
     slab_width = math.sqrt(max(2 - 2 * threshold, 0)) + 1e-6
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slabs, turned = [], []
-            for x in batch.column(batch.schema.get_field_index("v")):
-                x = np.asarray(x.values, np.float64)
-                x = x / np.abs(x).max()  # keeps squares of very large or small components in range
-                basis = bases.get(len(x))
-                unit = x / math.sqrt(x @ x)
-                y = unit @ basis if basis is not None else unit
-                slabs.append(math.floor(y[0] / slab_width))
-                turned.append(y)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(slabs, pa.int32()), pa.array([t.astype(np.float32) for t in turned], pa.list_(pa.float32()))], names=[*batch.schema.names, "slab", "y"])
+            column = batch.column(batch.schema.get_field_index("v"))
+            sizes = np.asarray(column.value_lengths())
+            for d in np.unique(sizes).tolist():
+                own = batch.take(pa.array(np.flatnonzero(sizes == d))) if len(column) != (sizes == d).sum() else batch
+                x = _matrix(own.column(own.schema.get_field_index("v")), d)
+                x = x / np.abs(x).max(axis=1, keepdims=True)  # as in the sample
+                y = x / np.sqrt((x**2).sum(axis=1, keepdims=True))
+                y = y @ bases[d] if d in bases else y
+                ends = pa.array(np.arange(len(y) + 1, dtype=np.int32) * d)
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.floor(y[:, 0] / slab_width).astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(y.astype(np.float32).reshape(-1)))], names=[*own.schema.names, "slab", "y"])
 
     kind = vectors.schema[label].dataType.simpleString()
     kept = f"label {kind}, head long, copies long, v array<{element}>"

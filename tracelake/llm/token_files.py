@@ -17,11 +17,11 @@ lengths by one table lookup and all places by one cumulative sum.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,8 @@ from tracelake.llm.text import chunks
 MAGIC = b"TLIDS01\n"
 #: Ids of a shard file; a longer document gets a file of its own.
 SHARD_IDS = 4_000_000
-#: Distinct words in a generation of a worker's memo.
-MEMO = 150_000
+#: Distinct words in a generation of a worker's memo, which keeps two.
+MEMO = 300_000
 
 #: Data bytes of the four ids of each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
@@ -106,15 +106,14 @@ class LibraryEncoder:
     space before it) goes through the library once, many words in one call, and
     is remembered.  This is right for byte-level tokenizers that split before
     their merges by a pattern in which a space starts a token and no token goes
-    on over one, as GPT-2's; a text in which a space meets other white space or
-    the end, or that holds the string of an added token (which the library
+    on over one, as GPT-2's; a text in which white space or the end follows a
+    space, or that holds the string of an added token (which the library
     turns into that token's id), goes through whole.  Without ``by_word`` every
     text goes whole.
     """
 
-    #: Words in a call.
-    AT_ONCE = 4000
-    _ODD = re.compile(r" \s|\s | \Z")
+    #: Words in a string, and strings in a call: the library is quicker with short strings.
+    AT_ONCE, STRINGS = 64, 512
 
     def __init__(self, path: str, by_word: bool):
         from tokenizers import Tokenizer
@@ -134,15 +133,17 @@ class LibraryEncoder:
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of each word after a space."""
         out: list[bytes] = []
-        groups = [words[a : a + self.AT_ONCE] for a in range(0, len(words), self.AT_ONCE)]
-        for group in groups:
-            ids = self._library([" " + " ".join(group)])[0]
-            ends = np.cumsum(self.sizes[np.frombuffer(ids, "<u4")])
-            stops = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in group), np.int64, len(group)))
-            cuts = (np.searchsorted(ends, stops) + 1) * 4
-            at = 0
-            for stop in cuts.tolist():
-                out.append(ids[at:stop])
+        step = self.AT_ONCE * self.STRINGS
+        for a in range(0, len(words), step):
+            strings = [" " + " ".join(words[k : min(k + self.AT_ONCE, a + step)]) for k in range(a, min(a + step, len(words)), self.AT_ONCE)]
+            found = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
+            ids = np.fromiter(chain.from_iterable(e.ids for e in found), "<u4")
+            text = np.frombuffer("".join(strings).encode(), np.uint8)
+            starts = np.flatnonzero(text == 32)  # words hold no space
+            cuts = np.searchsorted(np.cumsum(self.sizes[ids]), np.append(starts[1:], len(text))) + 1
+            flat, at = ids.tobytes(), 0
+            for stop in (4 * cuts).tolist():
+                out.append(flat[at:stop])
                 at = stop
         return out
 
@@ -151,16 +152,23 @@ class LibraryEncoder:
             return self._library(texts)
         if len(self.young) >= MEMO:
             self.old, self.young = self.young, {}
-        odd = [bool(self._ODD.search(t)) or any(x in t for x in self.added) for t in texts]
-        split = [[t] if o else t.split(" ") for t, o in zip(texts, odd, strict=True)]
-        firsts = self._library([s.pop(0) for s in split])
         young, old = self.young, self.old
+        split = [[t] if any(x in t for x in self.added) else t.split(" ") for t in texts]
+        firsts = [s.pop(0) for s in split]
         unknown = set().union(*split).difference(young)
+        # a word that is empty or starts with white space is never remembered
+        odd = {w for w in unknown if not w or w[0].isspace()}
+        if odd:
+            marks = {" " + (w[:1] or " ") for w in odd}
+            for k, t in enumerate(texts):
+                if split[k] and (t[-1] == " " or any(m in t for m in marks)):
+                    firsts[k], split[k] = t, []
+            unknown -= odd
         known = unknown.intersection(old) if old else set()
         young.update((w, old[w]) for w in known)
         new = list(unknown - known)
         young.update(zip(new, self._words(new), strict=True))
-        return [first + b"".join(map(young.__getitem__, s)) for first, s in zip(firsts, split, strict=True)]
+        return [first + b"".join(map(young.__getitem__, s)) for first, s in zip(self._library(firsts), split, strict=True)]
 
 
 @lru_cache(maxsize=2)

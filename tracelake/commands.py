@@ -215,8 +215,23 @@ TABLES: dict[str, Callable[[DataFrame, Parameters], DataFrame]] = {
 }
 
 
+def _binned(spark: SparkSession, program: str, p: Parameters) -> str:
+    """intbin, intbin3 with head=: traces of the dataset by keys of the table, which are numbered from 0."""
+    table = rsf.read_table(spark, p.text("head"))
+    names = [c for c in table.columns if c != "trace"]
+    letters = "xyz"[: 3 if program == "intbin3" else 2]
+    places = [p.int(f"{x}key", k) for k, x in enumerate(letters)]
+    if not all(0 <= k < len(names) for k in places):
+        raise ValueError(f"the table has {len(names)} keys")
+    bounds = [(p.int(f"{x}min", None), p.int(f"{x}max", None)) for x in letters]
+    rsf.write(headers.bin_traces(rsf.read(spark, p.files[0]), table, [names[k] for k in places], bounds), p.files[1])
+    return p.files[1]
+
+
 def _on_table(spark: SparkSession, program: str, p: Parameters) -> str:
     """A table stays a table (trace and keys); a grid (i1, .., v) becomes a dataset; anything else is said."""
+    if "head" in p.values and program in ("intbin", "intbin3"):
+        return _binned(spark, program, p)
     df = TABLES[program](rsf.read_table(spark, p.files[0]), p)
     if "trace" in df.columns:
         rsf.write_table(df, [c for c in df.columns if c != "trace"], p.files[1], "trace")

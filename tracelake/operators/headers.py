@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,3 +73,49 @@ def _on_grid(df: DataFrame, keys: list[Column], value: Column, row: Column, axes
         got = got.where((F.col(name) >= 0) & (F.col(name) < a.n))
     got = got.groupBy(*names).agg(F.max("s").alias("m"))
     return grid(df.sparkSession, axes).join(got, names, "left").select(*names, F.coalesce("m.v", F.lit(0.0)).alias("v"))
+
+
+def bin_traces(c: Cube, table: DataFrame, keys: list[str], bounds: list[tuple[int | None, int | None]] | None = None) -> Cube:
+    """Whole traces on a grid of two or three integer keys; of several in a cell the last one stays.
+
+    ``table`` has one row (``trace`` and the keys) for each place of axis 2.
+    A bound that is not given is the least or greatest key; traces outside are
+    dropped.  Which trace wins a cell is settled on (cell, trace number) alone,
+    and only winners move, once.  Cells without a trace have no row: the cube
+    is sparse, and ``filled`` or a writer puts zeros there.
+    """
+    own = c.traces()
+    if own.rank != 2:
+        raise ValueError("traces along axis 2 are needed")
+    if len(keys) not in (2, 3) or any(k not in table.columns for k in keys):
+        raise ValueError(f"two or three keys of {table.columns} are needed")
+    bounds = bounds or [(None, None)] * len(keys)
+    whole = [F.floor(F.col(f"`{k}`").cast("double")) for k in keys]
+    odd = [F.count_if((F.col(f"`{k}`").cast("double") != x) | F.col(f"`{k}`").isNull()) for k, x in zip(keys, whole, strict=True)]
+    got = table.agg(F.count("*"), F.count_distinct("trace"), F.min("trace"), F.max("trace"), *odd, *[x for w in whole for x in (F.min(w), F.max(w))]).first()
+    n, m = own.meta.shape[1], len(keys)
+    if tuple(got[:4]) != (n, n, 0, n - 1):
+        raise ValueError("the table's row count is not that of the traces")
+    if any(got[4 : 4 + m]):
+        raise ValueError("keys are integer-valued")
+    ends = [(int(got[4 + m + 2 * k]) if low is None else low, int(got[5 + m + 2 * k]) if high is None else high) for k, (low, high) in enumerate(bounds)]
+    for name, (low, high) in zip(keys, ends, strict=True):
+        if low > high:
+            raise ValueError(f"the bounds of {name} are out of order")
+    cells = [f"i{k}" for k in range(2, m + 2)]
+    inside = table.select(F.col("trace").alias("_trace"), *[w.cast("long").alias(k) for w, k in zip(whole, cells, strict=True)])
+    for k, (low, high) in zip(cells, ends, strict=True):
+        inside = inside.where(F.col(k).between(low, high)).withColumn(k, F.col(k) - low)
+    winners = inside.groupBy(*cells).agg(F.max("_trace").alias("_trace"))
+    df = winners.join(own.df.select(F.col("i2").alias("_trace"), "samples"), "_trace").select(*cells, "samples")
+    axes = [Axis(high - low + 1, float(low), 1.0, k) for k, (low, high) in zip(keys, ends, strict=True)]
+    return Cube(df, replace(own.meta, axes=(own.meta.axes[0], *axes)), "trace")
+
+
+def filled(c: Cube) -> Cube:
+    """A sparse cube of traces with zero traces where it has none."""
+    own = c.traces()
+    rest = own.meta.axes[1:]
+    places = grid(own.df.sparkSession, rest).withColumnsRenamed({f"i{k}": f"_i{k}" for k in range(1, len(rest) + 1)}).withColumnsRenamed({f"_i{k}": f"i{k + 1}" for k in range(1, len(rest) + 1)})
+    zeros = F.array_repeat(F.lit(0.0), own.meta.axes[0].n)
+    return own.derive(places.join(own.df, own.keys[1:], "left").select(*own.keys[1:], F.coalesce("samples", zeros).alias("samples")))

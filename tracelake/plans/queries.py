@@ -409,6 +409,22 @@ p AS (SELECT *, lag(a) OVER w + 4 * a + lead(a) OVER w - 12 * v AS p, lag(b) OVE
 g AS (SELECT *, lead(p) OVER w - lag(p) OVER w AS x, lag(q) OVER w + 4 * q + lead(q) OVER w - 12 * b AS y, lag(r) OVER w + 4 * r + lead(r) OVER w - 12 * s AS z FROM p WINDOW w AS (PARTITION BY i2, i3 ORDER BY i1))
 SELECT i1, i2, i3, round(coalesce((x * x + y * y + z * z) / 36, 0), 6) + 0.0 AS v FROM g""")
 register("intbin3", plain=lambda s, d: headers.intbin3(table(s, d, "lineitem"), F.col("l_linenumber"), F.col("l_suppkey") % 10, F.col("l_orderkey") % 8, F.col("l_quantity"), F.col("l_orderkey"), (Axis(7, 1.0), Axis(10, 0.0), Axis(8, 0.0))), sql="SELECT a AS i1, b AS i2, c AS i3, coalesce(max_by(l_quantity, l_orderkey * 100 + l_quantity), 0)::DOUBLE AS v FROM range(7) x(a), range(10) y(b), range(8) z(c) LEFT JOIN lineitem ON l_linenumber - 1 = a AND l_suppkey % 10 = b AND l_orderkey % 8 = c GROUP BY a, b, c")
+
+
+def _traces_by(keys: dict[str, str], bounds: list | None = None) -> Query:
+    """Traces of the panel on a grid of integer keys, zeros where there is none."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        heads = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("trace"), *[F.expr(k).alias(name) for name, k in keys.items()])
+        return rounded(headers.filled(headers.bin_traces(panel(spark, sf_dir), heads, list(keys), bounds)))
+
+    return query
+
+
+register("intbin_traces", plain=_traces_by({"x": "vec_id % 20", "y": "coalesce(label, 0)"}, [(2, 15), (None, None)]), sql="""WITH h AS (SELECT vec_id, vec_id % 20 AS x, coalesce(label, 0) AS y FROM embeddings), w AS (SELECT x, y, max(vec_id) AS t FROM h GROUP BY x, y), b AS (SELECT min(y) AS low, max(y) AS high FROM h)
+SELECT i1, cx - 2 AS i2, cy - low AS i3, round(coalesce(embedding[i1 + 1]::DOUBLE, 0), 6) + 0.0 AS v FROM (SELECT unnest(range(2, 16)) AS cx), (SELECT unnest(range(low, high + 1)) AS cy, low FROM b), range(64) r(i1) LEFT JOIN w ON x = cx AND y = cy LEFT JOIN embeddings ON vec_id = t""")
+register("intbin3_traces", plain=_traces_by({"x": "vec_id % 5 - 2", "y": "coalesce(label, 0)", "z": "vec_id div 100 % 3"}), sql="""WITH h AS (SELECT vec_id, vec_id % 5 - 2 AS x, coalesce(label, 0) AS y, vec_id // 100 % 3 AS z FROM embeddings), w AS (SELECT x, y, z, max(vec_id) AS t FROM h GROUP BY x, y, z), b AS (SELECT min(y) AS low, max(y) AS high FROM h)
+SELECT i1, cx + 2 AS i2, cy - low AS i3, cz AS i4, round(coalesce(embedding[i1 + 1]::DOUBLE, 0), 6) + 0.0 AS v FROM (SELECT unnest(range(-2, 3)) AS cx), (SELECT unnest(range(low, high + 1)) AS cy, low FROM b), range(3) z(cz), range(64) r(i1) LEFT JOIN w ON x = cx AND y = cy AND z = cz LEFT JOIN embeddings ON vec_id = t""")
 register("parabolic_radon", lambda c: resample.radon(c, _offset(), [0.001, 0.004], parabolic=True, x0=100.0).drop("gather"), f"SELECT k AS i1, j AS i2, round(sum(a), 6) + 0.0 AS v FROM (SELECT k, j, {_lerp('p')} AS a FROM (SELECT *, k + p0 * pow({_H} / 100e0, 2) / 0.004e0 AS p FROM {_E}, range(64) r(k), (VALUES (0::BIGINT, 0.001::DOUBLE), (1, 0.004)) s(j, p0))) GROUP BY k, j")
 
 # datasets: written to the shared folder and read back

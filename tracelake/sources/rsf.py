@@ -20,11 +20,12 @@ from dataclasses import replace
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.cube import Axis, Cube, Meta
 from tracelake.operators.complexes import ComplexCube
+from tracelake.operators.solvers import cut as cut_lineage
 
 # Payload formats.
 FORMATS = {
@@ -127,14 +128,66 @@ def _keyed(rows: DataFrame, meta: Meta) -> DataFrame:
     return rows.select(*(keys or [F.lit(0).cast("long").alias("i2")]), "samples")
 
 
-def _read_ascii(spark: SparkSession, path: str, header: dict[str, str], meta: Meta) -> Cube:
-    """Numbers in text: values have no fixed width, so the (small) file is one row until it is split into words."""
-    words = spark.read.text(_payload(path, header), wholetext=True).select(F.posexplode(F.split(F.trim("value"), r"\s+")).alias("at", "word"))
+#: Bytes of a text range; white space between the numbers of a text.
+TEXT_RANGE, SPACES = 8 << 20, b" \t\n\r\x0b\x0c"
+_IS_SPACE = np.isin(np.arange(256), list(SPACES))
+
+
+def _words_of(f, start: int, stop: int, size: int) -> tuple[int, bytes]:
+    """(count, bytes) of the words that start in a byte range of a text; the last one whole, wherever it ends."""
+    before = f.read_at(1, start - 1) if start else b" "
+    data = f.read_at(min(stop, size) - start, start)
+    at = np.frombuffer(before + data, np.uint8)
+    blank = _IS_SPACE[at]
+    count = int((blank[:-1] & ~blank[1:]).sum())
+    if not blank[0]:  # the end of a word that started before
+        space = np.flatnonzero(blank)
+        data = data[space[0] - 1 :] if len(space) else b""
+    while data and stop < size and data[-1] not in SPACES:
+        more = f.read_at(min(4096, size - stop), stop)
+        ends = np.flatnonzero(_IS_SPACE[np.frombuffer(more, np.uint8)])
+        data, stop = data + (more[: ends[0]] + b" " if len(ends) else more), stop + len(more)
+    return count, data
+
+
+def _read_ascii(spark: SparkSession, path: str, header: dict[str, str], meta: Meta, range_bytes: int = TEXT_RANGE) -> Cube:
+    """Numbers in text, which have no fixed width: words are counted by byte range, sums of the ranges before give each one its first sample, and ranges are parsed apart."""
+    payload = _payload(path, header)
+    system, name = _open(payload)
+    size = system.get_file_info(name).size
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, at = _open(payload)
+        with files.open_input_file(at) as f:
+            for batch in batches:
+                starts = batch.column(0).to_pylist()
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_words_of(f, a, a + range_bytes, size)[0] for a in starts], pa.int64())], names=["start", "n"])
+
+    parts = max(1, -(-size // range_bytes))
+    ranges = spark.range(0, max(size, 1), range_bytes, min(parts, 1 << 16)).mapInArrow(counted, "start long, n long")
+    counts = cut_lineage(ranges)  # a row for each range
+    total, samples = counts.agg(F.sum("n")).first()[0] or 0, meta.leftsize(0)
+    if total < samples:
+        raise ValueError(f"{payload} holds fewer samples than its axes")
+    before = F.sum("n").over(Window.orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    placed = counts.select("start", F.coalesce(before, F.lit(0)).alias("first")).where(F.col("first") < samples)
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, at = _open(payload)
+        with files.open_input_file(at) as f:
+            for batch in batches:
+                for start, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    count, data = _words_of(f, start, start + range_bytes, size)
+                    values = np.fromiter(map(float, data.split()), np.float64, count)
+                    yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.ListArray.from_arrays(pa.array([0, count], pa.int32()), pa.array(values))], names=["first", "values"])
+
+    spread = placed.repartition(min(parts, 1 << 16), "start").mapInArrow(parsed, "first long, values array<double>")
+    words = spread.select("first", F.posexplode("values").alias("k", "v")).select((F.col("first") + F.col("k")).alias("at"), "v").where(F.col("at") < samples)
     keys, step = [], 1
     for k, a in enumerate(meta.axes, 1):
         keys.append((F.floor(F.col("at") / step) % a.n).cast("long").alias(f"i{k}"))
         step *= a.n
-    return Cube(words.where(F.col("at") < step).select(*keys, F.col("word").cast("double").alias("v")), meta, "long")
+    return Cube(words.select(*keys, "v"), meta, "long")
 
 
 def write(c: Cube | ComplexCube, path: str, kind: str = "", partitions: int | None = None) -> None:
@@ -168,17 +221,58 @@ def _write_header(meta: Meta, path: str, kind: str, size: int) -> None:
         sink.write(header_text(meta, kind, posixpath.basename(path) + "@", size).encode())
 
 
+def _lines(c: Cube) -> DataFrame:
+    """(at, line) of every trace, absent ones as zeros; the shortest text that gives each double back."""
+    own = c.traces()
+    n1, traces = own.meta.axes[0].n, own.meta.leftsize(1)
+    zeros = " ".join(["0.0"] * n1) + "\n"
+    text = F.concat(F.array_join(F.transform("samples", lambda v: v.cast("string")), " "), F.lit("\n"))
+    given = own.df.select(_place(own.meta).alias("at"), text.alias("line"))
+    every = own.df.sparkSession.range(traces).withColumnRenamed("id", "at")
+    return every.join(given, "at", "left").select("at", F.coalesce("line", F.lit(zeros)).alias("line"))
+
+
 def _write_ascii(c: Cube, path: str) -> None:
-    """Text, which has no fixed width: sorted by range of traces, then joined part by part."""
+    """Text, which has no fixed width: traces are sorted by range, and sums of the bytes before give each range its place."""
     own = c.traces()
-    rows = own.df.select(_place(own.meta).alias("at"), F.array_join(F.transform("samples", lambda v: F.format_string("%.9g", v)), " ").alias("line"))
+    lines = _lines(own)
     target, out = _open(path + "@")
-    with target.open_output_stream(out) as sink:
-        for row in rows.orderBy("at").toLocalIterator():  # a partition at a time
-            sink.write((row["line"] + "\n").encode())
+    parts = int(c.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(lines.repartitionByRange(parts, "at").sortWithinPartitions("at").withColumn("part", F.spark_partition_id()))
+    sizes = ranged.groupBy("part").agg(F.sum(F.octet_length("line")).alias("bytes"))
+    before = F.coalesce(F.sum("bytes").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = sizes.select("part", before.cast("long").alias("base"))  # a row for each partition
+    if isinstance(target, fs.LocalFileSystem):
+        size = sizes.agg(F.sum("bytes")).first()[0] or 0
+        _at_places(ranged.join(F.broadcast(bases), "part").select("base", "line"), out, size)
+    else:
+        with target.open_output_stream(out) as sink:
+            for row in ranged.orderBy("at").toLocalIterator():  # a store without positions: a partition at a time
+                sink.write(row["line"].encode())
     _write_header(own.meta, path, "ascii_float", 0)
 
 
+def _at_places(rows: DataFrame, out: str, size: int) -> None:
+    """(base, line) rows: each partition's lines one after the other from its base; a task run again writes the same bytes, and the file is put in place whole."""
+    temporary = f"{out}.{uuid.uuid4().hex}"
+    with open(temporary, "wb") as f:
+        f.truncate(size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, at = None, 0
+        with open(temporary, "r+b") as f:  # fails where executors don't see the driver's files
+            for batch in batches:
+                for base, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if base != now:
+                        now = at = base
+                        f.seek(at)
+                    f.write(line.encode())
+        yield pa.RecordBatch.from_arrays([pa.array([0])], names=["done"])
+
+    rows.mapInArrow(run, "done long").write.format("noop").mode("overwrite").save()
+    os.replace(temporary, out)
+
+
 def _place(meta: Meta):
     """Linear place of a trace."""
     at, step = F.lit(0).cast("long"), 1

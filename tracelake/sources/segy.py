@@ -6,7 +6,9 @@ byte ranges of whole traces, as for ``rsf``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +17,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.operators import headers
 from tracelake.sources.rsf import BLOCK, _open
 
 # The words of a trace header in order, with their bytes.
@@ -121,16 +124,36 @@ def header_table(spark: SparkSession, path: str, *keys: str) -> DataFrame:
 def write(traces: DataFrame, path: str, samples: int, interval: int, kind: int = 5, order: str = ">", text: str = "") -> None:
     """Traces (``trace``, ``samples`` and any header words, others being 0) in order of ``trace``; integers are rounded half to even.
 
-    Each range of traces is a part file, and parts are joined in order.
+    In a mounted file system every task writes its traces at their places in
+    one file, which then gets its name; elsewhere each range of traces is a part
+    file, and parts are joined in order.
     """
     if not (0 < samples < 1 << 16 and 0 < interval < 1 << 16):
         raise ValueError("samples and interval (in microseconds) have 16 bits")
     record = Layout(order, kind, samples, interval, 0).record
+    given = [w for w in NAMES if w in traces.columns]
+    binary = bytearray(BINARY)
+    for k, value in ((16, interval), (20, samples), (24, kind)):
+        binary[k : k + 2] = np.array([value], order + "u2").tobytes()
+    first = text.ljust(TEXT)[:TEXT].encode("cp037") + bytes(binary)
+
+    def records(batch: pa.RecordBatch) -> np.ndarray:
+        """Of columns of the given words and, last, samples."""
+        rows = np.zeros(batch.num_rows, record)
+        for k, w in enumerate(given):
+            rows[w] = batch.column(k).to_numpy(zero_copy_only=False)
+        values = np.asarray(batch.column(len(given)).flatten(), np.float64).reshape(batch.num_rows, samples)
+        rows["samples"] = to_ibm(values) if kind == 1 else values if kind == 5 else np.rint(values)
+        rows["ns"], rows["dt"] = np.uint16(samples).astype(np.int16), np.uint16(interval).astype(np.int16)
+        return rows
+
+    if isinstance(_open(path)[0], fs.LocalFileSystem):
+        _write_at(_numbered(traces), _open(path)[1], first, record.itemsize, given, records)
+        return
     system, name = _open(path + "@parts")
     if system.get_file_info(name).type != fs.FileType.NotFound:
         raise ValueError(f"{path}@parts is there already")
     system.create_dir(name)
-    given = [w for w in NAMES if w in traces.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -140,27 +163,47 @@ def write(traces: DataFrame, path: str, samples: int, interval: int, kind: int =
         mine = f"{root}/.{task.partitionId()}-{task.taskAttemptId()}"
         with files.open_output_stream(mine) as sink:
             for batch in batches:
-                rows = np.zeros(batch.num_rows, record)
-                for k, w in enumerate(given):
-                    rows[w] = batch.column(k).to_numpy(zero_copy_only=False)
-                values = np.asarray(batch.column(len(given)).flatten(), np.float64).reshape(batch.num_rows, samples)
-                rows["samples"] = to_ibm(values) if kind == 1 else values if kind == 5 else np.rint(values)
-                rows["ns"], rows["dt"] = np.uint16(samples).astype(np.int16), np.uint16(interval).astype(np.int16)
-                sink.write(rows.tobytes())
+                sink.write(records(batch).tobytes())
         files.move(mine, f"{root}/{task.partitionId():08d}")
         yield pa.RecordBatch.from_arrays([pa.array([0])], names=["done"])
 
     ordered = traces.repartitionByRange("trace").sortWithinPartitions("trace").select(*given, F.col("samples").cast("array<double>").alias("samples"))
     ordered.mapInArrow(run, "done long").write.format("noop").mode("overwrite").save()
-    binary = bytearray(BINARY)
-    for k, value in ((16, interval), (20, samples), (24, kind)):
-        binary[k : k + 2] = np.array([value], order + "u2").tobytes()
     target, out = _open(path)
     with target.open_output_stream(out) as sink:
-        sink.write(text.ljust(TEXT)[:TEXT].encode("cp037") + bytes(binary))
+        sink.write(first)
         for info in sorted(system.get_file_info(fs.FileSelector(name)), key=lambda f: f.path):
             if not info.base_name.startswith("."):
                 with system.open_input_stream(info.path) as source:
                     while block := source.read(BLOCK):
                         sink.write(block)
     system.delete_dir(name)
+
+
+def _numbered(traces: DataFrame) -> DataFrame:
+    """``trace`` as places 0, 1, .. in its order; one sort if it isn't so already."""
+    got = traces.agg(F.count("*"), F.count_distinct("trace"), F.min("trace"), F.max("trace")).first()
+    if not got[0] or (got[0] == got[1] and (got[2], got[3]) == (0, got[0] - 1)):
+        return traces
+    return headers.sort(traces, "trace", "trace").withColumn("trace", F.col("position"))
+
+
+def _write_at(traces: DataFrame, out: str, first: bytes, size: int, given: list[str], records: Callable[[pa.RecordBatch], np.ndarray]) -> None:
+    """Every record at its place; a task run again writes the same bytes, and the file gets its name when all are there."""
+    temporary = f"{out}.{uuid.uuid4().hex}"
+    with open(temporary, "wb") as f:
+        f.write(first)
+        f.truncate(len(first) + traces.count() * size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with open(temporary, "r+b") as f:  # fails where executors don't see the driver's files
+            for batch in batches:
+                rows = records(batch)
+                for place, row in zip(batch.column(batch.num_columns - 1).to_pylist(), rows, strict=True):
+                    f.seek(len(first) + place * size)
+                    f.write(row.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([0])], names=["done"])
+
+    chosen = traces.select(*given, F.col("samples").cast("array<double>").alias("samples"), F.col("trace").cast("long").alias("trace"))
+    chosen.mapInArrow(run, "done long").write.format("noop").mode("overwrite").save()
+    os.replace(temporary, out)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.scratch import Scratch
 from tracelake.llm.text import chunks
-from tracelake.llm.token_files import LibraryEncoder, _encoder
+from tracelake.llm.token_files import AT_ONCE_BYTES, LibraryEncoder, _encoder
 
 CAPACITY = 2048
 
@@ -147,7 +147,7 @@ def encoded_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use: LibraryEncoder = _encoder(tokenizer_path, by_word)
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in chunks(batches, text):
+        for batch in chunks(batches, text, AT_ONCE_BYTES):
             keys, rows = batch.column(0).to_pylist(), []
             for k, ids in zip(keys, use.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                 ids, start = ids + end, 0

@@ -68,8 +68,8 @@ def hashed(words: list[bytes], memo: WordHashes) -> np.ndarray:
     return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 
-def chunks(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each piece holds about CHUNK_BYTES of text and lists (a single longer row stays whole)."""
+def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that each piece holds about ``size`` bytes of text and lists (a single longer row stays whole)."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -79,7 +79,7 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa
         for other in batch.columns:
             if pa.types.is_list(other.type):
                 sizes = sizes + 8 * np.array(pa.compute.fill_null(pa.compute.list_value_length(other), 0), dtype=np.int64)
-        bins = np.cumsum(sizes) // CHUNK_BYTES
+        bins = np.cumsum(sizes) // size
         cuts = [0, *(np.flatnonzero(np.diff(bins)) + 1).tolist(), n]
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:

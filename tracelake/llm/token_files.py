@@ -17,6 +17,7 @@ lengths by one table lookup and all places by one cumulative sum.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -37,7 +38,9 @@ MAGIC = b"TLIDS01\n"
 #: Ids of a shard file; a longer document gets a file of its own.
 SHARD_IDS = 4_000_000
 #: Distinct words in a generation of a worker's memo, which keeps two.
-MEMO = 300_000
+MEMO = 200_000
+#: Bytes of text that are encoded at a time.
+AT_ONCE_BYTES = 2 << 20
 
 #: Data bytes of the four ids of each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
@@ -173,6 +176,7 @@ class LibraryEncoder:
 
 @lru_cache(maxsize=2)
 def _encoder(path: str, by_word: bool) -> LibraryEncoder:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # each core has a task of its own, and threads keep memory
     return LibraryEncoder(path, by_word)
 
 
@@ -182,7 +186,7 @@ def encode_ids(docs: DataFrame, tokenizer_path: str, by_word: bool, end_id: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = _encoder(tokenizer_path, by_word)
-        for part in chunks(batches, text):
+        for part in chunks(batches, text, AT_ONCE_BYTES):
             ids = use.encode([t or "" for t in part.column(text).to_pylist()])
             out = [np.frombuffer(x + end, "<u4").astype(f"<u{width}").tobytes() for x in ids]
             yield pa.RecordBatch.from_arrays([part.column(key), pa.array(out, pa.binary())], names=["doc_id", "ids"])

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tracelake.cube import Axis, Cube, Meta, from_traces
 from tracelake.operators import aggregate as agg
 from tracelake.operators import complexes, cross, filters, gathers, generators, headers, metrics, modelling, neighbour, pointwise, resample, reshape, scatter, solvers, spectral
-from tracelake.sources import rsf, segy
+from tracelake.sources import planned, rsf, segy
 from tracelake.streaming import binning
 
 N, DT = 64, 0.004
@@ -475,6 +475,9 @@ register("dataset_complex", plain=lambda s, d: _dataset(lambda c, p: rsf.write(c
 register("dataset_words", plain=_dataset(_put, _words), sql="SELECT * FROM (VALUES ('n1', '64'), ('o2', '5'), ('label1', 'Time'), ('label2', 'Shot'), ('data_format', 'native_float')) t(key, value)")
 register("header_table", plain=_dataset(lambda c, p: rsf.write_table(c.df.select("i2", (F.col("i2") * 2).alias("twice"), F.element_at("samples", 1).alias("first")), ["twice", "first"], p, "i2"), rsf.read_table), sql="SELECT vec_id AS trace, (vec_id * 2)::DOUBLE AS twice, round(embedding[1]::DOUBLE, 6) + 0.0 AS first FROM embeddings")
 register("segy", plain=_dataset(_segy, lambda s, p: segy.read(s, p)[0].select(F.col("trace").alias("i2"), F.posexplode("samples").alias("i1", "v")).select(F.col("i1").cast("long").alias("i1"), "i2", F.col("v").cast("double").alias("v"))), sql=_SAMPLES)
+_RANGE = "trace >= 100 AND trace < 260 AND trace <> 170"
+register("segy_range", plain=_dataset(_segy, lambda s, p: planned.segy_traces(s, p, ["trace", "cdp", "samples"], partition_bytes=40_000).where(_RANGE).select("trace", "cdp", F.element_at("samples", 3).cast("double").alias("third"))), sql="SELECT vec_id AS trace, (vec_id % 7)::INT AS cdp, round(embedding[3]::DOUBLE, 6) + 0.0 AS third FROM embeddings WHERE vec_id >= 100 AND vec_id < 260 AND vec_id <> 170")
+register("dataset_range", plain=lambda s, d: rounded(_dataset(lambda c, p: rsf.write(c, p, "native_double"), lambda s, p: planned.dataset_traces(s, p, ["i2", "samples"], partition_bytes=40_000).where("i2 IN (3, 4, 5, 77, 400)").select("i2", F.posexplode("samples").alias("i1", "v")).select(F.col("i1").cast("long").alias("i1"), "i2", "v"))(s, d)), sql=f"{_SAMPLES} WHERE i2 IN (3, 4, 5, 77, 400)")
 register("segy_headers", plain=_dataset(_segy, lambda s, p: segy.header_table(s, p, "cdp", "offset", "ns", "dt")), sql="SELECT vec_id AS trace, (vec_id % 7)::INT AS cdp, (vec_id * 25)::INT AS \"offset\", 64 AS ns, 4000 AS dt FROM embeddings")
 register("compare", plain=lambda s, d: metrics.compare(panel(s, d), panel(s, d).map(lambda v: F.when(v > 1, v + 0.25).otherwise(v))), sql=f"SELECT count(*) FILTER (v > 1) = 0 AS same, count(*) AS samples, count(*) FILTER (v > 1) AS different, round(coalesce(max(0.25::DOUBLE) FILTER (v > 1), 0), 6) + 0.0 AS max_abs, round(max(CASE WHEN v > 1 THEN 0.25 / (v + 0.25) ELSE 0 END), 6) + 0.0 AS max_rel FROM {PANEL}")
 register("panel_metrics", lambda c: metrics.panel_metrics(c, (10, 30), (40, 60)), f"""SELECT * FROM (SELECT round(a, 6) + 0.0 AS rms, round(b, 6) + 0.0 AS signal_rms, round(c, 6) + 0.0 AS noise_rms, round(20 * log10(b / c), 6) + 0.0 AS snr_db FROM (SELECT sqrt(avg(v * v)) AS a, sqrt(avg(v * v) FILTER (i1 BETWEEN 10 AND 29)) AS b, sqrt(avg(v * v) FILTER (i1 BETWEEN 40 AND 59)) AS c FROM {PANEL})),

@@ -118,7 +118,10 @@ def read(spark: SparkSession, path: str, endian: str = "auto", kind: int | None
 
 
 def header_table(spark: SparkSession, path: str, *keys: str) -> DataFrame:
-    return read(spark, path)[0].select("trace", *(keys or NAMES))
+    """Header words of every trace; samples are not made, nor read where traces are long."""
+    from tracelake.sources import planned
+
+    return planned.segy_traces(spark, path, ["trace", *(keys or NAMES)])
 
 
 def write(traces: DataFrame, path: str, samples: int, interval: int, kind: int = 5, order: str = ">", text: str = "") -> None:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.cube import Axis, Cube, Meta, grid
-from tracelake.operators import order
+from tracelake.operators import order, sums
 from tracelake.operators.reshape import _renumber
 
 
@@ -142,7 +146,17 @@ def otsu(hist: DataFrame) -> DataFrame:
 
 
 def stack(c: Cube, axis: int = 2, mode: str = "mean", nonzero: bool = True) -> Cube:
-    """Mean, sum or rms over an axis; ``nonzero`` counts live samples only, and none gives 0."""
+    """Mean, sum or rms over an axis; ``nonzero`` counts live samples only, and none gives 0.
+
+    Over axis 2 and up whole traces are added up inside tasks.
+    """
+    if axis > 1:
+        own = c.traces()
+        rest = [k for k in own.keys[1:] if k != f"i{axis}"]
+        got = _trace_sums(own.df, rest, {k: "bigint" for k in rest}, mode, nonzero)
+        names = {f"i{k}": f"i{k - 1}" for k in range(axis + 1, own.rank + 1)}
+        df = got.withColumnsRenamed({k: f"_{v}" for k, v in names.items()}).withColumnsRenamed({f"_{v}": v for v in names.values()})
+        return Cube(df if rest else df.withColumn("i2", F.lit(0).cast("long")), own.meta.without(axis), "trace")
     own = c.long()
     live = F.when((F.col("v") != 0) if nonzero else F.lit(True), F.col("v"))
     n = F.count(live)
@@ -150,6 +164,29 @@ def stack(c: Cube, axis: int = 2, mode: str = "mean", nonzero: bool = True) -> C
     return _renumber(own, own.df.groupBy(*own.others(axis)).agg(value.alias("v")), axis, own.meta.without(axis))
 
 
+def _trace_sums(rows: DataFrame, keys: list[str], kinds: dict[str, str], mode: str, nonzero: bool) -> DataFrame:
+    """(keys, samples): traces of a key stacked sample by sample."""
+
+    def kernel(batch: pa.RecordBatch) -> Iterator[tuple[tuple, np.ndarray]]:
+        x = sums.matrix(batch)
+        live = (x != 0) if nonzero else np.ones_like(x, bool)
+        kept = np.where(live, x, 0.0)
+        yield from sums.by_group(batch, keys)(np.concatenate([kept * kept if mode == "rms" else kept, live if mode != "count_nonzero" else x != 0], axis=1))
+
+    got = sums.array_sums(rows.select(*keys, "samples"), kinds, kernel)
+    half = F.size("sums") / 2
+    total, count = F.slice("sums", F.lit(1), half.cast("int")), F.slice("sums", (half + 1).cast("int"), half.cast("int"))
+    mean = F.zip_with(total, count, lambda s, n: F.when(n > 0, s / n).otherwise(0.0))
+    value = {"sum": total, "mean": mean, "rms": F.transform(mean, F.sqrt), "count_nonzero": count}[mode]
+    return got.select(*keys, value.alias("samples"))
+
+
+def stack_by(c: Cube, gather: Column, mode: str = "mean", nonzero: bool = True) -> DataFrame:
+    """(gather, samples): the traces of each gather stacked; a null gather is one as any other."""
+    rows = c.traces().df.select(gather.alias("gather"), "samples")
+    return _trace_sums(rows, ["gather"], {"gather": rows.schema["gather"].dataType.simpleString()}, mode, nonzero)
+
+
 def difference(a: Cube, b: Cube, metric: str = "sum_square") -> DataFrame:
     x, y = a.long(), b.long()
     d = F.col("v") - F.col("w")

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.cube import Axis, Cube, Meta
+from tracelake.operators import sums
 from tracelake.operators.resample import at_place
 
 
@@ -89,24 +93,43 @@ def inverse_nmo(c: Cube, offset: Column, velocity: float, half: bool = True, h0:
 def kirchhoff(c: Cube, velocity: float, aperture: float | None = None, normalize: bool = False) -> DataFrame:
     """(i1, i2, v): sum over traces s of the data at sqrt(tau^2 + (2 (s - x) / v)^2), or its mean over live traces.
 
-    A trace goes to the images within the aperture only: its range of places is
-    generated from its index, so there is no range join.
+    Traces are taken some at a time, with the images that any of them reaches:
+    within the aperture, and no farther than the last sample's time allows.  The
+    task adds up images, so one row for each image that it reached leaves it.
     """
     own = c.traces()
     time, line = own.meta.axes[:2]
-    reach = line.n - 1 if aperture is None else min(line.n - 1, math.floor(aperture / abs(line.d) + 1e-9))
-    images = F.explode(F.sequence(F.greatest(F.col("i2") - reach, F.lit(0).cast("long")), F.least(F.col("i2") + reach, F.lit(line.n - 1).cast("long"))))
-    lateral = (F.col("i2") - F.col("x")) * (2.0 * line.d / velocity)
-    k = F.sequence(F.lit(0).cast("long"), F.lit(time.n - 1).cast("long"))
-
-    def place(i: Column) -> Column:
-        return (F.sqrt(F.pow(F.lit(time.o) + i * time.d, F.lit(2.0)) + lateral * lateral) - time.o) / time.d
-
-    # One zero sample before and after, so that the edges are interpolated too.
-    wide = F.concat(F.array(F.lit(0.0)), F.col("samples"), F.array(F.lit(0.0)))
-    moved = own.df.select("i2", wide.alias("wide"), images.alias("x")).select("x", F.posexplode(F.transform(k, lambda i: F.struct(at_place(F.col("wide"), place(i) + 1, time.n + 2).alias("v"), ((place(i) >= -1) & (place(i) < time.n)).cast("long").alias("live")))).alias("i1", "s"))
-    total = F.sum("s.v") / F.greatest(F.sum("s.live"), F.lit(1)) if normalize else F.sum("s.v")
-    return moved.groupBy(F.col("i1").cast("long").alias("i1"), F.col("x").alias("i2")).agg(total.alias("v"))
+    per_place = 2.0 * abs(line.d) / velocity
+    latest = time.o + time.n * time.d
+    least = min(abs(time.o + k * time.d) for k in range(time.n))
+    reach = min(line.n - 1, math.ceil(math.sqrt(max(latest * latest - least * least, 0.0)) / per_place))
+    if aperture is not None:
+        reach = min(reach, math.floor(aperture / abs(line.d) + 1e-9))
+    rows = own.df.select(F.col("i2").alias("s"), "samples")
+
+    def kernel(batch: pa.RecordBatch) -> Iterator[tuple[tuple, np.ndarray]]:
+        at, x = np.asarray(batch.column(0)), sums.matrix(batch)
+        order = np.argsort(at, kind="stable")
+        at, x = at[order], np.pad(x[order], ((0, 0), (1, 1)))  # a zero sample before and after, so that the edges are interpolated too
+        tau = (time.o + np.arange(time.n) * time.d) ** 2
+        images = np.unique(np.concatenate([np.arange(max(0, a - reach), min(line.n, b + reach + 1)) for a, b in _stretches(at, reach)]))
+        for image in images.tolist():
+            a, b = np.searchsorted(at, [image - reach, image + reach + 1])
+            if a < b:
+                lateral = (at[a:b] - image) * (2.0 * line.d / velocity)
+                place = (np.sqrt(tau + (lateral * lateral)[:, None]) - time.o) / time.d
+                live = (place >= -1) & (place < time.n)
+                yield (image,), np.concatenate([sums.lookup(x[a:b], place + 1).sum(axis=0), live.sum(axis=0)])
+
+    got = sums.exploded(sums.array_sums(rows, {"i2": "bigint"}, kernel), ["i2"], time.n, ["v", "live"])
+    total = F.col("v") / F.greatest(F.col("live"), F.lit(1.0)) if normalize else F.col("v")
+    return got.select("i1", "i2", total.alias("v"))
+
+
+def _stretches(at: np.ndarray, reach: int) -> list[tuple[int, int]]:
+    """First and last of the ascending places whose surroundings of ``reach`` meet."""
+    cuts = np.flatnonzero(np.diff(at) > 2 * reach + 1)
+    return list(zip(at[np.append(0, cuts + 1)].tolist(), at[np.append(cuts, len(at) - 1)].tolist(), strict=True))
 
 
 def direct_time(sx: Column, sz: Column, rx: Column, rz: Column, velocity: float) -> Column:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.cube import Axis, Cube
+from tracelake.operators import sums
 
 
 def at_place(samples: Column, place: Column, n: int, fill: float = 0.0) -> Column:
@@ -89,33 +92,60 @@ def nmo(c: Cube, offset: Column, velocity: float | list[float], half: bool = Tru
     return own.derive(_moved(own.df, offset * times, _speed(velocity, a.n), a, h0 * times, stretch))
 
 
+def _moveout(x: np.ndarray, h: np.ndarray, speed: float, a: Axis, h0: float, stretch: float | None) -> np.ndarray:
+    """``_moved`` on a matrix of traces."""
+    square = (a.o + np.arange(a.n) * a.d) ** 2 + ((h * h - h0 * h0) / (speed * speed))[:, None]
+    with np.errstate(invalid="ignore"):
+        place = np.where(square >= 0, (np.sqrt(square) - a.o) / a.d, np.nan)
+        got = sums.lookup(x, place)
+        if stretch:
+            got[:, 1:][(place[:, :-1] > 0) & (np.abs(np.diff(place, axis=1)) < stretch)] = 0.0
+    return got
+
+
 def semblance(c: Cube, offset: Column, gather: Column, velocities: list[float], half: bool = True, h0: float = 0.0, stretch: float | None = 0.5, smooth: int = 0) -> DataFrame:
     """(gather, i1, i2, v): (sum of a)^2 / (fold * sum of a^2) over live traces after moveout with velocity i2.
 
     ``smooth`` adds up numerator and denominator over that many samples either
-    side.  Sums of all samples of a gather and velocity are made before the
-    exchange.
+    side.  Tasks add up whole traces for each gather and velocity, so one row
+    for each of these leaves a task.
     """
     own, a = c.traces(), c.meta.axes[0]
     times = 2.0 if half else 1.0
-    speeds = F.array(*[F.lit(float(v)) for v in velocities])
-    rows = own.df.select(gather.alias("gather"), "samples", (offset * times).alias("h"), F.posexplode(speeds).alias("i2", "speed"))
-    moved = _moved(rows, F.col("h"), lambda i: F.col("speed"), a, h0 * times, stretch)
-    moved = moved.select("gather", F.col("i2").cast("long").alias("i2"), F.posexplode("samples").alias("i1", "a"))
-    sums = moved.groupBy("gather", F.col("i1").cast("long").alias("i1"), "i2").agg(F.sum("a").alias("s"), F.sum(F.col("a") * F.col("a")).alias("q"), F.count_if(F.col("a") != 0).alias("n"))
-    sums = sums.select("gather", "i1", "i2", (F.col("s") * F.col("s")).alias("above"), (F.col("n") * F.col("q")).alias("below"))
+    rows = own.df.select(gather.alias("gather"), (offset * times).cast("double").alias("h"), "samples")
+
+    def kernel(batch: pa.RecordBatch) -> Iterator[tuple[tuple, np.ndarray]]:
+        x, h, grouped = sums.matrix(batch), batch.column(1).to_numpy(zero_copy_only=False), sums.by_group(batch, ["gather"])
+        for j, speed in enumerate(velocities):
+            moved = _moveout(x, h, float(speed), a, h0 * times, stretch)
+            for key, values in grouped(np.concatenate([moved, moved * moved, moved != 0], axis=1)):
+                yield (*key, j), values
+
+    got = sums.array_sums(rows, {"gather": rows.schema["gather"].dataType.simpleString(), "i2": "bigint"}, kernel)
+    found = sums.exploded(got, ["gather", "i2"], a.n, ["s", "q", "n"]).select("gather", "i1", "i2", (F.col("s") * F.col("s")).alias("above"), (F.col("n") * F.col("q")).alias("below"))
     if smooth:
         near = Window.partitionBy("gather", "i2").orderBy("i1").rowsBetween(-smooth, smooth)
-        sums = sums.select("gather", "i1", "i2", F.sum("above").over(near).alias("above"), F.sum("below").over(near).alias("below"))
-    return sums.select("gather", "i1", "i2", F.when(F.col("below") > 0, F.col("above") / F.col("below")).otherwise(0.0).alias("v"))
+        found = found.select("gather", "i1", "i2", F.sum("above").over(near).alias("above"), F.sum("below").over(near).alias("below"))
+    return found.select("gather", "i1", "i2", F.when(F.col("below") > 0, F.col("above") / F.col("below")).otherwise(0.0).alias("v"))
 
 
-def radon(c: Cube, offset: Column, slopes: list[float], gather: Column | None = None, parabolic: bool = False, x0: float = 1.0) -> DataFrame:
-    """(gather, i1, i2, v): sums along tau + p x (or p (x / x0)^2), linear interpolation."""
+def radon(c: Cube, offset: Column, slopes: list[float], gather: Column | None = None, parabolic: bool = False, x0: float = 1.0, normalize: bool = False) -> DataFrame:
+    """(gather, i1, i2, v): sums along tau + p x (or p (x / x0)^2), linear interpolation; ``normalize`` divides by the number of traces.
+
+    Tasks add up whole traces for each gather and slope.
+    """
     own, a = c.traces(), c.meta.axes[0]
     move = F.pow(offset / x0, F.lit(2.0)) if parabolic else offset
-    values = F.array(*[F.lit(float(p)) for p in slopes])
-    rows = own.df.select((gather if gather is not None else F.lit(0)).alias("gather"), "samples", move.alias("x"), F.posexplode(values).alias("i2", "p"))
-    k = F.sequence(F.lit(0).cast("long"), F.lit(a.n - 1).cast("long"))
-    summed = rows.select("gather", F.col("i2").cast("long").alias("i2"), F.posexplode(F.transform(k, lambda i: at_place(F.col("samples"), i + F.col("p") * F.col("x") / a.d, a.n))).alias("i1", "a"))
-    return summed.groupBy("gather", F.col("i1").cast("long").alias("i1"), "i2").agg(F.sum("a").alias("v"))
+    rows = own.df.select((gather if gather is not None else F.lit(0)).alias("gather"), move.cast("double").alias("x"), "samples")
+
+    def kernel(batch: pa.RecordBatch) -> Iterator[tuple[tuple, np.ndarray]]:
+        samples, x, grouped = sums.matrix(batch), batch.column(1).to_numpy(zero_copy_only=False), sums.by_group(batch, ["gather"])
+        one = np.ones((len(samples), 1))
+        for j, p in enumerate(slopes):
+            moved = sums.lookup(samples, np.arange(a.n) + float(p) * x[:, None] / a.d)
+            for key, values in grouped(np.concatenate([moved, one], axis=1)):
+                yield (*key, j), values
+
+    got = sums.array_sums(rows, {"gather": rows.schema["gather"].dataType.simpleString(), "i2": "bigint"}, kernel)
+    by = F.element_at("sums", a.n + 1) if normalize else F.lit(1.0)
+    return sums.exploded(got.withColumn("sums", F.transform("sums", lambda v: v / by)), ["gather", "i2"], a.n, ["v"]).select("gather", "i1", "i2", "v")

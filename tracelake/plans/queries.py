@@ -147,15 +147,10 @@ register("snr", lambda c: agg.snr(c, (10, 30)), f"SELECT i2, round(20 * log10(gr
 
 
 def gather_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean trace of each gather (label); zero samples don't count.
-
-    Partial sums of all 64 samples are aggregated together, so the panel is
-    never exploded before the exchange.
-    """
-    df = table(spark, sf_dir, "embeddings")
-    rows = df.select(F.col("label").cast("long").alias("i2"), F.posexplode("embedding").alias("i1", "v"))
-    live = F.when(F.col("v") != 0, F.col("v").cast("double"))
-    return rows.groupBy(F.col("i1").cast("long").alias("i1"), "i2").agg(F.coalesce(F.avg(live), F.lit(0.0)).alias("v"))
+    """Mean trace of each gather (label); zero samples don't count."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("samples"))
+    got = agg.stack_by(Cube(rows, Meta((TIME, Axis(1))), "trace"), F.col("label"))
+    return got.select(F.col("gather").alias("i2"), F.posexplode("samples").alias("i1", "v")).select(F.col("i1").cast("long").alias("i1"), "i2", "v")
 
 
 register("gather_stack", plain=gather_stack, sql=f"SELECT i1, label::BIGINT AS i2, round(coalesce(avg(v) FILTER (v <> 0), 0), 6) + 0.0 AS v FROM {PANEL} GROUP BY i1, label")
@@ -262,9 +257,11 @@ def semblance(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
 
 register("semblance", plain=lambda s, d: semblance(s, d, stretch=None), sql=f"""SELECT label::BIGINT AS gather, k AS i1, j AS i2, round(coalesce(pow(sum(a), 2) / nullif(count(*) FILTER (a <> 0) * sum(a * a), 0), 0), 6) + 0.0 AS v FROM
 (SELECT label, k, j, {_lerp('p')} AS a FROM (SELECT *, sqrt(pow(k * 0.004, 2) + pow((i2 % 12 + 1) * 40.0, 2) / (speed * speed)) / 0.004 AS p FROM {_E}, range(64) r(k), (VALUES (0::BIGINT, 1500.0::DOUBLE), (1, 2000), (2, 2500)) s(j, speed))) GROUP BY label, k, j""")
+register("stack_rms", lambda c: agg.stack(c, 2, "rms"), f"SELECT i1, round(coalesce(sqrt(sum(v * v) / nullif(count(*) FILTER (v <> 0), 0)), 0), 6) + 0.0 AS v FROM {PANEL} GROUP BY i1")
 _SCAN = f"""(SELECT *, lag(p) OVER (PARTITION BY i2, j ORDER BY k) AS b FROM (SELECT *, sqrt(pow(k * 0.004, 2) + pow((i2 % 12 + 1) * 40.0, 2) / (speed * speed)) / 0.004 AS p FROM {_E}, range(64) r(k), (VALUES (0::BIGINT, 1500.0::DOUBLE), (1, 2000), (2, 2500)) s(j, speed)))"""
 register("semblance_smooth", plain=lambda s, d: semblance(s, d, smooth=3), sql=f"""SELECT gather, i1, i2, round(CASE WHEN below > 0 THEN above / below ELSE 0 END, 6) + 0.0 AS v FROM (SELECT gather, i1, i2, sum(x) OVER w AS above, sum(y) OVER w AS below FROM
 (SELECT label::BIGINT AS gather, k AS i1, j AS i2, pow(sum(a), 2) AS x, count(*) FILTER (a <> 0) * sum(a * a) AS y FROM (SELECT label, k, j, {_UNSTRETCHED} AS a FROM {_SCAN}) GROUP BY label, k, j) WINDOW w AS (PARTITION BY gather, i2 ORDER BY i1 ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))""")
+register("radon_mean", lambda c: resample.radon(c, F.pmod(F.col("i2"), F.lit(12)) * 20.0, [0.00007, 0.00013], normalize=True).drop("gather"), f"SELECT k AS i1, j AS i2, round(avg(a), 6) + 0.0 AS v FROM (SELECT k, j, {_lerp('p')} AS a FROM (SELECT *, k + p0 * {_H} / 0.004 AS p FROM {_E}, range(64) r(k), (VALUES (0::BIGINT, 0.00007::DOUBLE), (1, 0.00013)) s(j, p0))) GROUP BY k, j")
 register("radon", lambda c: resample.radon(c, F.pmod(F.col("i2"), F.lit(12)) * 20.0, [0.00007, 0.00013]).drop("gather"), f"SELECT k AS i1, j AS i2, round(sum(a), 6) + 0.0 AS v FROM (SELECT k, j, {_lerp('p')} AS a FROM (SELECT *, k + p0 * {_H} / 0.004 AS p FROM {_E}, range(64) r(k), (VALUES (0::BIGINT, 0.00007::DOUBLE), (1, 0.00013)) s(j, p0))) GROUP BY k, j")
 
 # spectra and filters
@@ -330,6 +327,8 @@ register("shot2cmp", lambda c: gathers.shot2cmp(_gathers(c)), f"SELECT t AS i1,
 #: As _lerp, with a zero sample after the last.
 _LERP_OPEN = "CASE WHEN p BETWEEN 0 AND 64 THEN coalesce(e[floor(p)::INT + 1], 0) * (1 - (p - floor(p))) + coalesce(e[floor(p)::INT + 2], 0) * (p - floor(p)) ELSE 0 END"
 register("kirchhoff", lambda c: gathers.kirchhoff(c.derive(c.df, c.meta.with_axis(2, d=10.0)), 2000.0, 20.0), f"SELECT k AS i1, x AS i2, round(sum({_LERP_OPEN}), 6) + 0.0 AS v FROM (SELECT *, sqrt(pow(k * 0.004, 2) + pow((i2 - x) * 0.01, 2)) / 0.004 AS p FROM (SELECT *, unnest(range(greatest(i2 - 2, 0), least(i2 + 3, (SELECT count(*) FROM embeddings)))) AS x FROM {_E}), range(64) r(k)) GROUP BY k, x")
+_ALL_IMAGES = "(SELECT *, unnest(range((SELECT count(*) FROM embeddings))) AS x FROM " + _E + ")"
+register("kirchhoff_mean", lambda c: gathers.kirchhoff(c.derive(c.df, c.meta.with_axis(2, d=10.0)), 200.0, normalize=True), f"SELECT k AS i1, x AS i2, round(sum({_LERP_OPEN}) / greatest(count(*) FILTER (p >= -1 AND p < 64), 1), 6) + 0.0 AS v FROM (SELECT *, sqrt(pow(k * 0.004, 2) + pow((i2 - x) * 0.1, 2)) / 0.004 AS p FROM {_ALL_IMAGES}, range(64) r(k)) WHERE p < 64 GROUP BY k, x")
 register("radon_model", lambda c: gathers.radon_model(c.derive(c.df, c.meta.with_axis(2, d=1e-5)), [0.0, 30.0]), f"SELECT q AS i1, j AS i2, round(sum(w), 6) + 0.0 AS v FROM (SELECT j, floor(p)::BIGINT + e AS q, v * CASE WHEN e = 0 THEN 1 - p + floor(p) ELSE p - floor(p) END AS w FROM (SELECT *, (i1 * 0.004 + i2 * 1e-5::DOUBLE * x) / 0.004 AS p FROM {PANEL}, (VALUES (0::BIGINT, 0.0::DOUBLE), (1, 30.0)) o(j, x) WHERE v <> 0), range(2) t(e)) WHERE q BETWEEN 0 AND 63 GROUP BY q, j")
 register("locate", plain=lambda s, d: gathers.locate(table(s, d, "embeddings").selectExpr("0D AS sx", "0D AS sz", "vec_id % 100 * 1D AS rx", "0D AS rz", "0.05 + 0.001 * (vec_id % 7) AS observed", "1D AS weight"), 1500.0, Axis(11, 0.0, 10.0), Axis(6, 0.0, 20.0)), sql="SELECT iz, ix, ix * 10.0::DOUBLE AS x, iz * 20.0::DOUBLE AS z, round(o, 6) + 0.0 AS objective FROM (SELECT iz, ix, sum(0.5 * pow(0.05::DOUBLE + 0.001::DOUBLE * (vec_id % 7) - (sqrt(pow(ix * 10, 2) + pow(iz * 20, 2)) + sqrt(pow(vec_id % 100 - ix * 10, 2) + pow(iz * 20, 2))) / 1500, 2)) AS o FROM embeddings, range(6) z(iz), range(11) x(ix) GROUP BY iz, ix) ORDER BY o, iz, ix LIMIT 1")
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tracelake.cube import Axis, Cube, Meta, from_traces
 from tracelake.operators import aggregate as agg
-from tracelake.operators import complexes, cross, filters, gathers, generators, headers, metrics, modelling, neighbour, pointwise, resample, reshape, scatter, solvers, spectral
+from tracelake.operators import complexes, cross, filters, gathers, generators, headers, metrics, modelling, neighbour, pointwise, resample, reshape, runs, scatter, solvers, spectral
 from tracelake.sources import planned, rsf, segy
 from tracelake.streaming import binning
 
@@ -364,6 +364,25 @@ register("locate_velocity", plain=lambda s, d: modelling.locate_velocity(_picks(
 SELECT iz, ix, sum(t * t) AS tt, sum(p * t) AS pt, sum(p * p) AS pp FROM (SELECT iz, ix, 0.05::DOUBLE + 0.001::DOUBLE * (vec_id % 7) AS t, sqrt(pow(ix * 10, 2) + pow(iz * 20, 2)) + sqrt(pow(vec_id % 100 - ix * 10, 2) + pow(iz * 20, 2)) AS p FROM embeddings, range(6) z(iz), range(11) x(ix)) GROUP BY iz, ix))) ORDER BY o, iz, ix LIMIT 1""")
 register("least_squares", plain=lambda s, d: _solved(s, d), sql="SELECT 0::BIGINT AS i, round(regr_intercept(p_retailprice, p_size / 50.0), 4) + 0.0 AS v FROM part UNION ALL SELECT 1, round(regr_slope(p_retailprice, p_size / 50.0), 4) + 0.0 FROM part")
 
+
+
+def _ridge(spark: SparkSession, sf_dir: str) -> runs.Problem:
+    """An effect of each supplier on the quantity of each line item, drawn towards 0."""
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row"), F.col("l_suppkey").cast("long").alias("col"), F.col("l_quantity").cast("double").alias("y"))
+    last, most = rows.agg(F.max("row"), F.max("col")).first()
+    columns = (most or 0) + 1
+    return runs.Problem(solvers.Matrix(rows.select("row", "col", F.lit(1.0).alias("value")), (last or 0) + 1, columns), rows.select(F.col("row").alias("i"), F.col("y").alias("v")), solvers.identity(columns), 3.0)
+
+
+def _resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that ends after two steps and is taken up again."""
+    problem, folder = _ridge(spark, sf_dir), f"{solvers.shared_folder(spark)}/{uuid.uuid4().hex}"
+    runs.solve(problem, folder, 2, 1e-13)
+    return runs.solve(problem, folder, 25, 1e-13).x.where("abs(v) > 0")
+
+
+register("least_squares_run", plain=_resumed, sql="SELECT l_suppkey::BIGINT AS i, round(sum(l_quantity) / (count(*) + 9), 6) + 0.0 AS v FROM lineitem GROUP BY l_suppkey")
+
 # complex samples
 _FULL = f"(SELECT (k + 32) % 64 AS i1, i2, sum(v * cos(2 * pi() * i1 * k / 64)) AS re, -sum(v * sin(2 * pi() * i1 * k / 64)) AS im FROM {PANEL}, range(64) r(k) GROUP BY k, i2)"
 _PARTS = "round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im"

@@ -368,7 +368,8 @@ register("least_squares", plain=lambda s, d: _solved(s, d), sql="SELECT 0::BIGIN
 
 def _ridge(spark: SparkSession, sf_dir: str) -> runs.Problem:
     """An effect of each supplier on the quantity of each line item, drawn towards 0."""
-    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row"), F.col("l_suppkey").cast("long").alias("col"), F.col("l_quantity").cast("double").alias("y"))
+    numbered = headers.sort(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity"), "l_orderkey", "l_suppkey")
+    rows = numbered.select(F.col("position").alias("row"), F.col("l_suppkey").cast("long").alias("col"), F.col("l_quantity").cast("double").alias("y"))
     last, most = rows.agg(F.max("row"), F.max("col")).first()
     columns = (most or 0) + 1
     return runs.Problem(solvers.Matrix(rows.select("row", "col", F.lit(1.0).alias("value")), (last or 0) + 1, columns), rows.select(F.col("row").alias("i"), F.col("y").alias("v")), solvers.identity(columns), 3.0)
@@ -377,8 +378,8 @@ def _ridge(spark: SparkSession, sf_dir: str) -> runs.Problem:
 def _resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run that ends after two steps and is taken up again."""
     problem, folder = _ridge(spark, sf_dir), f"{solvers.shared_folder(spark)}/{uuid.uuid4().hex}"
-    runs.solve(problem, folder, 2, 1e-13)
-    return runs.solve(problem, folder, 25, 1e-13).x.where("abs(v) > 0")
+    runs.solve(problem, folder, 2, 1e-12)
+    return runs.solve(problem, folder, 25, 1e-12).x.where("abs(v) > 0")
 
 
 register("least_squares_run", plain=_resumed, sql="SELECT l_suppkey::BIGINT AS i, round(sum(l_quantity) / (count(*) + 9), 6) + 0.0 AS v FROM lineitem GROUP BY l_suppkey")

@@ -126,21 +126,30 @@ def acoustic_survey(shots: DataFrame, model: Cube, time: Axis, frequency: float
     return wanted.repartition("shot").mapInArrow(run, "shot long, i2 long, samples array<double>")
 
 
-def locate_velocity(picks: DataFrame, x: Axis, z: Axis, low: float, high: float) -> DataFrame:
-    """``gathers.locate`` with one unknown velocity from low to high: (iz, ix, x, z, velocity, objective).
+def locate_velocity(picks: DataFrame, x: Axis, z: Axis, low: float | None = None, high: float | None = None, velocities: list[float] | None = None) -> DataFrame:
+    """``gathers.locate`` with one unknown velocity, from low to high or of a list: (iz, ix, x, z, velocity, objective).
 
     At each point the best slowness is sum(w p t) / sum(w p^2), p the length of
-    the path, held within the bounds; four sums a point leave a task.
+    the path, held within the bounds; three sums a point leave a task, and give
+    the objective of any velocity, so those of a list are tried on them alone
+    (of equals the first in the list).
     """
-    if not 0 < low <= high:
-        raise ValueError("bounds")
+    if (velocities is None) == (low is None and high is None):
+        raise ValueError("bounds or a list of velocities")
+    if velocities is None and not 0 < (low or 0) <= (high or 0) or velocities is not None and not (velocities and all(0 < v < float("inf") for v in velocities)):
+        raise ValueError("velocities are positive, and bounds in order")
     cell = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(x.n * z.n - 1).cast("long"))).alias("cell")
     px, pz = F.lit(x.o) + (F.col("cell") % x.n) * x.d, F.lit(z.o) + F.floor(F.col("cell") / x.n) * z.d
     path = F.hypot(F.col("sx") - px, F.col("sz") - pz) + F.hypot(F.col("rx") - px, F.col("rz") - pz)
     rows = picks.select("sx", "sz", "rx", "rz", "observed", "weight", cell).withColumn("p", path)
     w, p, t = F.col("weight"), F.col("p"), F.col("observed")
     sums = rows.groupBy("cell").agg(F.sum(w * t * t).alias("tt"), F.sum(w * p * t).alias("pt"), F.sum(w * p * p).alias("pp"))
-    slow = F.greatest(F.least(F.coalesce(F.try_divide("pt", "pp"), F.lit(1 / high)), F.lit(1 / low)), F.lit(1 / high))
-    sums = sums.withColumn("slow", slow).withColumn("objective", 0.5 * (F.col("tt") - 2 * F.col("slow") * F.col("pt") + F.col("slow") * F.col("slow") * F.col("pp")))
+    cost = lambda slow: 0.5 * (F.col("tt") - 2 * slow * F.col("pt") + slow * slow * F.col("pp"))
+    if velocities is None:
+        slow = F.greatest(F.least(F.coalesce(F.try_divide("pt", "pp"), F.lit(1 / high)), F.lit(1 / low)), F.lit(1 / high))
+        sums = sums.withColumn("slow", slow).withColumn("objective", cost(F.col("slow")))
+    else:
+        tried = F.array(*[F.struct(cost(F.lit(1 / v)).alias("objective"), F.lit(k).alias("k"), F.lit(1 / v).alias("slow")) for k, v in enumerate(velocities)])
+        sums = sums.withColumn("tried", F.array_min(tried)).select("cell", "tried.objective", "tried.slow")
     best = sums.agg(F.min(F.struct("objective", "cell", "slow")).alias("b")).select("b.*").where("cell is not null")
     return best.select(F.floor(F.col("cell") / x.n).cast("long").alias("iz"), (F.col("cell") % x.n).alias("ix"), px.alias("x"), pz.alias("z"), (1 / F.col("slow")).alias("velocity"), "objective")

@@ -298,7 +298,10 @@ register("freqattr", spectral.frequency_attributes, f"""SELECT j AS i1, i2, roun
 (SELECT i2, arg_max(i1, p) / 0.256e0 AS top, sum(p * i1 / 0.256e0) / sum(p) AS centre, sum(p * pow(i1 / 0.256e0, 2)) / sum(p) AS square FROM (SELECT i1, i2, re * re + im * im AS p FROM {DFT}) GROUP BY i2), range(3) r(j)""")
 register("cosft", spectral.dct, f"SELECT k AS i1, i2, round(sum(v * cos(pi() * (i1 + 0.5) * k / 64)) * sqrt(2.0 / 64) * CASE WHEN k = 0 THEN sqrt(0.5) ELSE 1 END, 6) + 0.0 AS v FROM {PANEL}, range(64) r(k) GROUP BY k, i2")
 register("icosft", lambda c: spectral.dct(c, inverse=True), f"SELECT k AS i1, i2, round(sum(v * cos(pi() * (k + 0.5) * i1 / 64) * sqrt(2.0 / 64) * CASE WHEN i1 = 0 THEN sqrt(0.5) ELSE 1 END), 6) + 0.0 AS v FROM {PANEL}, range(64) r(k) GROUP BY k, i2")
-register("spline", lambda c: resample_spline(c))
+_SINH = "(exp({x} * ln(2 + sqrt(3e0))) - exp(-({x}) * ln(2 + sqrt(3e0))))"
+_BENDS = f"""(SELECT i2, k, sum(6 * (e[j + 2] - 2 * e[j + 1] + e[j]) * CASE WHEN (k + j) % 2 = 0 THEN 1 ELSE -1 END * {_SINH.format(x="least(k, j)")} * {_SINH.format(x="(63 - greatest(k, j))")} / ({_SINH.format(x="1")} * {_SINH.format(x="63")})) AS m FROM {_E}, range(1, 63) a(j), range(1, 63) b(k) GROUP BY i2, k)"""
+register("spline", lambda c: resample_spline(c), f"""SELECT i1, s.i2, round(CASE WHEN p <= 63 THEN (1 - t) * e[s.k + 1] + t * e[s.k + 2] + ((pow(1 - t, 3) - (1 - t)) * coalesce(x.m, 0) + (pow(t, 3) - t) * coalesce(y.m, 0)) / 6 ELSE 0 END, 6) + 0.0 AS v FROM
+(SELECT *, p - k AS t FROM (SELECT *, least(floor(p)::BIGINT, 62) AS k FROM (SELECT *, (0.01e0 + i1 * 0.005e0) / 0.004e0 AS p FROM {_E}, range(50) r(i1)))) s LEFT JOIN {_BENDS} x ON s.i2 = x.i2 AND s.k = x.k LEFT JOIN {_BENDS} y ON s.i2 = y.i2 AND s.k + 1 = y.k""")
 
 _BOTH = f"(SELECT i2, k AS i1, sum(v * cos(2 * pi() * i1 * k / 64)) AS re, -sum(v * sin(2 * pi() * i1 * k / 64)) AS im, sum(abs(v) * cos(2 * pi() * i1 * k / 64)) AS re2, -sum(abs(v) * sin(2 * pi() * i1 * k / 64)) AS im2 FROM {PANEL}, range(33) r(k) GROUP BY i2, k)"
 _TWICE = "CASE WHEN i1 IN (0, 32) THEN 1 ELSE 2 END"
@@ -362,6 +365,8 @@ register("velocity_model", plain=lambda s, d: modelling.circle(modelling.rectang
 register("acoustic2d", plain=lambda s, d: _survey(s, d))
 register("locate_velocity", plain=lambda s, d: modelling.locate_velocity(_picks(s, d), Axis(11, 0.0, 10.0), Axis(6, 0.0, 20.0), 1000.0, 3000.0), sql="""SELECT iz, ix, ix * 10.0::DOUBLE AS x, iz * 20.0::DOUBLE AS z, round(1 / s, 6) + 0.0 AS velocity, round(o, 6) + 0.0 AS objective FROM (SELECT *, 0.5 * (tt - 2 * s * pt + s * s * pp) AS o FROM (SELECT *, greatest(least(pt / pp, 1 / 1000.0), 1 / 3000.0) AS s FROM (
 SELECT iz, ix, sum(t * t) AS tt, sum(p * t) AS pt, sum(p * p) AS pp FROM (SELECT iz, ix, 0.05::DOUBLE + 0.001::DOUBLE * (vec_id % 7) AS t, sqrt(pow(ix * 10, 2) + pow(iz * 20, 2)) + sqrt(pow(vec_id % 100 - ix * 10, 2) + pow(iz * 20, 2)) AS p FROM embeddings, range(6) z(iz), range(11) x(ix)) GROUP BY iz, ix))) ORDER BY o, iz, ix LIMIT 1""")
+register("locate_velocities", plain=lambda s, d: modelling.locate_velocity(_picks(s, d), Axis(11, 0.0, 10.0), Axis(6, 0.0, 20.0), velocities=[1000.0, 1400.0, 1900.0, 2500.0]), sql="""SELECT iz, ix, ix * 10.0::DOUBLE AS x, iz * 20.0::DOUBLE AS z, round(c, 6) + 0.0 AS velocity, round(o, 6) + 0.0 AS objective FROM (SELECT *, 0.5 * (tt - 2 * pt / c + pp / (c * c)) AS o FROM (
+SELECT iz, ix, sum(t * t) AS tt, sum(p * t) AS pt, sum(p * p) AS pp FROM (SELECT iz, ix, 0.05::DOUBLE + 0.001::DOUBLE * (vec_id % 7) AS t, sqrt(pow(ix * 10, 2) + pow(iz * 20, 2)) + sqrt(pow(vec_id % 100 - ix * 10, 2) + pow(iz * 20, 2)) AS p FROM embeddings, range(6) z(iz), range(11) x(ix)) GROUP BY iz, ix), (VALUES (1000e0), (1400e0), (1900e0), (2500e0)) v(c)) ORDER BY o, iz, ix LIMIT 1""")
 register("least_squares", plain=lambda s, d: _solved(s, d), sql="SELECT 0::BIGINT AS i, round(regr_intercept(p_retailprice, p_size / 50.0), 4) + 0.0 AS v FROM part UNION ALL SELECT 1, round(regr_slope(p_retailprice, p_size / 50.0), 4) + 0.0 FROM part")
 
 

@@ -15,7 +15,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.cube import Axis, Cube
+from tracelake.cube import Axis, Cube, grid
 from tracelake.operators import aggregate, complexes, cross, filters, gathers, generators, headers, metrics, modelling, neighbour, pointwise, resample, reshape, scatter, solvers, spectral
 from tracelake.sources import rsf, segy
 
@@ -186,6 +186,38 @@ def _solved(spark: SparkSession, p: Parameters) -> str:
     return f"iterations={found.iterations} converged={found.converged}"
 
 
+def _complex_entries(c: complexes.ComplexCube) -> tuple[DataFrame, int, int]:
+    """(row, col, re, im) of a dense matrix whose axis 1 is columns."""
+    pairs = c.df.select(F.col("i2").alias("row"), F.posexplode(F.arrays_zip("re", "im")).alias("col", "z"))
+    return pairs.select("row", F.col("col").cast("long").alias("col"), "z.re", "z.im"), c.meta.leftsize(1), c.meta.axes[0].n
+
+
+def _solved_complex(spark: SparkSession, p: Parameters) -> str:
+    """Complex matrix and right side in, solution out; mode hermitian or normal."""
+    entries, _, columns = _complex_entries(rsf.read(spark, p.files[0]))
+    right = rsf.read(spark, p.files[1]).long().select(F.col("i1").alias("i"), "re", "im")
+    found = complexes.complex_conjugate_gradient(entries, right, columns, None, p.int("niter", 10), p.float("tol", 1e-6), p.float("damp", 0.0), p.text("mode", "normal"))
+    sorted_parts = lambda name: F.transform(F.array_sort(F.collect_list(F.struct("i", name))), lambda z: z[name]).alias(name)
+    every = spark.range(columns).withColumnRenamed("id", "i").join(found.x, "i", "left").fillna(0.0)
+    rsf.write(complexes.ComplexCube(every.agg(sorted_parts("re"), sorted_parts("im")).select(F.lit(0).cast("long").alias("i2"), "re", "im"), rsf.Meta((Axis(columns),))), p.files[2])
+    return f"iterations={found.iterations} converged={found.converged}"
+
+
+def _dot_tested(spark: SparkSession, p: Parameters, complex_: bool) -> str:
+    """Whether a matrix and its adjoint agree on drawn vectors; op=identity n=.. needs no matrix."""
+    if p.text("op", "matrix") == "identity":
+        n = p.int("n")
+        a = solvers.identity(2 * n if complex_ else n)
+    elif complex_:
+        a = complexes.complex_matrix(*_complex_entries(rsf.read(spark, p.files[0])))
+    else:
+        m = rsf.read(spark, p.files[0]).traces()
+        entries = m.df.select(F.col("i2").alias("row"), F.posexplode("samples").alias("col", "value")).withColumn("col", F.col("col").cast("long"))
+        a = solvers.Matrix(entries, m.meta.leftsize(1), m.meta.axes[0].n)
+    left, right, agree = solvers.dot_test(spark, a, p.int("seed", 0), p.float("rtol", 1e-5), p.float("atol", 1e-6))
+    return f"forward={left!r} adjoint={right!r} passed={agree}"
+
+
 def _shot(c: Cube, p: Parameters) -> Cube:
     """Traces at receivers rx=.. rz=.. (indices) of a shot at sx=, sz= over a velocity model."""
     spark = c.df.sparkSession
@@ -408,27 +440,46 @@ FILES: dict[str, Callable[[SparkSession, Parameters], str]] = {
     "put": lambda s, p: rsf.put(p.files[0], **p.values) or p.files[0],
     "rm": lambda s, p: "\n".join(rsf.remove(p.files[0], p.bool("dry_run", True), p.bool("confirm", False), p.bool("missing_ok", False))),
     "diff": lambda s, p: _table(metrics.compare(*(rsf.read(s, f) for f in p.files[:2]), p.float("rtol", 1e-5), p.float("atol", 1e-8))),
-    "segyread": lambda s, p: _from_segy(s, *p.files[:2]),
-    "segywrite": lambda s, p: _to_segy(s, *p.files[:2]),
+    "segyread": lambda s, p: _from_segy(s, p),
+    "segywrite": lambda s, p: _to_segy(s, p),
     "conjgrad": _solved,
+    "cconjgrad": _solved_complex,
+    "dottest": lambda s, p: _dot_tested(s, p, False),
+    "cdottest": lambda s, p: _dot_tested(s, p, True),
     "headercut": lambda s, p: _under(s, p, "cut", headers.cut),
     "headerwindow": lambda s, p: _under(s, p, "keep", headers.window),
 }
 
 
-def _from_segy(spark: SparkSession, path: str, to: str) -> str:
-    traces, found = segy.read(spark, path)
+def _from_segy(spark: SparkSession, p: Parameters) -> str:
+    """SEG-Y to a dataset; headers= names a folder that gets the trace headers as CSV, in order of the traces."""
+    path, to = p.files[:2]
+    traces, found = segy.read(spark, path, p.text("endian", "auto"), p.int("format", None))
     rows = traces.select(F.col("trace").alias("i2"), F.col("samples").cast("array<double>").alias("samples"))
     rsf.write(Cube(rows, replace(rsf.meta_of({"n1": str(found.samples), "n2": str(found.traces), "d1": str(found.interval / 1e6), "label1": "Time", "unit1": "s", "label2": "Trace"})), "trace"), to)
+    if "headers" in p.values:
+        segy.header_table(spark, path).repartitionByRange("trace").sortWithinPartitions("trace").write.option("header", True).csv(p.text("headers"))
     return to
 
 
-def _to_segy(spark: SparkSession, path: str, to: str) -> str:
+def _to_segy(spark: SparkSession, p: Parameters) -> str:
+    """A dataset to SEG-Y; header words come from the columns of that name of the header table head=."""
+    path, to = p.files[:2]
     c = rsf.read(spark, path).traces()
-    segy.write(c.df.select(F.col("i2").alias("trace"), "samples"), to, c.meta.axes[0].n, round(c.meta.axes[0].d * 1e6))
+    rows = c.df.select(_places(c).alias("trace"), "samples")
+    if "head" in p.values:
+        table = rsf.read_table(spark, p.text("head"))
+        words = [w for w in table.columns if w in segy.NAMES]
+        rows = rows.join(table.select("trace", *[F.rint(F.col(w)).cast("int").alias(w) for w in words]), "trace", "left").fillna(0, words)
+    order = {"big": ">", "little": "<"}[p.text("endian", "big")]
+    segy.write(rows, to, c.meta.axes[0].n, round(c.meta.axes[0].d * 1e6), p.int("format", 5), order)
     return to
 
 
+def _places(c: Cube):
+    return rsf._place(c.meta)
+
+
 def _under(spark: SparkSession, p: Parameters, name: str, operator: Callable) -> str:
     """dataset, header table and output: the operator on traces where a key is not 0."""
     c, table = rsf.read(spark, p.files[0]), rsf.read_table(spark, p.files[1])
@@ -457,8 +508,9 @@ def run(spark: SparkSession, program: str, words: list[str]) -> str:
         return FILES[program](spark, p)
     if program in TABLES:
         return _on_table(spark, program, p)
-    if program in NONE:
-        rsf.write(NONE[program](spark, p), files[0])
+    if program in NONE or program == "math" and len(files) == 1:
+        made = pointwise.math_expression(Cube(grid(spark, _axes(p)).withColumn("v", F.lit(0.0)), rsf.Meta(_axes(p))), p.text("output")) if program == "math" else NONE[program](spark, p)
+        rsf.write(made, files[0])
         return files[0]
     if program in SAID:
         return _table(SAID[program](rsf.read(spark, files[0]), p))

@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -338,7 +339,7 @@ register("locate", plain=lambda s, d: gathers.locate(table(s, d, "embeddings").s
 # masks, scatters, matrices and modelling
 _SHAPE = [(1.5, 1.5), (8.2, 2.5), (6.0, 9.5), (2.0, 7.0)]
 _EDGES = ", ".join(f"({ax}::DOUBLE, {ay}::DOUBLE, {bx}::DOUBLE, {by}::DOUBLE)" for (ax, ay), (bx, by) in zip(_SHAPE, [_SHAPE[-1], *_SHAPE[:-1]], strict=True))
-register("polymask", plain=lambda s, d: scatter.polygon_mask(s, (Axis(40, 0.0, 0.25), Axis(30, 0.0, 0.4)), _SHAPE).df, sql=f"SELECT i1, i2, (count(*) FILTER (((ay > i2 * 0.4) <> (\"by\" > i2 * 0.4)) AND i1 * 0.25 < (bx - ax) * (i2 * 0.4 - ay) / (\"by\" - ay) + ax) % 2)::DOUBLE AS v FROM range(40) a(i1), range(30) b(i2), (VALUES {_EDGES}) e(ax, ay, bx, \"by\") GROUP BY i1, i2")
+register("polymask", lambda c: pointwise.combine(c, scatter.polygon_mask(c.df.sparkSession, (Axis(N, 0.0, 0.25), Axis(c.meta.shape[1], 0.0, 0.4)), _SHAPE), "mul"), f"SELECT i1, i2, round(v * (count(*) FILTER (((ay > i2 * 0.4) <> (\"by\" > i2 * 0.4)) AND i1 * 0.25 < (bx - ax) * (i2 * 0.4 - ay) / (\"by\" - ay) + ax) % 2), 6) + 0.0 AS v FROM {PANEL}, (VALUES {_EDGES}) e(ax, ay, bx, \"by\") GROUP BY i1, i2, v")
 sample("mutter", lambda c: scatter.line_mute(c, 2000.0, 0.02, "above", 4), "v * pow(sin(greatest(least((i1 * 0.004 - 0.02 - i2 / 2000.0) / 0.016, 1), 0) * pi() / 2), 2)")
 sample("mutter_below", lambda c: scatter.line_mute(c, 5000.0, 0.021, "below"), "CASE WHEN i1 * 0.004::DOUBLE > 0.021::DOUBLE + i2 / 5000.0::DOUBLE THEN 0 ELSE v END")
 register("avo", lambda c: scatter.avo(_gathers(c).derive(_gathers(c).df, _gathers(c).meta.with_axis(2, o=10.0, d=5.0))), f"SELECT t AS i1, k AS i2, g AS i3, round(CASE WHEN k = 0 THEN regr_intercept(v, h) ELSE regr_slope(v, h) END, 6) + 0.0 AS v FROM (SELECT i1 AS t, i2 // 4 AS g, (10.0::DOUBLE + 5 * (i2 % 4)) * 2 AS h, v FROM {PANEL}), range(2) r(k) GROUP BY t, k, g")
@@ -361,7 +362,7 @@ _OMEGA = "CASE WHEN k = 0 THEN 0 ELSE pow(greatest(2 * pi() * k / 64, 1 / 64e0),
 register("halfint", filters.half_integral, _filtered(_OMEGA.format(power=-0.5, turn="cos"), _OMEGA.format(power=-0.5, turn="-sin")))
 register("halfdiff", lambda c: filters.half_integral(c, True), _filtered(_OMEGA.format(power=0.5, turn="cos"), _OMEGA.format(power=0.5, turn="sin")))
 _LAYERS = "CASE WHEN abs(x - 100) <= 50 AND abs(z - 60) <= 20 THEN 3000 WHEN pow(x - 300, 2) + pow(z - 100, 2) <= 900 THEN w - 200 ELSE w END"
-register("velocity_model", plain=lambda s, d: modelling.circle(modelling.rectangle(modelling.layered_velocity(s, Axis(30, 0.0, 5.0), Axis(50, 0.0, 10.0), [(0.0, 1500.0), (80.0, 2200.0)]), (50.0, 150.0), (40.0, 80.0), velocity=3000.0), 300.0, 100.0, 30.0, delta=-200.0).df, sql=f"SELECT i1, i2, ({_LAYERS})::DOUBLE AS v FROM (SELECT *, i1 * 5.0 AS z, i2 * 10.0 AS x, CASE WHEN i1 * 5.0 >= 80 THEN 2200 ELSE 1500 END AS w FROM range(30) a(i1), range(50) b(i2))")
+register("velocity_model", lambda c: pointwise.combine(c, modelling.circle(modelling.rectangle(modelling.layered_velocity(c.df.sparkSession, Axis(N, 0.0, 5.0), Axis(c.meta.shape[1], 0.0, 10.0), [(0.0, 1500.0), (80.0, 2200.0)]), (50.0, 150.0), (40.0, 80.0), velocity=3000.0), 300.0, 100.0, 30.0, delta=-200.0), "mul"), f"SELECT i1, i2, round(v * ({_LAYERS}), 6) + 0.0 AS v FROM (SELECT *, i1 * 5.0 AS z, i2 * 10.0 AS x, CASE WHEN i1 * 5.0 >= 80 THEN 2200 ELSE 1500 END AS w FROM {PANEL})")
 register("acoustic2d", plain=lambda s, d: _survey(s, d))
 register("locate_velocity", plain=lambda s, d: modelling.locate_velocity(_picks(s, d), Axis(11, 0.0, 10.0), Axis(6, 0.0, 20.0), 1000.0, 3000.0), sql="""SELECT iz, ix, ix * 10.0::DOUBLE AS x, iz * 20.0::DOUBLE AS z, round(1 / s, 6) + 0.0 AS velocity, round(o, 6) + 0.0 AS objective FROM (SELECT *, 0.5 * (tt - 2 * s * pt + s * s * pp) AS o FROM (SELECT *, greatest(least(pt / pp, 1 / 1000.0), 1 / 3000.0) AS s FROM (
 SELECT iz, ix, sum(t * t) AS tt, sum(p * t) AS pt, sum(p * p) AS pp FROM (SELECT iz, ix, 0.05::DOUBLE + 0.001::DOUBLE * (vec_id % 7) AS t, sqrt(pow(ix * 10, 2) + pow(iz * 20, 2)) + sqrt(pow(vec_id % 100 - ix * 10, 2) + pow(iz * 20, 2)) AS p FROM embeddings, range(6) z(iz), range(11) x(ix)) GROUP BY iz, ix))) ORDER BY o, iz, ix LIMIT 1""")
@@ -506,28 +507,30 @@ register("segy_headers", plain=_dataset(_segy, lambda s, p: segy.header_table(s,
 register("compare", plain=lambda s, d: metrics.compare(panel(s, d), panel(s, d).map(lambda v: F.when(v > 1, v + 0.25).otherwise(v))), sql=f"SELECT count(*) FILTER (v > 1) = 0 AS same, count(*) AS samples, count(*) FILTER (v > 1) AS different, round(coalesce(max(0.25::DOUBLE) FILTER (v > 1), 0), 6) + 0.0 AS max_abs, round(max(CASE WHEN v > 1 THEN 0.25 / (v + 0.25) ELSE 0 END), 6) + 0.0 AS max_rel FROM {PANEL}")
 register("panel_metrics", lambda c: metrics.panel_metrics(c, (10, 30), (40, 60)), f"""SELECT * FROM (SELECT round(a, 6) + 0.0 AS rms, round(b, 6) + 0.0 AS signal_rms, round(c, 6) + 0.0 AS noise_rms, round(20 * log10(b / c), 6) + 0.0 AS snr_db FROM (SELECT sqrt(avg(v * v)) AS a, sqrt(avg(v * v) FILTER (i1 BETWEEN 10 AND 29)) AS b, sqrt(avg(v * v) FILTER (i1 BETWEEN 40 AND 59)) AS c FROM {PANEL})),
 (SELECT round(avg(top), 6) + 0.0 AS dominant_frequency, round(avg(t), 6) + 0.0 AS target_band_energy, round(avg(r), 6) + 0.0 AS reject_band_energy FROM (SELECT i2, arg_max(i1, p) / 0.256e0 AS top, sum(p) FILTER (i1 / 0.256e0 BETWEEN 15 AND 35) / 32 AS t, sum(p) FILTER (i1 / 0.256e0 BETWEEN 60 AND 80) / 32 AS r FROM (SELECT i1, i2, re * re + im * im AS p FROM {DFT}) GROUP BY i2))""")
-register("source_receiver", plain=lambda s, d: metrics.source_receiver_table(s, Axis(21, -500.0, 50.0), 100.0), sql="SELECT t AS trace, 100 - h / 2 AS source_x, 100 + h / 2 AS receiver_x, h AS \"offset\", 100.0::DOUBLE AS midpoint, t + 1 AS channel, 1::BIGINT AS source_id, t + 1 AS receiver_id FROM (SELECT t, -500e0 + 50 * t AS h FROM range(21) r(t))")
-register("plane_wave", plain=lambda s, d: metrics.plane_wave(s, level=0.0).df, sql="SELECT i1, i2, round((1 - 2 * s) * exp(-s), 6) + 0.0 AS v FROM (SELECT i1, i2, pow(pi() * 30 * (i1 * 0.002e0 - 0.45e0 - (10 * i2 - 115) / 1500e0), 2) AS s FROM range(512) a(i1), range(24) b(i2))")
+register("source_receiver", plain=lambda s, d: metrics.source_receiver_table(s, Axis(max(1, table(s, d, "embeddings").count()), -500.0, 50.0), 100.0), sql="SELECT vec_id AS trace, 100 - h / 2 AS source_x, 100 + h / 2 AS receiver_x, h AS \"offset\", 100.0::DOUBLE AS midpoint, vec_id + 1 AS channel, 1::BIGINT AS source_id, vec_id + 1 AS receiver_id FROM (SELECT vec_id, -500e0 + 50 * vec_id AS h FROM embeddings)")
+register("plane_wave", lambda c: pointwise.combine(c, metrics.plane_wave(c.df.sparkSession, N, 0.02, Axis(c.meta.shape[1], -115.0, 10.0), level=0.0), "add"), f"SELECT i1, i2, round(v + (1 - 2 * s) * exp(-s), 6) + 0.0 AS v FROM (SELECT *, pow(pi() * 30 * (i1 * 0.02e0 - (0.45e0 + (10 * i2 - 115) / 1500e0)), 2) AS s FROM {PANEL})")
 register("axis_values", plain=lambda s, d: pointwise.with_axis_values(panel(s, d), table(s, d, "embeddings").select(F.col("vec_id").alias("i"), F.col("label").alias("w")), 2).long().df.select("i1", "i2", "v"), sql=f"SELECT i1, i2, round(v * coalesce(label, 0), 6) + 0.0 AS v FROM {PANEL}")
 
 # windows, filters and solvers
-_ANGLE = "2 * pi() * i1 / 30"
-register("window_function", plain=lambda s, d: s.createDataFrame([(k, *(float(spectral.window_weights(31, w)[k]) for w in ("hann", "hamming", "blackman", "bartlett"))) for k in range(31)], "i1 long, hann double, hamming double, blackman double, bartlett double"), sql=f"SELECT i1, round(0.5 - 0.5 * cos({_ANGLE}), 6) + 0.0 AS hann, round(0.54 - 0.46 * cos({_ANGLE}), 6) + 0.0 AS hamming, round(0.42 - 0.5 * cos({_ANGLE}) + 0.08 * cos(2 * {_ANGLE}), 6) + 0.0 AS blackman, round(1 - abs(i1 / 15e0 - 1), 6) + 0.0 AS bartlett FROM range(31) r(i1)")
-register("firwin", plain=lambda s, d: s.createDataFrame([(k, float(v)) for k, v in enumerate(spectral.firwin(21, 40.0, 250.0))], "i1 long, v double"), sql=f"SELECT j AS i1, round(h, 6) + 0.0 AS v FROM {_SINC}")
-register("freqz", plain=lambda s, d: s.createDataFrame([(k, float(f), float(abs(h))) for k, (f, h) in enumerate(zip(*cross.frequency_response(spectral.firwin(21, 40.0, 250.0), 250.0, 64), strict=True))], "i1 long, frequency double, gain double"), sql=f"SELECT k AS i1, round(k * 250 / 64e0, 6) + 0.0 AS frequency, round(sqrt(pow(sum(h * cos(2 * pi() * k * j / 64)), 2) + pow(sum(h * sin(2 * pi() * k * j / 64)), 2)), 6) + 0.0 AS gain FROM {_SINC}, range(33) r(k) GROUP BY k")
+_ANGLE = "2 * pi() * i1 / 63"
+_WINDOWS = {"hann": f"0.5 - 0.5 * cos({_ANGLE})", "hamming": f"0.54 - 0.46 * cos({_ANGLE})", "blackman": f"0.42 - 0.5 * cos({_ANGLE}) + 0.08 * cos(2 * {_ANGLE})", "bartlett": "1 - abs(i1 / 31.5e0 - 1)"}
+register("window_function", lambda c: _weighted_sums(c), f"SELECT i2, {', '.join(f'round(sum(v * ({w})), 6) + 0.0 AS {name}' for name, w in _WINDOWS.items())} FROM {PANEL} GROUP BY i2")
+register("firwin", lambda c: c.map_traces(lambda x: x[:, :21] @ spectral.firwin(21, 40.0, 250.0)[:, None], Axis(1)), f"SELECT 0::BIGINT AS i1, vec_id AS i2, round(sum(h * embedding[j + 1]::DOUBLE), 6) + 0.0 AS v FROM embeddings, {_SINC} GROUP BY vec_id")
+_GAIN = f"(SELECT k, sqrt(pow(sum(h * cos(2 * pi() * k * j / 64)), 2) + pow(sum(h * sin(2 * pi() * k * j / 64)), 2)) AS gain FROM {_SINC}, range(33) r(k) GROUP BY k)"
+register("freqz", lambda c: _answered(c), f"SELECT i1, i2, round(gain * sqrt(re * re + im * im), 6) + 0.0 AS v FROM {DFT} JOIN {_GAIN} ON k = i1")
 register("welchcsd", lambda c: cross.csd(c, c.map(F.abs), 32), f"""SELECT k AS i1, i2, round(avg(re * re2 + im * im2) * CASE WHEN k IN (0, 16) THEN 1 ELSE 2 END * 0.004e0 / (SELECT sum(pow(0.5 - 0.5 * cos(2 * pi() * m / 31), 2)) FROM range(32) r(m)), 6) + 0.0 AS v FROM
 (SELECT k, i2, g, sum(v * w * cos(2 * pi() * m * k / 32)) AS re, sum(v * w * sin(2 * pi() * m * k / 32)) AS im, sum(abs(v) * w * cos(2 * pi() * m * k / 32)) AS re2, sum(abs(v) * w * sin(2 * pi() * m * k / 32)) AS im2 FROM (SELECT i2, g, i1 - 16 * g AS m, v, 0.5 - 0.5 * cos(2 * pi() * (i1 - 16 * g) / 31) AS w FROM {PANEL}, range(3) s(g) WHERE i1 - 16 * g BETWEEN 0 AND 31), range(17) q(k) GROUP BY k, i2, g) GROUP BY k, i2""")
 register("cg", plain=lambda s, d: _normal_system(s, d), sql=ORACLES["least_squares"])
 register("cgnr", plain=lambda s, d: _solved(s, d, solvers.cgnr, steps=4, tol=1e-13), sql=ORACLES["least_squares"])
 register("cgls", plain=lambda s, d: _solved(s, d, solvers.cgls, steps=4, tol=1e-13), sql=ORACLES["least_squares"])
 register("cgls_preconditioned", plain=lambda s, d: _solved(s, d, solvers.cgls, steps=4, tol=1e-13, preconditioner=solvers.diagonal(s.createDataFrame([(0, 2.0), (1, 5.0)], "i long, v double"), 2)), sql=ORACLES["least_squares"])
-register("differences", plain=lambda s, d: solvers.differences(N, 2).forward(_first_trace(s, d)), sql="SELECT i, round(e[i + 1] - 2 * e[i + 2] + e[i + 3], 6) + 0.0 AS v FROM (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0), range(62) r(i)")
-register("custom_operator", plain=lambda s, d: solvers.composed(solvers.scaled(solvers.identity(N), 3.0), solvers.Custom(N, N, lambda x: x.select("i", (F.col("v") * F.col("i")).alias("v")), lambda y: y.select("i", (F.col("v") * F.col("i")).alias("v")))).forward(_first_trace(s, d)), sql="SELECT i, round(3 * i * embedding[i + 1]::DOUBLE, 6) + 0.0 AS v FROM embeddings, range(64) r(i) WHERE vec_id = 0")
-register("dot_test", plain=lambda s, d: s.createDataFrame([(solvers.dot_test(s, solvers.stacked(solvers.identity(20), solvers.differences(20)))[2],)], "same boolean"), sql="SELECT true AS same")
+register("differences", lambda c: solvers.differences(N * c.meta.shape[1], 2).forward(_vector(c)), f"SELECT i, round(v, 6) + 0.0 AS v FROM (SELECT 64 * i2 + i1 AS i, v - 2 * lead(v) OVER w + lead(v, 2) OVER w AS v FROM {PANEL} WINDOW w AS (ORDER BY i2, i1)) WHERE v IS NOT NULL")
+register("custom_operator", lambda c: _ramped(c), f"SELECT 64 * i2 + i1 AS i, round(3 * (64 * i2 + i1) * v, 6) + 0.0 AS v FROM {PANEL}")
+register("dot_test", plain=lambda s, d: _adjoint_agrees(s, d), sql="SELECT true AS same, count(*) AS entries FROM lineitem")
 
 # generators
-register("spike", plain=lambda s, d: generators.spike(s, (Axis(100), Axis(40)), [(5, 7), (100, 40)], [1.5, -2.0]).df, sql="SELECT i1, i2, CASE WHEN i1 = 4 AND i2 = 6 THEN 1.5 WHEN i1 = 99 AND i2 = 39 THEN -2.0 ELSE 0.0 END::DOUBLE AS v FROM range(100) a(i1), range(40) b(i2)")
-register("ricker", plain=lambda s, d: generators.ricker(s, 25.0, Axis(200, 0.0, DT)).df, sql="SELECT i1, round((1 - 2 * s) * exp(-s), 6) + 0.0 AS v FROM (SELECT i1, pow(pi() * 25 * (i1 * 0.004 - 0.04), 2) AS s FROM range(200) r(i1))")
+register("spike", lambda c: pointwise.combine(c, generators.spike(c.df.sparkSession, c.meta.axes, [(5, 7), (64, 40)], [1.5, -2.0]), "add"), f"SELECT i1, i2, round(v + CASE WHEN i1 = 4 AND i2 = 6 THEN 1.5 WHEN i1 = 63 AND i2 = 39 THEN -2.0 ELSE 0.0 END, 6) + 0.0 AS v FROM {PANEL}")
+register("ricker", lambda c: pointwise.with_axis_values(c, generators.ricker(c.df.sparkSession, 25.0, TIME).df.withColumnsRenamed({"i1": "i", "v": "w"}), 1), f"SELECT i1, i2, round(v * (1 - 2 * s) * exp(-s), 6) + 0.0 AS v FROM (SELECT *, pow(pi() * 25 * (i1 * 0.004 - 0.04), 2) AS s FROM {PANEL})")
 register("noise", lambda c: generators.noise(c, 1.0, 0.0, 11))
 
 
@@ -564,8 +567,39 @@ def _picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").selectExpr("0D AS sx", "0D AS sz", "vec_id % 100 * 1D AS rx", "0D AS rz", "0.05D + 0.001D * (vec_id % 7) AS observed", "1D AS weight")
 
 
-def _first_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where("vec_id = 0").select(F.posexplode("embedding").alias("i", "v")).select(F.col("i").cast("long").alias("i"), F.col("v").cast("double").alias("v"))
+def _vector(c: Cube) -> DataFrame:
+    """All samples of the panel as one vector."""
+    return c.long().df.select((F.col("i2") * N + F.col("i1")).alias("i"), "v")
+
+
+def _ramped(c: Cube) -> DataFrame:
+    """An operator of the caller's own, scaled and composed, on the whole panel."""
+    n = N * c.meta.shape[1]
+    times = lambda x: x.select("i", (F.col("v") * F.col("i")).alias("v"))
+    return solvers.composed(solvers.scaled(solvers.identity(n), 3.0), solvers.Custom(n, n, times, times)).forward(_vector(c))
+
+
+def _weighted_sums(c: Cube) -> DataFrame:
+    """Each trace under four windows of its own length."""
+    names = list(_WINDOWS)
+    sums = c.map_traces(lambda x: np.stack([x @ spectral.window_weights(N, w) for w in names], axis=1), Axis(len(names)))
+    return sums.df.select("i2", *[F.element_at("samples", k).alias(w) for k, w in enumerate(names, 1)])
+
+
+def _answered(c: Cube) -> Cube:
+    """Amplitudes of each trace behind a filter."""
+    gain = np.abs(cross.frequency_response(spectral.firwin(21, 40.0, 250.0), 250.0, 64)[1])
+    return c.map_traces(lambda x: np.abs(np.fft.rfft(x)) * gain, Axis(len(gain)))
+
+
+def _adjoint_agrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dot test of a matrix with an entry for each line item, over differences."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("row"), F.col("l_suppkey").cast("long").alias("col"), F.col("l_quantity").cast("double").alias("value"))
+    entries, last, most = rows.agg(F.count("*"), F.max("row"), F.max("col")).first()
+    columns = (most or 0) + 3
+    matrix = solvers.stacked(solvers.Matrix(rows, (last or 0) + 1, columns), solvers.differences(columns, 2))
+    same = solvers.dot_test(spark, matrix)[2]
+    return spark.range(1).select(F.lit(same).alias("same"), F.lit(entries).cast("long").alias("entries"))
 
 
 def _normal_system(spark: SparkSession, sf_dir: str) -> DataFrame:

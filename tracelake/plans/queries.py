@@ -308,14 +308,27 @@ _BOTH = f"(SELECT i2, k AS i1, sum(v * cos(2 * pi() * i1 * k / 64)) AS re, -sum(
 _TWICE = "CASE WHEN i1 IN (0, 32) THEN 1 ELSE 2 END"
 register("csd_real", lambda c: cross.csd(c, c.map(F.abs), kind="boxcar"), f"SELECT i1, i2, round((re * re2 + im * im2) * {_TWICE} / 64 * 0.004, 6) + 0.0 AS v FROM {_BOTH}")
 register("csd_imag", lambda c: cross.csd(c, c.map(F.abs), kind="boxcar", part="imag"), f"SELECT i1, i2, round((re * im2 - im * re2) * {_TWICE} / 64 * 0.004, 6) + 0.0 AS v FROM {_BOTH}")
+#: Segments of 16 samples, 8 apart, under a window: (i2, g, k) with the parts of the trace and of its magnitude.
+_SHORT = """(SELECT k, i2, g, sum(v * w * cos(2 * pi() * m * k / 16)) AS re, -sum(v * w * sin(2 * pi() * m * k / 16)) AS im, sum(abs(v) * w * cos(2 * pi() * m * k / 16)) AS re2, -sum(abs(v) * w * sin(2 * pi() * m * k / 16)) AS im2
+FROM (SELECT i2, g, i1 - 8 * g AS m, v, 0.5 - 0.5 * cos(2 * pi() * (i1 - 8 * g) / 15) AS w FROM """ + PANEL + """, range(7) s(g) WHERE i1 - 8 * g BETWEEN 0 AND 15), range(9) q(k) GROUP BY k, i2, g)"""
+register("coherence", lambda c: cross.coherence(c, c.map(F.abs), 16), f"SELECT i1, i2, round(CASE WHEN a * b > 1e-12 THEN greatest(least((x * x + y * y) / (a * b), 1), 0) ELSE 0 END, 6) + 0.0 AS v FROM (SELECT k AS i1, i2, avg(re * re + im * im) AS a, avg(re2 * re2 + im2 * im2) AS b, avg(re * re2 + im * im2) AS x, avg(re * im2 - im * re2) AS y FROM {_SHORT} GROUP BY k, i2)")
+register("spectrogram", lambda c: cross.spectrogram(c, 16), f"SELECT k AS i1, g AS i2, i2 AS i3, round((re * re + im * im) * CASE WHEN k IN (0, 8) THEN 1 ELSE 2 END / (SELECT pow(sum(0.5 - 0.5 * cos(2 * pi() * m / 15)), 2) FROM range(16) r(m)), 6) + 0.0 AS v FROM {_SHORT}")
+_NINE = "(SELECT j, h / sum(h) OVER () AS h FROM (SELECT j, CASE WHEN j = 4 THEN 0.32e0 ELSE sin(pi() * 0.32e0 * (j - 4)) / (pi() * (j - 4)) END * (0.5 - 0.5 * cos(2 * pi() * j / 8)) AS h FROM range(9) r(j)))"
+_ONCE = f"(SELECT p, i2, sum(h * CASE WHEN q BETWEEN -24 AND 87 THEN e[(CASE WHEN q < 0 THEN -q WHEN q > 63 THEN 126 - q ELSE q END)::INT + 1] ELSE 0 END) AS y FROM (SELECT p, i2, e, h, p + 4 - j AS q FROM (SELECT vec_id AS i2, embedding::DOUBLE[] AS e FROM embeddings), range(-24, 88) r(p), {_NINE}) GROUP BY p, i2)"
+register("filtfilt", lambda c: cross.zero_phase(c, spectral.firwin(9, 40.0, 250.0)), f"SELECT t AS i1, i2, round(sum(h * y), 6) + 0.0 AS v FROM {_ONCE} JOIN (SELECT t, t + 4 - j AS p, h FROM range(64) r(t), {_NINE}) USING (p) GROUP BY t, i2")
+
+
+def _band_taps(low: float, high: float) -> str:
+    """DuckDB taps of a windowed band-pass of 21, edges as fractions of half the sampling rate."""
+    raw = f"(SELECT j, CASE WHEN j = 10 THEN {high - low}::DOUBLE ELSE (sin(pi() * {high} * (j - 10)) - sin(pi() * {low} * (j - 10))) / (pi() * (j - 10)) END * (0.5 - 0.5 * cos(2 * pi() * j / 20)) AS h FROM range(21) r(j))"
+    return f"SELECT j, h / sum(h * cos(pi() * (j - 10) * {(low + high) / 2})) OVER () AS h FROM {raw}"
+
+
+register("filterbank", lambda c: cross.filter_bank(c, [(10.0, 30.0), (40.0, 80.0)], 21), f"SELECT t AS i1, vec_id AS i2, b AS i3, round(sum(h * CASE WHEN t + 10 - j BETWEEN 0 AND 63 THEN embedding[t + 11 - j]::DOUBLE ELSE 0 END), 6) + 0.0 AS v FROM embeddings, range(64) r(t), (SELECT 0::BIGINT AS b, j, h FROM ({_band_taps(0.08, 0.24)}) UNION ALL SELECT 1, j, h FROM ({_band_taps(0.32, 0.64)})) GROUP BY t, vec_id, b")
 register("transfer", lambda c: cross.transfer(c, c.map(lambda v: v * 3), N, kind="boxcar"), f"SELECT i1, i2, CASE WHEN re * re + im * im <= 1e-12 THEN 0.0 ELSE 3.0 END::DOUBLE AS v FROM {DFT}")
 register("transfer_panels", lambda c: cross.transfer(c, c.map(F.abs), N, kind="boxcar"), f"SELECT i1, i2, round(CASE WHEN re * re + im * im <= 1e-12 THEN 0 ELSE sqrt((re2 * re2 + im2 * im2) / (re * re + im * im)) END, 6) + 0.0 AS v FROM {_BOTH}")
 register("bandenergy", lambda c: cross.band_energy(c, [(0.0, 40.0), (50.0, 125.0)], "energy"), f"SELECT (k)::BIGINT AS i1, i2, round(sum((re * re + im * im) * {_TWICE} / 64), 6) + 0.0 AS v FROM {DFT}, (VALUES (0, 0.0, 40.0), (1, 50.0, 125.0)) b(k, low, high) WHERE i1 / 0.256 BETWEEN low AND high GROUP BY k, i2")
 register("specnorm", lambda c: cross.normalize_spectrum(c), f"SELECT i1, i2, round(v / greatest(s, 1e-12), 6) + 0.0 AS v FROM {PANEL} JOIN (SELECT i2, sqrt(avg(re * re + im * im)) AS s FROM {DFT} GROUP BY i2) USING (i2)")
-register("coherence", lambda c: cross.coherence(c, c.map(F.abs), 16))
-register("spectrogram", lambda c: cross.spectrogram(c, 16))
-register("filtfilt", lambda c: cross.zero_phase(c, spectral.firwin(9, 40.0, 250.0)))
-register("filterbank", lambda c: cross.filter_bank(c, [(10.0, 30.0), (40.0, 80.0)], 21))
 
 
 # gathers: four offsets a midpoint or shot, by vec_id
@@ -354,7 +367,8 @@ register("match_adjoint", lambda c: scatter.match_adjoint(c, c.map(F.abs), 3), f
 register("cconv", lambda c: filters.circular_convolve(c, _taps_of_four()), "SELECT k AS i1, vec_id AS i2, round(e[k + 1] - 0.5 * e[(k + 63) % 64 + 1] + 2 * e[(k + 62) % 64 + 1] + 0.25 * e[(k + 61) % 64 + 1], 6) + 0.0 AS v FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), range(64) r(k)")
 register("correlate", lambda c: filters.correlate(c, _taps_of_four()[:3]), f"SELECT i1, i2, round(coalesce(lag(v) {_W}, 0) - 0.5 * v + 2 * coalesce(lead(v) {_W}, 0), 6) + 0.0 AS v FROM {PANEL}")
 register("xcorr", lambda c: filters.trace_correlation(c, c.map(F.abs)), "SELECT k AS i1, vec_id AS i2, round(list_sum([CAST(embedding[i] AS DOUBLE) * abs(CAST(embedding[i - k + 63] AS DOUBLE)) FOR i IN range(greatest(1, k - 62), least(64, k + 1) + 1)]), 6) + 0.0 AS v FROM embeddings, range(127) r(k)")
-register("envcorr", lambda c: filters.trace_correlation(c, c.map(F.abs), "same", True, True))
+_ENVELOPES = f"(SELECT i2, i1, sqrt(a.x * a.x + a.y * a.y) AS e, sqrt(b.x * b.x + b.y * b.y) AS f FROM {_ANALYTIC} a JOIN {_ANALYTIC.replace('sum(v *', 'sum(abs(v) *')} b USING (i1, i2))"
+register("envcorr", lambda c: filters.trace_correlation(c, c.map(F.abs), "same", True, True), f"""SELECT t AS i1, i2, round(above / below, 6) + 0.0 AS v FROM (SELECT t, x.i2, coalesce(sum(x.e * y.f), 0) AS above FROM {_ENVELOPES} x CROSS JOIN range(64) r(t) LEFT JOIN {_ENVELOPES} y ON x.i2 = y.i2 AND y.i1 = x.i1 + 32 - t GROUP BY t, x.i2) JOIN (SELECT i2, sqrt(sum(e * e) * sum(f * f)) AS below FROM {_ENVELOPES} GROUP BY i2) USING (i2)""")
 register("bandstop", lambda c: filters.bandstop(c, 20.0, 40.0, 4.0), _filtered(f"1 - {_flank('(f - 20) / 4 + 1')} * {_flank('(40 - f) / 4 + 1')}"))
 register("notch", lambda c: filters.notch(c, 50.0, 8.0), _filtered("CASE WHEN f BETWEEN 46 AND 54 THEN 0 ELSE 1 END"))
 register("trapez", lambda c: filters.trapezoid(c, (5.0, 12.0, 50.0, 70.0)), _filtered(f"CASE WHEN f >= 5 AND f < 12 THEN {_flank('(f - 5) / 7')} WHEN f >= 12 AND f < 50 THEN 1 WHEN f >= 50 AND f < 70 THEN {_flank('(70 - f) / 20')} ELSE 0 END"))

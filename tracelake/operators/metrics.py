@@ -65,6 +65,89 @@ def panel_metrics(c: Cube, signal: tuple[int, int], quiet: tuple[int, int], targ
     return out.withColumn("snr_db", 20 * F.log10(F.greatest(F.col("signal_rms") / F.greatest("noise_rms", F.lit(eps)), F.lit(eps))))
 
 
+EPS = float(np.finfo(float).eps)
+
+
+def processing_metrics(raw: Cube, before: Cube, after: Cube, processed: Cube, stacked: Cube, signal: tuple[int, int], quiet: tuple[int, int], target: tuple[float, float] = (15.0, 35.0), reject: tuple[float, float] = (60.0, 80.0), mute_from: float = 0.08, mute_velocity: float = 4000.0) -> dict[str, float | bool]:
+    """What the stages of a gather's processing did: signal to noise and bands before and after a filter, the mute, the stack.
+
+    Gathers have one shape; ``stacked`` is their stack over axis 2.  Each gather
+    gives one row of sums; nothing else comes to the driver.
+    """
+    gathers = (raw, before, after, processed)
+    if any(g.rank != 2 or g.meta.shape != raw.meta.shape for g in gathers):
+        raise ValueError("the gathers are of one shape, with two axes")
+    time, offset = raw.meta.axes
+    if stacked.meta.shape[0] != time.n or stacked.rank != 1:
+        raise ValueError("the stack is as long as the gathers")
+    if not mute_velocity > 0:
+        raise ValueError("a velocity is positive")
+    one, two, last, line = (panel_metrics(c, signal, quiet, target, reject).first() for c in (before, after, processed, stacked))
+    ratio = lambda a, b: a / max(b, EPS)
+    finite = lambda c: c.long().df.agg(F.count("*"), F.count_if(~F.isnan("v") & (F.abs("v") < float("inf"))), F.sqrt(F.avg(F.col("v") * F.col("v")))).first()
+    sums = [finite(c) for c in (*gathers, stacked)]
+    own = processed.long()
+    muted = time.coordinate(F.col("i1")) < F.lit(mute_from) + F.abs(offset.coordinate(F.col("i2"))) / mute_velocity
+    all_, hit, zero = own.df.agg(F.count("*"), F.count_if(muted), F.count_if(muted & (F.abs("v") <= 1e-8))).first()
+    inside = stacked.long().df.where(F.col("i1").between(signal[0], signal[1] - 1))
+    peak = inside.agg(F.max(F.struct(F.abs("v").alias("size"), (-F.col("i1")).alias("at"), F.col("v").alias("v"))).alias("m")).first()["m"]
+    bands = {f"{name}_band_energy_{when}": row[f"{name}_band_energy"] for name in ("target", "reject") for when, row in (("before", one), ("after", two))}
+    windows = {f"{name}_window_rms_{when}": row[f"{name}_rms"] for name in ("noise", "signal") for when, row in (("before", one), ("after", two))}
+    return {
+        "input_rms": sums[0][2],
+        "output_rms": sums[3][2],
+        **windows,
+        "snr_before_db": one["snr_db"],
+        "snr_after_db": two["snr_db"],
+        "snr_improvement_db": two["snr_db"] - one["snr_db"],
+        "stack_peak_time": time.o - peak["at"] * time.d,
+        "stack_peak_amplitude": peak["v"],
+        "stack_signal_window_rms": line["signal_rms"],
+        "stack_noise_window_rms": line["noise_rms"],
+        "stack_snr_db": line["snr_db"],
+        "dominant_frequency_before": one["dominant_frequency"],
+        "dominant_frequency_after": two["dominant_frequency"],
+        **bands,
+        "target_band_energy_ratio": ratio(two["target_band_energy"], one["target_band_energy"]),
+        "reject_band_energy_ratio": ratio(two["reject_band_energy"], one["reject_band_energy"]),
+        "processed_noise_window_rms": last["noise_rms"],
+        "stack_noise_reduction_ratio": ratio(line["noise_rms"], last["noise_rms"]),
+        "finite_fraction": sum(s[1] for s in sums) / sum(s[0] for s in sums),
+        "muted_fraction": hit / all_,
+        "mute_zero_fraction": zero / hit if hit else 1.0,
+        "header_axis_ok": _stages_agree(raw, (before, after, processed), stacked),
+    }
+
+
+def _stages_agree(raw: Cube, later: tuple[Cube, ...], stacked: Cube) -> bool:
+    """Whether a regular gather of offsets kept its axes through all stages."""
+    time, offset = raw.meta.axes
+    named = (time.label, time.unit, offset.label, offset.unit) == ("Time", "s", "Offset", "m")
+    return named and all(c.meta.axes == raw.meta.axes for c in later) and stacked.meta.axes[0] == time
+
+
+def check_processing(metrics: dict[str, float | bool], least_snr_db: float = 6.0, target_ratio: tuple[float, float] = (0.75, 1.1), most_reject_ratio: float = 0.02, most_stack_noise: float = 0.45) -> dict[str, bool]:
+    """The metrics against thresholds; ``overall_pass`` if all hold."""
+    if target_ratio[0] > target_ratio[1] or min(most_reject_ratio, most_stack_noise) < 0:
+        raise ValueError("thresholds out of order or below 0")
+    checks = {
+        "snr_improved": metrics["snr_improvement_db"] >= least_snr_db,
+        "target_band_preserved": target_ratio[0] <= metrics["target_band_energy_ratio"] <= target_ratio[1],
+        "reject_band_attenuated": metrics["reject_band_energy_ratio"] <= most_reject_ratio,
+        "stack_noise_reduced": metrics["stack_noise_reduction_ratio"] <= most_stack_noise,
+        "mute_applied": metrics["muted_fraction"] > 0 and metrics["mute_zero_fraction"] >= 0.999,
+        "finite": math.isclose(metrics["finite_fraction"], 1.0, rel_tol=1e-5),
+        "header_axis_ok": bool(metrics["header_axis_ok"]),
+    }
+    return checks | {"overall_pass": all(checks.values())}
+
+
+def compare_reports(before: dict[str, float | bool], after: dict[str, float | bool], rtol: float = 1e-9) -> dict[str, tuple]:
+    """The metrics in which two reports differ, or which only one has (the other being None)."""
+    same = lambda a, b: a == b or (isinstance(a, (int, float)) and isinstance(b, (int, float)) and math.isclose(a, b, rel_tol=rtol))
+    return {k: (before.get(k), after.get(k)) for k in sorted(before.keys() | after.keys()) if not same(before.get(k), after.get(k))}
+
+
 # geometry contracts
 def source_receiver_table(spark: SparkSession, offsets: Axis, midpoint: float = 0.0, source: int = 1) -> DataFrame:
     """(trace, source_x, receiver_x, offset, midpoint, channel, source_id, receiver_id) of one midpoint with a trace for each offset."""

@@ -521,6 +521,20 @@ register("segy_headers", plain=_dataset(_segy, lambda s, p: segy.header_table(s,
 register("compare", plain=lambda s, d: metrics.compare(panel(s, d), panel(s, d).map(lambda v: F.when(v > 1, v + 0.25).otherwise(v))), sql=f"SELECT count(*) FILTER (v > 1) = 0 AS same, count(*) AS samples, count(*) FILTER (v > 1) AS different, round(coalesce(max(0.25::DOUBLE) FILTER (v > 1), 0), 6) + 0.0 AS max_abs, round(max(CASE WHEN v > 1 THEN 0.25 / (v + 0.25) ELSE 0 END), 6) + 0.0 AS max_rel FROM {PANEL}")
 register("panel_metrics", lambda c: metrics.panel_metrics(c, (10, 30), (40, 60)), f"""SELECT * FROM (SELECT round(a, 6) + 0.0 AS rms, round(b, 6) + 0.0 AS signal_rms, round(c, 6) + 0.0 AS noise_rms, round(20 * log10(b / c), 6) + 0.0 AS snr_db FROM (SELECT sqrt(avg(v * v)) AS a, sqrt(avg(v * v) FILTER (i1 BETWEEN 10 AND 29)) AS b, sqrt(avg(v * v) FILTER (i1 BETWEEN 40 AND 59)) AS c FROM {PANEL})),
 (SELECT round(avg(top), 6) + 0.0 AS dominant_frequency, round(avg(t), 6) + 0.0 AS target_band_energy, round(avg(r), 6) + 0.0 AS reject_band_energy FROM (SELECT i2, arg_max(i1, p) / 0.256e0 AS top, sum(p) FILTER (i1 / 0.256e0 BETWEEN 15 AND 35) / 32 AS t, sum(p) FILTER (i1 / 0.256e0 BETWEEN 60 AND 80) / 32 AS r FROM (SELECT i1, i2, re * re + im * im AS p FROM {DFT}) GROUP BY i2))""")
+
+
+def _processed(c: Cube) -> DataFrame:
+    """A few metrics of a filter, a mute and a stack of the panel."""
+    gather = Cube(c.df, Meta((TIME, Axis(c.meta.shape[1], 0.0, 0.1, "Offset", "m"))), "trace")
+    low = spectral.bandpass(gather, 8.0, 60.0, 4.0)
+    last = pointwise.mute(low, 0.02, 1500.0, gather.coordinate(2))
+    got = metrics.processing_metrics(gather, gather, low, last, agg.stack(gather, 2, "mean", False), (10, 30), (40, 60), mute_from=0.02, mute_velocity=1500.0)
+    spark = c.df.sparkSession
+    return spark.range(1).select(*[F.lit(got[k]).alias(k) for k in ("input_rms", "snr_before_db", "muted_fraction", "mute_zero_fraction", "finite_fraction", "stack_signal_window_rms", "header_axis_ok")])
+
+
+register("processing_metrics", lambda c: _processed(c), f"""SELECT round(sqrt(avg(v * v)), 6) + 0.0 AS input_rms, round(20 * log10(sqrt(avg(v * v) FILTER (i1 BETWEEN 10 AND 29)) / sqrt(avg(v * v) FILTER (i1 BETWEEN 40 AND 59))), 6) + 0.0 AS snr_before_db, round(avg((i1 * 0.004e0 < 0.02e0 + i2 * 0.1e0 / 1500)::INT), 6) + 0.0 AS muted_fraction, 1.0::DOUBLE AS mute_zero_fraction, 1.0::DOUBLE AS finite_fraction,
+(SELECT round(sqrt(avg(m * m)), 6) + 0.0 FROM (SELECT i1, avg(v) AS m FROM {PANEL} WHERE i1 BETWEEN 10 AND 29 GROUP BY i1)) AS stack_signal_window_rms, true AS header_axis_ok FROM {PANEL}""")
 register("source_receiver", plain=lambda s, d: metrics.source_receiver_table(s, Axis(max(1, table(s, d, "embeddings").count()), -500.0, 50.0), 100.0), sql="SELECT vec_id AS trace, 100 - h / 2 AS source_x, 100 + h / 2 AS receiver_x, h AS \"offset\", 100.0::DOUBLE AS midpoint, vec_id + 1 AS channel, 1::BIGINT AS source_id, vec_id + 1 AS receiver_id FROM (SELECT vec_id, -500e0 + 50 * vec_id AS h FROM embeddings)")
 register("plane_wave", lambda c: pointwise.combine(c, metrics.plane_wave(c.df.sparkSession, N, 0.02, Axis(c.meta.shape[1], -115.0, 10.0), level=0.0), "add"), f"SELECT i1, i2, round(v + (1 - 2 * s) * exp(-s), 6) + 0.0 AS v FROM (SELECT *, pow(pi() * 30 * (i1 * 0.02e0 - (0.45e0 + (10 * i2 - 115) / 1500e0)), 2) AS s FROM {PANEL})")
 register("axis_values", plain=lambda s, d: pointwise.with_axis_values(panel(s, d), table(s, d, "embeddings").select(F.col("vec_id").alias("i"), F.col("label").alias("w")), 2).long().df.select("i1", "i2", "v"), sql=f"SELECT i1, i2, round(v * coalesce(label, 0), 6) + 0.0 AS v FROM {PANEL}")

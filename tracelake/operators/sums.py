@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 #: Numbers that a task keeps.
 HELD = 1 << 23
@@ -35,11 +37,9 @@ def array_sums(df: DataFrame, keys: dict[str, str], kernel: Kernel) -> DataFrame
         ends = pa.array(np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32))
         return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(arrays)))], names=[*names, "sums"])
 
-    kinds = [f.dataType for f in df.sparkSession.createDataFrame([], schema).schema.fields[:-1]]
+    kinds = [f.dataType for f in StructType.fromDDL(schema).fields[:-1]]
 
     def types() -> list[pa.DataType]:
-        from pyspark.sql.pandas.types import to_arrow_type
-
         return [to_arrow_type(k) for k in kinds]
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

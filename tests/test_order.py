@@ -79,3 +79,24 @@ def test_percentile_clips(spark):
             pointwise.clip_bounds(c, **bad)
     with pytest.raises(ValueError):
         pointwise.clip_bounds(c.map(lambda v: F.lit(math.nan)), pclip=50.0)
+
+
+@pytest.mark.parametrize("omit", [False, True])
+def test_spreads_and_ranges_of_traces(spark, omit):
+    x = np.random.default_rng(6).normal(size=(6, 9)) + 1e6
+    x[1, 2] = x[3] = np.nan
+    x[4, 1:] = np.nan
+    c = _cube(spark, x)
+    live = ~np.isnan(x) if omit else np.ones_like(x, bool)
+    with np.testing.suppress_warnings() as quiet:
+        quiet.filter(RuntimeWarning)
+        for own in (c, c.long()):
+            for ddof in (0, 1):
+                n = live.sum(axis=1)
+                want = np.where(n > ddof, (np.nanvar if omit else np.var)(x, axis=1, ddof=ddof), np.nan)
+                if own.layout == "trace":
+                    assert np.allclose(_array(aggregate.reduce(own, "var", 1, omit, ddof), (6,)), want, equal_nan=True)
+                    assert np.allclose(_array(aggregate.reduce(own, "std", 1, omit, ddof), (6,)), np.sqrt(want), equal_nan=True)
+            use = np.nanmax(x, axis=1) - np.nanmin(x, axis=1) if omit else x.max(axis=1) - x.min(axis=1)
+            got = _array(aggregate.reduce(own, "range", 1, omit), (6,))
+            assert np.allclose(got, use, equal_nan=True)

@@ -381,7 +381,7 @@ ONE: dict[str, Callable[[Cube, Parameters], Cube]] = {
     "mute": lambda c, p: pointwise.mute(c.long(), p.float("t0", 0.0), p.float("v0"), _offset(c), p.float("taper", 0.0)),
     "remap1": lambda c, p: resample.linear(c, p.int("n1"), p.float("o1"), p.float("d1"), p.float("fill", 0.0)),
     **{stat: (lambda c, p, s=stat: aggregate.reduce(c, s, p.int("axis", None), p.bool("omitnan", False), p.int("ddof", 0))) for stat in ("mean", "median", "rms", "std", "var", "min", "max")},
-    "range": lambda c, p: pointwise.combine(aggregate.reduce(c, "max", p.int("axis", None)), aggregate.reduce(c, "min", p.int("axis", None)), "sub"),
+    "range": lambda c, p: aggregate.reduce(c, "range", p.int("axis", None)),
 }
 
 #: Two datasets in, one out.

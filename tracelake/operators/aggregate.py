@@ -24,28 +24,40 @@ def _value(stat: str, omit: bool, ddof: int) -> Column:
     spread = F.when(n > ddof, F.greatest(F.var_pop(v), F.lit(0.0)) * n / (n - ddof)).otherwise(F.lit(float("nan")))
     least = F.min(v) if omit else F.when(F.max(F.isnan("v")), F.lit(float("nan"))).otherwise(F.min("v"))
     middle = F.median(v) if omit else F.when(F.max(F.isnan("v")), F.lit(float("nan"))).otherwise(F.median("v"))
-    return {"sum": F.sum(v), "mean": F.avg(v), "rms": F.sqrt(F.avg(v * v)), "var": spread, "std": F.sqrt(spread), "min": least, "max": F.max(v), "median": middle, "count": n.cast("double")}[stat]
+    return {"sum": F.sum(v), "mean": F.avg(v), "rms": F.sqrt(F.avg(v * v)), "var": spread, "std": F.sqrt(spread), "min": least, "max": F.max(v), "range": F.max(v) - least, "median": middle, "count": n.cast("double")}[stat]
 
 
-def _of_trace(stat: str, omit: bool, ddof: int) -> Column:
+def _of_trace(stat: str, omit: bool) -> Column:
     """The statistic of the array ``samples``."""
     x = F.filter("samples", lambda v: ~F.isnan(v)) if omit else F.col("samples")
     n = F.size(x)
     total = lambda value: F.aggregate(x, F.lit(0.0), lambda acc, v: acc + value(v))
     some = lambda value: F.when(n > 0, value)
     mean = total(lambda v: v) / n
-    spread = F.when(n > ddof, total(lambda v: (v - mean) * (v - mean)) / (n - ddof)).otherwise(F.lit(float("nan")))
     odd = F.exists(x, F.isnan)
     put = F.array_sort(x)
     middle = (F.element_at(put, (F.floor((n - 1) / 2) + 1).cast("int")) + F.element_at(put, (F.floor(n / 2) + 1).cast("int"))) / 2
     nan = lambda value: some(F.when(odd, F.lit(float("nan"))).otherwise(value))
-    return {"sum": lambda: some(total(lambda v: v)), "mean": lambda: some(mean), "rms": lambda: some(F.sqrt(total(lambda v: v * v) / n)), "var": lambda: spread, "std": lambda: F.sqrt(spread), "min": lambda: nan(F.array_min(x)), "max": lambda: some(F.array_max(x)), "median": lambda: nan(middle), "count": lambda: n.cast("double")}[stat]()
+    return {"sum": lambda: some(total(lambda v: v)), "mean": lambda: some(mean), "rms": lambda: some(F.sqrt(total(lambda v: v * v) / n)), "min": lambda: nan(F.array_min(x)), "max": lambda: some(F.array_max(x)), "range": lambda: nan(F.array_max(x) - F.array_min(x)), "median": lambda: nan(middle), "count": lambda: n.cast("double")}[stat]()
+
+
+def _spreads(x: np.ndarray, omit: bool, ddof: int) -> np.ndarray:
+    """Variance of each row; NaN where there are no more samples than ``ddof``."""
+    live = ~np.isnan(x) if omit else np.ones(x.shape, bool)
+    n = live.sum(axis=1)
+    mean = np.where(live, x, 0).sum(axis=1) / np.maximum(n, 1)
+    square = (np.where(live, x - mean[:, None], 0) ** 2).sum(axis=1)
+    return np.where(n > ddof, square / np.maximum(n - ddof, 1), np.nan)
 
 
 def reduce(c: Cube, stat: str, axis: int | None = None, omit_nan: bool = False, ddof: int = 0) -> Cube:
-    """sum, mean, rms, var, std, min, max, median or count over one axis or all."""
-    if axis == 1 and c.layout == "trace" and stat not in ("var", "std"):
-        return _renumber(c, c.df.select(*(c.keys[1:] or ["i2"]), _of_trace(stat, omit_nan, ddof).alias("v")), 1, c.meta.without(1))
+    """sum, mean, rms, var, std, min, max, range, median or count over one axis or all."""
+    if axis == 1 and c.layout == "trace" and stat in ("var", "std"):
+        root = np.sqrt if stat == "std" else np.asarray
+        rows = c.map_traces(lambda x: root(_spreads(x, omit_nan, ddof))[:, None], Axis(1)).df
+        return _renumber(c, rows.select(*(c.keys[1:] or ["i2"]), F.element_at("samples", 1).alias("v")), 1, c.meta.without(1))
+    if axis == 1 and c.layout == "trace":
+        return _renumber(c, c.df.select(*(c.keys[1:] or ["i2"]), _of_trace(stat, omit_nan).alias("v")), 1, c.meta.without(1))
     own = c.long()
     value = _value(stat, omit_nan, ddof).alias("v")
     if axis is None and stat == "median":

@@ -124,7 +124,7 @@ reduction("median", lambda c: agg.reduce(c, "median", 1), "quantile_cont(v, 0.5)
 reduction("min", lambda c: agg.reduce(c, "min", 1), "min(v)")
 reduction("max", lambda c: agg.reduce(c, "max", 1), "max(v)")
 reduction("stacks_rms", lambda c: agg.stack(c, 1, "rms", False), "sqrt(avg(v * v))")
-reduction("range", lambda c: pointwise.combine(agg.reduce(c, "max", 1), agg.reduce(c, "min", 1), "sub"), "max(v) - min(v)")
+reduction("range", lambda c: agg.reduce(c, "range", 1), "max(v) - min(v)")
 register("mean_all", lambda c: agg.reduce(c, "mean"), f"SELECT 0::BIGINT AS i1, round(avg(v), 6) + 0.0 AS v FROM {PANEL}")
 register("stack", lambda c: agg.stack(c, 2), f"SELECT i1, round(coalesce(sum(v) / nullif(count(*) FILTER (v <> 0), 0), 0), 6) + 0.0 AS v FROM {PANEL} GROUP BY i1")
 register("quantile", lambda c: agg.quantile(c, [0.1, 0.5, 0.9], 1), f"SELECT k AS i1, i2, round(q, 6) + 0.0 AS v FROM (SELECT i2, unnest(range(3)) AS k, unnest(quantile_cont(v, [0.1, 0.5, 0.9])) AS q FROM {PANEL} GROUP BY i2)")

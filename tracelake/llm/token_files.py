@@ -38,7 +38,7 @@ MAGIC = b"TLIDS01\n"
 #: Ids of a shard file; a longer document gets a file of its own.
 SHARD_IDS = 4_000_000
 #: Distinct words in a generation of a worker's memo, which keeps two.
-MEMO = 200_000
+MEMO = 300_000
 #: Bytes of text that are encoded at a time.
 AT_ONCE_BYTES = 2 << 20
 

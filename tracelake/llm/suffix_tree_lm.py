@@ -1,18 +1,22 @@
 """LM scoring with a probabilistic suffix tree over words.
 
-Words are counted over all training documents.  A context of k words is tested
-where it occurs ``least`` times or more, however large the corpus: its next-word counts must predict the
-training text better, leaving out the word predicted, than the longest retained
-shorter context does, by ``gain`` nats a word.  Retained contexts are the tree's
-states.  A word's probability comes from the longest retained suffix of what
-stands before it, smoothed towards the shorter one by the number of different
-next words (Witten-Bell), down to the base distribution.
+Words are counted over all training documents.  A context of up to ``order``
+words is tested where it occurs ``least`` times or more, twice being the fewest
+that can be: its next-word counts must predict the training text better, leaving
+out the word predicted, than the longest retained shorter context does, by
+``gain`` nats a word.  Retained contexts are the tree's states.  A word's
+probability comes from the longest retained suffix of what stands before it,
+smoothed towards the shorter one by the number of different next words
+(Witten-Bell), down to the base distribution.
 
 The model grows with the corpus and is never in one place.  Documents are coded
 in blocks, kept as files in the shared folder.  For each level every block sends
-its distinct keys with its counts, cut by key range, to the tasks that add them
-up, and gets the totals back in the same cut.  Keys are hashes, so ranges are
-even, and a frequent word or context is one key a block.
+its distinct strings of words with its counts, cut by key range, to the tasks that
+add them up, and gets the totals back in the same cut.  One of the blocks that
+hold a string is its owner and adds it to the sums of its context, which are
+added up over blocks likewise; back comes whether the context is retained.  Keys
+are hashes, so ranges are even, and a frequent word or context is one key a
+block; sorted keys move as differences.
 """
 
 from __future__ import annotations
@@ -40,9 +44,9 @@ BLOCK_BYTES = 8 << 20
 
 @dataclass(frozen=True)
 class TreePlan:
-    order: int = 2
+    order: int = 4
     #: Occurrences of a context, and of a next word that is counted under it.
-    least: int = 32
+    least: int = 2
     gain: float = 0.005
     add: float = 0.1
     folds: int = 10
@@ -57,20 +61,42 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return [np.frombuffer(b, d) for d, b in pickle.loads(zstandard.ZstdDecompressor().decompress(blob))]
 
 
-def _planes(values: np.ndarray, width: int) -> np.ndarray:
-    """The low ``width`` bytes of 64-bit values, one byte's place after the other, which packs better."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width].T).reshape(-1)
+def _planes(values: np.ndarray) -> np.ndarray:
+    """Whole numbers as bytes, one byte's place after the other, which packs better."""
+    return np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).reshape(-1)
 
 
-def _from_planes(planes: np.ndarray, width: int) -> np.ndarray:
-    out = np.zeros((len(planes) // width, 8), np.uint8)
-    out[:, :width] = planes.reshape(width, -1).T
-    return out.view(np.uint64).reshape(-1)
+def _from_planes(planes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).reshape(-1)
 
 
-_ROW = "block string, kind int, p int, data binary, ctx array<long>, n array<long>"
-_NAMES = ["block", "kind", "p", "data", "ctx", "n"]
-_KINDS = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+def _steps(keys: np.ndarray) -> np.ndarray:
+    """Sorted keys as differences."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _from_steps(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(_from_planes(planes), dtype=np.uint64)
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, where one of each stands, and the place of every key among them."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    where = np.empty(len(keys), np.int64)
+    where[order] = np.cumsum(new) - 1
+    return ranked[new], order[new], where
+
+
+_ROW = "block string, kind int, p int, data binary"
+_NAMES = ["block", "kind", "p", "data"]
+_KINDS = [pa.string(), pa.int32(), pa.int32(), pa.binary()]
+#: Kind of the rows of a range's sums over words; a level has kinds 2 level - 1 (totals) and 2 level (contexts).
+_SUMS = -1
+#: Words of all documents that a key range of a level is made for.
+RANGE_WORDS = 8 << 20
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -109,59 +135,56 @@ class Block:
         self.c0 = counts[self.index]
         self.base = (self.c0 + plan.add) / (total + plan.add * (distinct + 1))
         self.p = self.base.copy()
-        self.key, self.count = self.words[self.index], self.c0
-        self.fine = np.ones(len(self.index), bool)  # whether key and count are those of a counted string of words
+        # strings that end at each place: their keys, and for each place its key's number and count
+        self.keys, self.number, self.count = self.words, self.index, self.c0
+        self.fine = np.ones(len(self.index), bool)  # whether number and count are those of a counted string of words
         self.level = 0
 
     def extend(self) -> None:
         """Take up the contexts of one more word."""
         self.level = k = self.level + 1
         n = len(self.index)
-        self.context, self.times = np.zeros(n, np.uint64), np.zeros(n, np.int64)
-        self.context[1:], self.times[1:] = self.key[:-1], self.count[:-1]
-        before = np.zeros(n, bool)
-        before[1:] = self.fine[:-1]
-        self.stands = before & (self.place >= k) & (self.times >= self.least)  # a context worth testing stands before
+        times, before = np.zeros(n, np.int64), np.zeros(n, bool)
+        times[1:], before[1:] = self.count[:-1], self.fine[:-1]
+        self.stands = before & (self.place >= k) & (times >= self.least)  # a context worth testing stands before
         self.counted = self.stands & (self.c0 >= self.least)
+        self.at = np.flatnonzero(self.stands)
+        number = self.number[self.at - 1]
+        used = np.zeros(len(self.keys), bool)
+        used[number] = True
+        self.contexts, self.which = self.keys[used], (np.cumsum(used) - 1)[number]
+        self.times = np.zeros(len(self.contexts), np.int64)
+        self.times[self.which] = times[self.at]
+        self.after = np.flatnonzero(self.counted)
+        under = self.which[self.counted[self.at]]
         with np.errstate(over="ignore"):
-            self.key = mix64(self.context * _A + self.words[self.index] * _B + np.uint64(k))
-        self.asked, first, self.where = np.unique(self.key[self.counted], return_index=True, return_inverse=True)
-        self.first = np.flatnonzero(self.counted)[first]
-        # keys are asked for by range and, within one, by context, which packs well
-        self.order = np.lexsort((self.context[self.first], self.asked >> np.uint64(64 - self.bits)))
+            keys = mix64(self.contexts[under] * _A + self.words[self.index[self.after]] * _B + np.uint64(k))
+        self.asked, first, self.where = _distinct(keys)
+        self.under, self.shorter = under[first], self.p[self.after[first]]
 
     def request(self, block: str) -> list[tuple]:
-        """Rows that ask for this level: pairs by key range, and the contexts."""
-        at, order = np.flatnonzero(self.counted), self.order
-        mine = np.bincount(self.where[self.trains[at]], minlength=len(self.asked)).astype(np.uint32)[order]
-        context, logp = self.context[self.first][order], np.log(self.p[self.first]).astype(np.float32)[order]  # logp serves the test only
-        asked = self.asked[order]
-        out = []
-        for p, a, b in _cut(self.asked, self.bits):
-            steps = np.diff(context[a:b], prepend=np.uint64(0))
-            out.append((block, 0, p, _pack(_planes(asked[a:b], 8), mine[a:b], _planes(steps, 8), logp[a:b]), None, None))
-        contexts, one = np.unique(self.context[self.stands], return_index=True)
-        out.append((block, 1, zlib.crc32(block.encode()) % (1 << self.bits), None, contexts.view(np.int64), self.times[self.stands][one]))
-        return out
-
-    def learn(self, totals: np.ndarray, context: np.ndarray, sums: np.ndarray, kinds: np.ndarray) -> None:
-        """Take the totals of the pairs asked for, and the sums and numbers of next words of retained contexts."""
-        self.count = np.zeros(len(self.index), np.int64)
-        by_key = np.zeros(len(self.asked), np.int64)
-        by_key[self.order] = totals
-        self.count[self.counted] = by_key[self.where]
-        self.fine = self.counted
-        if not len(context):
-            return
-        at = np.flatnonzero(self.stands)
-        order = np.argsort(context)
-        context, sums, kinds = context[order], sums[order], kinds[order]
-        found = np.minimum(np.searchsorted(context, self.context[at]), len(context) - 1)
-        hit = context[found] == self.context[at]
-        at, found = at[hit], found[hit]
-        times = self.times[at]
-        spare = times - sums[found] + kinds[found]
-        self.p[at] = (self.count[at] + spare * self.p[at]) / (times + kinds[found])
+        """Rows that ask for the totals of this level's strings, by key range."""
+        mine = np.bincount(self.where[self.trains[self.after]], minlength=len(self.asked))
+        return [(block, 0, p, _pack(_steps(self.asked[a:b]), _planes(mine[a:b]))) for p, a, b in _cut(self.asked, self.bits)]
+
+    def tally(self, block: str, totals: np.ndarray, own: np.ndarray) -> list[tuple]:
+        """Rows with the sums over the strings that this block owns, by range of their contexts."""
+        under, n, p = self.under[own], totals[own], self.shorter[own]
+        twice = n >= 2
+        gain = np.where(twice, n * (np.log(np.maximum(1, n - 1)) - np.log(p)), 0.0)
+        s, t, s2, a = (np.bincount(under, x, len(self.contexts)) for x in (n, n > 0, np.where(twice, n, 0), gain))
+        return [(block, 0, q, _pack(_steps(self.contexts[i:j]), *(_planes(x[i:j]) for x in (self.times, s, t, s2)), a[i:j])) for q, i, j in _cut(self.contexts, self.bits)]
+
+    def learn(self, totals: np.ndarray, retained: np.ndarray, sums: np.ndarray, kinds: np.ndarray) -> None:
+        """Take the totals of the strings asked for, which contexts are retained, and the sums and numbers of next words of those."""
+        self.keys, self.fine = self.asked, self.counted
+        self.number, self.count = np.zeros(len(self.index), np.uint32), np.zeros(len(self.index), np.int64)
+        self.number[self.after], self.count[self.after] = self.where, totals[self.where]
+        hit = retained[self.which]
+        at, found = self.at[hit], (np.cumsum(retained) - 1)[self.which[hit]]
+        times, kinds = self.times[self.which[hit]], kinds[found]
+        spare = times - sums[found] + kinds
+        self.p[at] = (self.count[at] + spare * self.p[at]) / (times + kinds)
 
     def scores(self, total: int) -> pa.RecordBatch:
         by_doc = lambda x: np.add.reduceat(x, self.starts) if len(self.starts) else np.zeros(0)
@@ -208,7 +231,7 @@ def score(docs: DataFrame, plan: TreePlan = TreePlan()) -> DataFrame:
             ids.clear()
             texts.clear()
             size = 0
-            return _rows([(name, 0, p, _pack(block.words[a:b], counts[a:b]), None, None) for p, a, b in _cut(block.words, bits)])
+            return _rows([(name, 0, p, _pack(block.words[a:b], counts[a:b])) for p, a, b in _cut(block.words, bits)])
 
         for part in chunks(batches):
             if held[0] and size + part.column(1).nbytes > BLOCK_BYTES:
@@ -226,10 +249,11 @@ def score(docs: DataFrame, plan: TreePlan = TreePlan()) -> DataFrame:
 
     asked = scratch.table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(code, _ROW), "words")
     answers = scratch.table(_spread(asked, parts).mapInArrow(_add_words, _ROW), "answers0")
-    whole = answers.where("kind = 9").select(F.explode(F.arrays_zip("ctx", "n"))).select("col.*").agg(F.sum("ctx"), F.sum("n")).first()
-    total, distinct = int(whole[0] or 0), int(whole[1] or 0)
+    sums = [_unpack(r[0])[0] for r in answers.where(F.col("kind") == _SUMS).select("data").collect()]  # two numbers for each range
+    total, distinct = (int(sum(x[k] for x in sums)) for k in (0, 1))
     known = answers.where("kind = 0")
     scratch.drop(asked)
+    bits = max(bits, int(np.ceil(np.log2(max(1, total / RANGE_WORDS)))))
 
     for level in range(1, plan.order + 1):
 
@@ -239,17 +263,18 @@ def score(docs: DataFrame, plan: TreePlan = TreePlan()) -> DataFrame:
                 block.extend()
                 yield _rows(block.request(name))
 
-        answers = scratch.table(_spread(_to_blocks(known, parts).mapInArrow(ask, _ROW), parts).mapInArrow(_add_pairs, _ROW), f"answers{level}")
-        stats = answers.where("kind = 8").select("data").mapInArrow(_open_stats, "context long, s long, t long, s2 long, a double")
-        stats = scratch.table(stats.groupBy("context").agg(*(F.sum(x).alias(x) for x in ("s", "t", "s2", "a"))), f"stats{level}")
-        wanted = answers.where("kind = 1").select("block", F.explode(F.arrays_zip("ctx", "n"))).select("block", F.col("col.ctx").alias("x"), F.col("col.n").alias("c"))
-        c, t, s2 = F.col("c").cast("double"), F.col("t"), F.col("s2")
-        # nats gained over the training words after the context, each predicted without itself
-        gained = F.col("a") - s2 * F.log(c + t) + F.when(c > s2, (c - s2) * F.log((c - F.col("s") + t) / (c + t))).otherwise(0.0)
-        retained = wanted.join(stats, F.col("x") == F.col("context")).where(gained >= plan.gain * c)
-        retained = retained.groupBy("block").agg(F.collect_list(F.struct("context", "s", "t")).alias("r"))
-        retained = retained.select("block", F.lit(100 + level).alias("kind"), F.lit(0).alias("p"), F.lit(None).cast("binary").alias("data"), F.col("r.context").alias("ctx"), F.concat("r.s", "r.t").alias("n"))
-        known = known.union(answers.where("kind = 0").withColumn("kind", F.lit(level))).union(scratch.table(retained, f"retained{level}"))
+        def tally(batches: Iterator[pa.RecordBatch], level: int = level) -> Iterator[pa.RecordBatch]:
+            for name, rows in _by_block(batches):
+                block = _rebuild(read(name), rows, level - 1, total, distinct, plan, bits)
+                block.extend()
+                yield _rows(block.tally(name, *_totals(rows, level)))
+
+        def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return _add_contexts(batches, plan.gain)
+
+        for kind, send, add in ((2 * level - 1, ask, _add_strings), (2 * level, tally, settle)):
+            answers = scratch.table(_spread(_to_blocks(known, parts).mapInArrow(send, _ROW), parts).mapInArrow(add, _ROW), f"answers{kind}")
+            known = known.union(answers.withColumn("kind", F.lit(kind)))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, rows in _by_block(batches):
@@ -282,15 +307,22 @@ def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[tup
     return _runs(batches, 0)
 
 
+def _totals(rows: list[tuple], level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Totals of a block's strings of a level, and which of them it owns."""
+    got = [_unpack(r[3]) for r in rows if r[1] == 2 * level - 1]
+    totals = [_from_planes(g[0]).astype(np.int64) for g in got]
+    own = [np.unpackbits(g[1], count=len(t)).astype(bool) for g, t in zip(got, totals, strict=True)]
+    return np.concatenate([np.zeros(0, np.int64), *totals]), np.concatenate([np.zeros(0, bool), *own])
+
+
 def _rebuild(block: Block, rows: list[tuple], level: int, total: int, distinct: int, plan: TreePlan, bits: int) -> Block:
-    counts = lambda k: np.concatenate([np.zeros(0, np.int64), *(_unpack(r[3])[0].astype(np.int64) for r in rows if r[1] == k)])
-    block.know(counts(0), total, distinct, plan, bits)
+    block.know(np.concatenate([_from_planes(_unpack(r[3])[0]).astype(np.int64) for r in rows if r[1] == 0]), total, distinct, plan, bits)
     for k in range(1, level + 1):
         block.extend()
-        kept = next((r for r in rows if r[1] == 100 + k), None)
-        context = np.array(kept[4] if kept else [], np.int64).view(np.uint64)
-        numbers = np.array(kept[5] if kept else [], np.int64).reshape(2, -1)
-        block.learn(counts(k), context, numbers[0], numbers[1])
+        got = [_unpack(r[3]) for r in rows if r[1] == 2 * k]
+        retained = [np.unpackbits(g[0], count=j - i).astype(bool) for g, (_, i, j) in zip(got, _cut(block.contexts, bits), strict=True)]
+        sums, kinds = (np.concatenate([np.zeros(0, np.int64), *(_from_planes(g[x]).astype(np.int64) for g in got)]) for x in (1, 2))
+        block.learn(_totals(rows, k)[0], np.concatenate([np.zeros(0, bool), *retained]), sums, kinds)
     return block
 
 
@@ -299,37 +331,40 @@ def _add_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [_unpack(r[3]) for r in rows]
         keys, inverse = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
         counts = np.bincount(inverse, np.concatenate([g[1] for g in got]), len(keys)).astype(np.int64)
-        yield _answers(rows, got, counts[inverse], p, [("", 9, p, None, [int(counts.sum())], [int((counts > 0).sum())])])
+        sums = ("", _SUMS, p, _pack(np.array([counts.sum(), (counts > 0).sum()])))
+        yield _rows([*((r[0], 0, p, _pack(_planes(counts[i]))) for r, i in zip(rows, _apart(inverse, got), strict=True)), sums])
 
 
-def _add_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Totals of the pairs asked for, and sums by context; lists of contexts go through."""
-    for p, given in _runs(batches, 2):
-        rows = [r for r in given if r[1] == 0]
-        yield _rows([r for r in given if r[1] == 1])
-        if not rows:
-            continue
-        got = [_unpack(r[3]) for r in rows]
-        for g in got:
-            g[0], g[2] = _from_planes(g[0], 8), np.cumsum(_from_planes(g[2], 8), dtype=np.uint64)
-        keys, first, inverse = np.unique(np.concatenate([g[0] for g in got]), return_index=True, return_inverse=True)
+def _add_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Totals of the strings asked for; the row that a string's first place is in owns it."""
+    for p, rows in _runs(batches, 2):
+        got = [[f(x) for f, x in zip((_from_steps, _from_planes), _unpack(r[3]), strict=True)] for r in rows]
+        keys, first, inverse = _distinct(np.concatenate([g[0] for g in got]))
         counts = np.bincount(inverse, np.concatenate([g[1] for g in got]), len(keys)).astype(np.int64)
-        context, logp = (np.concatenate([g[i] for g in got])[first] for i in (2, 3))
-        contexts, which = np.unique(context, return_inverse=True)
-        twice = counts >= 2
-        gain = np.where(twice, counts * (np.log(np.maximum(1, counts - 1)) - logp.astype(np.float64)), 0.0)
-        add = lambda x: np.bincount(which, x, len(contexts))
-        stats = _pack(contexts, *(add(x).astype(np.int64) for x in (counts, counts > 0, np.where(twice, counts, 0))), add(gain))
-        yield _answers(rows, got, counts[inverse], p, [("", 8, p, stats, None, None)])
+        own = np.zeros(len(inverse), bool)
+        own[first] = True
+        yield _rows([(r[0], 0, p, _pack(_planes(counts[i]), np.packbits(o))) for r, i, o in zip(rows, _apart(inverse, got), _apart(own, got), strict=True)])
 
 
-def _answers(rows: list[tuple], got: list, totals: np.ndarray, p: int, more: list[tuple]) -> pa.RecordBatch:
-    ends = np.cumsum([len(g[0]) for g in got])
-    return _rows([*((r[0], 0, p, _pack(totals[e - len(g[0]) : e].astype(np.uint64)), None, None) for r, g, e in zip(rows, got, ends.tolist(), strict=True)), *more])
-
-
-def _open_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for blob in batch.column(0).to_pylist():
-            context, s, t, s2, a = _unpack(blob)
-            yield pa.RecordBatch.from_arrays([pa.array(context.view(np.int64)), pa.array(s), pa.array(t), pa.array(s2), pa.array(a)], names=["context", "s", "t", "s2", "a"])
+def _add_contexts(batches: Iterator[pa.RecordBatch], gain: float) -> Iterator[pa.RecordBatch]:
+    """Which contexts are retained, and the sums and numbers of their next words."""
+    for p, rows in _runs(batches, 2):
+        got = [[f(x) for f, x in zip((_from_steps, _from_planes, _from_planes, _from_planes, _from_planes, np.asarray), _unpack(r[3]), strict=True)] for r in rows]
+        whole = [np.concatenate([g[x] for g in got]) for x in range(6)]
+        contexts, first, inverse = _distinct(whole[0])
+        c = whole[1][first].astype(np.float64)
+        s, t, s2, a = (np.bincount(inverse, x, len(contexts)) for x in whole[2:])
+        # nats gained over the training words after the context, each predicted without itself
+        rest = np.where(c > s2, c - s2, 0.0)
+        gained = a - s2 * np.log(c + t) + rest * np.log(np.where(rest > 0, c - s + t, 1.0) / (c + t))
+        retained = gained >= gain * c
+        answers = []
+        for r, i in zip(rows, _apart(inverse, got), strict=True):
+            kept = retained[i]
+            answers.append((r[0], 0, p, _pack(np.packbits(kept), _planes(s[i][kept]), _planes(t[i][kept]))))
+        yield _rows(answers)
+
+
+def _apart(values: np.ndarray, got: list) -> list[np.ndarray]:
+    """What belongs to each row."""
+    return np.split(values, np.cumsum([len(g[0]) for g in got])[:-1])

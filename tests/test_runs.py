@@ -83,3 +83,25 @@ def test_diagonal_regularization(spark, system, tmp_path):
     table = spark.createDataFrame([(i, float(w)) for i, w in enumerate(weights)], "i long, v double")
     run = runs.solve(runs.Problem(matrix, data, solvers.diagonal(table, 5), 2.0), f"file://{tmp_path}/g", 10, 1e-10)
     assert np.allclose(_values(run.x), np.linalg.solve(a.T @ a + 4 * np.diag(weights**2), a.T @ y))
+
+
+def test_rows_of_one_entry(spark, tmp_path, monkeypatch):
+    """Steps go through the rows once, however many there are, and agree with those of a general matrix."""
+    rng = np.random.default_rng(2)
+    cols, y, values = rng.integers(0, 6, 60), rng.normal(size=60), rng.uniform(0.5, 2.0, 60)
+    entries = spark.createDataFrame([(i, int(c), float(w)) for i, (c, w) in enumerate(zip(cols, values, strict=True))], "row long, col long, value double")
+    data = spark.createDataFrame([(i, float(v)) for i, v in enumerate(y)], "i long, v double")
+    passes = []
+    forward = solvers.Matrix.forward
+    monkeypatch.setattr(solvers.Matrix, "forward", lambda self, x: passes.append(1) or forward(self, x))
+    one = runs.solve(runs.Problem(solvers.Matrix(entries, 60, 6, single=True), data, solvers.identity(6), 3.0), f"file://{tmp_path}/h", 12, 1e-10)
+    assert not passes and one.converged
+    two = runs.solve(runs.Problem(solvers.Matrix(entries, 60, 6), data, solvers.identity(6), 3.0), f"file://{tmp_path}/k", 12, 1e-10)
+    a = np.zeros((60, 6))
+    a[np.arange(60), cols] = values
+    want = np.linalg.solve(a.T @ a + 9 * np.eye(6), a.T @ y)
+    assert np.allclose(_values(one.x, 6), want) and np.allclose(_values(two.x, 6), want)
+    for p, q in zip(one.summary()["records"], two.summary()["records"], strict=True):
+        assert np.isclose(p["objective"], q["objective"]) and np.isclose(p["data_term"], q["data_term"])
+    last = one.summary()["records"][-1]
+    assert np.isclose(last["data_term"], 0.5 * np.sum((a @ want - y) ** 2)) and np.isclose(last["regularization_term"], 4.5 * np.sum(want**2))

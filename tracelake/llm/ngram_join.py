@@ -12,7 +12,8 @@ first common one nothing else is common, so their places there bound the overlap
 3.  Group pairs of a bucket's leader (the group with the bucket's shingle at the
     first place, so that with the fewest rare ones) and its other groups, as far
     as sizes and places allow, are expanded to members and verified; so are the
-    leader and the members of each group.  Verified links join components.
+    leader and the members of each group.  Each group meets one leader first, and
+    then those that are not in its component yet.  Verified links join components.
 4.  In small buckets that still hold several components the group pairs that
     could join two are formed and filtered.  Large buckets of one leader, the
     members of both groups of a pair, and those of one group become units, whose
@@ -164,8 +165,15 @@ def _linked(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, Scrat
 
     star = scratch.table(rows.where("gid <> l.gid").where(_may(F.col("n"), F.col("l.n"), F.col("pos"), F.col("l.pos"), top, bottom)).select(F.col("l.gid").alias("a"), F.col("gid").alias("b")).distinct(), "star")
     more = grouped.where("head <> gid").select(F.col("gid").alias("g"), F.col("head").alias("m"))
-    expanded = star.union(star.join(more, F.col("b") == F.col("g")).select("a", F.col("m").alias("b"))).union(more.select(F.col("g").alias("a"), F.col("m").alias("b")))
-    links = _verified(expanded, heads, docs, n, top, bottom, scratch)
+    # each group with one leader first, then with the others that it is not joined to
+    nearest = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    expand = lambda pairs: pairs.union(pairs.join(more, F.col("b") == F.col("g")).select("a", F.col("m").alias("b")))
+    links = _verified(expand(nearest).union(more.select(F.col("g").alias("a"), F.col("m").alias("b"))), heads, docs, n, top, bottom, scratch)
+    joined = scratch.table(components(links, scratch), "joined")
+    joined_to = lambda k: joined.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
+    others = expand(star.join(nearest, ["a", "b"], "left_anti")).join(joined_to("a"), "a", "left").join(joined_to("b"), "b", "left")
+    others = others.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    links = links.union(_verified(others, heads, docs, n, top, bottom, scratch))
     labels = scratch.table(components(links, scratch), "components")
 
     # what the stars have not joined: components of heads, the least and greatest of each group

@@ -10,13 +10,15 @@ smoothed towards the shorter one by the number of different next words
 (Witten-Bell), down to the base distribution.
 
 The model grows with the corpus and is never in one place.  Documents are coded
-in blocks, kept as files in the shared folder.  For each level every block sends
-its distinct strings of words with its counts, cut by key range, to the tasks that
-add them up, and gets the totals back in the same cut.  One of the blocks that
-hold a string is its owner and adds it to the sums of its context, which are
-added up over blocks likewise; back comes whether the context is retained.  Keys
-are hashes, so ranges are even, and a frequent word or context is one key a
-block; sorted keys move as differences.
+in blocks, kept as files in the shared folder, their places sorted by the words
+that end there, so that strings are runs of places.  For each level every block
+sends its distinct strings of words with its counts, cut by key range, to the
+tasks that add them up, and gets the totals back in the same cut.  One of the
+blocks that hold a string is its owner and adds it to the sums of its context,
+which are added up over blocks likewise; back comes whether the context is
+retained.  A block keeps what it is told in files of its own, so answers move once.
+Keys are hashes, so ranges are even, and a frequent word or context is one key a
+block; sorted keys move as differences, contexts as numbers in their range.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from __future__ import annotations
 import pickle
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -93,8 +95,8 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _ROW = "block string, kind int, p int, data binary"
 _NAMES = ["block", "kind", "p", "data"]
 _KINDS = [pa.string(), pa.int32(), pa.int32(), pa.binary()]
-#: Kind of the rows of a range's sums over words; a level has kinds 2 level - 1 (totals) and 2 level (contexts).
-_SUMS = -1
+#: Kinds of rows other than requests and answers: a range's sums over words, and one that only names a block.
+_SUMS, _PRESENT = -1, -2
 #: Words of all documents that a key range of a level is made for.
 RANGE_WORDS = 8 << 20
 
@@ -110,91 +112,193 @@ def _cut(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
     return [(p, int(a), int(b)) for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
 
 
+class Files:
+    """Files of the blocks, by kind, in the shared folder."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def _at(self, *path: str) -> tuple[pa.fs.FileSystem, str]:
+        store, at = pa.fs.FileSystem.from_uri(self.folder)
+        return store, "/".join((at, *path))
+
+    def make(self, *kinds: str) -> None:
+        for kind in kinds:
+            store, at = self._at(kind)
+            store.create_dir(at, recursive=True)
+
+    def write(self, kind: str, name: str, blob: bytes) -> None:
+        """A task that is run again writes the same."""
+        store, at = self._at(kind, name)
+        part = f"{at}-{uuid.uuid4().hex}"
+        with store.open_output_stream(part) as out:
+            out.write(blob)
+        store.move(part, at)
+
+    def read(self, kind: str, name: str) -> bytes:
+        store, at = self._at(kind, name)
+        with store.open_input_stream(at) as f:
+            return f.read()
+
+    def drop(self, kind: str) -> None:
+        store, at = self._at(kind)
+        store.delete_dir(at)
+
+
 class Block:
-    """Coded documents, and what is known of their words so far."""
+    """Coded documents, and what is known of their words so far.
+
+    Places stand in the order of the words that end at them, last word first, so
+    the strings of each level are runs of places, and what is known of a string is
+    one number for its run.
+    """
 
     def __init__(self, blob: bytes):
-        self.words, self.index, self.lengths, self.ids, self.id_null, self.train = _unpack(blob)
-        ends = np.cumsum(self.lengths)
-        self.starts = ends - self.lengths
-        self.place = np.arange(len(self.index)) - np.repeat(self.starts, self.lengths)
-        self.trains = np.repeat(self.train.astype(bool), self.lengths)
+        self.words, order, shared, self.lengths, self.ids, self.id_null, self.train = _unpack(blob)
+        self.words, self.order, self.shared = _from_steps(self.words), _from_planes(order).astype(np.int64), shared
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.place = (np.arange(len(self.order)) - np.repeat(self.starts, self.lengths))[self.order]
+        self.trains = np.repeat(self.train.astype(bool), self.lengths)[self.order]
+        rank = np.empty(len(self.order), np.int64)
+        rank[self.order] = np.arange(len(self.order))
+        self.previous = rank[self.order - 1]  # of a document's first word, any
+        self.word = self.run = np.cumsum(self.shared == 0) - 1
+        self.level = 0
 
     @staticmethod
-    def code(ids: list[int | None], texts: list[str | None], train: list[bool], memo: WordHashes) -> bytes:
+    def code(ids: list[int | None], texts: list[str | None], train: list[bool], memo: WordHashes, order: int = TreePlan.order) -> bytes:
         end = memo[b""]  # no word is empty
         split = [np.append(hashed(w, memo), np.uint64(end)) for w in map(words_of, texts)]
+        lengths = np.array([len(s) for s in split], np.int64)
         words, index = np.unique(np.concatenate(split), return_inverse=True)
-        return _pack(words, index.astype(np.uint32), np.array([len(s) for s in split], np.int64), np.array([k or 0 for k in ids], np.int64), np.array([k is None for k in ids], np.uint8), np.array(train, np.uint8))
+        sort, shared = _by_last_words(index, lengths, order + 1)
+        return _pack(_steps(words), _planes(sort), shared, lengths, np.array([k or 0 for k in ids], np.int64), np.array([k is None for k in ids], np.uint8), np.array(train, np.uint8))
 
     def unigrams(self) -> np.ndarray:
-        return np.bincount(self.index[self.trains], minlength=len(self.words))
-
-    def know(self, counts: np.ndarray, total: int, distinct: int, plan: TreePlan, bits: int) -> None:
-        self.bits, self.least = bits, plan.least
-        self.c0 = counts[self.index]
-        self.base = (self.c0 + plan.add) / (total + plan.add * (distinct + 1))
-        self.p = self.base.copy()
-        # strings that end at each place: their keys, and for each place its key's number and count
-        self.keys, self.number, self.count = self.words, self.index, self.c0
-        self.fine = np.ones(len(self.index), bool)  # whether number and count are those of a counted string of words
-        self.level = 0
+        return np.bincount(self.word[self.trains], minlength=len(self.words))
+
+    def know(self, counts: np.ndarray, total: int, distinct: int, plan: TreePlan, bits: int, word_bits: int = 0) -> None:
+        self.least, self.bits, self.word_bits = plan.least, bits, word_bits or bits
+        self.c0 = counts
+        self.base = (counts + plan.add) / (total + plan.add * (distinct + 1))
+        # of each string of the level: its key, count, whether that is of a counted string of words, probability of its last word
+        self.keys, self.count, self.p = self.words, counts, self.base
+        self.fine = np.ones(len(counts), bool)
 
     def extend(self) -> None:
         """Take up the contexts of one more word."""
         self.level = k = self.level + 1
-        n = len(self.index)
-        times, before = np.zeros(n, np.int64), np.zeros(n, bool)
-        times[1:], before[1:] = self.count[:-1], self.fine[:-1]
-        self.stands = before & (self.place >= k) & (times >= self.least)  # a context worth testing stands before
-        self.counted = self.stands & (self.c0 >= self.least)
-        self.at = np.flatnonzero(self.stands)
-        number = self.number[self.at - 1]
-        used = np.zeros(len(self.keys), bool)
-        used[number] = True
-        self.contexts, self.which = self.keys[used], (np.cumsum(used) - 1)[number]
-        self.times = np.zeros(len(self.contexts), np.int64)
-        self.times[self.which] = times[self.at]
-        self.after = np.flatnonzero(self.counted)
-        under = self.which[self.counted[self.at]]
+        first = np.flatnonzero(self.shared <= k)
+        word = self.word[first]
+        self.first, self.shorter = first, self.p[self.run[first]]
+        self.context = self.run[self.previous[first]]
+        self.tested = (self.place[first] >= k) & self.fine[self.context] & (self.count[self.context] >= self.least)  # a context worth testing stands before
+        self.taken = self.tested & (self.c0[word] >= self.least)
+        self.asked = np.flatnonzero(self.taken)
+        self.used = np.zeros(len(self.keys), bool)
+        self.used[self.context[self.tested]] = True
+        self.run = np.cumsum(self.shared <= k) - 1
         with np.errstate(over="ignore"):
-            keys = mix64(self.contexts[under] * _A + self.words[self.index[self.after]] * _B + np.uint64(k))
-        self.asked, first, self.where = _distinct(keys)
-        self.under, self.shorter = under[first], self.p[self.after[first]]
+            self.next_keys = mix64(self.keys[self.context[self.asked]] * _A + self.words[word[self.asked]] * _B + np.uint64(k))
+
+    @property
+    def stands(self) -> np.ndarray:
+        """Whether a context worth testing stands before each place."""
+        return self.tested[self.run]
+
+    @property
+    def counted(self) -> np.ndarray:
+        """Whether the word at each place is counted under it."""
+        return self.taken[self.run]
 
     def request(self, block: str) -> list[tuple]:
         """Rows that ask for the totals of this level's strings, by key range."""
-        mine = np.bincount(self.where[self.trains[self.after]], minlength=len(self.asked))
-        return [(block, 0, p, _pack(_steps(self.asked[a:b]), _planes(mine[a:b]))) for p, a, b in _cut(self.asked, self.bits)]
+        mine = np.add.reduceat(self.trains, self.first, dtype=np.int64)[self.asked]
+        sort = np.argsort(self.next_keys)
+        keys, mine = self.next_keys[sort], mine[sort]
+        return [(block, 0, p, _pack(_steps(keys[a:b]), _planes(mine[a:b]))) for p, a, b in _cut(keys, self.bits)]
+
+    def in_order(self) -> np.ndarray:
+        """Strings of the level before that can be contexts, by key."""
+        some = np.flatnonzero(self.fine & (self.count >= self.least))
+        return some if self.level == 1 else some[np.argsort(self.keys[some])]
+
+    def context_cut(self, contexts: np.ndarray) -> list[tuple[int, int, int]]:
+        return _cut(self.keys[contexts], self.word_bits if self.level == 1 else self.bits)
+
+    def tally(self, block: str, totals: np.ndarray, own: np.ndarray, numbers: np.ndarray) -> list[tuple]:
+        """Rows with the sums over the strings that this block owns, by range of their contexts.
 
-    def tally(self, block: str, totals: np.ndarray, own: np.ndarray) -> list[tuple]:
-        """Rows with the sums over the strings that this block owns, by range of their contexts."""
-        under, n, p = self.under[own], totals[own], self.shorter[own]
+        A context is called by its number in the range, and its count is sent with its sums only.
+        """
+        under, n, p = self.context[self.asked][own], totals[own], self.shorter[self.asked][own]
         twice = n >= 2
         gain = np.where(twice, n * (np.log(np.maximum(1, n - 1)) - np.log(p)), 0.0)
-        s, t, s2, a = (np.bincount(under, x, len(self.contexts)) for x in (n, n > 0, np.where(twice, n, 0), gain))
-        return [(block, 0, q, _pack(_steps(self.contexts[i:j]), *(_planes(x[i:j]) for x in (self.times, s, t, s2)), a[i:j])) for q, i, j in _cut(self.contexts, self.bits)]
+        able = self.in_order()
+        used = self.used[able]
+        contexts, numbers = able[used], numbers[used]
+        s, t, s2, a = (np.bincount(under, x, len(self.keys))[contexts] for x in (n, n > 0, np.where(twice, n, 0), gain))
+        times = np.where(t > 0, self.count[contexts], 0)
+        return [(block, 0, q, _pack(_steps(numbers[i:j]), *(_planes(x[i:j]) for x in (times, s, t, s2)), a[i:j])) for q, i, j in self.context_cut(contexts)]
 
     def learn(self, totals: np.ndarray, retained: np.ndarray, sums: np.ndarray, kinds: np.ndarray) -> None:
-        """Take the totals of the strings asked for, which contexts are retained, and the sums and numbers of next words of those."""
-        self.keys, self.fine = self.asked, self.counted
-        self.number, self.count = np.zeros(len(self.index), np.uint32), np.zeros(len(self.index), np.int64)
-        self.number[self.after], self.count[self.after] = self.where, totals[self.where]
-        hit = retained[self.which]
-        at, found = self.at[hit], (np.cumsum(retained) - 1)[self.which[hit]]
-        times, kinds = self.times[self.which[hit]], kinds[found]
+        """Take the totals of the strings asked for, which of all strings of the level before are retained contexts, and the sums and numbers of next words of those."""
+        count = np.zeros(len(self.first), np.int64)
+        count[self.asked] = totals
+        hit = np.flatnonzero(self.tested & retained[self.context])
+        context = self.context[hit]
+        found = (np.cumsum(retained) - 1)[context]
+        times, kinds = self.count[context], kinds[found]
         spare = times - sums[found] + kinds
-        self.p[at] = (self.count[at] + spare * self.p[at]) / (times + kinds)
+        self.p = self.shorter
+        self.p[hit] = (count[hit] + spare * self.p[hit]) / (times + kinds)
+        self.keys = np.zeros(len(self.first), np.uint64)
+        self.keys[self.asked] = self.next_keys
+        self.count, self.fine = count, self.taken
 
     def scores(self, total: int) -> pa.RecordBatch:
-        by_doc = lambda x: np.add.reduceat(x, self.starts) if len(self.starts) else np.zeros(0)
+        def by_doc(x: np.ndarray) -> np.ndarray:
+            placed = np.empty(len(x), x.dtype)
+            placed[self.order] = x
+            return np.add.reduceat(placed, self.starts) if len(self.starts) else np.zeros(0)
+
         ids = pa.array(self.ids, pa.int64(), mask=self.id_null.astype(bool))
         return pa.RecordBatch.from_arrays(
-            [ids, pa.array(self.train == 0), pa.array(self.lengths), pa.array(by_doc((self.c0 > 0).astype(np.int64)), pa.int64()), pa.array(np.full(len(self.lengths), total, np.int64)), pa.array(by_doc(np.log10(self.base))), pa.array(by_doc(np.log10(self.p)))],
+            [ids, pa.array(self.train == 0), pa.array(self.lengths), pa.array(by_doc((self.c0 > 0).astype(np.int64)[self.word]), pa.int64()), pa.array(np.full(len(self.lengths), total, np.int64)), pa.array(by_doc(np.log10(self.base)[self.word])), pa.array(by_doc(np.log10(self.p)[self.run]))],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
 
+def _by_last_words(index: np.ndarray, lengths: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places sorted by up to ``words`` words of their document that end there, last word first, and how many of these each shares with the one before."""
+    n = len(index)
+    place = np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    one = rank = index.astype(np.uint64) + np.uint64(1)  # 0: before the document
+
+    def back(values: np.ndarray, by: int) -> np.ndarray:
+        out = np.zeros(n, values.dtype)
+        out[by:] = values[: max(0, n - by)]
+        out[place < by] = 0
+        return out
+
+    known = 1
+    sort = np.argsort(rank) if words == 1 else None
+    while known < words:
+        by = min(known, words - known)
+        keys = rank << np.uint64(32) | back(rank, by)
+        sort = np.argsort(keys)
+        ranked = keys[sort]
+        rank = np.empty(n, np.uint64)
+        rank[sort] = np.cumsum(np.append(True, ranked[1:] != ranked[:-1]))
+        known += by
+    shared, same = np.zeros(n, np.uint8), np.ones(max(0, n - 1), bool)
+    for by in range(words):
+        column = back(one, by)[sort]
+        same &= column[1:] == column[:-1]
+        shared[1:] += same
+    return sort, shared
+
+
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -206,14 +310,12 @@ def score(docs: DataFrame, plan: TreePlan = TreePlan()) -> DataFrame:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "tree")
-    folder = scratch.path("blocks")
-    store, at = pa.fs.FileSystem.from_uri(folder)
-    store.create_dir(at, recursive=True)
+    files = Files(scratch.path("blocks"))
+    files.make("coded", *(f"{x}{k}" for x in ("totals", "numbers", "contexts") for k in range(plan.order + 1)))
     parts = partitions_for(spark)
-    bits = max(4, int(np.ceil(np.log2(parts))))
+    word_bits = max(4, int(np.ceil(np.log2(parts))))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, at = pa.fs.FileSystem.from_uri(folder)
         memo = WordHashes()
         held: tuple[list, list] = ([], [])
         size = 0
@@ -222,16 +324,15 @@ def score(docs: DataFrame, plan: TreePlan = TreePlan()) -> DataFrame:
             nonlocal size
             ids, texts = held
             train = [k is None or zlib.crc32(str(k).encode()) % plan.folds != plan.held_out for k in ids]
-            blob = Block.code(ids, texts, train, memo)
+            blob = Block.code(ids, texts, train, memo, plan.order)
             name = uuid.uuid4().hex
-            with store.open_output_stream(f"{at}/{name}") as out:
-                out.write(blob)
+            files.write("coded", name, blob)
             block = Block(blob)
-            counts = block.unigrams().astype(np.uint32)
+            counts = block.unigrams()
             ids.clear()
             texts.clear()
             size = 0
-            return _rows([(name, 0, p, _pack(block.words[a:b], counts[a:b])) for p, a, b in _cut(block.words, bits)])
+            return _rows([(name, 0, p, _pack(_steps(block.words[a:b]), _planes(counts[a:b]))) for p, a, b in _cut(block.words, word_bits)])
 
         for part in chunks(batches):
             if held[0] and size + part.column(1).nbytes > BLOCK_BYTES:
@@ -242,45 +343,87 @@ def score(docs: DataFrame, plan: TreePlan = TreePlan()) -> DataFrame:
         if held[0]:
             yield close()
 
-    def read(name: str) -> Block:
-        store, at = pa.fs.FileSystem.from_uri(folder)
-        with store.open_input_stream(f"{at}/{name}") as f:
-            return Block(f.read())
+    def add_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _add_words(batches, plan.least)
 
     asked = scratch.table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(code, _ROW), "words")
-    answers = scratch.table(_spread(asked, parts).mapInArrow(_add_words, _ROW), "answers0")
-    sums = [_unpack(r[0])[0] for r in answers.where(F.col("kind") == _SUMS).select("data").collect()]  # two numbers for each range
+    # every block goes through every step, also one without any answer
+    every = scratch.table(asked.select("block").distinct().select("block", F.lit(_PRESENT).alias("kind"), F.lit(0).alias("p"), F.lit(b"").alias("data")), "every")
+    told = scratch.table(_spread(asked, parts).mapInArrow(add_words, _ROW), "answers")
+    sums = [_unpack(r[0])[0] for r in told.where(F.col("kind") == _SUMS).select("data").collect()]  # two numbers for each range
     total, distinct = (int(sum(x[k] for x in sums)) for k in (0, 1))
-    known = answers.where("kind = 0")
     scratch.drop(asked)
-    bits = max(bits, int(np.ceil(np.log2(max(1, total / RANGE_WORDS)))))
+    bits = max(word_bits, int(np.ceil(np.log2(max(1, total / RANGE_WORDS)))))
+
+    def known(name: str, level: int) -> Block:
+        """The block as it is after a level, from its files."""
+        block = Block(files.read("coded", name))
+        block.know(*_numbers(files.read("totals0", name)), total, distinct, plan, bits, word_bits)
+        for k in range(1, level + 1):
+            block.extend()
+            retained, *of = _numbers(files.read(f"contexts{k}", name))
+            block.learn(*_numbers(files.read(f"totals{k}", name)), retained.astype(bool), *of)
+        return block
+
+    def settled(name: str, rows: list[tuple], level: int) -> Block:
+        """The same, with the rows' answers on the level's contexts (on words, at 0), which are kept in files."""
+        got = [_unpack(r[3]) for r in rows if r[1] == 0]
+        if level == 0:
+            files.write("totals0", name, _packed(_joined(got, 0, _from_planes)))
+            files.write("numbers0", name, _packed(_joined(got, 1, _from_steps)))
+            return known(name, 0)
+        block = known(name, level - 1)
+        block.extend()
+        contexts = block.in_order()
+        contexts = contexts[block.used[contexts]]
+        cuts = block.context_cut(contexts)
+        kept = contexts[np.concatenate([np.zeros(0, bool), *(np.unpackbits(g[0], count=j - i).astype(bool) for g, (_, i, j) in zip(got, cuts, strict=True))])]
+        sort = np.argsort(kept)
+        retained = np.zeros(len(block.keys), np.int64)
+        retained[kept] = 1
+        of = [_joined(got, x, _from_planes)[sort] for x in (1, 2)]
+        files.write(f"contexts{level}", name, _packed(retained, *of))
+        block.learn(*_numbers(files.read(f"totals{level}", name)), retained.astype(bool), *of)
+        return block
 
     for level in range(1, plan.order + 1):
 
         def ask(batches: Iterator[pa.RecordBatch], level: int = level) -> Iterator[pa.RecordBatch]:
             for name, rows in _by_block(batches):
-                block = _rebuild(read(name), rows, level - 1, total, distinct, plan, bits)
+                block = settled(name, rows, level - 1)
                 block.extend()
                 yield _rows(block.request(name))
 
         def tally(batches: Iterator[pa.RecordBatch], level: int = level) -> Iterator[pa.RecordBatch]:
             for name, rows in _by_block(batches):
-                block = _rebuild(read(name), rows, level - 1, total, distinct, plan, bits)
+                got = [_unpack(r[3]) for r in rows if r[1] == 0]
+                block = known(name, level - 1)
                 block.extend()
-                yield _rows(block.tally(name, *_totals(rows, level)))
-
-        def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                sort = np.argsort(block.next_keys)
+                totals, own = np.zeros(len(sort), np.int64), np.zeros(len(sort), bool)
+                totals[sort] = found = _joined(got, 0, _from_planes)
+                ends = np.cumsum([0, *(len(g[0]) // 8 for g in got)])
+                own[sort] = np.concatenate([np.zeros(0, bool), *(np.unpackbits(g[1], count=n).astype(bool) for g, n in zip(got, np.diff(ends), strict=True))])
+                files.write(f"totals{level}", name, _packed(totals))
+                files.write(f"numbers{level}", name, _packed(_joined(got, 2, _from_steps)))
+                yield _rows(block.tally(name, totals, own, *_numbers(files.read(f"numbers{level - 1}", name))))
+
+        def add_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return _add_strings(batches, plan.least)
+
+        def add_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return _add_contexts(batches, plan.gain)
 
-        for kind, send, add in ((2 * level - 1, ask, _add_strings), (2 * level, tally, settle)):
-            answers = scratch.table(_spread(_to_blocks(known, parts).mapInArrow(send, _ROW), parts).mapInArrow(add, _ROW), f"answers{kind}")
-            known = known.union(answers.withColumn("kind", F.lit(kind)))
+        for send, add in ((ask, add_strings), (tally, add_contexts)):
+            before, told = told, scratch.table(_spread(_to_blocks(told.where("kind = 0").union(every), parts).mapInArrow(send, _ROW), parts).mapInArrow(add, _ROW), "answers")
+            scratch.drop(before)
+        files.drop(f"numbers{level - 1}")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, rows in _by_block(batches):
-            yield _rebuild(read(name), rows, plan.order, total, distinct, plan, bits).scores(total)
+            yield settled(name, rows, plan.order).scores(total)
 
-    return _to_blocks(known, parts).mapInArrow(finish, _SCORES)
+    return _to_blocks(told.where("kind = 0").union(every), parts).mapInArrow(finish, _SCORES)
 
 
 def _spread(rows: DataFrame, parts: int) -> DataFrame:
@@ -307,61 +450,63 @@ def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[tup
     return _runs(batches, 0)
 
 
-def _totals(rows: list[tuple], level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Totals of a block's strings of a level, and which of them it owns."""
-    got = [_unpack(r[3]) for r in rows if r[1] == 2 * level - 1]
-    totals = [_from_planes(g[0]).astype(np.int64) for g in got]
-    own = [np.unpackbits(g[1], count=len(t)).astype(bool) for g, t in zip(got, totals, strict=True)]
-    return np.concatenate([np.zeros(0, np.int64), *totals]), np.concatenate([np.zeros(0, bool), *own])
+def _joined(got: list[list[np.ndarray]], column: int, read: Callable) -> np.ndarray:
+    """A column of the answers of all ranges."""
+    return np.concatenate([np.zeros(0, np.int64), *(read(g[column]).astype(np.int64) for g in got)])
 
 
-def _rebuild(block: Block, rows: list[tuple], level: int, total: int, distinct: int, plan: TreePlan, bits: int) -> Block:
-    block.know(np.concatenate([_from_planes(_unpack(r[3])[0]).astype(np.int64) for r in rows if r[1] == 0]), total, distinct, plan, bits)
-    for k in range(1, level + 1):
-        block.extend()
-        got = [_unpack(r[3]) for r in rows if r[1] == 2 * k]
-        retained = [np.unpackbits(g[0], count=j - i).astype(bool) for g, (_, i, j) in zip(got, _cut(block.contexts, bits), strict=True)]
-        sums, kinds = (np.concatenate([np.zeros(0, np.int64), *(_from_planes(g[x]).astype(np.int64) for g in got)]) for x in (1, 2))
-        block.learn(_totals(rows, k)[0], np.concatenate([np.zeros(0, bool), *retained]), sums, kinds)
-    return block
+def _packed(*arrays: np.ndarray) -> bytes:
+    return _pack(*map(_planes, arrays))
 
 
-def _add_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _numbers(blob: bytes) -> list[np.ndarray]:
+    return [_from_planes(x).astype(np.int64) for x in _unpack(blob)]
+
+
+def _add_words(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for p, rows in _runs(batches, 2):
-        got = [_unpack(r[3]) for r in rows]
+        got = [[f(x) for f, x in zip((_from_steps, _from_planes), _unpack(r[3]), strict=True)] for r in rows]
         keys, inverse = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
         counts = np.bincount(inverse, np.concatenate([g[1] for g in got]), len(keys)).astype(np.int64)
         sums = ("", _SUMS, p, _pack(np.array([counts.sum(), (counts > 0).sum()])))
-        yield _rows([*((r[0], 0, p, _pack(_planes(counts[i]))) for r, i in zip(rows, _apart(inverse, got), strict=True)), sums])
+        yield _rows([*((r[0], 0, p, _pack(_planes(counts[i]), _steps(i[counts[i] >= least]))) for r, i in zip(rows, _apart(inverse, got), strict=True)), sums])
 
 
-def _add_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Totals of the strings asked for; the row that a string's first place is in owns it."""
+def _add_strings(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Totals of the strings asked for, which of them a row owns (its first place is in that row), and numbers of those that can be contexts."""
     for p, rows in _runs(batches, 2):
         got = [[f(x) for f, x in zip((_from_steps, _from_planes), _unpack(r[3]), strict=True)] for r in rows]
         keys, first, inverse = _distinct(np.concatenate([g[0] for g in got]))
         counts = np.bincount(inverse, np.concatenate([g[1] for g in got]), len(keys)).astype(np.int64)
         own = np.zeros(len(inverse), bool)
         own[first] = True
-        yield _rows([(r[0], 0, p, _pack(_planes(counts[i]), np.packbits(o))) for r, i, o in zip(rows, _apart(inverse, got), _apart(own, got), strict=True)])
+        yield _rows([(r[0], 0, p, _pack(_planes(counts[i]), np.packbits(o), _steps(i[counts[i] >= least]))) for r, i, o in zip(rows, _apart(inverse, got), _apart(own, got), strict=True)])
 
 
 def _add_contexts(batches: Iterator[pa.RecordBatch], gain: float) -> Iterator[pa.RecordBatch]:
     """Which contexts are retained, and the sums and numbers of their next words."""
     for p, rows in _runs(batches, 2):
         got = [[f(x) for f, x in zip((_from_steps, _from_planes, _from_planes, _from_planes, _from_planes, np.asarray), _unpack(r[3]), strict=True)] for r in rows]
-        whole = [np.concatenate([g[x] for g in got]) for x in range(6)]
-        contexts, first, inverse = _distinct(whole[0])
-        c = whole[1][first].astype(np.float64)
-        s, t, s2, a = (np.bincount(inverse, x, len(contexts)) for x in whole[2:])
-        # nats gained over the training words after the context, each predicted without itself
+        numbers, *whole = (np.concatenate([g[x] for g in got]) for x in range(6))
+        numbers = numbers.astype(np.int64)
+        n = int(numbers.max(initial=-1)) + 1
+        c = np.zeros(n)
+        c[numbers[whole[0] > 0]] = whole[0][whole[0] > 0]
+        s, t, s2, a = (np.bincount(numbers, x, n) for x in whole[1:])
+        # nats gained over the training words after the context, each predicted without itself; none if no word after it counts
+        some = np.flatnonzero(t)
+        c, s, t, s2, a = (x[some] for x in (c, s, t, s2, a))
         rest = np.where(c > s2, c - s2, 0.0)
         gained = a - s2 * np.log(c + t) + rest * np.log(np.where(rest > 0, c - s + t, 1.0) / (c + t))
-        retained = gained >= gain * c
+        some, s, t = (x[gained >= gain * c] for x in (some, s, t))
+        retained, place = np.zeros(n, bool), np.zeros(n, np.int64)
+        retained[some], place[some] = True, np.arange(len(some))
         answers = []
-        for r, i in zip(rows, _apart(inverse, got), strict=True):
+        for r, g in zip(rows, got, strict=True):
+            i = g[0].astype(np.int64)
             kept = retained[i]
-            answers.append((r[0], 0, p, _pack(np.packbits(kept), _planes(s[i][kept]), _planes(t[i][kept]))))
+            at = place[i[kept]]
+            answers.append((r[0], 0, p, _pack(np.packbits(kept), _planes(s[at]), _planes(t[at]))))
         yield _rows(answers)
 
 

@@ -2,8 +2,10 @@
 
 import random
 
+import public_tokenizers as files
+
 from tests.llm.test_llm import table
-from tracelake.llm import suffix_tree_lm
+from tracelake.llm import bpe, suffix_tree_lm
 
 
 def test_suffix_tree_answers_move_once(spark, monkeypatch):
@@ -14,4 +16,15 @@ def test_suffix_tree_answers_move_once(spark, monkeypatch):
     to_blocks = suffix_tree_lm._to_blocks
     monkeypatch.setattr(suffix_tree_lm, "_to_blocks", lambda answers, parts: seen.append(answers.count()) or to_blocks(answers, parts))
     assert suffix_tree_lm.score(table(spark, rows)).count() == len(rows)
-    assert len(seen) == 9 and max(seen) <= 2 * seen[0], seen
+    assert len(seen) == 9 and max(seen) <= 4 * (16 + 1), seen  # four blocks, with a row for each of 16 ranges and one that names it
+
+
+def test_bpe_matches_each_word_once():
+    """Words between spaces are matched and merged once; ids are those of the pattern over the whole text."""
+    codec = bpe.Codec(files.path("byte_bpe_multi_50k.tiktoken"), files.PATTERN)
+    codec.encode("one two, three two, one two, three")
+    assert not codec.memo.keys() - {"one", " two", ",", " three", " one"} and set(codec.words) == {"two,", "three", "one"}
+    rng = random.Random(7)
+    for _ in range(3000):
+        text = "".join(rng.choice("ab1é.,'s\n\t\xa0　\x1c\x85   ") for _ in range(rng.randrange(30)))
+        assert codec.encode(text) == codec.matches(text), repr(text)

@@ -13,7 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
 
@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from tracelake.llm.scratch import small_batches
 from tracelake.llm.text import chunks, extended
 
-#: Distinct pre-tokens in a generation of a worker's memo.
-MEMO = 200_000
+#: A pattern with a boundary before every space that no white space follows, wherever the text is cut there.
+CUTS_AT_SPACES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Distinct pre-tokens, and words between spaces, in a generation of a worker's memo.
+MEMO = 400_000
 
 
 def pack(ids: list[int]) -> bytes:
@@ -90,7 +92,8 @@ class Codec:
             self.bytes_of[rank] = piece
         self.pattern = regex.compile(pattern)
         self.queue = RankQueue(len(self.bytes_of))
-        self.memo = _Memo(self)
+        self.memo = _Memo(lambda piece: pack(self.merge(piece.encode())))
+        self.words = _Memo(self.word) if pattern == CUTS_AT_SPACES else None
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -137,23 +140,45 @@ class Codec:
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.memo.__getitem__, self.pattern.findall(text))) if text else b""
+        if not text:
+            return b""
+        if self.words is not None:
+            first, *rest = text.split(" ")
+            try:
+                return self.matches(first) + b"".join(map(self.words.__getitem__, rest))
+            except _WhiteSpace:
+                pass
+        return self.matches(text)
+
+    def matches(self, text: str) -> bytes:
+        """Ids of each match of the pattern, one after the other."""
+        return b"".join(map(self.memo.__getitem__, self.pattern.findall(text)))
+
+    def word(self, word: str) -> bytes:
+        """Ids of a word and the space before it, where the pattern can be matched apart."""
+        if not word or word[0].isspace():
+            raise _WhiteSpace
+        return self.matches(" " + word)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+class _WhiteSpace(Exception):
+    """White space, or the end, follows a space."""
+
+
 class _Memo(dict):
-    """Ids by pre-token, in two generations: what is used again survives when the young one is full."""
+    """Ids by piece of text, in two generations: what is used again survives when the young one is full."""
 
-    def __init__(self, codec: Codec):
+    def __init__(self, ids: Callable[[str], bytes]):
         super().__init__()
-        self.codec, self.old = codec, {}
+        self.ids, self.old = ids, {}
 
     def __missing__(self, piece: str) -> bytes:
         got = self.old.get(piece)
         if got is None:
-            got = pack(self.codec.merge(piece.encode()))
+            got = self.ids(piece)
         if len(piece) <= 64:
             if len(self) >= MEMO:
                 self.old = dict(self)

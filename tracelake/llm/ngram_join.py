@@ -19,7 +19,9 @@ first common one nothing else is common, so their places there bound the overlap
     members of both groups of a pair, and those of one group become units, whose
     pairs are compared block by block by their signatures (the parity of the set
     in two bits a shingle, an upper bound of the overlap) before any is written.
-    Pairs in one component need no look: they are linked already.
+    Pairs in one component need no look: they are linked already.  Of the pairs
+    that are left each head's first is verified before the others, of which those
+    need no look that it has joined.
 
 So copies and near copies, however many, cost rows in proportion to their
 number, every link that could join two components is verified, and none is
@@ -169,10 +171,7 @@ def _linked(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, Scrat
     nearest = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     expand = lambda pairs: pairs.union(pairs.join(more, F.col("b") == F.col("g")).select("a", F.col("m").alias("b")))
     links = _verified(expand(nearest).union(more.select(F.col("g").alias("a"), F.col("m").alias("b"))), heads, docs, n, top, bottom, scratch)
-    joined = scratch.table(components(links, scratch), "joined")
-    joined_to = lambda k: joined.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
-    others = expand(star.join(nearest, ["a", "b"], "left_anti")).join(joined_to("a"), "a", "left").join(joined_to("b"), "b", "left")
-    others = others.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    others = _unjoined(expand(star.join(nearest, ["a", "b"], "left_anti")), links, scratch)
     links = links.union(_verified(others, heads, docs, n, top, bottom, scratch))
     labels = scratch.table(components(links, scratch), "components")
 
@@ -192,7 +191,12 @@ def _linked(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, Scrat
     units = units.union(of_group.select(F.col("gid").alias("unit"), F.col("head").alias("id"))).distinct()
     units = units.join(known, F.col("id") == F.col("x"), "left").select("unit", "id", F.coalesce("component", "id").alias("component"))
     wanted = pairs.where("not wide").select("a", "b").union(_unit_pairs(scratch.table(units, "units"), heads, top, bottom, scratch)).distinct()
-    links = links.union(_verified(wanted, heads, docs, n, top, bottom, scratch))
+    wanted = scratch.table(wanted, "wanted")
+    # near copies are all wanted with each other: each head with one first here, too
+    nearest = wanted.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = links.union(_verified(nearest, heads, docs, n, top, bottom, scratch))
+    others = _unjoined(wanted.join(nearest, ["a", "b"], "left_anti"), links, scratch)
+    links = links.union(_verified(others, heads, docs, n, top, bottom, scratch))
 
     labels = scratch.table(components(links, scratch), "components").select(F.col("node").alias("x"), "component")
     named = heads.select("d1", "d2", "name", "head").join(labels, F.col("head") == F.col("x"), "left").select("d1", "d2", "name", F.coalesce("component", "head").alias("comp"))
@@ -245,6 +249,14 @@ def _may(nx: Column, ny: Column, px: Column, py: Column, top: int, bottom: int)
     return sizes & (F.least(nx - px, ny - py) * (top + bottom) >= (nx + ny) * top)
 
 
+def _unjoined(pairs: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) that the links do not join, directly or not."""
+    joined = scratch.table(components(links, scratch), "joined")
+    joined_to = lambda k: joined.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
+    pairs = pairs.join(joined_to("a"), "a", "left").join(joined_to("b"), "b", "left")
+    return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
 def _small_pairs(rows: DataFrame, top: int, bottom: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b, wide) of groups of a small bucket, a < b, that could join two components and that sizes and places allow.
 

@@ -17,11 +17,13 @@ first common one nothing else is common, so their places there bound the overlap
 4.  In small buckets that still hold several components the group pairs that
     could join two are formed and filtered.  Large buckets of one leader, the
     members of both groups of a pair, and those of one group become units, whose
-    pairs are compared block by block by their signatures (the parity of the set
-    in two bits a shingle, an upper bound of the overlap) before any is written.
-    Pairs in one component need no look: they are linked already.  Of the pairs
-    that are left each head's first is verified before the others, of which those
-    need no look that it has joined.
+    pairs are compared block by block: by their signatures (the parity of the set
+    in two bits a shingle, an upper bound of the overlap), which leaves the heads
+    that may have a partner, and then by their sets.  No pair is written but links
+    that join two components, fewer than the heads of the blocks.  Pairs in one
+    component need no look: they are linked already.  Of the pairs of small
+    buckets that are left each head's first is verified before the others, of
+    which those need no look that it has joined.
 
 So copies and near copies, however many, cost rows in proportion to their
 number, every link that could join two components is verified, and none is
@@ -47,8 +49,8 @@ from tracelake.llm.text import WordHashes, chunks, hashed, mix64, text_keys, wor
 
 #: Documents from which on a prefix shingle counts as frequent, by class.
 FREQUENT = (32, 1024)
-#: Groups of a small bucket; members in a block of a unit; pairs compared at a time.
-SMALL, BLOCK, AT_ONCE = 48, 2048, 1 << 18
+#: Groups of a small bucket; members in a block of a unit and shingles of all of them; pairs compared at a time.
+SMALL, BLOCK, BLOCK_SHINGLES, AT_ONCE = 48, 2048, 1 << 20, 1 << 18
 #: 64-bit words of the signature of a set of up to 512 shingles, doubled with each doubling of the set.
 LONG = 16
 
@@ -190,8 +192,8 @@ def _linked(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, Scrat
     units = units.join(of_group.select("gid", "head"), F.col("id") == F.col("gid"), "left").select("unit", F.coalesce("head", "id").alias("id"))
     units = units.union(of_group.select(F.col("gid").alias("unit"), F.col("head").alias("id"))).distinct()
     units = units.join(known, F.col("id") == F.col("x"), "left").select("unit", "id", F.coalesce("component", "id").alias("component"))
-    wanted = pairs.where("not wide").select("a", "b").union(_unit_pairs(scratch.table(units, "units"), heads, top, bottom, scratch)).distinct()
-    wanted = scratch.table(wanted, "wanted")
+    links = links.union(_unit_links(scratch.table(units, "units"), heads, docs, n, top, bottom, scratch))
+    wanted = scratch.table(_unjoined(pairs.where("not wide").select("a", "b"), links, scratch), "wanted")
     # near copies are all wanted with each other: each head with one first here, too
     nearest = wanted.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = links.union(_verified(nearest, heads, docs, n, top, bottom, scratch))
@@ -286,41 +288,102 @@ def _small_pairs(rows: DataFrame, top: int, bottom: int, scratch: Scratch) -> Da
     return left.repartition(partitions_for(rows.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(pairs, "a long, b long, wide boolean")
 
 
-def _unit_pairs(units: DataFrame, heads: DataFrame, top: int, bottom: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of heads of a unit, a < b, of different components, whose sizes and signatures leave room for the overlap that is needed.
+def _unit_links(units: DataFrame, heads: DataFrame, docs: DataFrame, n: int, top: int, bottom: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) of heads of a unit that join its components as all links of the unit do.
 
     ``units`` has (unit, id, component).  Units of one component end here.  A
-    unit is dealt in blocks, and a task compares two of them.
+    unit is dealt in blocks, and a task compares two of them: first all
+    signatures, then the sets of the heads that these leave a partner.  Neither
+    writes more rows than the two blocks have heads.
     """
-    open_ = units.groupBy("unit").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo < hi")
-    open_ = scratch.table(open_.select(F.col("unit").alias("u"), F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "open")
+    open_ = units.groupBy("unit").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select(F.col("unit").alias("u"))
     left = scratch.table(units.join(open_, F.col("unit") == F.col("u")).drop("u"), "open_units")
-    marks, _ = prefilter.split(heads.select("head", "n", "signature"), "head", *prefilter.bitmap(left, "id", left.count()))
-    left = left.join(marks, F.col("id") == F.col("head")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("unit", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "id", "component", "n", "signature")
+    marks, _ = prefilter.split(heads.select("head", "n", "t1", "t2", "signature"), "head", *prefilter.bitmap(left, "id", left.count()))
+    marks = scratch.table(marks, "marks")
+    left = scratch.table(left.join(marks.select("head", "n"), F.col("id") == F.col("head")).drop("head"), "sized_units")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    left = left.join(left.groupBy(F.col("unit").alias("u")).agg(blocks), F.col("unit") == F.col("u")).drop("n")
+    left = left.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = left.select("unit", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "id", "component")
+    signed = left.join(marks.select("head", "n", "signature"), F.col("id") == F.col("head")).drop("head")
+
+    def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, one, two in _block_pairs(batches):
+            component, size = (table.column(k).to_numpy(zero_copy_only=False) for k in (5, 6))
+            folds, found = _folds(table.column(7).to_pylist()), np.zeros(table.num_rows, bool)
+            for piece in np.array_split(one, -(-len(one) * len(two) // AT_ONCE)):
+                i, j = (x.reshape(-1) for x in np.meshgrid(piece, two, indexing="ij"))
+                keep = (component[i] != component[j]) & ((i < j) | (one[0] != two[0])) & (bottom * np.minimum(size[i], size[j]) >= top * np.maximum(size[i], size[j]))
+                i, j = i[keep], j[keep]
+                keep = (size[i] + size[j] - _apart(folds, i, j)) // 2 * (top + bottom) >= top * (size[i] + size[j])
+                found[i[keep]] = found[j[keep]] = True
+            yield pa.RecordBatch.from_arrays(table.columns[:6], names=["unit", "lo", "hi", "block", "id", "component"]).filter(pa.array(found))
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, one, two in _block_pairs(batches):
+            key, component = (table.column(k).to_numpy(zero_copy_only=False) for k in (4, 5))
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column(6)]
+            x, y = _joining(sets, one, two, component, top, bottom)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[x], key[y])), pa.array(np.maximum(key[x], key[y]))], names=["a", "b"])
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches, 3):
-            lo, hi, block, key, component, size = (table.column(k).to_numpy(zero_copy_only=False) for k in range(1, 7))
-            marks = table.column(7)
-            starts = np.flatnonzero(_changes(table, 3))
-            for a, z in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
-                rows = np.arange(a, z)
-                one = rows[block[rows] == lo[a]]
-                two = one if lo[a] == hi[a] else rows[block[rows] == hi[a]]
-                if not len(one) or not len(two):
-                    continue
-                folds = _folds([marks[k].as_py() for k in range(a, z)])
-                for piece in np.array_split(one, -(-len(one) * len(two) // AT_ONCE)):
-                    i, j = (x.reshape(-1) for x in np.meshgrid(piece, two, indexing="ij"))
-                    keep = (component[i] != component[j]) & ((i < j) | (lo[a] != hi[a])) & (bottom * np.minimum(size[i], size[j]) >= top * np.maximum(size[i], size[j]))
-                    i, j = i[keep], j[keep]
-                    keep = (size[i] + size[j] - _apart(folds, i - a, j - a)) // 2 * (top + bottom) >= top * (size[i] + size[j])
-                    x, y = key[i[keep]], key[j[keep]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for part in chunks(batches):
+            sets = [shingle_set(t, n, memo).tobytes() for t in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(sets, pa.binary())], names=["t1", "t2", "set"])
 
     parts = partitions_for(units.sparkSession)
-    return left.repartition(parts, "unit", "lo", "hi").sortWithinPartitions("unit", "lo", "hi").mapInArrow(pairs, "a long, b long")
+    dealt = lambda rows: rows.repartition(parts, "unit", "lo", "hi").sortWithinPartitions("unit", "lo", "hi")
+    some = dealt(signed).mapInArrow(partners, "unit long, lo int, hi int, block int, id long, component long")
+    some = scratch.table(some, "partners")
+    ids = some.select("id").distinct().withColumnRenamed("id", "i")
+    needed = scratch.table(marks.join(ids, F.col("head") == F.col("i")).select("head", "t1", "t2"), "needed")
+    texts, _ = prefilter.split(docs.select("t1", "t2", "text"), "t1", *prefilter.bitmap(needed, "t1", needed.count()))
+    sets = texts.dropDuplicates(["t1", "t2"]).select("t1", "t2", "text").mapInArrow(describe, "t1 long, t2 long, set binary")
+    sets = scratch.table(needed.join(sets, ["t1", "t2"]).select("head", "set"), "unit_sets")
+    scratch.drop(marks)
+    some = some.join(sets, F.col("id") == F.col("head")).drop("head")
+    return scratch.table(dealt(some).mapInArrow(link, "a long, b long"), "links")
+
+
+def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """For each two blocks of a unit, or a block and itself, their rows (unit, lo, hi, block, ..) and the places of either's."""
+    for table in _whole_groups(batches, 3):
+        lo, hi, block = (table.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3))
+        starts = np.flatnonzero(_changes(table, 3))
+        for a, z in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
+            one, two = np.flatnonzero(block[a:z] == lo[a]), np.flatnonzero(block[a:z] == hi[a])
+            if len(one) and len(two):
+                yield table.slice(a, z - a), one, two
+
+
+def _joining(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray, component: np.ndarray, top: int, bottom: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places in ``one`` and in ``two`` whose sets are similar enough, as many as it takes to join the components that such pairs join."""
+    size = np.array([len(s) for s in sets])
+    starts = np.cumsum(size) - size
+    words, number = np.unique(np.concatenate(sets), return_inverse=True)
+    label = np.unique(component, return_inverse=True)[1]
+    marked, out = np.zeros(len(words), np.int32), []
+    for i in one.tolist():
+        mine = number[starts[i] : starts[i] + size[i]]
+        near = (bottom * np.minimum(size[i], size[two]) >= top * np.maximum(size[i], size[two])) & (label[two] != label[i]) & ((two > i) | (one[0] != two[0]))
+        marked[mine] = 1
+        # the other sets' numbers, some million at a time
+        far = two[near]
+        for js in np.split(far, np.flatnonzero(np.diff(np.cumsum(size[far]) >> 20)) + 1) if len(far) else []:
+            js = js[label[js] != label[i]]
+            if not len(js):
+                continue
+            ends = np.cumsum(size[js])
+            at = np.arange(ends[-1]) + np.repeat(starts[js] - ends + size[js], size[js])
+            inter = np.add.reduceat(marked[number[at]], ends - size[js])
+            for j in js[bottom * inter >= top * (size[i] + size[js] - inter)].tolist():
+                if label[j] != label[i]:
+                    out.append((i, j))
+                    label[label == label[j]] = label[i]
+        marked[mine] = 0
+    x, y = np.array(out, np.int64).reshape(-1, 2).T
+    return x, y
 
 
 def _folds(marks: list[bytes]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
@@ -361,7 +424,7 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.R
         if not batch.num_rows:
             continue
         held.append(batch)
-        if sum(b.num_rows for b in held) < 8192:
+        if sum(b.num_rows for b in held) < 8192 and sum(b.nbytes for b in held) < 32 << 20:
             continue
         table = pa.concat_batches(held)
         last = int(np.flatnonzero(_changes(table, keys))[-1])

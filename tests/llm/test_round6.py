@@ -3,7 +3,7 @@
 import random
 
 from tests.llm.test_llm import table
-from tracelake.llm import ngram_join
+from tracelake.llm import ngram_join, quality
 
 
 def test_units_write_joining_links_only(spark, monkeypatch):
@@ -59,3 +59,35 @@ def test_joining_pairs_against_brute_force():
             return label.tolist()
 
         assert joined(found) == joined(similar) and len(set(joined(found))) > 1
+
+
+def test_neighbours_of_frequent_symbols_are_counted_by_pair(monkeypatch):
+    """The sums are those of all pairs; only pairs of two rare numbers are added a component at a time."""
+    np, plan = ngram_join.np, quality.QualityPlan()
+    rng = np.random.default_rng(3)
+    components, signs = quality.index_vectors(plan)
+    texts = [np.where(rng.random(n) < 0.9, rng.integers(0, 40, n), rng.integers(0, quality.NUMBERS, n)).astype(np.int32) for n in (0, 1, 2, 700, 3000)]
+    vectors = np.zeros((quality.NUMBERS, plan.size))
+    np.put_along_axis(vectors, components, signs, axis=1)
+    want = np.zeros_like(vectors)
+    for t in texts:
+        for k in range(1, plan.window + 1):
+            np.add.at(want, t[k:], vectors[t[:-k]])
+            np.add.at(want, t[:-k], vectors[t[k:]])
+    added, bincount = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, w=None, minlength=0: added.append(len(x) * (w is not None)) or bincount(x, w, minlength))
+    assert (quality.neighbour_sums(texts, components, signs, plan) == want).all()
+    assert sum(added) < 0.1 * 24 * sum(map(len, texts))
+
+
+def test_symbols_of_words_as_of_each_alone():
+    """Repeats, words of one, two and more numbers, words that share numbers, and a memo that is full."""
+    words, rng = quality.Words(), random.Random(4)
+    pool = ["the", "The", "a1", "x.", "...", "_", "é,b", "\u0301", "12", *(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(600))]
+    for n in (0, 1, 2, 50, 3000):
+        text = [rng.choice(pool[: rng.choice([3, 9, 600])]) for _ in range(n)]
+        want = [x for w, before in zip(text, [None, *text], strict=False) for x in ((quality.REPEAT,) if w == before else quality.numbers(w))]
+        assert words.of(" ".join(text)).tolist() == want
+    assert words.of(None).tolist() == [] and all(isinstance(c, int) for c in words.memo.values())
+    words.memo.update((f"filler{k}", 0) for k in range(300_001))
+    assert words.of("the x.").tolist() == [*quality.numbers("the"), *quality.numbers("x.")] and len(words.memo) == 2

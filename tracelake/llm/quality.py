@@ -18,7 +18,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +32,8 @@ _PARTS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 _RUN = 64
 #: Numbers of symbols; words that share one share a vector.
 NUMBERS = 1 << 14
+#: Numbers whose neighbours are counted by pair.
+FREQUENT = 64
 
 
 @dataclass(frozen=True)
@@ -71,6 +72,7 @@ def number(symbol: str) -> int:
 
 
 REPEAT = number("<repeat>")
+_OTHER = 1 << 62  # marks a word of other than two numbers
 _shape_number = lru_cache(maxsize=None)(number)  # shapes are few
 _LOWER = [number(shape("a" * (4 * k + 1))) for k in range(6)]
 
@@ -83,23 +85,47 @@ def numbers(word: str) -> tuple[int, ...]:
 
 
 class Words:
-    """Numbers of symbols; remembered by word up to a bound."""
+    """Numbers of symbols; remembered by word up to a bound.
+
+    A word is remembered as one whole number: its place among the words, and its
+    two numbers, which most have; others are marked and looked up by place.
+    """
 
     def __init__(self):
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, int] = {}
+        self.others: dict[int, tuple[int, ...]] = {}
 
     def of(self, text: str | None) -> np.ndarray:
         """Numbers of a text's symbols; a word like the one before it is one REPEAT."""
         words = text.split() if text else []
-        memo = self.memo
+        memo, others = self.memo, self.others
         if len(memo) > 300_000:
             memo.clear()
+            others.clear()
         for w in set(words).difference(memo):
-            memo[w] = numbers(w)
-        same = [False, *map(eq, words[1:], words)]
-        if True in same:
-            return np.fromiter(chain.from_iterable((REPEAT,) if s else memo[w] for w, s in zip(words, same, strict=True)), np.int32)
-        return np.fromiter(chain.from_iterable(map(memo.__getitem__, words)), np.int32)
+            found, place = numbers(w), len(memo)
+            if len(found) == 2:
+                memo[w] = place << 28 | found[0] << 14 | found[1]
+            else:
+                memo[w] = _OTHER | place
+                others[place] = found
+        codes = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+        same = np.zeros(len(codes), bool)
+        same[1:] = codes[1:] == codes[:-1]
+        other = (codes >= _OTHER) & ~same
+        lengths = np.where(same, 1, 2)
+        more = [others[c] for c in (codes[other] ^ _OTHER).tolist()]
+        lengths[other] = many = np.fromiter(map(len, more), np.int64, len(more))
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
+        out = np.empty(ends[-1] if len(ends) else 0, np.int32)
+        two = ~(same | other)
+        at, pairs = starts[two], codes[two]
+        out[at], out[at + 1] = pairs >> 14 & (NUMBERS - 1), pairs & (NUMBERS - 1)
+        out[starts[same]] = REPEAT
+        before = np.cumsum(many) - many
+        out[np.repeat(starts[other] - before, many) + np.arange(many.sum())] = np.fromiter(chain.from_iterable(more), np.int32)
+        return out
 
 
 def index_vectors(plan: QualityPlan) -> tuple[np.ndarray, np.ndarray]:
@@ -112,14 +138,31 @@ def neighbour_sums(texts: list[np.ndarray], components: np.ndarray, signs: np.nd
     """For each number the sum of the index vectors of its neighbours within ``window``, over whole texts (whole numbers)."""
     gap = np.full(plan.window, NUMBERS, np.int32)  # stands between texts and has no entries
     ids = np.concatenate([x for t in texts for x in (t, gap)] or [gap])
-    at = ids.astype(np.int64) * plan.size
+    vectors = np.zeros((NUMBERS + 1, plan.size))
+    np.put_along_axis(vectors[:NUMBERS], components, signs, axis=1)
+    # neighbours of the most frequent numbers (shapes, for the most part) are counted by pair, which is one addition for all components
+    often = np.argsort(np.bincount(ids, minlength=NUMBERS + 1)[:NUMBERS])[-FREQUENT:]
+    rank = np.full(NUMBERS + 1, -1)
+    rank[often] = np.arange(FREQUENT)
+    ranks = rank[ids]
+    counts = np.zeros((NUMBERS + 1) * FREQUENT)
     total = np.zeros((NUMBERS + 1) * plan.size)
-    for j in range(plan.nonzero):
-        component, sign = np.append(components[:, j], 0)[ids], np.append(signs[:, j], 0.0)[ids]
-        for k in range(1, plan.window + 1):
-            total += np.bincount(at[k:] + component[:-k], sign[:-k], len(total))
-            total += np.bincount(at[:-k] + component[k:], sign[k:], len(total))
-    return total.reshape(-1, plan.size)[:NUMBERS]
+    for k in range(1, plan.window + 1):
+        x, y, p, q = ids[:-k], ids[k:], ranks[:-k], ranks[k:]
+        for other, of in ((x, q), (y, p)):
+            some = of >= 0
+            counts += np.bincount(other[some].astype(np.int64) * FREQUENT + of[some], minlength=len(counts))
+        rare = (p < 0) & (q < 0) & (x < NUMBERS) & (y < NUMBERS)
+        x, y = x[rare], y[rare]
+        for one, two in ((x, y), (y, x)):
+            at = one.astype(np.int64) * plan.size
+            for j in range(plan.nonzero):
+                total += np.bincount(at + components[:, j][two], signs[:, j][two], len(total))
+    total, counts = total.reshape(-1, plan.size), counts.reshape(-1, FREQUENT)
+    total += counts @ vectors[often]
+    counts[often] = 0  # both of a pair are frequent: added from either side above
+    total[often] += counts.T @ vectors
+    return total[:NUMBERS]
 
 
 def pooled(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:

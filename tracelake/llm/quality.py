@@ -14,13 +14,15 @@ most ``examples`` labelled rows (by hash of the id).
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +32,8 @@ from tracelake.llm.text import chunks, crc_fold, extended
 
 _PARTS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 _RUN = 64
+#: Runs whose vectors are added up at once.
+_RUNS = 256
 #: Numbers of symbols; words that share one share a vector.
 NUMBERS = 1 << 14
 #: Numbers whose neighbours are counted by pair.
@@ -75,57 +79,88 @@ REPEAT = number("<repeat>")
 _OTHER = 1 << 62  # marks a word of other than two numbers
 _shape_number = lru_cache(maxsize=None)(number)  # shapes are few
 _LOWER = [number(shape("a" * (4 * k + 1))) for k in range(6)]
+_SIGNS = ".,;:!?#$%&*|"
+
+
+@lru_cache(maxsize=4096)
+def _sign_numbers(signs: str) -> tuple[int, int]:
+    return number(signs), _shape_number(shape(signs))
 
 
 def numbers(word: str) -> tuple[int, ...]:
-    """Numbers of a word's symbols; words of small letters only, which are most, need no pattern."""
-    if word.isalpha() and word.islower():
-        return number(word), _LOWER[min(len(word) // 4, 5)]
+    """Numbers of a word's symbols; words of letters, with signs after them or not, which are most, need no pattern."""
+    if word.isalpha():
+        if word.islower():
+            return number(word), _LOWER[min(len(word) // 4, 5)]
+        return number(word.lower()), _shape_number(shape(word))
+    letters = word.rstrip(_SIGNS)
+    if letters.isalpha():
+        return *numbers(letters), *_sign_numbers(word[len(letters) :])
     return tuple(n for p in _PARTS.findall(word) for n in (number(p.lower()), _shape_number(shape(p))))
 
 
-class Words:
-    """Numbers of symbols; remembered by word up to a bound.
+class _Memo(dict):
+    """A word as one whole number: its two numbers, which most words have; others are marked, with where theirs stand in ``others`` and how many."""
+
+    def __init__(self):
+        super().__init__()
+        self.others = array("i")
+
+    def clear(self) -> None:
+        super().clear()
+        self.others = array("i")
+
+    def __missing__(self, word: str) -> int:
+        found = numbers(word)
+        if len(found) == 2:
+            code = found[0] << 14 | found[1]
+        else:
+            code = _OTHER | len(self.others) << 31 | len(found)
+            self.others.extend(found)
+        self[word] = code
+        return code
 
-    A word is remembered as one whole number: its place among the words, and its
-    two numbers, which most have; others are marked and looked up by place.
-    """
+
+class Words:
+    """Numbers of symbols; remembered by word up to a bound."""
 
     def __init__(self):
-        self.memo: dict[str, int] = {}
-        self.others: dict[int, tuple[int, ...]] = {}
+        self.memo = _Memo()
 
     def of(self, text: str | None) -> np.ndarray:
         """Numbers of a text's symbols; a word like the one before it is one REPEAT."""
-        words = text.split() if text else []
-        memo, others = self.memo, self.others
+        return self.of_all(pa.array([text], pa.string()))[0]
+
+    def of_all(self, texts: pa.StringArray) -> list[np.ndarray]:
+        """The same of each text; distinct words are numbered once."""
+        memo = self.memo
         if len(memo) > 300_000:
             memo.clear()
-            others.clear()
-        for w in set(words).difference(memo):
-            found, place = numbers(w), len(memo)
-            if len(found) == 2:
-                memo[w] = place << 28 | found[0] << 14 | found[1]
-            else:
-                memo[w] = _OTHER | place
-                others[place] = found
-        codes = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
-        same = np.zeros(len(codes), bool)
-        same[1:] = codes[1:] == codes[:-1]
-        other = (codes >= _OTHER) & ~same
-        lengths = np.where(same, 1, 2)
-        more = [others[c] for c in (codes[other] ^ _OTHER).tolist()]
-        lengths[other] = many = np.fromiter(map(len, more), np.int64, len(more))
-        ends = np.cumsum(lengths)
-        starts = ends - lengths
-        out = np.empty(ends[-1] if len(ends) else 0, np.int32)
+        split = pc.utf8_split_whitespace(texts)  # cuts as str.split does, with an empty word at either end that is blank
+        coded = split.flatten().dictionary_encode()
+        place, words = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False)
+        codes = np.fromiter(map(memo.__getitem__, words.tolist()), np.int64, len(words))
+        others = np.array(memo.others, np.int32)
+        firsts = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(split), 0).to_numpy()))
+        same = np.zeros(len(place), bool)
+        same[1:] = place[1:] == place[:-1]
+        same[firsts[firsts < len(place)]] = False  # the word before belongs to another text
+        same &= (words != "")[place]
+        marked = codes >= _OTHER
+        many = np.where(marked, codes & 0x7FFFFFFF, 2)[place]
+        ends = np.append(0, np.cumsum(np.where(same, 1, many)))
+        starts = ends[:-1]
+        out = np.empty(ends[-1], np.int32)
+        other = marked[place]
         two = ~(same | other)
-        at, pairs = starts[two], codes[two]
-        out[at], out[at + 1] = pairs >> 14 & (NUMBERS - 1), pairs & (NUMBERS - 1)
+        other &= ~same
+        at, pairs = starts[two], codes[place[two]]
+        out[at], out[at + 1] = pairs >> 14, pairs & (NUMBERS - 1)
         out[starts[same]] = REPEAT
-        before = np.cumsum(many) - many
-        out[np.repeat(starts[other] - before, many) + np.arange(many.sum())] = np.fromiter(chain.from_iterable(more), np.int32)
-        return out
+        many = many[other]
+        along = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        out[np.repeat(starts[other], many) + along] = others[np.repeat((codes[place[other]] ^ _OTHER) >> 31, many) + along]
+        return [out[a:b] for a, b in pairwise(ends[firsts].tolist())]
 
 
 def index_vectors(plan: QualityPlan) -> tuple[np.ndarray, np.ndarray]:
@@ -167,18 +202,30 @@ def neighbour_sums(texts: list[np.ndarray], components: np.ndarray, signs: np.nd
 
 def pooled(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Mean, largest and smallest run means, and the logarithm of the length."""
-    if not len(ids):
-        return np.zeros(3 * vectors.shape[1] + 1)
-    starts = np.arange(0, len(ids), _RUN)
-    if len(starts) > 1 and len(ids) - starts[-1] < _RUN // 2:
-        starts = starts[:-1]  # a short rest goes with the run before it
-    sums = np.zeros((len(starts), vectors.shape[1]))
-    for a in range(0, len(starts), 4096):  # a very long text in pieces
-        b = min(a + 4096, len(starts))
+    return pooled_all([ids], vectors)[0]
+
+
+def pooled_all(texts: list[np.ndarray], vectors: np.ndarray) -> np.ndarray:
+    """The same of each text, in a row."""
+    out = np.zeros((len(texts), 3 * vectors.shape[1] + 1))
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    some = np.flatnonzero(lengths)
+    if not len(some):
+        return out
+    lengths = lengths[some]
+    rest = lengths % _RUN
+    runs = lengths // _RUN + np.where((rest >= _RUN // 2) | (lengths < _RUN), np.minimum(rest, 1), 0)  # a short rest goes with the run before it
+    ids = np.concatenate([texts[k] for k in some])
+    first = np.cumsum(runs) - runs
+    starts = (np.arange(runs.sum()) - np.repeat(first, runs)) * _RUN + np.repeat(np.cumsum(lengths) - lengths, runs)
+    sums = np.empty((len(starts), vectors.shape[1]))
+    for a in range(0, len(starts), _RUNS):
+        b = min(a + _RUNS, len(starts))
         stop = len(ids) if b == len(starts) else starts[b]
         sums[a:b] = np.add.reduceat(vectors.take(ids[starts[a] : stop], axis=0, mode="clip"), starts[a:b] - starts[a], axis=0)
-    runs = sums / np.diff(np.append(starts, len(ids)))[:, None]
-    return np.concatenate([sums.sum(axis=0) / len(ids), runs.max(axis=0), runs.min(axis=0), [np.log1p(len(ids))]])
+    means = sums / np.diff(np.append(starts, len(ids)))[:, None]
+    out[some] = np.hstack([np.add.reduceat(sums, first) / lengths[:, None], np.maximum.reduceat(means, first), np.minimum.reduceat(means, first), np.log1p(lengths)[:, None]])
+    return out
 
 
 @dataclass
@@ -239,10 +286,10 @@ class QualityModel:
     network: Network | None
     rate: float
 
-    def scores(self, texts: list[str | None], words: Words) -> np.ndarray:
+    def scores(self, texts: pa.StringArray, words: Words) -> np.ndarray:
         if self.network is None:
             return np.full(len(texts), self.rate)
-        return self.network.probabilities(np.array([pooled(words.of(t), self.vectors) for t in texts]).reshape(len(texts), -1))
+        return self.network.probabilities(pooled_all(words.of_all(texts), self.vectors))
 
 
 def fit(docs: DataFrame, labels: DataFrame, plan: QualityPlan = QualityPlan()) -> QualityModel:
@@ -263,7 +310,7 @@ def fit(docs: DataFrame, labels: DataFrame, plan: QualityPlan = QualityPlan()) -
     def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, total = Words(), np.zeros((NUMBERS, plan.size))
         for part in chunks(batches):
-            total += neighbour_sums([words.of(t) for t in part.column(0).to_pylist()], components, signs, plan)
+            total += neighbour_sums(words.of_all(part.column(0)), components, signs, plan)
         hit = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(hit), *(pa.array(total[hit, k], pa.float32()) for k in range(plan.size))], names=["word", *names])
 
@@ -278,7 +325,7 @@ def fit(docs: DataFrame, labels: DataFrame, plan: QualityPlan = QualityPlan()) -
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for part in chunks(batches):
-            got = [pooled(words.of(t), vectors).tolist() for t in part.column(1).to_pylist()]
+            got = pooled_all(words.of_all(part.column(1)), vectors).tolist()
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(2), pa.array(got, pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
     made = rows.select("doc_id", "text", "y").mapInArrow(pool, "doc_id long, y int, x array<double>").toPandas().sort_values(["doc_id"], kind="stable")
@@ -300,7 +347,7 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use, words = shared.value, Words()
         for part in chunks(batches):
-            got = use.scores(part.column(part.schema.get_field_index("text")).to_pylist(), words)
+            got = use.scores(part.column(part.schema.get_field_index("text")), words)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got), pa.array((got >= use.plan.threshold).astype(np.int32))], names=[*part.schema.names, "score", "predicted"])
 
     return kept.mapInArrow(run, extended(kept.schema, "score double, predicted int"))
